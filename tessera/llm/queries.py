@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, rules
+from tessera.llm import bpe, lines, rules
 from tessera.session import table
 
 #: Where the public tokenizer files lie; a parameter of the operator.
@@ -23,12 +23,20 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
 }
-ORACLES: dict[str, str] = {"op5_quality_rules": rules.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": lines.ORACLE,
+    "op5_quality_rules": rules.ORACLE,
+}
