@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, lines, rules
+from tessera.llm import bpe, lines, rules, simhash
 from tessera.session import table
 
 #: Where the public tokenizer files lie; a parameter of the operator.
@@ -31,10 +31,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_simhash_dedup": op6_simhash_dedup,
 }
 ORACLES: dict[str, str] = {
     "op4_line_dedup": lines.ORACLE,

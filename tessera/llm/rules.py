@@ -125,14 +125,11 @@ def host_verdicts(counted: DataFrame, host: str = "source", failed: str = "base_
     noise = mean * (1 - mean) * F.col("hosts") / F.col("rows")
     between = F.greatest(spread - noise, mean * (1 - mean) * F.lit(1e-6))
     strength = F.greatest(F.lit(2.0), F.least(F.lit(1e6), mean * (1 - mean) / between - 1))
-    prior = moments.select(
-        F.coalesce(mean * F.coalesce(strength, F.lit(2.0)), F.lit(1.0)).alias("alpha"),
-        F.coalesce((1 - mean) * F.coalesce(strength, F.lit(2.0)), F.lit(1.0)).alias("beta"),
-    )
-    # the prior is one row by construction
-    shrunk = hosts.crossJoin(F.broadcast(prior)).withColumn(
-        "rate", (F.col("n_failed") + F.col("alpha")) / (F.col("n") + F.col("alpha") + F.col("beta"))
-    )
+    alpha, beta = moments.select(
+        F.coalesce(mean * F.coalesce(strength, F.lit(2.0)), F.lit(1.0)),
+        F.coalesce((1 - mean) * F.coalesce(strength, F.lit(2.0)), F.lit(1.0)),
+    ).first()  # two numbers
+    shrunk = hosts.withColumn("rate", (F.col("n_failed") + alpha) / (F.col("n") + (alpha + beta)))
     return shrunk.select("host", "n", "n_failed", "rate", (F.col("rate") > HOST_LIMIT).alias("rejected"))
 
 
