@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, lines, mixing, rules, shards, simhash
+from tessera.llm import bpe, html, lines, mixing, rules, shards, simhash
 from tessera.session import table
 
 #: Where the public tokenizer files lie; a parameter of the operator.
@@ -43,12 +43,17 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_histogram_shards": op2_histogram_shards,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_html_main_text": op7_html_main_text,
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLES: dict[str, str] = {
