@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
@@ -77,13 +78,15 @@ def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Page to lines: (text, tags, containers from the outermost, boilerplate)."""
+    """Page to lines: (text, tags, innermost container, boilerplate). Containers are numbered, parents first."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.kinds: list[str] = []  # by container number
-        self.stack: list[tuple[str, bool, tuple[int, ...]]] = [("", False, ())]
+        self.lines: list[tuple[str, int, int, bool]] = []
+        self.kinds: list[str] = [""]
+        self.parents: list[int] = [0]  # container 0 is the page
+        self.stack: list[tuple[str, bool, int]] = [("", False, 0)]
+        self.open: Counter[str] = Counter()
         self.buffer: list[str] = []
         self.tags = 0
 
@@ -96,27 +99,36 @@ class Lines(HTMLParser):
                 self.lines.append((text, self.tags, inside, skip))
                 self.tags = 0
 
-    def _close(self, tag: str, stop: frozenset[str] | set[str] = frozenset()) -> None:
+    def _cut(self, k: int) -> None:
+        """Close the elements from place k of the stack on."""
+        for name, _, _ in self.stack[k:]:
+            self.open[name] -= 1
+        del self.stack[k:]
+
+    def _close(self, tag: str, stop: frozenset[str] = frozenset()) -> None:
+        """Close the innermost open ``tag``, unless an element of ``stop`` lies above it."""
+        if self.open[tag] <= 0:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
-                del self.stack[k:]
+                self._cut(k)
                 return
             if self.stack[k][0] in stop:
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
-        if tag in INLINE:
-            if tag == "br" or tag == "wbr":
-                self.buffer.append(" " if tag == "br" else "")
-            elif tag not in VOID:
+        if tag == "br":
+            self.buffer.append(" ")
+        elif tag in INLINE:
+            if tag not in VOID:
+                self._push(tag, attrs)
+        else:
+            self._flush()
+            for other in CLOSES.get(tag, ("p",)):
+                self._close(other, BARRIERS)
+            if tag not in VOID:
                 self._push(tag, attrs)
-            return
-        self._flush()
-        for other in CLOSES.get(tag, ("p",)):
-            self._close(other, BARRIERS)
-        if tag not in VOID:
-            self._push(tag, attrs)
 
     def _push(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         _, skip, inside = self.stack[-1]
@@ -124,29 +136,28 @@ class Lines(HTMLParser):
         if now != skip:
             self._flush()
         if tag in CONTAINERS:
-            inside = (*inside, len(self.kinds))
-            role = next((v for k, v in attrs if k == "role"), None)
-            self.kinds.append("main" if role == "main" else tag)
+            self.parents.append(inside)
+            inside = len(self.kinds)
+            self.kinds.append("main" if ("role", "main") in attrs else tag)
         self.stack.append((tag, now, inside))
+        self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in VOID:
-            if tag == "br":
-                self.buffer.append(" ")
-            return
-        if tag not in INLINE:
+        if tag == "br":
+            self.buffer.append(" ")
+        elif tag not in INLINE:
             self._flush()
             self._close(tag)
-            return
-        for k in range(len(self.stack) - 1, 0, -1):
-            name, skip, _ = self.stack[k]
-            if name == tag:
-                if skip != self.stack[k - 1][1]:
-                    self._flush()
-                del self.stack[k:]
-                return
-            if name not in INLINE:
-                return
+        elif self.open[tag] > 0:
+            for k in range(len(self.stack) - 1, 0, -1):
+                name, skip, _ = self.stack[k]
+                if name == tag:
+                    if skip != self.stack[k - 1][1]:
+                        self._flush()
+                    self._cut(k)
+                    return
+                if name not in INLINE:
+                    return
 
     def handle_data(self, data: str) -> None:
         self.buffer.append(data)
@@ -180,29 +191,35 @@ def extract(html: str | None) -> str:
     if parser.cdata_elem is None:
         parser.handle_data(unescape(html[cut:].partition("<!--")[0]))
     parser._flush()
-    lines, kinds = parser.lines, parser.kinds
+    lines = parser.lines
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
     mean = sum(ratios) / max(1, len(ratios))
     limit = THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in ratios) / max(1, len(ratios)))
-    content = [k for k, (_, _, _, skip) in enumerate(lines) if not skip and ratios[k] >= limit]
-    regions = _regions(lines, kinds, content)
-    return "\n".join(text for text, _, inside, skip in lines if not skip and (regions is None or regions & set(inside)))
-
-
-def _regions(lines, kinds: list[str], content: list[int]) -> set[int] | None:
-    """Containers to return whole; None for the whole page."""
-    held: dict[int, int] = {}
-    for k in content:
-        for c in lines[k][2]:
-            held[c] = held.get(c, 0) + len(lines[k][0])
-    total = sum(len(lines[k][0]) for k in content)
+    content = [line for line, ratio in zip(lines, ratios, strict=True) if not line[3] and ratio >= limit]
+    inside = _regions(content, parser.kinds, parser.parents)
+    return "\n".join(text for text, _, container, skip in lines if not skip and inside[container])
+
+
+def _regions(content: list, kinds: list[str], parents: list[int]) -> list[bool]:
+    """For each container, whether it lies in a region that is returned whole."""
+    held = [0] * len(kinds)
+    for text, _, container, _ in content:
+        held[container] += len(text)
+    for c in range(len(kinds) - 1, 0, -1):
+        held[parents[c]] += held[c]
+    total, chosen = held[0], set()
     for kind in ("article", "main"):
-        of_kind = {c: n for c, n in held.items() if kinds[c] == kind}
+        of_kind = {c: held[c] for c in range(len(kinds)) if kinds[c] == kind}
         most = max(of_kind.values(), default=0)
         if most and most * 4 >= total:
-            return {c for c, n in of_kind.items() if n * 4 >= most}
-    deepest = [c for c, n in held.items() if n >= SHARE * total]
-    return {max(deepest)} if deepest else None
+            chosen = {c for c, n in of_kind.items() if n * 4 >= most}
+            break
+    else:
+        chosen = {max(c for c in range(len(kinds)) if held[c] >= SHARE * total)} if total else {0}
+    inside = [False] * len(kinds)
+    for c in range(len(kinds)):
+        inside[c] = c in chosen or (c > 0 and inside[parents[c]])
+    return inside
 
 
 def extract_pages(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
