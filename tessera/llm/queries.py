@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, html, lines, mixing, rules, shards, simhash
+from tessera.llm import bpe, html, lines, mixing, quality, rules, shards, simhash
 from tessera.session import table
 
 #: Where the public tokenizer files lie; a parameter of the operator.
@@ -47,6 +47,10 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_histogram_shards": op2_histogram_shards,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_html_main_text": op7_html_main_text,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLES: dict[str, str] = {
