@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, html, lines, mixing, quality, rules, shards, simhash
+from tessera.llm import bpe, html, lines, mixing, quality, rules, secrets, shards, simhash
 from tessera.session import table
 
 #: Where the public tokenizer files lie; a parameter of the operator.
@@ -39,6 +39,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_html_main_text": op7_html_main_text,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_secret_scan": op9_secret_scan,
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLES: dict[str, str] = {
