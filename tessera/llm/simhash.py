@@ -1,18 +1,20 @@
 """SimHash near-dedup over vantage-point trees (operator 6).
 
-Method. Fingerprints are taken per document. Distinct fingerprints are dealt to the leaves of a vantage-point
-tree: at each node, those within ``mu`` bits of the vantage point go in, the rest out. Two fingerprints that
-differ in at most ``RADIUS`` bits have distances to any vantage point that differ by as much (triangle
-bound), so an outer point can have an inner partner only if its distance is at most ``mu + RADIUS``; only
-such points also visit the inner side. Every pair therefore meets in at least one leaf, and each leaf is
-solved exactly, by the same splitting and at last bit counts. Leaves return spanning links, not pairs.
-
-The tree is fitted on the driver to a sample of at most ``SAMPLE`` fingerprints (those of smallest hash); it
-decides only where fingerprints meet, never which ones. ``mu`` minimises the work of both sides. Leaves that
-hold more than ``LEAF_CAP`` fingerprints are cut into blocks, and each pair of blocks is a task of its own,
-so a dense cluster of any size stays exact and bounded in memory. 64-bit fingerprints lie near 32 bits of
-each other with deviation 4, so a level keeps some 64 % of the points on the larger side at best: the work
-grows with a power near 1.7 of the distinct fingerprints.
+Method. Fingerprints are taken per document. Two fingerprints that differ in at most ``RADIUS`` = 3 bits
+differ in at most one bit of the lower or of the upper half, so there are two vantage-point trees, each over
+the Hamming distance of one half, with radius 1. At a node, fingerprints within ``mu`` bits of the vantage
+point go in, the rest out. By the triangle bound an outer one can have an inner partner only if its distance
+is at most ``mu`` + 1; only such also visit the inner side, and all other branches are pruned. Every pair
+therefore meets in a leaf of one of the trees, where it is checked over all 64 bits; leaves are solved by the
+same cuts, down to bit counts. Leaves return spanning links, not pairs.
+
+(With one tree over all 64 bits and radius 3, distances crowd so near 32 bits that a quarter of the points
+cross at each level, and visits grow twice as fast as the input.)
+
+The trees are fitted on the driver to a sample of at most ``SAMPLE`` fingerprints (those of smallest hash),
+which decides only where fingerprints meet, never which ones; ``mu`` minimises the work of both sides.
+Leaves with more than ``LEAF_CAP`` fingerprints are cut into blocks, and each pair of blocks is a task of its
+own, so a dense cluster of any size stays exact and bounded in memory.
 
 Cases: no words: fingerprint zero, linked like any other; null text counts as empty; rows with a null id take
 part and get the smallest non-null id reachable, or null if there is none; repeated rows have equal results;
@@ -35,6 +37,8 @@ from tessera.llm.common import durable
 from tessera.llm.graph import star_components
 
 RADIUS = 3
+HALVES = ((1 << 32) - 1, ((1 << 32) - 1) << 32)
+REACH = RADIUS // len(HALVES)
 SHINGLE = 3
 SEED = 42
 SAMPLE = 1 << 14
@@ -78,19 +82,19 @@ class Node:
     outer: Node | None = field(default=None)
 
 
-def _distance(points: np.ndarray, point: int) -> np.ndarray:
-    return np.bitwise_count(points ^ np.uint64(point)).astype(np.int64)
+def _distance(points: np.ndarray, point: int, mask: int) -> np.ndarray:
+    return np.bitwise_count((points ^ np.uint64(point)) & np.uint64(mask)).astype(np.int64)
 
 
-def _best_cut(points: np.ndarray, radius: int, tries: int = 6) -> tuple[int, int, float]:
+def _best_cut(points: np.ndarray, mask: int, reach: int, tries: int = 6) -> tuple[int, int, float]:
     """(vantage point, mu, share of the pair work that is left) of the best of some evenly spaced candidates."""
     best = (0, -1, 1.0)
     seen = points if len(points) <= 4096 else points[:: len(points) // 4096]
     n = len(seen)
     for point in np.unique(seen[:: max(1, n // tries)])[:tries]:
-        below = np.cumsum(np.bincount(_distance(seen, int(point)), minlength=65))  # below[d]: within d bits
-        for mu in range(64 - radius):
-            inside, outside = below[mu + radius], n - below[mu]
+        below = np.cumsum(np.bincount(_distance(seen, int(point), mask), minlength=65))  # below[d]: within d bits
+        for mu in range(64 - reach):
+            inside, outside = below[mu + reach], n - below[mu]
             work = (float(inside) ** 2 + float(outside) ** 2) / float(n) ** 2
             if work < best[2] and inside < n and outside < n:
                 best = (int(point), mu, work)
@@ -98,19 +102,20 @@ def _best_cut(points: np.ndarray, radius: int, tries: int = 6) -> tuple[int, int
 
 
 class VantageTree:
-    """The tree over leaves; ``route`` gives each point its own leaf and those that its ball overlaps."""
+    """A tree over the distance of the bits in ``mask``; ``route`` gives each point its leaf and those it reaches."""
 
-    def __init__(self, sample: np.ndarray, scale: float, radius: int = RADIUS, target: int = LEAF_TARGET):
-        self.radius, self.leaves = radius, 0
+    def __init__(self, sample: np.ndarray, mask: int, reach: int, scale: float, target: int, first_leaf: int = 0):
+        self.mask, self.reach, self.leaves = mask, reach, first_leaf
         self.root = self._grow(np.unique(sample), scale, target)
 
     def _grow(self, points: np.ndarray, scale: float, target: int) -> Node:
-        cut = _best_cut(points, self.radius) if len(points) * scale > target and len(points) >= 8 else None
+        cut = _best_cut(points, self.mask, self.reach) if len(points) * scale > target and len(points) >= 8 else None
         if cut is None or cut[2] > 0.9:
             self.leaves += 1
             return Node(leaf=self.leaves - 1)
-        d = _distance(points, cut[0])
-        return Node(-1, cut[0], cut[1], self._grow(points[d <= cut[1] + self.radius], scale, target), self._grow(points[d > cut[1]], scale, target))
+        d = _distance(points, cut[0], self.mask)
+        inner = self._grow(points[d <= cut[1] + self.reach], scale, target)
+        return Node(-1, cut[0], cut[1], inner, self._grow(points[d > cut[1]], scale, target))
 
     def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the point, leaf) for every visit."""
@@ -121,8 +126,8 @@ class VantageTree:
             if node.leaf >= 0:
                 found.append((at, node.leaf))
             elif len(at):
-                d = _distance(points[at], node.point)
-                open_nodes += [(node.inner, at[d <= node.mu + self.radius]), (node.outer, at[d > node.mu])]
+                d = _distance(points[at], node.point, self.mask)
+                open_nodes += [(node.inner, at[d <= node.mu + self.reach]), (node.outer, at[d > node.mu])]
         return np.concatenate([x for x, _ in found]), np.concatenate([np.full(len(x), k, np.int64) for x, k in found])
 
 
@@ -139,67 +144,83 @@ def _hook(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = up
 
 
-def _solve(points: np.ndarray, at: np.ndarray, labels: np.ndarray, radius: int) -> None:
-    """Join all of ``points[at]`` that lie within ``radius`` bits."""
+def _solve(points: np.ndarray, at: np.ndarray, labels: np.ndarray, mask: int, reach: int) -> None:
+    """Join all of ``points[at]`` within ``RADIUS`` bits that are also within ``reach`` bits of ``mask``."""
     if len(at) > BRUTE:
-        point, mu, work = _best_cut(points[at], radius)
+        point, mu, work = _best_cut(points[at], mask, reach)
         if work <= 0.9:
-            d = _distance(points[at], point)
-            _solve(points, at[d <= mu + radius], labels, radius)
-            _solve(points, at[d > mu], labels, radius)
+            d = _distance(points[at], point, mask)
+            _solve(points, at[d <= mu + reach], labels, mask, reach)
+            _solve(points, at[d > mu], labels, mask, reach)
             return
     own, step = points[at], max(1, (1 << 20) // max(1, len(at)))
     for k in range(0, len(at), step):
-        close = np.bitwise_count(own[k : k + step, None] ^ own[None, k:]) <= radius
+        close = np.bitwise_count(own[k : k + step, None] ^ own[None, k:]) <= RADIUS
         i, j = np.nonzero(close)
         apart = i < j
         if apart.any():
             _hook(labels, at[i[apart] + k], at[j[apart] + k])
 
 
-def spanning_links(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (point, root of its component among ``points``) that join all that lie within ``radius`` bits."""
+def spanning_links(points: np.ndarray, mask: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (point, root of its component among ``points``) found over ``mask`` with ``reach``."""
     points = np.unique(points)
     labels = np.arange(len(points))
-    _solve(points, np.arange(len(points)), labels, radius)
+    _solve(points, np.arange(len(points)), labels, mask, reach)
     moved = np.flatnonzero(labels != np.arange(len(points)))
     return points[moved], points[labels[moved]]
 
 
 def _leaf_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    a, b = spanning_links(pdf["fp"].to_numpy("<i8").view("<u8"))
+    a, b = spanning_links(pdf["fp"].to_numpy("<i8").view("<u8"), HALVES[int(pdf["tree"].iloc[0])], REACH)
     return pd.DataFrame({"a": a.view("<i8"), "b": b.view("<i8")})
 
 
+def _visits(trees: list[VantageTree], points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the point, tree, leaf) over all trees."""
+    ways = [tree.route(points) for tree in trees]
+    tree = [np.full(len(at), t, np.int32) for t, (at, _) in enumerate(ways)]
+    return np.concatenate([x for x, _ in ways]), np.concatenate(tree), np.concatenate([x for _, x in ways])
+
+
 def links(distinct: DataFrame, leaf_target: int = LEAF_TARGET, leaf_cap: int = LEAF_CAP) -> DataFrame:
     """Spanning links (a, b) over the distinct fingerprints in column ``fp``."""
     count = distinct.count()
-    sample = [r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    tree = VantageTree(np.array(sample, "<i8").view("<u8"), max(1.0, count / max(1, len(sample))), target=leaf_target)
-
-    def dealt(blocks: dict[int, int]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                points = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8").view("<u8")
-                at, leaf = tree.route(points)
-                cells = leaf << 24
-                for k, n in blocks.items():
-                    # block x of leaf k meets every block y in the cell of (x, y)
-                    own = np.flatnonzero(leaf == k)
-                    x = ((points[at[own]] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % n
-                    y = np.arange(n)
-                    pair = np.minimum(x[:, None], y) * n + np.maximum(x[:, None], y)
-                    rest = np.ones(len(at), bool)
-                    rest[own] = False
-                    cells = np.concatenate((cells[rest], ((k << 24) + pair).ravel()))
-                    at, leaf = np.concatenate((at[rest], np.repeat(at[own], n))), np.concatenate((leaf[rest], np.full(pair.size, -1)))
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(points[at].view("<i8"))], names=["cell", "fp"])
-
-        return distinct.select("fp").mapInArrow(run, "cell long, fp long")
-
-    sizes = dealt({}).groupBy("cell").count().where(F.col("count") > leaf_cap).collect()  # one row per leaf at most
-    blocks = {int(r["cell"]) >> 24: -(-2 * r["count"] // leaf_cap) for r in sizes}
-    return dealt(blocks).groupBy("cell").applyInPandas(_leaf_links, "a long, b long")
+    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], "<i8").view("<u8")
+    scale, trees = max(1.0, count / max(1, len(sample))), []
+    for mask in HALVES:
+        trees.append(VantageTree(sample, mask, REACH, scale, leaf_target, trees[-1].leaves if trees else 0))
+
+    def unsigned(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(0).to_numpy(zero_copy_only=False).astype("<i8").view("<u8")
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf, n = np.unique(_visits(trees, unsigned(batch))[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(n, pa.int64())], names=["leaf", "n"])
+
+    sizes = distinct.select("fp").mapInArrow(sized, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    blocks = {r["leaf"]: -(-2 * r["n"] // leaf_cap) for r in sizes.where(F.col("n") > leaf_cap).collect()}  # a row per leaf
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = unsigned(batch)
+            at, tree, leaf = _visits(trees, points)
+            part = np.zeros(len(at), np.int64)
+            for k, n in blocks.items():
+                # block x of leaf k meets every block y in the cell of (x, y)
+                own = leaf == k
+                x = ((points[at[own]] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % n
+                y = np.arange(n)
+                pair = np.minimum(x[:, None], y) * n + np.maximum(x[:, None], y)
+                part = np.concatenate((part[~own], pair.ravel()))
+                at, tree, leaf = (np.concatenate((v[~own], np.repeat(v[own], n))) for v in (at, tree, leaf))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tree, pa.int32()), pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), pa.array(points[at].view("<i8"))],
+                names=["tree", "leaf", "part", "fp"])
+
+    visits = distinct.select("fp").mapInArrow(dealt, "tree int, leaf long, part long, fp long")
+    return visits.groupBy("leaf", "part").applyInPandas(_leaf_links, "a long, b long")
 
 
 def components(marked: DataFrame, fp: str = "fingerprint_bits", **sizes) -> DataFrame:
