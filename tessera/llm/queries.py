@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, html, lines, mixing, quality, rules, secrets, shards, simhash
+from tessera.llm import bpe, html, knn, lines, mixing, quality, rules, secrets, shards, simhash
 from tessera.session import table
 
 #: Where the public tokenizer files lie; a parameter of the operator.
@@ -27,6 +27,10 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_histogram_shards": op2_histogram_shards,
+    "op3_voronoi_knn": op3_voronoi_knn,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_dedup": op6_simhash_dedup,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLES: dict[str, str] = {
+    "op3_voronoi_knn": knn.ORACLE,
     "op4_line_dedup": lines.ORACLE,
     "op5_quality_rules": rules.ORACLE,
 }
