@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_PATTERN, durable, text_or_empty
+from tessera.llm.common import WORD_PATTERN, durable, parallelism, text_or_empty
 
 BLOCK_WORDS = 64
 OUTPUT_SHARDS = 16
@@ -117,7 +117,7 @@ def placed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     buckets = buckets.select("source_key", "bucket", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("before"))
     inside = Window.partitionBy("source_key", "bucket").orderBy("doc_id", "copy").rowsBetween(Window.unboundedPreceding, -1)
     own = slim.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return own.join(buckets, ["source_key", "bucket"]).select(
+    return own.join(buckets.hint("merge"), ["source_key", "bucket"]).select(
         "doc_id", "copy", "source_key", "size", (F.col("before") + F.col("own")).alias("start")
     )
 
@@ -156,7 +156,8 @@ def taken_blocks(spark, plan: list[tuple], shards: int = OUTPUT_SHARDS, seed: in
             first[i] += counts[s][i]
     drawn = spark.createDataFrame(rows, "shard int, source int, first long, n long, blocks long")
     chunks = drawn.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
-    chunks = chunks.repartition(F.col("source"), F.col("shard"), F.col("at"))
+    # by a number of its own: the chunks are few bytes, and AQE would bring them into one task
+    chunks = chunks.repartition(parallelism(drawn), F.col("source"), F.col("shard"), F.col("at"))
     slots = chunks.select(
         "shard", "source", "blocks",
         F.explode(F.sequence(F.col("first") + F.col("at") * CHUNK, F.col("first") + F.least((F.col("at") + 1) * CHUNK, F.col("n")) - 1)).alias("slot"))
@@ -204,7 +205,7 @@ def mix_counts(
     plan = source_plan(rows, list(weights), block_words)
     numbered = _numbered(rows, plan, block_words)
     times = taken_blocks(docs.sparkSession, plan, shards, seed).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-    used = _held(numbered).join(times, ["source", "block"], "left")
+    used = _held(numbered).join(times.hint("merge"), ["source", "block"], "left")
     words = F.coalesce("times", F.lit(0)) * _overlap(F.col("block"), F.col("start"), F.col("size"), block_words)
     # (source, start) names a document with words
     big = used.groupBy("source", "start").agg(
@@ -229,7 +230,7 @@ def mix_documents(
     numbered = _numbered(rows, plan, block_words)
     slots = taken_blocks(docs.sparkSession, plan, shards, seed).select("source", "block", F.col("pass").alias("turn"))
     lo = F.greatest(F.col("block") * block_words, F.col("start")) - F.col("start")
-    used = _held(numbered).join(slots, ["source", "block"])
+    used = _held(numbered).join(slots.hint("merge"), ["source", "block"])
     used = used.select("doc_id", "copy", "size", "turn", F.struct(lo.cast("long").alias("lo"), (lo + _overlap(F.col("block"), F.col("start"), F.col("size"), block_words)).cast("long").alias("hi")).alias("span"))
     turns = used.groupBy("doc_id", "copy", "turn").agg(F.sum(F.col("span.hi") - F.col("span.lo")).alias("words"), F.first("size").alias("size"), F.array_sort(F.collect_list("span")).alias("spans"))
     turns = turns.select("doc_id", "copy", F.when(F.col("words") == F.col("size"), F.lit(None)).otherwise(F.col("spans")).alias("spans"))
