@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the word contracts, [\x20\x09-\x0D], as Spark, DuckDB and Python patterns take it.
@@ -18,13 +19,24 @@ def durable(df: DataFrame) -> DataFrame:
     The folder is the one the session names in spark.checkpoint.dir. Only where that is unset, as in local
     tests, a temporary folder stands in.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-")
         )
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to a folder of its own in the shared folder and read it back: for whole texts."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def text_or_empty(column: str = "text") -> Column:
