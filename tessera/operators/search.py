@@ -25,7 +25,7 @@ def candidates_per_list(limit: int) -> int:
 def vector_topk(rows: DataFrame, query: list[float], k: int = 10, metric: str = "l2", id_column: str = "id", vector: str = "vector", builtin: bool = False) -> DataFrame:
     """G1: the k nearest rows; score is the distance, lower is better. No exchange but that of the k rows."""
     measure = vectors.distance_builtin if builtin else vectors.distance
-    scored = rows.withColumn("score", F.round(measure(F.col(vector), query, metric), DIGITS)).where(F.col("score").isNotNull())
+    scored = rows.withColumn("score", F.round(measure(F.col(vector), query, metric), DIGITS) + 0.0).where(F.col("score").isNotNull())
     return scored.orderBy("score", id_column).limit(max(0, k))
 
 
@@ -44,6 +44,10 @@ def _bm25(tf: Column, dl: Column, df: Column, n: Column, mean: Column) -> Column
     return F.round(idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / mean)), DIGITS)
 
 
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("words", lambda w: w == term))
+
+
 def fts_scan(rows: DataFrame, query: str, id_column: str = "id", column: str = "content") -> DataFrame:
     """id, score over the texts themselves: one pass counts the query's terms, no posting is shuffled.
 
@@ -53,7 +57,7 @@ def fts_scan(rows: DataFrame, query: str, id_column: str = "id", column: str = "
     words = rows.select(F.col(id_column).alias("id"), text.tokens(F.col(column)).alias("words"))
     counted = words.select(
         "id", F.size("words").cast("long").alias("dl"),
-        *[F.size(F.filter("words", lambda w, t=t: w == t)).cast("long").alias(f"tf{i}") for i, t in enumerate(terms)])
+        *[_occurrences(t).cast("long").alias(f"tf{i}") for i, t in enumerate(terms)])
     totals = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"),
         *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()

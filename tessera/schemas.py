@@ -4,35 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-SOURCE_FILES = T.StructType.fromDDL(
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "binary": T.BinaryType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType()),
+    "array<float>": T.ArrayType(T.FloatType(), containsNull=False),
+}
+
+
+def struct(ddl: str) -> T.StructType:
+    """``name type, ...`` as a schema, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in ddl.split(","))])
+
+
+SOURCE_FILES = struct(
     "repo string, file_path string, ext string, size long, mtime double, content binary, file_hash string"
 )
-CHUNKS = T.StructType.fromDDL(
+CHUNKS = struct(
     "id string, repo string, file_path string, chunk_index int, start_line int, end_line int, content string, "
     "token_count int, vector array<float>, file_hash string, indexed_at double"
 )
-SYMBOLS = T.StructType.fromDDL(
+SYMBOLS = struct(
     "id string, repo string, name string, kind string, file_path string, start_byte int, end_byte int, "
     "docstring string, decorators array<string>, parent string"
 )
-OCCURRENCES = T.StructType.fromDDL(
+OCCURRENCES = struct(
     "id string, repo string, name string, file_path string, start_byte int, end_byte int, line_number int, "
     "line_text string, kind string, enclosing_symbol_id string, is_test_file boolean"
 )
-FILES = T.StructType.fromDDL("repo string, file_path string, file_hash string, version string")
-INDEX_META = T.StructType.fromDDL(
+FILES = struct("repo string, file_path string, file_hash string, version string")
+INDEX_META = struct(
     "repo string, version string, files long, symbols long, occurrences long, updated_at double"
 )
-PROJECT_META = T.StructType.fromDDL(
+PROJECT_META = struct(
     "cache_key string, project_path string, updated_at double, alias_paths array<string>"
 )
-ZERO_CHUNK_FILES = T.StructType.fromDDL("repo string, file_path string, file_hash string")
-POSTINGS = T.StructType.fromDDL("term string, id string, tf long")
-DOC_LENGTHS = T.StructType.fromDDL("id string, dl long")
-JOBS = T.StructType.fromDDL(
+ZERO_CHUNK_FILES = struct("repo string, file_path string, file_hash string")
+POSTINGS = struct("term string, id string, tf long")
+DOC_LENGTHS = struct("id string, dl long")
+JOBS = struct(
     "job_id string, tool string, status string, created_at double, started_at double, finished_at double, error string"
 )
-CHANGE_EVENTS = T.StructType.fromDDL("file_path string, event_type string, ts timestamp, content binary")
+CHANGE_EVENTS = struct("file_path string, event_type string, ts timestamp, content binary")
 
 OCCURRENCE_KINDS = ("call", "attribute", "import", "reference")
 USAGE_FILTERS = ("production_first", "include_tests", "tests_only")
