@@ -28,8 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bound_batches
+
 SHORT = 192
-MEMO = 400_000
+MEMO = 250_000
 NONE = 1 << 40
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -160,6 +162,7 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
                 [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())),
                  pa.array([bpe.decode(x) for x in ids], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(run, SCHEMA)
 
 
@@ -179,4 +182,5 @@ def encode_digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_c
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(run, DIGEST_SCHEMA)

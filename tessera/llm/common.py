@@ -39,6 +39,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Let Arrow batches of texts hold at most ``limit`` bytes (and one row), whatever the texts' lengths.
+
+    A worker holds several copies of its batch, as bytes, lines and results, so the default of 64 MB is more
+    than small executors have. This is a setting of the session; one that is lower already stays.
+    """
+    held = spark.conf.get(_BATCH_SETTING, None)
+    if held is None or not held.rstrip("b").isdigit() or not 0 < int(held.rstrip("b")) <= limit:
+        spark.conf.set(_BATCH_SETTING, str(limit))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bound_batches
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 SIGMA = 1.5
 REACH = 4
@@ -230,5 +232,6 @@ def extract_pages(pages: DataFrame, id_column: str = "page_id", url_column: str
             texts = [extract(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_column).cast("long"), F.col(url_column).cast("string"), F.col(html_column).cast("string"))
     return rows.mapInArrow(run, SCHEMA)

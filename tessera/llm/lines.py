@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable
+from tessera.llm.common import bound_batches, durable
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -240,6 +240,7 @@ def dedup_lines(
     part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """``docs`` with repeated lines gone from the text, and n_lines and n_dropped in a struct ``line_dedup``."""
+    bound_batches(docs.sparkSession)
     names = docs.columns
     other = [c for c in names if c != text_column]
     packed = docs.select(

@@ -31,6 +31,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bound_batches
+
 LABELLED = 3_000
 SAMPLES = 6_000
 BLOCK = 2_048
@@ -186,5 +188,6 @@ def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id", te
 
 
 def classify(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return score_documents(slim, train(slim, labels, **bounds))

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bound_batches
+
 FINDINGS = 4_000
 TREES = 40
 DEPTH = 9
@@ -274,6 +276,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding
 
 def scan(docs: DataFrame, forest: Forest | None = None, limit: float = LIMIT, id_column: str = "doc_id", text_column: str = "text", path_column: str = "source") -> DataFrame:
     """doc_id, start and length (code points), kind, secret_sha256 and score of every finding that is kept."""
+    bound_batches(docs.sparkSession)
     model = forest or train_forest(labelled_findings())
     sent = docs.sparkSession.sparkContext.broadcast(model)  # TREES trees of 2 ** (DEPTH + 1) rows at most
 

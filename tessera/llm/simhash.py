@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable
+from tessera.llm.common import bound_batches, durable
 from tessera.llm.graph import star_components
 
 RADIUS = 3
@@ -61,6 +61,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` with a column ``fingerprint_bits`` (long) in place of the text."""
+    bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != text_column]
     packed = docs.select(F.col(f"`{text_column}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
 
