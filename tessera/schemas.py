@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 _TYPES = {
     "string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
     "binary": T.BinaryType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType()),
-    "array<float>": T.ArrayType(T.FloatType(), containsNull=False),
+    "array<float>": T.ArrayType(T.FloatType()),
 }
 
 

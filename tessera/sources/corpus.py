@@ -12,19 +12,25 @@ from tessera import schemas
 from tessera.functions import ids, paths, text
 from tessera.operators import ignore
 from tessera.operators import predicates as P
+from tessera.sources.tree import TreeSource
 
 #: Files of a remote tree that one task fetches.
 BLOBS_PER_TASK = 64
 
 
 def directory(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
-    """Every file below ``root``. Sizes above the limit are left to the scan's own length filter, so that large
-    files are listed but never read."""
+    """Every file below ``root``; files above the size limit are left out unread.
+
+    A mounted tree is walked by the ``source_tree`` source. Any other store is listed by Spark's binary reader,
+    which leaves out names that begin with "_" or ".".
+    """
+    if "://" not in root or root.startswith("file://"):
+        spark.dataSource.register(TreeSource)
+        found = spark.read.format("source_tree").option("path", root).option("repo", repo or root).load()
+        return found.where(F.col("size") <= P.MAX_FILE_BYTES)
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
-    plain = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^/+", "/")
-    path = paths.relative(plain, "/" + base.strip("/"))
     found = listed.where(F.col("length") <= P.MAX_FILE_BYTES)
+    path = paths.relative(F.col("path"), root)
     return found.select(
         F.lit(repo or root).alias("repo"), path.alias("file_path"), F.lower(paths.suffix(path)).alias("ext"),
         F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), "content",
@@ -63,11 +69,17 @@ def with_text(files: DataFrame) -> DataFrame:
 
 def root_rules(spark: SparkSession, root: str) -> list[ignore.Rule]:
     """The rules of the root's own ignore files; those deeper down are not read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     rules: list[ignore.Rule] = []
     for name in (".gitignore", ".tesseraignore"):
-        found = spark.read.format("binaryFile").option("pathGlobFilter", name).load(root)
-        for row in found.select("content").limit(1).collect():
-            rules += ignore.parse_rules(bytes(row["content"]).decode("utf-8", "replace"))
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            stream = fs.open(path)
+            try:
+                rules += ignore.parse_rules(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace"))
+            finally:
+                stream.close()
     return rules
 
 
