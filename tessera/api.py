@@ -239,7 +239,8 @@ class Engine:
         hits = symbols.search_references(self._of("occurrences", path), query, limit, usage_filter, kind).cache()
         wanted = hits.select("file_path").distinct()
         now = corpus.directory(self.spark, path, self.settings.repo_key(path)).join(F.broadcast(wanted), "file_path", "left_semi")
-        return diff.flag_stale(hits, self._of("files", path), now.select("repo", "file_path", "file_hash"))
+        flagged = diff.flag_stale(hits, self._of("files", path), now.select("repo", "file_path", "file_hash"))
+        return flagged.orderBy("is_test_file", "repo", "file_path", "line_number", "name", "start_byte")
 
     def get_symbol(self, symbol_id: str, path: str) -> DataFrame:
         """T15."""

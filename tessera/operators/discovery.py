@@ -47,9 +47,10 @@ def discover(files: DataFrame, root: str = "/repo", rules: list[Rule] = ()) -> D
     return named(files, root, rules).where(~P.is_binary(F.col("content")))
 
 
-def file_tree(files: DataFrame, max_files: int = 500) -> DataFrame:
-    """Paths in order, at most ``max_files``."""
-    return files.select("repo", "file_path").orderBy("repo", "file_path").limit(max(0, max_files))
+def file_tree(files: DataFrame, max_files: int | None = 500) -> DataFrame:
+    """Paths in order, at most ``max_files`` (T9); None for all, by a distributed sort instead of a top-k heap."""
+    ordered = files.select("repo", "file_path").orderBy("repo", "file_path")
+    return ordered if max_files is None else ordered.limit(max(0, max_files))
 
 
 def supported(files: DataFrame, max_files: int | None = None) -> DataFrame:

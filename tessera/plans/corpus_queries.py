@@ -31,7 +31,7 @@ def discovery_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.file_tree(discovery.discover(_files(spark, sf_dir), "/repo", parse_rules(RULES)), 1_000_000_000)
+    return discovery.file_tree(discovery.discover(_files(spark, sf_dir), "/repo", parse_rules(RULES)), None)
 
 
 def file_tree_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
