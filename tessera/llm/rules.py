@@ -120,11 +120,11 @@ def host_verdicts(counted: DataFrame, host: str = "source", failed: str = "base_
         F.sum("n_failed").alias("fails"),
         F.sum(F.col("n") * p * p).alias("squares"),
     )
-    mean = F.col("fails") / F.col("rows")
-    spread = F.col("squares") / F.col("rows") - mean * mean
-    noise = mean * (1 - mean) * F.col("hosts") / F.col("rows")
+    mean = F.try_divide(F.col("fails"), F.col("rows"))
+    spread = F.try_divide(F.col("squares"), F.col("rows")) - mean * mean
+    noise = F.try_divide(mean * (1 - mean) * F.col("hosts"), F.col("rows"))
     between = F.greatest(spread - noise, mean * (1 - mean) * F.lit(1e-6))
-    strength = F.greatest(F.lit(2.0), F.least(F.lit(1e6), mean * (1 - mean) / between - 1))
+    strength = F.greatest(F.lit(2.0), F.least(F.lit(1e6), F.coalesce(F.try_divide(mean * (1 - mean), between), F.lit(0.0)) - 1))
     alpha, beta = moments.select(
         F.coalesce(mean * F.coalesce(strength, F.lit(2.0)), F.lit(1.0)),
         F.coalesce((1 - mean) * F.coalesce(strength, F.lit(2.0)), F.lit(1.0)),
