@@ -230,6 +230,14 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding
         return " ".join("".join(pick(syllables) for _ in range(rng.randint(1, 4))) for _ in range(k))
 
     def secret() -> tuple[str, str]:
+        shape = rng.random()
+        if shape < 0.06:
+            what = pick(["", "RSA ", "EC "])
+            return "", f"-----BEGIN {what}PRIVATE KEY-----\n{base64.b64encode(rng.randbytes(rng.randint(40, 900))).decode()}\n-----END {what}PRIVATE KEY-----"
+        if shape < 0.12:
+            return pick(["bearer ", "jwt = ", "token: "]), "eyJ" + ".".join(some(mixed + "_-", rng.randint(16, 60)) for _ in range(3))
+        if shape < 0.16:
+            return f"{pick(['https', 'postgres', 'redis'])}://{pick(syllables)}{pick(syllables)}:", some(mixed, rng.randint(8, 20)) + "@"
         name = pick(["token", "secret", "password", "api_key", "access_key", "client_secret", "auth_token", "passwd", "signing_key", "credential"])
         value = pick([
             lambda: some(hexes, pick([32, 40, 48, 64])), lambda: some(mixed, rng.randint(20, 48)),

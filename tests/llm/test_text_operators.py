@@ -1,0 +1,376 @@
+"""Operators on texts against plain Python versions, with the rows that break things."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tessera.llm import bpe, html, lines, mixing, queries, rules, secrets, shards, simhash
+
+SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DDL = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, bits string, line string, row string"
+
+
+def sample():
+    """Nulls in any column, empty and long texts, copies, near copies, repeated rows, shared lines."""
+    rng = random.Random(3)
+    words = "the quick brown fox jumps over lazy dogs while seven wizards brew potions near Öland über straße".split()
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    shared = "This shared line appears in many documents of the corpus"
+    texts = [prose(rng.randint(1, 120)) for _ in range(40)]
+    texts += ["", None, " \t\n", "\n\n", "a", "x" * 20_000, prose(8_000), "same text here " * 9, "same text here " * 9]
+    texts += [f"{prose(12)}\n{shared}\n{prose(5)}", f"  {shared.upper()}\t\n{prose(3)}", f"{shared}", f"{shared}\n{shared}"]
+    long = prose(400).split()
+    texts += [" ".join(long), " ".join([*long[:200], "changed", *long[201:]]), " ".join(long)]
+    texts += ["#$%&|<> bad | bad | bad", "one two three four five six " * 6, "Ünïcode é́ İSTANBUL Σ ΑΣ ﬁ <|endoftext|> 日本語 x\u0085y\x1cz"]
+    rows = [(i * 7 % 101, t, "en", None if i % 9 == 0 else f"host{i % 4}", 1, "s", "s", "b", "l", "r") for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, "a row without an id but with words in it", None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(sample(), DDL).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DDL)
+
+
+def key(row):
+    return (row[0] is None, row[0] or 0, row[1] or "")
+
+
+def sha(text):
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
+# --- 1
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_bpe_equals_the_library(docs, none, library):
+    path = queries.vocabulary_path()
+    got = Counter(tuple(r) for r in bpe.encode_digests(docs, path).collect())
+    expected = Counter()
+    for row in sample():
+        ids = library.encode(row[1] or "", add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        expected[(row[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), sha(text))] += 1
+    assert got == expected
+    assert bpe.encode_digests(none, path).count() == 0
+    full = bpe.encode_documents(docs, path).where("doc_id = 7").first()
+    assert full["n_tokens"] == len(full["ids"]) and full["decoded"] == library.decode(full["ids"], skip_special_tokens=False)
+
+
+def test_bpe_scan_equals_heap_and_library(library):
+    own = bpe.WordBpe(queries.vocabulary_path())
+    rng = random.Random(1)
+    for _ in range(400):
+        word = "".join(rng.choice("abcdelnorstü!?#") for _ in range(rng.randint(1, 60)))
+        parts = [own.inner[b] for b in word.encode()]
+        parts[-1] = own.final[word.encode()[-1]]
+        assert own._scan(parts.copy()) == own._heap(parts.copy())
+        assert own.encode(word) == library.encode(word, add_special_tokens=False).ids
+
+
+# --- 2
+
+
+def test_shards_are_near_equal_gapless_and_whole(docs, none):
+    for limits in ({}, {"cell_rows": 3}):
+        rows = shards.shard_documents(docs, **limits).collect()
+        expected = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in sample())
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == expected
+        by = {}
+        for r in rows:
+            by.setdefault(r["shard"], []).append(r)
+            assert r["law"] == "bytes" and r["grown_shard"] is None
+        assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in by.values()) and set(by) <= set(range(16))
+    assert shards.shard_documents(none).count() == 0
+
+
+def test_shards_cut_a_hot_group(spark):
+    rows = [(i, "copy of one text" if i % 3 else f"text {i}") for i in range(3_000)]
+    got = shards.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), cell_rows=50)
+    sizes = [r["b"] for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 16 and max(sizes) - min(sizes) <= 40
+    assert shards.shard_documents(spark.createDataFrame([(1, "x")] * 40, "doc_id long, text string")).count() == 40
+
+
+def test_shards_are_written_whole(spark, docs, tmp_path):
+    shards.write_shards(docs, str(tmp_path / "out"), 4)
+    assert spark.read.parquet(str(tmp_path / "out")).select("row.*").count() == len(sample())
+
+
+# --- 4
+
+
+def naive_lines(rows):
+    def keyed(line):
+        k = line.strip(SPACE)
+        k = "".join(c.lower() if "A" <= c <= "Z" else c for c in k)
+        return k if len(k) >= 20 else None
+
+    held = {}
+    for n, r in enumerate(rows):
+        for k in {keyed(x) for x in (r[1] or "").split("\n")} - {None}:
+            held.setdefault(k, []).append((r[0] if r[0] is not None else lines.NO_ID, n))
+    owner = {k: max(v)[0] for k, v in held.items() if len(v) >= 3}
+    out = []
+    for r in rows:
+        own = r[0] if r[0] is not None else lines.NO_ID
+        split = (r[1] or "").split("\n")
+        kept = [x for x in split if owner.get(keyed(x), own) == own]
+        out.append((r[0], len(split), len(split) - len(kept), sha("\n".join(kept))))
+    return Counter(out)
+
+
+def test_line_dedup_equals_plain_python(docs, none):
+    expected = naive_lines(sample())
+    assert Counter(tuple(r) for r in lines.digests(docs).collect()) == expected
+    assert sum(n * r[2] for r, n in expected.items()) > 0
+    assert lines.digests(none).count() == 0
+
+
+def test_line_dedup_in_parts_keeps_columns(docs, monkeypatch):
+    monkeypatch.setattr(lines, "SHARD_LINES", 1)
+    one = Counter(tuple(r[c] for c in docs.columns) for r in lines.dedup_lines(docs).select(*docs.columns).collect())
+    many = lines.dedup_lines(docs, part_bytes=1)
+    assert Counter(tuple(r[c] for c in docs.columns) for r in many.select(*docs.columns).collect()) == one
+
+
+def test_perfect_hash_is_minimal_and_guards_strangers():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 1000, 50_000):
+        keys = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        table = lines.PerfectHash.from_bytes(lines.PerfectHash.build(keys).to_bytes())
+        assert sorted(table.lookup(keys)) == list(range(len(keys)))
+        assert len(table.lookup(rng.integers(0, 2**63, 100, dtype=np.uint64))) == 100
+
+
+def test_lines_that_share_a_hash_are_kept_apart():
+    import pandas as pd
+
+    row = lines._build_shard(pd.DataFrame({"shard": [0, 0], "h": [5, 5], "f": [1, 2], "n_docs": [3, 4], "owner": [10, 20]})).iloc[0]
+    index = lines.LineIndex(1, [tuple(row)])
+    known, owner = index.owners(np.array([[5, 1], [5, 2], [5, 3], [6, 1]], "<u8"))
+    assert list(known) == [True, True, False, False] and list(owner[:2]) == [10, 20]
+
+
+# --- 5
+
+
+def naive_rules(text):
+    text = text or ""
+    words = WORD.findall(text)
+    wins = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    times = Counter(wins)
+    covered = {i + k for i, w in enumerate(wins) if times[w] > 1 for k in range(5)}
+    real = [x for x in text.split("\n") if WORD.search(x)]
+    failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+    return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(real) - len(set(real)), len(covered), failed
+
+
+def test_rules_equal_plain_python(docs, none):
+    got = Counter(tuple(r)[:7] for r in rules.judge(docs).collect())
+    assert got == Counter((r[0], *naive_rules(r[1])) for r in sample())
+    assert rules.judge(none).count() == 0 and rules.keep_documents(none).columns == none.columns
+
+
+def test_hosts_that_mostly_fail_are_rejected(spark):
+    good = "every word of this document is a different one as far as anyone can tell today"
+    rows = [(i, "short", "bad") for i in range(60)] + [(i, good, "bad") for i in range(60, 64)] + [(i, good, "good" if i % 2 else None) for i in range(64, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["doc_id"] for r in rules.judge(df).where("kept").collect()}
+    assert kept == set(range(64, 200))
+    assert {r["doc_id"] for r in rules.keep_documents(df).collect()} == kept
+    clean = df.where("source IS NULL")
+    assert rules.judge(clean).where("kept").count() == clean.count()
+
+
+# --- 6
+
+
+def naive_components(rows):
+    def print_of(text):
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] if words else []
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+    prints = [print_of(r[1]) for r in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                group[root(i)] = root(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[root(i)] = min(r[0], least.get(root(i), 1 << 62))
+    return Counter((r[0], f"{p:016x}", least.get(root(i))) for i, (r, p) in enumerate(zip(rows, prints, strict=True)))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"leaf_target": 10, "leaf_cap": 12}])
+def test_simhash_equals_all_pairs(docs, none, sizes):
+    assert Counter(tuple(r) for r in simhash.near_duplicates(docs, **sizes).collect()) == naive_components(sample())
+    assert simhash.near_duplicates(none, **sizes).count() == 0
+
+
+def test_one_row_of_each_group_stays(docs):
+    kept = simhash.keep_one(docs).collect()
+    groups = {r[2] for r in naive_components(sample())}
+    assert kept[0].__fields__ == docs.columns
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(g for g in groups if g is not None)
+
+
+def test_trees_lose_no_near_pair_in_dense_clusters():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    flips = [(b ^ np.uint64(1 << int(i))) ^ np.uint64(1 << int(j)) for b in base for i, j in rng.integers(0, 64, (40, 2))]
+    points = np.unique(np.array([*base, *flips, *rng.integers(0, 2**63, 3_000, dtype=np.uint64)], np.uint64))
+    trees = []
+    for mask in simhash.HALVES:
+        trees.append(simhash.VantageTree(points[::3], mask, simhash.REACH, 3.0, 100, trees[-1].leaves if trees else 0))
+    at, _, leaf = simhash._visits(trees, points)
+    homes = {}
+    for a, k in zip(at, leaf, strict=True):
+        homes.setdefault(int(a), set()).add(int(k))
+    i, j = np.nonzero(np.triu(np.bitwise_count(points[:, None] ^ points[None, :]) <= 3, 1))
+    assert len(i) > 1_000 and all(homes[int(a)] & homes[int(b)] for a, b in zip(i, j, strict=True))
+
+
+# --- 7
+
+
+def test_main_text_leaves_out_what_is_not_article():
+    page = (
+        '<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav>'
+        '<div class="cookie-notice">We use cookies</div><div id="main"><article><h1>A &amp; B</h1><!-- x --><p>First  <b>bold</b>\n text.<br>Next'
+        '<p>Short.<div class="ad-box">Buy now</div><form><input value=1>Join</form><aside>More</aside><p>Last line.</p><script>var a = "<p>";</script></article>'
+        '<section id="comments"><article class="comment"><p>Great post, thank you for writing such a long and detailed article.</p></article></section></div>'
+        '<div class="sidebar">Links</div><footer>&copy; me</footer></body></html>'
+    )
+    assert html.extract(page) == "A & B\nFirst bold text. Next\nShort.\nLast line."
+    plain = "<body><div class='menu'>a b</div><div class='post-content'><p>One two three four five six seven.</p><p>8</p></div></body>"
+    assert html.extract(plain) == "One two three four five six seven.\n8"
+    assert html.extract("<div class='content-with-sidebar'><p>Kept text of the page.</p></div>") == "Kept text of the page."
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<![bad[ x ]]>", "<" * 50_000, "<a <b " * 20_000, "<div>" * 20_000 + "</p>" * 20_000, "<!-- open", "<script>x"])
+def test_odd_pages_have_little_text(page):
+    assert isinstance(html.extract(page), str)
+    assert html.extract("just text &lt;3") == "just text <3"
+
+
+def test_pages_frame(spark):
+    rows = [(1, "u", "<p>a</p><p>é</p>", "t"), (1, "u", "<p>a</p><p>é</p>", "t"), (None, None, None, None)]
+    got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert Counter(tuple(r) for r in got) == Counter({(1, "u", "a\né", 3): 2, (None, None, "", 0): 1})
+    assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# --- 9
+
+
+@pytest.fixture(scope="module")
+def forest():
+    return secrets.train_forest(secrets.labelled_findings(2_000))
+
+
+def test_forest_tells_secrets_from_look_alikes(forest):
+    test = secrets.labelled_findings(1_000, seed=99)
+    right = (forest.score([f for f, _ in test]) >= 0.5) == np.array([y for _, y in test])
+    assert right.mean() > 0.97
+
+
+def test_scan_finds_planted_secrets_and_no_others(spark, docs, none, forest):
+    rng = random.Random(4)
+    token = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [
+        (1, f'words before token = "{token}" words after', "src"), (2, f"commit {token} fixed", "src"), (3, "call 4916338506082832 now", "src"),
+        (4, "x" * 50_000 + f' api_key: "{token.upper()}"', None), (5, None, None), (6, "-----BEGIN PRIVATE KEY-----\n" + "QUJD" * 40 + "\n-----END PRIVATE KEY-----", "src"),
+    ]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), forest).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 4, 6]
+    assert {r["secret_sha256"] for r in got if r["doc_id"] == 1} == {sha(token)}
+    assert secrets.scan(docs, forest).count() == 0 and secrets.scan(none, forest).count() == 0
+
+
+# --- 10
+
+
+def test_permutations_and_draws():
+    for n in (1, 2, 3, 17, 64, 1000):
+        assert sorted(mixing.permute(np.arange(n), np.full(n, n), np.full(n, 9))) == list(range(n))
+    drawn = mixing.draw_slots([1000, 10, 0, 333], 7)
+    assert list(drawn.sum(axis=0)) == [1000, 10, 0, 333] and (drawn >= 0).all()
+    assert drawn.sum(axis=1).max() - drawn.sum(axis=1).min() <= 7 * 2
+
+
+def test_targets_share_the_excess():
+    out = mixing.targets([10, 100, 100, 100], [100, 1, 1, 1])
+    assert out[0] == 30 and abs(sum(out) - 310) < 1e-9 and max(out[1:]) - min(out[1:]) < 1e-9
+    assert mixing.targets([0, 0], [1, 2]) == [0, 0]
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_mix_equals_a_walk_over_its_slots(docs, none, block):
+    rows = mixing.mix_counts(docs, block_words=block).collect()
+    again = mixing.mix_counts(docs.repartition(7), block_words=block).collect()
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, again)) and len(rows) == len(sample())
+    placed = mixing.placed(docs).cache()
+    plan = mixing.source_plan(placed, [1, 2, 3], block)
+    assert [p[0] for p in plan] == [(False, f"host{i}") for i in range(4)] + [(True, "")]
+    times = Counter((r["source"], r["block"]) for r in mixing.taken_blocks(docs.sparkSession, plan).collect())
+    number = {p[0]: p[1] for p in plan}
+    expected = Counter()
+    for r in placed.collect():
+        s = number[tuple(r["source_key"])]
+        taken = sum(times[s, (r["start"] + k) // block] for k in range(r["size"]))
+        expected[(r["doc_id"], r["size"], plan[s][2], plan[s][3], taken)] += 1
+    assert Counter(map(tuple, rows)) == expected
+    assert all(r["taken"] <= 3 * r["size"] for r in rows)
+    sizes = Counter(len(WORD.findall(r[1] or "")) for r in sample())
+    assert Counter(r["size"] for r in rows) == sizes
+    for _, s, size, target, *_ in plan:
+        assert abs(sum(r["taken"] for r in rows if r["target"] == target and r["source_size"] == size) - target) <= 2 * block + 1
+    assert mixing.mix_counts(none, block_words=block).count() == 0
+
+
+def test_mixed_documents_hold_the_words_taken(docs, none):
+    got = Counter()
+    for r in mixing.mix_documents(docs, block_words=7).collect():
+        got[r["doc_id"]] += len(WORD.findall(r["text"]))
+    expected = Counter()
+    for r in mixing.mix_counts(docs, block_words=7).collect():
+        if r["doc_id"] is not None:
+            expected[r["doc_id"]] += r["taken"]
+        else:
+            expected[None] += r["taken"]
+    assert +got == +expected
+    assert mixing.mix_documents(none).columns == none.columns
