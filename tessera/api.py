@@ -63,6 +63,8 @@ class Engine:
         self.ledger = maintenance.Ledger()
         self._projects: OrderedDict[str, set[str]] = OrderedDict()
         self._watchers: dict[str, object] = {}
+        self._refreshing: set[str] = set()
+        self._last_error: str | None = None
         self._jobs: list[Job] = []
         self._lock = threading.Lock()
 
@@ -134,6 +136,62 @@ class Engine:
         zero = self.store.read("zero_chunk_files").where(F.col("repo") == repo)
         return diff.staleness(self.files(path), store.file_hashes(mine), zero, last)
 
+    def ensure_fresh(self, path: str, background: bool = True) -> str:
+        """I9-I11: 'fresh', 'refreshing' or 'busy'. The check has a deadline, after which the index counts as fresh;
+        a refresh runs once per project at a time, and searches never wait for it."""
+        repo = self._register(path)
+        tag = f"tessera-stale-{uuid.uuid4().hex}"
+        timer = threading.Timer(self.settings.staleness_deadline_s, lambda: self.spark.interruptTag(tag))
+        self.spark.addTag(tag)
+        timer.start()
+        try:
+            if self.staleness(path).isEmpty():
+                return "fresh"
+        except Exception as e:  # noqa: BLE001 - whatever stops the check, the search goes on with what there is
+            self._last_error = str(e)
+            return "fresh"
+        finally:
+            timer.cancel()
+            self.spark.removeTag(tag)
+        with self._lock:
+            if repo in self._refreshing:
+                return "busy"
+            self._refreshing.add(repo)
+
+        def refresh() -> None:
+            try:
+                self.index_semantic(path)
+            finally:
+                with self._lock:
+                    self._refreshing.discard(repo)
+
+        worker = threading.Thread(target=refresh, daemon=True)
+        worker.start()
+        if not background:
+            worker.join()
+        return "refreshing"
+
+    def cancel(self, job_id: str) -> bool:
+        """Ask a running job to stop; its Spark work is interrupted by tag."""
+        job = next((j for j in self._jobs if j.job_id == job_id and j.status == "running"), None)
+        if job is None:
+            return False
+        job.status = "cancel_requested"
+        self.spark.interruptTag(f"tessera-{job_id}")
+        return True
+
+    def warm(self, paths: list[str] | None = None) -> list[str]:
+        """Load projects ahead: those named, else the latest indexed; only folders with an index, up to the limit."""
+        known = {r["repo"]: r["latest_indexed_at"] for r in store.counts(self.store.read("chunks")).collect()}  # a row per project
+        wanted = [p.strip() for p in paths if p.strip()] if paths is not None else sorted(known, key=lambda r: (-known[r], r))
+        loaded = []
+        for path in dict.fromkeys(os.path.abspath(p) for p in wanted):
+            if len(self._projects) >= MAX_PROJECTS:
+                break
+            if os.path.isdir(path) and self.settings.repo_key(path) in known:
+                loaded.append(self._register(path))
+        return loaded
+
     def watch_start(self, path: str, state: str, trigger: dict | None = None):
         """T4: a streaming query of the project's file changes; started once."""
         from tessera.sources.snapshots import SnapshotSource
@@ -278,6 +336,21 @@ class Engine:
                 delete(row["name"])
         return report
 
+    def gc(self, delete: bool = False) -> DataFrame:
+        """Indexed local projects whose folder is gone and that nobody has loaded, with their rows; ``delete``
+        drops them, with a grant. Remote keys have no folder to look for."""
+        held = self.store.read("files").select("repo", F.lit("files").alias("t")).unionByName(self.store.read("chunks").select("repo", F.lit("chunks").alias("t")))
+        report = held.groupBy("repo").agg(F.count_if(F.col("t") == "files").alias("files"), F.count_if(F.col("t") == "chunks").alias("chunks"))
+        gone = [r["repo"] for r in report.select("repo").collect() if not r["repo"].startswith("github:") and r["repo"] not in self._projects and not os.path.isdir(r["repo"])]
+        found = report.where(F.col("repo").isin(gone)) if gone else report.where(F.lit(False))
+        if delete and gone:
+            self._require_grant()
+            found = self.spark.createDataFrame([tuple(r) for r in found.collect()], "repo string, files long, chunks long")  # before they go
+            for repo in gone:
+                self.store.delete_repo(repo)
+            self.store.write("chunks", self.store.read("chunks").where(~F.col("repo").isin(gone)))
+        return found
+
     def invalidate_worktrees(self, paths: DataFrame, sizes: DataFrame, existing: DataFrame) -> DataFrame:
         """T20."""
         self._require_grant()
@@ -327,7 +400,7 @@ class Engine:
         try:
             out = getattr(self, tool)(**arguments)
             rows = [r.asDict(recursive=True) for r in out.collect()] if isinstance(out, DataFrame) else out
-            job.status = "finished"
+            job.status = "finished" if job.status == "running" else "cancelled"
             saved = maintenance.savings(len(rows)) if isinstance(rows, list) else 0
             self.ledger.record(saved)
             return {"results": rows, "_meta": self._envelope(job, saved)}

@@ -20,6 +20,8 @@ COMMANDS = {
     "init-ignore": ("scaffold_ignore", ("root",)),
     "status": ("status", ("path",)),
     "remove": ("remove_project", ("path",)),
+    "gc": ("gc", ()),
+    "list-repos": ("list_repos", ()),
 }
 
 

@@ -67,3 +67,18 @@ def test_remote_tree_has_symbols_only(spark, tmp_path):
     blobs = {"a.py": b"def f(): g()\n", "b.txt": b"x", "c.py": None}
     (meta,) = engine.index_symbols_repo("github:o/n@HEAD", list(blobs), blobs.get).collect()
     assert (meta["files"], meta["symbols"], meta["occurrences"], meta["version"]) == (1, 1, 0, "2.0")
+
+
+def test_refresh_warm_and_gc(spark, project, tmp_path):
+    engine = Engine(spark, Settings(str(tmp_path / "store"), staleness_deadline_s=60, allow_destructive=True))
+    assert engine.ensure_fresh(project, background=False) == "refreshing"
+    assert engine.ensure_fresh(project) == "fresh"
+    other = Engine(spark, Settings(str(tmp_path / "store"), allow_destructive=True))
+    assert other.warm([f" {project} ", project, "/nowhere"]) == [project] and other.gc().count() == 0
+    assert not other.cancel("no such job")
+    other.remove_project(project)
+    import shutil
+
+    shutil.rmtree(project)
+    assert [r["repo"] for r in other.gc().collect()] == [project]
+    assert other.gc(delete=True).count() == 1 and other.gc().count() == 0
