@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
-from tessera.operators import chunking, diff, discovery, embedding, extract, ignore, maintenance, merge, search, symbols
+from tessera.operators import chunking, diff, discovery, embedding, extract, ignore, maintenance, search, symbols
 from tessera.operators import predicates as P
 from tessera.sources import corpus, store
 
@@ -99,10 +99,10 @@ class Engine:
             cut = chunking.chunk_files(texts, self.settings.chunk_size)
             rows = embedding.embed_chunks(cut, self.embedder).withColumn("indexed_at", F.lit(self.clock()))
             touched = todo.select("repo", "file_path").unionByName(gone)
-            self.store.write("chunks", merge.replace_files(held, rows, touched), expected=base)
+            self.store.replace("chunks", rows, touched, expected=base)
             after = self.store.read("chunks")
             without = todo.join(after.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_anti")
-            self.store.write("zero_chunk_files", merge.replace_files(zero, without, touched))
+            self.store.replace("zero_chunk_files", without, touched)
             self._write_text_index(after)
             return self.status(path)
         finally:
@@ -110,7 +110,7 @@ class Engine:
 
     def _write_text_index(self, chunks: DataFrame) -> None:
         texts = chunks.select("id", "content")
-        self.store.write("postings", search.postings(texts).repartitionByRange("term"))
+        self.store.write("postings", search.postings(texts))
         self.store.write("doc_lengths", search.document_lengths(texts))
 
     def search_semantic(self, query: str, path: str, limit: int = 10, hybrid: bool = True, q: str | None = None, m: int | None = None) -> DataFrame:
@@ -239,9 +239,9 @@ class Engine:
             todo = now.join(touched.where("status <> 'deleted'").select("repo", "file_path"), ["repo", "file_path"], "left_semi")
             rows = extract.extract_files(todo).cache()
             version = schemas.INDEX_VERSION
-            self.store.write("symbols", merge.replace_files(self.store.read("symbols"), extract.symbols_of(rows), touched))
-            self.store.write("occurrences", merge.replace_files(self.store.read("occurrences"), extract.occurrences_of(rows), touched))
-            self.store.write("files", merge.replace_files(held, corpus.files_of(todo, version), touched), expected=base)
+            self.store.replace("symbols", extract.symbols_of(rows), touched)
+            self.store.replace("occurrences", extract.occurrences_of(rows), touched)
+            self.store.replace("files", corpus.files_of(todo, version), touched, expected=base)
             self.store.write_index_meta(self.clock())
             rows.unpersist()
             return self.store.read("index_meta").where(F.col("repo") == repo)
@@ -255,8 +255,8 @@ class Engine:
             touched = files.select("repo", "file_path")
             old = self.store.read("files").where(F.col("repo") == repo).select("repo", "file_path")
             rows = extract.symbols_of(extract.extract_files(files))
-            self.store.write("symbols", merge.replace_files(self.store.read("symbols"), rows, touched.unionByName(old)))
-            self.store.write("files", merge.replace_files(self.store.read("files"), corpus.files_of(files, schemas.UNVERSIONED), touched.unionByName(old)))
+            self.store.replace("symbols", rows, touched.unionByName(old))
+            self.store.replace("files", corpus.files_of(files, schemas.UNVERSIONED), touched.unionByName(old))
             self.store.write_index_meta(self.clock())
             return self.store.read("index_meta").where(F.col("repo") == repo)
         finally:
@@ -348,7 +348,8 @@ class Engine:
             found = self.spark.createDataFrame([tuple(r) for r in found.collect()], "repo string, files long, chunks long")  # before they go
             for repo in gone:
                 self.store.delete_repo(repo)
-            self.store.write("chunks", self.store.read("chunks").where(~F.col("repo").isin(gone)))
+            doomed = self.store.read("chunks").where(F.col("repo").isin(gone))
+            self.store.replace("chunks", doomed.limit(0), doomed.select(*store.FILE_KEY))
         return found
 
     def invalidate_worktrees(self, paths: DataFrame, sizes: DataFrame, existing: DataFrame) -> DataFrame:

@@ -1,13 +1,21 @@
-"""Versioned Parquet tables: a write makes a new version folder, then flips a pointer.
+"""Versioned, bucketed Parquet tables.
 
-Readers follow the pointer, so they see whole versions only, and a job that dies leaves a folder that nothing
-points to. One writer per table: a writer that finds the pointer moved under it fails instead of losing data.
-All paths go through Hadoop's file system interface, so the store may lie anywhere Spark writes.
+A table is a set of folders, one for each write and bucket; a bucket holds the rows of some keys (files, terms,
+repositories). A manifest names the folders of a version. So an append writes new rows alone, and a change of
+some files reads and rewrites only their buckets; the rest of the table is named again, not copied.
+
+Readers take the last whole manifest, so they see whole versions, and a job that dies leaves folders that no
+manifest names. There is one writer per table and version: a version number is claimed by a file that only one
+can create, and a writer that started from an older version fails with :class:`Conflict` instead of losing
+data. All paths go through Hadoop's file system interface, so a store may lie anywhere Spark writes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,91 +27,162 @@ TABLES = {
     "index_meta": schemas.INDEX_META, "project_meta": schemas.PROJECT_META, "zero_chunk_files": schemas.ZERO_CHUNK_FILES,
     "postings": schemas.POSTINGS, "doc_lengths": schemas.DOC_LENGTHS,
 }
-POINTER = "_current"
+#: What a table's buckets are made of; other tables are bucketed by file.
+BUCKET_KEYS = {"index_meta": ("repo",), "project_meta": ("cache_key",), "postings": ("term",), "doc_lengths": ("id",)}
+FILE_KEY = ("repo", "file_path")
+BUCKETS = 64
 KEEP_VERSIONS = 2
 
 
 class Conflict(RuntimeError):
-    """Another writer has moved the pointer."""
+    """Another writer has made, or is making, the next version."""
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
+    # --- files ----------------------------------------------------------------------------------------------
+
     def _path(self, *parts: str):
         return self._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
 
     def _fs(self, path):
         return path.getFileSystem(self._conf)
 
+    def _names(self, *parts: str) -> list[str]:
+        path = self._path(*parts)
+        fs = self._fs(path)
+        return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _manifest(self, name: str, version: int) -> dict:
+        """{"buckets": how many, "parts": {bucket: [folders]}}"""
+        if not version:
+            return {"buckets": self.buckets, "parts": {}}
+        path = self._path(name, f"manifest-{version}.json")
+        stream = self._fs(path).open(path)
+        try:
+            return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, name: str, base: int, manifest: dict) -> int:
+        """Claim the version after ``base`` and publish its manifest in one rename."""
+        claim, target = self._path(name, f"claim-{base + 1}"), self._path(name, f"manifest-{base + 1}.json")
+        fs = self._fs(claim)
+        if self.version(name) != base or not fs.createNewFile(claim):
+            raise Conflict(f"{name}: version {base + 1} is another writer's (a writer that died leaves {claim})")
+        staged = self._path(name, f"manifest-{base + 1}.json.staged")
+        stream = fs.create(staged, True)
+        try:
+            stream.write(json.dumps(manifest).encode("utf-8"))
+        finally:
+            stream.close()
+        fs.rename(staged, target)
+        self._expire(name, base + 1)
+        return base + 1
+
+    def _expire(self, name: str, current: int) -> None:
+        """Drop manifests beyond the last ones, and folders that no kept manifest names."""
+        names = self._names(name)
+        kept = range(max(1, current - KEEP_VERSIONS + 1), current + 1)
+        live = {p for v in kept if f"manifest-{v}.json" in names for parts in self._manifest(name, v)["parts"].values() for p in parts}
+        fs = self._fs(self._path(name))
+        for n in names:
+            if n.startswith(("manifest-", "claim-")) and n.endswith((".json", *"0123456789")):
+                if int(n.split("-")[1].removesuffix(".json")) < kept[0]:
+                    fs.delete(self._path(name, n), False)
+            elif n.startswith("v=") and int(n[2:].split("-")[0]) <= current:
+                folders = self._names(name, n)
+                if not any(f"{n}/{f}" in live for f in folders):
+                    fs.delete(self._path(name, n), True)
+                else:
+                    for f in folders:
+                        if f.startswith("bucket=") and f"{n}/{f}" not in live:
+                            fs.delete(self._path(name, n, f), True)
+
+    # --- versions -------------------------------------------------------------------------------------------
+
+    def version(self, name: str) -> int:
+        found = [n for n in self._names(name) if n.startswith("manifest-") and n.endswith(".json")]
+        return max((int(n[9:-5]) for n in found), default=0)
+
     def exists(self, name: str) -> bool:
         """The table has a version."""
         return self.version(name) > 0
 
-    def version(self, name: str) -> int:
-        path = self._path(name)
-        fs = self._fs(path)
-        if not fs.exists(path):
-            return 0
-        marks = [x.getPath().getName() for x in fs.listStatus(path)]
-        return max((int(m.removeprefix(POINTER + "-")) for m in marks if m.startswith(POINTER + "-")), default=0)
+    def bucket(self, name: str, buckets: int | None = None) -> Column:
+        return F.pmod(F.xxhash64(*BUCKET_KEYS.get(name, FILE_KEY)), F.lit(buckets or self.buckets)).cast("int")
 
-    def read(self, name: str) -> DataFrame:
-        """The present version, or an empty frame of the table's schema."""
-        version = self.version(name)
-        if not version:
+    def read(self, name: str, only: list[int] | None = None, version: int | None = None) -> DataFrame:
+        """The present version, or that of some buckets; an empty frame of the table's schema where there is none."""
+        manifest = self._manifest(name, self.version(name) if version is None else version)
+        wanted = manifest["parts"] if only is None else {str(b): manifest["parts"].get(str(b), []) for b in only}
+        folders = [f"{self.root}/{name}/{p}" for parts in wanted.values() for p in parts]
+        if not folders:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v={version}")
+        return self.spark.read.schema(TABLES[name]).parquet(*folders)
 
-    def write(self, name: str, rows: DataFrame, partition_by: tuple[str, ...] = (), expected: int | None = None) -> int:
-        """Write ``rows`` as the next version; ``expected`` is the version that they were made from."""
+    def _stage(self, name: str, rows: DataFrame, base: int, buckets: int) -> dict[str, list[str]]:
+        """Write ``rows`` below the next version's folder; the folders by bucket. Large buckets are split by AQE."""
         schema: T.StructType = TABLES[name]
+        shaped = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn("bucket", self.bucket(name, buckets))
+        target = f"v={base + 1}-{uuid.uuid4().hex[:8]}"  # of this writer alone
+        shaped.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/{target}")
+        found = [n for n in self._names(name, target) if n.startswith("bucket=")]
+        return {n.removeprefix("bucket="): [f"{target}/{n}"] for n in found}
+
+    def write(self, name: str, rows: DataFrame, expected: int | None = None) -> int:
+        """Replace the table; ``expected`` is the version that ``rows`` were made from."""
         base = self.version(name) if expected is None else expected
-        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-        target = f"{self.root}/{name}/v={base + 1}"
-        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(target)
-        mark = self._path(name, f"{POINTER}-{base + 1}")
-        if self.version(name) != base or not self._fs(mark).createNewFile(mark):
-            raise Conflict(f"{name} moved past version {base} during the write")
-        self._expire(name, base + 1)
-        return base + 1
-
-    def _expire(self, name: str, current: int) -> None:
-        for old in range(max(1, current - KEEP_VERSIONS - 2), current - KEEP_VERSIONS + 1):
-            for part in (f"{POINTER}-{old}", f"v={old}"):
-                path = self._path(name, part)
-                if old < current and self._fs(path).exists(path):
-                    self._fs(path).delete(path, True)
+        return self._commit(name, base, {"buckets": self.buckets, "parts": self._stage(name, rows, base, self.buckets)})
 
     def append(self, name: str, rows: DataFrame) -> int:
-        """B1: nothing is written for no rows."""
-        if rows.isEmpty():
-            return self.version(name)
+        """B1: new folders beside the old; nothing is written for no rows."""
         base = self.version(name)
-        return self.write(name, self.read(name).unionByName(rows.select(*TABLES[name].fieldNames())), expected=base)
+        manifest = self._manifest(name, base)
+        fresh = self._stage(name, rows, base, manifest["buckets"])
+        if not fresh:
+            return base
+        parts = {b: manifest["parts"].get(b, []) + fresh.get(b, []) for b in manifest["parts"].keys() | fresh.keys()}
+        return self._commit(name, base, manifest | {"parts": parts})
+
+    def replace(self, name: str, rows: DataFrame, touched: DataFrame, key: tuple[str, ...] = FILE_KEY, expected: int | None = None) -> int:
+        """Rows of the ``touched`` keys give way to ``rows``, in the buckets of those keys alone.
+
+        ``touched`` has the key and the columns that make buckets; ``rows`` belong to touched keys.
+        """
+        base = self.version(name) if expected is None else expected
+        manifest = self._manifest(name, base)
+        own = touched.select(self.bucket(name, manifest["buckets"]).alias("b")).distinct().collect()  # bucket numbers
+        hit = sorted(r["b"] for r in own)
+        if not hit:
+            return base
+        rest = self.read(name, hit, base).join(touched.select(*key).distinct(), list(key), "left_anti")
+        fresh = self._stage(name, rest.select(*TABLES[name].fieldNames()).unionByName(rows.select(*TABLES[name].fieldNames())), base, manifest["buckets"])
+        parts = {b: p for b, p in manifest["parts"].items() if int(b) not in hit} | fresh
+        return self._commit(name, base, manifest | {"parts": parts})
 
     def upsert(self, name: str, rows: DataFrame, key: str = "id") -> int:
-        from tessera.operators import merge
-
-        base = self.version(name)
-        return self.write(name, merge.upsert(self.read(name), rows, key), expected=base)
+        """B2. A row's key and its bucket go together: ids are made from paths."""
+        return self.replace(name, rows, rows, (key,))
 
     def delete_files(self, name: str, file_paths: list[str]) -> int:
         """The number of rows that are gone."""
-        from tessera.operators import merge
-
-        base, held = self.version(name), self.read(name)
-        gone = held.where(F.col("file_path").isin(file_paths)).count() if file_paths else 0
+        if not file_paths:
+            return 0
+        base = self.version(name)
+        doomed = self.read(name, version=base).where(F.col("file_path").isin(file_paths))
+        gone = doomed.count()
         if gone:
-            self.write(name, merge.delete_files(held, file_paths), expected=base)
+            self.replace(name, doomed.limit(0), doomed.select(*FILE_KEY), expected=base)
         return gone
 
     def clear(self, name: str) -> int:
         """B4."""
-        return self.write(name, self.spark.createDataFrame([], TABLES[name]))
+        return self._commit(name, self.version(name), {"buckets": self.buckets, "parts": {}})
 
     def delete_repo(self, repo: str) -> str:
         """Drop a repository's rows from the index tables; 'deleted' or 'not_found'."""
@@ -111,7 +190,10 @@ class Store:
             return "not_found"
         for name in ("files", "symbols", "occurrences", "index_meta"):
             if self.exists(name):
-                self.write(name, self.read(name).where(F.col("repo") != repo))
+                base = self.version(name)
+                mine = self.read(name, version=base).where(F.col("repo") == repo)
+                keys = BUCKET_KEYS.get(name, FILE_KEY)
+                self.replace(name, mine.limit(0), mine.select(*keys), keys, expected=base)
         return "deleted"
 
     def write_index_meta(self, now: float) -> int:

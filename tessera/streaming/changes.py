@@ -57,9 +57,7 @@ def apply_to_store(store, make_chunks: Callable[[DataFrame], DataFrame], now: Ca
             if last.isEmpty():
                 return
             base = store.version("chunks")
-            held = store.read("chunks")
             touched = last.select("repo", "file_path")
-            rest = held.join(touched, ["repo", "file_path"], "left_anti")
             changed = last.where("event_type <> 'deleted' AND content IS NOT NULL")
             changed = changed.withColumn("file_hash", F.sha2(F.col("content").cast("binary"), 256))
             fresh = make_chunks(changed).withColumn("indexed_at", F.lit(now()))
@@ -67,7 +65,7 @@ def apply_to_store(store, make_chunks: Callable[[DataFrame], DataFrame], now: Ca
                 if name not in fresh.columns:
                     fresh = fresh.withColumn(name, F.lit(None))
             fresh = fresh.withColumn("vector", F.col("vector").cast("array<float>"))
-            store.write("chunks", rest.unionByName(fresh.select(*rest.columns)), expected=base)
+            store.replace("chunks", fresh, touched, expected=base)
         finally:
             last.unpersist()
 

@@ -186,6 +186,12 @@ def test_store_versions_and_conflicts(spark, tmp_path):
     held.write_index_meta(5.0)
     assert {(r["repo"], r["files"]) for r in held.read("index_meta").collect()} == {("r", 1), ("q", 1)}
     assert held.delete_repo("r") == "deleted" and held.delete_repo("r") == "not_found"
+    held.append("files", spark.createDataFrame([("q", f"f{i}", "1", "2.3") for i in range(50)], schemas.FILES))
+    before = {p for parts in held._manifest("files", held.version("files"))["parts"].values() for p in parts}
+    held.upsert("files", spark.createDataFrame([("q", "f7", "2", "2.3")], schemas.FILES), "file_path")
+    after = {p for parts in held._manifest("files", held.version("files"))["parts"].values() for p in parts}
+    assert len(before - after) == 1 and held.read("files").count() == 51  # only the bucket of the file is written anew
+    assert held.read("files").where("file_path = 'f7'").first()["file_hash"] == "2"
     held.clear("files")
     assert held.read("files").count() == 0
     assert tables.latest_indexed_at(held.read("chunks")).first()[0] == 0.0
