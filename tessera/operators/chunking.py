@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, text
@@ -99,6 +99,19 @@ def chunk_files(files: DataFrame, size: int = CHUNK_SIZE, by_syntax: bool = True
     return found.withColumn("id", ids.chunk_id(F.concat_ws("/", "repo", "file_path"), F.col("chunk_index")))
 
 
+def line_of(content: Column, offset: Column) -> Column:
+    """The line, from 1, that holds the character at ``offset`` (from 0): the breaks before it, plus one."""
+    return F.size(F.split(F.substring(content, F.lit(1), offset.cast("int")), "\n"))
+
+
+def window_rollup(chunks: DataFrame, windows: DataFrame) -> DataFrame:
+    """Files, chunks and tokens of each indexing window; ``windows`` has repo, file_path and window."""
+    joined = windows.join(chunks.select("repo", "file_path", "token_count"), ["repo", "file_path"], "left")
+    return joined.groupBy("repo", "window").agg(
+        F.countDistinct("file_path").alias("files"), F.count("token_count").alias("chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens")
+    )
+
+
 def embedding_batches(chunks: DataFrame, max_texts: int = BATCH_TEXTS, max_tokens: int = BATCH_TOKENS) -> DataFrame:
     """``chunks`` with ``batch``, the request in which a file's chunk is embedded.
 

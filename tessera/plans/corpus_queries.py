@@ -128,6 +128,18 @@ def index_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.windows(pending_files(spark, sf_dir), 7).select("repo", "file_path", "window")
 
 
+def window_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each window of pending files adds."""
+    return chunking.window_rollup(views.chunks(spark, sf_dir), index_windows(spark, sf_dir))
+
+
+def chunk_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that hold some characters of each file."""
+    rows = views.corpus(spark, sf_dir).select("file_path", "content", F.explode(F.array(F.lit(0), F.lit(17), F.lit(400))).alias("offset"))
+    rows = rows.where(F.col("offset") <= F.length("content"))
+    return rows.select("file_path", "offset", chunking.line_of(F.col("content"), F.col("offset")).alias("line_number"))
+
+
 _COLUMNS = ("id", "repo", "file_path", "chunk_index", "file_hash")
 
 
@@ -249,6 +261,12 @@ FROM corpus c FULL JOIN prior p ON p.repo = c.repo AND p.file_path = c.file_path
     "union_zero_chunk": f"{P} SELECT * FROM zero UNION SELECT repo, file_path, file_hash FROM corpus WHERE doc_id % 20 = 3",
     "relative_paths": f"{C} SELECT doc_id, substr('/repo/' || file_path, 7) AS file_path FROM corpus",
     "index_windows": f'{P}, {PENDING} SELECT repo, file_path, (row_number() OVER (PARTITION BY repo ORDER BY file_path) - 1) // 7 AS "window" FROM pend',
+    "window_status": f"""WITH {views.PRIOR_SQL}, {views.CHUNKS_SQL.split('corpus AS (')[1].split('FROM documents),', 1)[1]}, {PENDING},
+w AS (SELECT repo, file_path, (row_number() OVER (PARTITION BY repo ORDER BY file_path) - 1) // 7 AS "window" FROM pend)
+SELECT w.repo, "window", count(DISTINCT w.file_path) AS files, count(c.token_count) AS chunks, coalesce(sum(c.token_count), 0)::BIGINT AS tokens
+FROM w LEFT JOIN chunks c ON c.repo = w.repo AND c.file_path = w.file_path GROUP BY ALL""",
+    "chunk_line_ranges": f"""{C}, o AS (SELECT file_path, content, unnest([0, 17, 400])::INTEGER AS "offset" FROM corpus)
+SELECT file_path, "offset", (length(substr(content, 1, "offset")) - length(replace(substr(content, 1, "offset"), chr(10), '')) + 1)::INTEGER AS line_number FROM o WHERE "offset" <= length(content)""",
     "append_chunks": f"{K} SELECT {FIVE} FROM chunks",
     "upsert_chunks": f"""{K}, s AS (SELECT id, repo, file_path, chunk_index, 'new' AS file_hash FROM chunks WHERE chunk_index BETWEEN 1 AND 3)
 SELECT {FIVE} FROM chunks WHERE chunk_index < 2 AND id NOT IN (SELECT id FROM s) UNION ALL SELECT * FROM s""",
@@ -271,7 +289,7 @@ QUERIES = {
         discovery_verdict, file_tree, file_tree_limit, supported_files_limit, test_file_flag, language_detect, content_hash,
         cache_key, version_order, chunk_greedy, chunk_stats, embed_batches, detect_changes, pending_files, stale_files,
         never_indexed, staleness_suspects, staleness_report, except_paths, union_zero_chunk, relative_paths, index_windows,
-        append_chunks, upsert_chunks, delete_by_file, replace_files, index_counts, indexed_files, file_hashes,
+        window_status, chunk_line_ranges, append_chunks, upsert_chunks, delete_by_file, replace_files, index_counts, indexed_files, file_hashes,
         latest_indexed_at, latest_indexed_at_empty, list_repos, token_cost,
     )
 }

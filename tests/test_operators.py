@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions import paths, text, vectors
-from tessera.operators import chunking, diff, discovery, embedding, ignore, maintenance, merge, search, symbols
+from tessera.operators import ann, chunking, diff, discovery, embedding, ignore, maintenance, merge, search, symbols
 from tessera.operators import predicates as P
 from tessera.sources import store as tables
 
@@ -230,3 +230,19 @@ def test_ledger_and_grants():
     ledger.flush()
     assert ledger.meta() == {"session_tokens": 300, "total_tokens": 310, "cost_avoided_usd": 0.00093} and saved == [310]
     assert P.granted("Yes") and not P.granted(None) and P.grace_seconds("x") == 3600 and P.grace_seconds("-4") == 0
+
+
+def test_probed_buckets_reach_most_neighbours(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    centres = ann.fit(rows, ann.n_buckets(500))
+    indexed = ann.build(rows, centres).cache()
+    assert indexed.where("bucket IS NULL").count() == 0 and ann.wanted(1_001) and not ann.wanted(1_000)
+    hits = total = 0
+    for r in rows.where("id % 50 = 0").collect():
+        query = [float(x) for x in r["vector"]]
+        exact = {x["id"] for x in search.vector_topk(rows, query, 10).collect()}
+        found = {x["id"] for x in ann.topk(indexed, centres, query, 10, len(centres) * 3 // 4).collect()}
+        hits, total = hits + len(exact & found), total + len(exact)
+    assert hits / total >= 0.9
+    odd = spark.createDataFrame([(1, None), (2, [1.0])], "id long, vector array<float>")
+    assert ann.build(odd, centres).where("bucket IS NOT NULL").count() == 0
