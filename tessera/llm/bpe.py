@@ -27,6 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
 from tessera.llm.common import bound_batches
 
@@ -63,14 +65,28 @@ class WordBpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         self.split_special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
-        self.words = regex.compile(self._pattern(spec["pre_tokenizer"]))
+        self.words, self.words_exact, self.odd = self._patterns(spec["pre_tokenizer"])
         self.memo: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
-    def _pattern(pre: dict) -> str:
-        """The file's own split pattern. Its \\s leaves out U+001C to U+001F, which Python's takes in."""
+    def _patterns(pre: dict) -> tuple[regex.Pattern, regex.Pattern, frozenset[str]]:
+        """The file's own split pattern, the same for texts with odd characters, and the odd characters.
+
+        White space is the Unicode property; Python's own class also takes in U+001C to U+001F. Odd are characters
+        newer than Python's tables that one regular-expression library knows as letters or numbers and the file's
+        own library does not.
+        """
         (split,) = (x for x in pre["pretokenizers"] if x["type"] == "Split")
-        return split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+        pattern, space = split["pattern"]["Regex"], r"\p{White_Space}"
+        every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+        new = "".join(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
+        known = {c for name in (r"\p{L}", r"\p{N}") for c, _ in Split(Regex(name), "removed", invert=True).pre_tokenize_str(new)}
+        odd = "[" + ("".join(sorted(set(new) - known)) or "[a]--[a]") + "]"
+        exact = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||{odd}]")
+        exact = exact.replace(r"[\p{L}]+", rf"[[\p{{L}}]--{odd}]+").replace(r"|[\p{N}]|", rf"|[[\p{{N}}]--{odd}]|")
+        return (
+            regex.compile(pattern.replace(r"\s", space)), regex.compile("(?V1)" + exact.replace(r"\s", space)),
+            frozenset(new) - known)
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         data = word.encode("utf-8")
@@ -117,10 +133,13 @@ class WordBpe:
 
     def _plain(self, text: str, ids: list[int]) -> None:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        memo, encode = self.memo, self.encode_word
+        memo, encode, first = self.memo, self.encode_word, len(ids)
         for word in self.words.findall(text):
             known = memo.get(word)
             if known is None:
+                if not self.odd.isdisjoint(word):  # never kept in the memo, so that every such text comes here
+                    ids[first:] = [i for w in self.words_exact.findall(text) for i in encode(w)]
+                    return
                 known = encode(word)
                 if len(memo) >= MEMO:
                     memo.clear()

@@ -17,8 +17,9 @@ of about ``SLICE`` vectors and one block of queries, whatever the sizes of cells
 cell is spread over slices and blocks. For data without clusters no exact bound prunes much, and the work is
 that of every query against every vector, which the slices share out.
 
-Cases: vectors that are null, empty, or hold null or non-finite components take no part; so do rows with a
-null id; lengths must be equal, vectors of another length than the most common one take no part; rows with
+Cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do those with a
+component of 2^53 or more after scaling, which a double does not hold exactly; scores beyond a long are cut to
+its ends in the result, after ranking; rows with a null id take no part; lengths must be equal, vectors of another length than the most common one take no part; rows with
 the query's id are its own and no candidates; repeated rows are candidates of their own, in ties by id and
 then as repeated; with fewer than k candidates all are returned; empty tables give empty results.
 """
@@ -44,12 +45,14 @@ SLICE = 20_000
 BROADCAST_BOUNDS = 500_000
 SLACK = 1e-9
 SAFE = 1 << 53
+LARGEST = 2.0**53
+END = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", scale: float = SCALE) -> DataFrame:
     """vec_id and v (array of longs, floor(scale * x)) of the rows that take part."""
     x = F.col(column)
-    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(LARGEST / scale)))
     rows = vectors.where(F.coalesce(fine, F.lit(False)) & F.col(id_column).isNotNull()).select(
         F.col(id_column).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double"))).alias("v")
     )
@@ -120,7 +123,7 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_i
                 above, level = open_at[row[open_at] > edge], open_at[row[open_at] == edge]
                 open_at = np.concatenate((above, level[: k - len(above)]))
             best = sorted(open_at, key=lambda j, row=row: (-row[j], j))[:k]
-            found += [(int(me), int(data_ids[j]), int(row[j])) for j in best]
+            found += [(int(me), int(data_ids[j]), max(-END, min(END, int(row[j])))) for j in best]
     return found
 
 

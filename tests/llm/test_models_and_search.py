@@ -25,12 +25,12 @@ def vectors():
     rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(400)]
     rows += [(1000 + i, [0.25, -0.5, 0.125, 0.0, 1.0, -1.0]) for i in range(300)]  # one very common vector
     rows += [(2000, None), (2050, [float("nan")] * 6), (2100, [float("inf"), *[0.0] * 5]), (2150, [1.0]), (2200, []), (2250, [None, *[0.0] * 5])]
-    rows += [(2300, [0.0] * 6), (None, [1.0] * 6), (2350, [1e5] * 6), rows[3], rows[50]]
+    rows += [(2300, [0.0] * 6), (None, [1.0] * 6), (2350, [1e5] * 6), (2400, [3e38] * 6), rows[3], rows[50]]
     return rows
 
 
 def naive_top(rows, every, k):
-    fine = [(i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and len(v) == 6]
+    fine = [(i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) and abs(x) < 1e30 for x in v) and len(v) == 6]
     out = Counter()
     for q, a in fine:
         if q % every == 0:

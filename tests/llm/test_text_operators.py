@@ -76,6 +76,8 @@ def test_bpe_equals_the_library(docs, none, library):
         expected[(row[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), sha(text))] += 1
     assert got == expected
     assert bpe.encode_digests(none, path).count() == 0
+    odd = "a\u0558b !\u0558! x\u088f1 word"  # no letters to the file's own library
+    assert bpe.load(path).encode(odd) == library.encode(odd, add_special_tokens=False).ids
     full = bpe.encode_documents(docs, path).where("doc_id = 7").first()
     assert full["n_tokens"] == len(full["ids"]) and full["decoded"] == library.decode(full["ids"], skip_special_tokens=False)
 
