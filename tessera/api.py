@@ -100,18 +100,19 @@ class Engine:
             rows = embedding.embed_chunks(cut, self.embedder).withColumn("indexed_at", F.lit(self.clock()))
             touched = todo.select("repo", "file_path").unionByName(gone)
             self.store.replace("chunks", rows, touched, expected=base)
-            after = self.store.read("chunks")
-            without = todo.join(after.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_anti")
+            fresh = self.store.read("chunks").join(todo.select("repo", "file_path"), ["repo", "file_path"], "left_semi")
+            without = todo.join(fresh.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_anti")
             self.store.replace("zero_chunk_files", without, touched)
-            self._write_text_index(after)
+            old = held.join(touched, ["repo", "file_path"], "left_semi").select("id")
+            self._update_text_index(fresh.select("id", "content"), old.unionByName(fresh.select("id")))
             return self.status(path)
         finally:
             now.unpersist()
 
-    def _write_text_index(self, chunks: DataFrame) -> None:
-        texts = chunks.select("id", "content")
-        self.store.write("postings", search.postings(texts))
-        self.store.write("doc_lengths", search.document_lengths(texts))
+    def _update_text_index(self, texts: DataFrame, touched: DataFrame) -> None:
+        """Postings and lengths of the chunks that came or went; those of other buckets stay as they are."""
+        self.store.replace("postings", search.postings(texts), touched, ("id",))
+        self.store.replace("doc_lengths", search.document_lengths(texts), touched, ("id",))
 
     def search_semantic(self, query: str, path: str, limit: int = 10, hybrid: bool = True, q: str | None = None, m: int | None = None) -> DataFrame:
         """The best chunks of a project; ``q`` and ``m`` are other names of query and limit, and ``m`` wins."""
@@ -208,7 +209,7 @@ class Engine:
             rows = changes.relevant(batch).withColumn("repo", F.lit(repo)).withColumn("ts", F.timestamp_seconds("mtime"))
             texts = rows.join(corpus.with_text(now), "file_path", "left")
             make = lambda files: embedding.embed_chunks(chunking.chunk_files(files, self.settings.chunk_size), self.embedder)
-            changes.apply_to_store(self.store, make, self.clock)(texts, epoch)
+            changes.apply_to_store(self.store, make, self.clock, self._update_text_index)(texts, epoch)
 
         writer = events.writeStream.foreachBatch(apply).option("checkpointLocation", os.path.join(state, "checkpoint"))
         self._watchers[repo] = writer.trigger(**(trigger or {"processingTime": "1 second"})).start()

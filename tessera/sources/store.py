@@ -1,6 +1,6 @@
 """Versioned, bucketed Parquet tables.
 
-A table is a set of folders, one for each write and bucket; a bucket holds the rows of some keys (files, terms,
+A table is a set of folders, one for each write and bucket; a bucket holds the rows of some keys (files, chunks,
 repositories). A manifest names the folders of a version. So an append writes new rows alone, and a change of
 some files reads and rewrites only their buckets; the rest of the table is named again, not copied.
 
@@ -28,7 +28,9 @@ TABLES = {
     "postings": schemas.POSTINGS, "doc_lengths": schemas.DOC_LENGTHS,
 }
 #: What a table's buckets are made of; other tables are bucketed by file.
-BUCKET_KEYS = {"index_meta": ("repo",), "project_meta": ("cache_key",), "postings": ("term",), "doc_lengths": ("id",)}
+BUCKET_KEYS = {"index_meta": ("repo",), "project_meta": ("cache_key",), "postings": ("id",), "doc_lengths": ("id",)}
+#: Order inside a file, so that a filter skips row groups: a query reads the postings of its own terms.
+SORTED_BY = {"postings": ("term", "id"), "occurrences": ("name",), "symbols": ("file_path", "start_byte")}
 FILE_KEY = ("repo", "file_path")
 BUCKETS = 64
 KEEP_VERSIONS = 2
@@ -130,7 +132,8 @@ class Store:
         schema: T.StructType = TABLES[name]
         shaped = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn("bucket", self.bucket(name, buckets))
         target = f"v={base + 1}-{uuid.uuid4().hex[:8]}"  # of this writer alone
-        shaped.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/{target}")
+        dealt = shaped.hint("rebalance", "bucket").sortWithinPartitions("bucket", *SORTED_BY.get(name, ()))
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/{target}")
         found = [n for n in self._names(name, target) if n.startswith("bucket=")]
         return {n.removeprefix("bucket="): [f"{target}/{n}"] for n in found}
 

@@ -44,11 +44,14 @@ def apply_changes(target: DataFrame, events: DataFrame, key: str, order: list[st
     return target.select(key, *columns).join(last.select(key), key, "left_anti").unionByName(kept)
 
 
-def apply_to_store(store, make_chunks: Callable[[DataFrame], DataFrame], now: Callable[[], float]) -> Callable[[DataFrame, int], None]:
+def apply_to_store(
+    store, make_chunks: Callable[[DataFrame], DataFrame], now: Callable[[], float], on_change: Callable[[DataFrame, DataFrame], None] | None = None
+) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink: changed files are cut anew, deleted ones leave the chunk table.
 
     ``make_chunks`` turns changed files (repo, file_path, content, file_hash) into chunk rows. Chunk ids follow
-    from path and place, so a batch that is replayed after a failure ends in the same table.
+    from path and place, so a batch that is replayed after a failure ends in the same table. ``on_change`` gets
+    the new chunks (id, content) and the ids of all that came or went, for indexes that follow the table.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
@@ -65,7 +68,12 @@ def apply_to_store(store, make_chunks: Callable[[DataFrame], DataFrame], now: Ca
                 if name not in fresh.columns:
                     fresh = fresh.withColumn(name, F.lit(None))
             fresh = fresh.withColumn("vector", F.col("vector").cast("array<float>"))
+            fresh = fresh.cache()
+            old = store.read("chunks", version=base).join(touched, ["repo", "file_path"], "left_semi").select("id")
             store.replace("chunks", fresh, touched, expected=base)
+            if on_change is not None:
+                on_change(fresh.select("id", "content"), old.unionByName(fresh.select("id")))
+            fresh.unpersist()
         finally:
             last.unpersist()
 

@@ -82,3 +82,16 @@ def test_refresh_warm_and_gc(spark, project, tmp_path):
     shutil.rmtree(project)
     assert [r["repo"] for r in other.gc().collect()] == [project]
     assert other.gc(delete=True).count() == 1 and other.gc().count() == 0
+
+
+def test_watched_changes_reach_the_text_index(spark, project, tmp_path):
+    engine = Engine(spark, Settings(str(tmp_path / "store")))
+    engine.call("index_semantic", path=project)
+    with open(f"{project}/src/fresh.md", "w") as f:
+        f.write("a wholly zebraic sentence for the index to find again\n")
+    query = engine.watch_start(project, str(tmp_path / "state"), {"availableNow": True})
+    query.awaitTermination(120)
+    assert query.exception() is None
+    top = engine.call("search_semantic", query="zebraic", path=project)["results"][0]
+    assert top["file_path"] == "src/fresh.md" and engine.watch_stop(project) == 1
+    assert engine.store.read("postings").where("term = 'zebraic'").count() == 1
