@@ -238,8 +238,9 @@ def dedup_lines(
     text_column: str = "text",
     min_docs: int = MIN_DOCS,
     part_bytes: int = PART_BYTES,
+    report: str | None = "line_dedup",
 ) -> DataFrame:
-    """``docs`` with repeated lines gone from the text, and n_lines and n_dropped in a struct ``line_dedup``."""
+    """``docs`` with repeated lines gone from the text, and n_lines and n_dropped in a struct column ``report``."""
     bound_batches(docs.sparkSession)
     names = docs.columns
     other = [c for c in names if c != text_column]
@@ -302,7 +303,7 @@ def dedup_lines(
 
         out = packed.join(gathered, "doc_id", "left").select("doc_id", "text", "row", "gone").mapInArrow(apply, schema)
     back = [F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in names]
-    return out.select(*back, F.struct("n_lines", "n_dropped").alias("line_dedup"))
+    return out.select(*back, *([F.struct("n_lines", "n_dropped").alias(report)] if report else []))
 
 
 def digests(docs: DataFrame) -> DataFrame:

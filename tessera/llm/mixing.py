@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD_PATTERN, durable, parallelism, text_or_empty
@@ -96,36 +96,43 @@ def draw_slots(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
+NAME = ["doc_id", "source_key", "print", "copy"]
+
+
+def copies() -> Window:
+    return Window.partitionBy(*NAME[:3]).orderBy(F.lit(0))
+
+
+def source_key(source: Column) -> Column:
+    """A value that null has too, and no string, so that null takes part in joins and groups."""
+    name = source.cast("string")
+    return F.struct(name.isNull().alias("none"), F.coalesce(name, F.lit("")).alias("name"))
+
+
 def placed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """doc_id, copy, source, size and start (the words of its source before it) of every row.
+    """doc_id, source_key, print, copy, size and start (the words of its source before it) of every row.
 
-    ``copy`` numbers the rows that share a doc_id, so that (doc_id, copy) names a row.
+    ``print`` hashes the text and ``copy`` numbers rows that are equal in all this, so that the first four name a
+    row. Ids alone deal nothing out: rows without an id are spread by their texts.
     """
     text = text_or_empty(text_column)
     slim = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
-        F.col(source_column).cast("string").alias("source"),
+        source_key(F.col(source_column)).alias("source_key"),
         F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
         F.xxhash64(text).alias("print"),
     )
-    slim = slim.withColumn("copy", F.row_number().over(_copies(F.col("source"), F.col("print"))))
-    slim = durable(slim.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))).drop("print"))
-    # a source's key that no string equals, so that null takes part in joins and groups as a value
-    slim = slim.withColumn("source_key", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
+    slim = durable(slim.withColumn("copy", F.row_number().over(copies())).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "print"), F.lit(BUCKETS))))
     buckets = slim.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     over = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("source_key", "bucket", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source_key", "bucket").orderBy("doc_id", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_key", "bucket").orderBy("doc_id", "print", "copy").rowsBetween(Window.unboundedPreceding, -1)
     own = slim.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return own.join(buckets.hint("merge"), ["source_key", "bucket"]).select(
-        "doc_id", "copy", "source_key", "size", (F.col("before") + F.col("own")).alias("start")
+        "doc_id", "source_key", "print", "copy", "size", (F.col("before") + F.col("own")).alias("start")
     )
 
 
-def _copies(source, fingerprint) -> Window:
-    return Window.partitionBy("doc_id").orderBy(source, fingerprint)
-
-
 def source_plan(rows: DataFrame, weights: list[float], block_words: int = BLOCK_WORDS, cap: int = MAX_PASSES) -> list[tuple]:
     """(source_key, number, size, target, blocks, whole passes, blocks of the partial pass), null source last."""
     totals = rows.groupBy("source_key").agg(F.sum("size").alias("size"))
@@ -231,13 +238,14 @@ def mix_documents(
     slots = taken_blocks(docs.sparkSession, plan, shards, seed).select("source", "block", F.col("pass").alias("turn"))
     lo = F.greatest(F.col("block") * block_words, F.col("start")) - F.col("start")
     used = _held(numbered).join(slots.hint("merge"), ["source", "block"])
-    used = used.select("doc_id", "copy", "size", "turn", F.struct(lo.cast("long").alias("lo"), (lo + _overlap(F.col("block"), F.col("start"), F.col("size"), block_words)).cast("long").alias("hi")).alias("span"))
-    turns = used.groupBy("doc_id", "copy", "turn").agg(F.sum(F.col("span.hi") - F.col("span.lo")).alias("words"), F.first("size").alias("size"), F.array_sort(F.collect_list("span")).alias("spans"))
-    turns = turns.select("doc_id", "copy", F.when(F.col("words") == F.col("size"), F.lit(None)).otherwise(F.col("spans")).alias("spans"))
+    used = used.select(*NAME, "size", "turn", F.struct(lo.cast("long").alias("lo"), (lo + _overlap(F.col("block"), F.col("start"), F.col("size"), block_words)).cast("long").alias("hi")).alias("span"))
+    turns = used.groupBy(*NAME, "turn").agg(F.sum(F.col("span.hi") - F.col("span.lo")).alias("words"), F.first("size").alias("size"), F.array_sort(F.collect_list("span")).alias("spans"))
+    turns = turns.select(*NAME, F.when(F.col("words") == F.col("size"), F.lit(None)).otherwise(F.col("spans")).alias("spans"))
     columns = docs.columns
-    whole = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{source_column}`").cast("string").alias("source"), F.xxhash64(text_or_empty(f"`{text_column}`")).alias("print"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    whole = whole.withColumn("copy", F.row_number().over(_copies(F.col("source"), F.col("print"))))
-    joined = whole.join(turns, whole["doc_id"].eqNullSafe(turns["doc_id"]) & (whole["copy"] == turns["copy"]))
+    whole = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), source_key(F.col(f"`{source_column}`")).alias("source_key"), F.xxhash64(text_or_empty(f"`{text_column}`")).alias("print"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    whole = whole.withColumn("copy", F.row_number().over(copies()))
+    same = [whole[c].eqNullSafe(turns[c]) if c == "doc_id" else whole[c] == turns[c] for c in NAME]
+    joined = whole.join(turns, same)
     words = F.regexp_extract_all(F.col(f"row.`{text_column}`"), F.lit(WORD_PATTERN), F.lit(0))
     part = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.transform(F.col("spans"), lambda s: F.array_join(F.slice(w, s["lo"].cast("int") + 1, (s["hi"] - s["lo"]).cast("int")), " ")), " ")), 1)
     text = F.when(F.col("spans").isNull(), F.col(f"row.`{text_column}`")).otherwise(part)

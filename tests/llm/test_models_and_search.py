@@ -200,6 +200,20 @@ def test_empty_corpus_passes_through(spark):
     assert docs.count() == 0
 
 
+def test_stages_carry_columns_of_any_name(spark):
+    """Extra columns, also with names that the operators use themselves, come through every stage but the last."""
+    odd = "line_dedup row bits line o whole copy print turn spans text_crc32 n_words kept size shard fp".split()
+    docs = spark.createDataFrame(sample(), DDL).select("doc_id", "text", "lang", "source", "n_chars", *[F.col("doc_id").alias(c) for c in odd])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        if name != "bpe_encode":
+            assert docs.columns == columns
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+            assert all(r["doc_id"] == r["fp"] == r["row"] for r in docs.collect())
+    assert docs.count() > 0
+
+
 def test_every_operator_has_one_query():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert names == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
