@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable
+from tessera.llm.common import durable, smallest
 
 K = 5
 SCALE = 256.0
@@ -132,7 +132,9 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, group: int = GROUP
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = durable(quantised(vectors, **columns))
-    drawn = rows.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h").limit(n_pivots).collect()
+    hashed = rows.select("v", F.xxhash64("vec_id").alias("h"))
+    few = smallest(hashed, F.col("h"), 4 * n_pivots, rows.count())
+    drawn = few.groupBy("v").agg(F.min("h").alias("h")).orderBy("h", "v").limit(n_pivots).collect()
     if not drawn:
         return empty
     pivots = np.array([r["v"] for r in drawn], np.float64)

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches
+from tessera.llm.common import bound_batches, smallest
 
 LABELLED = 3_000
 SAMPLES = 6_000
@@ -128,10 +128,12 @@ def labelled_sample(labels: DataFrame, per_class: int = LABELLED) -> DataFrame:
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(
         F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)
     ).withColumn("fold", fold(F.col("doc_id")))
+    rows = {(r["fold"], r["quality"]): r["count"] for r in usable.groupBy("fold", "quality").count().collect()}  # six at most
     out = None
     for k in (FIT_DICTIONARY, FIT_CURVE):
         for q in (0, 1):
-            part = usable.where((F.col("fold") == k) & (F.col("quality") == q)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+            part = smallest(usable.where((F.col("fold") == k) & (F.col("quality") == q)), F.xxhash64("doc_id"), per_class, rows.get((k, q), 0))
+            part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
             out = part if out is None else out.unionByName(part)
     return out
 

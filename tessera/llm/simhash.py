@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, durable
+from tessera.llm.common import bound_batches, durable, smallest
 from tessera.llm.graph import star_components
 
 RADIUS = 3
@@ -187,7 +187,8 @@ def _visits(trees: list[VantageTree], points: np.ndarray) -> tuple[np.ndarray, n
 def links(distinct: DataFrame, leaf_target: int = LEAF_TARGET, leaf_cap: int = LEAF_CAP) -> DataFrame:
     """Spanning links (a, b) over the distinct fingerprints in column ``fp``."""
     count = distinct.count()
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], "<i8").view("<u8")
+    few = smallest(distinct, F.xxhash64("fp"), SAMPLE, count)
+    sample = np.array([r[0] for r in few.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], "<i8").view("<u8")
     scale, trees = max(1.0, count / max(1, len(sample))), []
     for mask in HALVES:
         trees.append(VantageTree(sample, mask, REACH, scale, leaf_target, trees[-1].leaves if trees else 0))

@@ -90,6 +90,17 @@ def test_components_equal_union_find(spark):
     assert graph.star_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_samples_by_hash_hold_the_smallest(spark):
+    from tessera.llm.common import smallest
+
+    df = spark.range(50_000)
+    key = F.xxhash64("id")
+    few = smallest(df, key, 100, 50_000)
+    assert 200 < few.count() < 800
+    assert few.orderBy(key).limit(100).collect() == df.orderBy(key).limit(100).collect()
+    assert smallest(df, key, 10_000, 50_000).count() == 50_000
+
+
 # --- 8
 
 
