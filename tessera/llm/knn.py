@@ -139,11 +139,11 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, group: int = GROUP
         return empty
     pivots = np.array([r["v"] for r in drawn], np.float64)
     cells = durable(_assign(rows, pivots))
-    smallest = F.slice(F.array_sort(F.collect_list("distance")), 1, k + 1)
+    nearest = F.slice(F.array_sort(F.collect_list("distance")), 1, k + 1)
     ranked = cells.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(256)))
     # the k + 1 smallest distances of a cell: first by salt, with bounded windows, then of the salts
     first = Window.partitionBy("cell", "salt").orderBy("distance")
-    parts = ranked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).groupBy("cell").agg(smallest.alias("nearest"))
+    parts = ranked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).groupBy("cell").agg(nearest.alias("nearest"))
     sums = cells.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius"), F.count_if(F.col("vec_id") % every == 0).alias("queries")
     )
