@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.sampling import smallest
 from tessera.operators import search
 
 SAMPLE = 20_000
@@ -30,7 +31,9 @@ def n_buckets(rows: int) -> int:
 
 def fit(rows: DataFrame, buckets: int, vector: str = "vector", id_column: str = "id") -> np.ndarray:
     """Centroids by k-means over the sample, deterministic."""
-    found = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(id_column), id_column).limit(SAMPLE).select(vector).collect()
+    usable = rows.where(F.col(vector).isNotNull())
+    few = smallest(usable, F.xxhash64(id_column), SAMPLE, usable.count())
+    found = few.orderBy(F.xxhash64(id_column), id_column).limit(SAMPLE).select(vector).collect()
     x = np.array([r[0] for r in found], np.float64)
     if not len(x):
         return np.zeros((0, 0))
