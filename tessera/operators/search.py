@@ -25,8 +25,9 @@ def candidates_per_list(limit: int) -> int:
 def vector_topk(rows: DataFrame, query: list[float], k: int = 10, metric: str = "l2", id_column: str = "id", vector: str = "vector", builtin: bool = False) -> DataFrame:
     """G1: the k nearest rows; score is the distance, lower is better. No exchange but that of the k rows."""
     measure = vectors.distance_builtin if builtin else vectors.distance
-    scored = rows.withColumn("score", F.round(measure(F.col(vector), query, metric), DIGITS) + 0.0).where(F.col("score").isNotNull())
-    return scored.orderBy("score", id_column).limit(max(0, k))
+    scored = rows.withColumn("score", F.round(measure(F.col(vector), query, metric), DIGITS) + 0.0)
+    # rows without a score are dropped behind the limit: a filter before it would evaluate the distance twice
+    return scored.orderBy(F.asc_nulls_last("score"), id_column).limit(max(0, k)).where(F.col("score").isNotNull())
 
 
 def postings(rows: DataFrame, id_column: str = "id", column: str = "content") -> DataFrame:
@@ -44,8 +45,8 @@ def _bm25(tf: Column, dl: Column, df: Column, n: Column, mean: Column) -> Column
     return F.round(idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / mean)), DIGITS)
 
 
-def _occurrences(term: str) -> Column:
-    return F.size(F.filter("words", lambda w: w == term))
+def _occurrences(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term)).cast("long")
 
 
 def fts_scan(rows: DataFrame, query: str, id_column: str = "id", column: str = "content") -> DataFrame:
@@ -54,10 +55,13 @@ def fts_scan(rows: DataFrame, query: str, id_column: str = "id", column: str = "
     The corpus statistics are one row; it reaches the scored rows by a broadcast of that row.
     """
     terms = sorted(set(_query_terms(query)))
-    words = rows.select(F.col(id_column).alias("id"), text.tokens(F.col(column)).alias("words"))
-    counted = words.select(
-        "id", F.size("words").cast("long").alias("dl"),
-        *[_occurrences(t).cast("long").alias(f"tf{i}") for i, t in enumerate(terms)])
+    # the tokens are bound as a lambda variable and come out of a generator, so that they are made once a text,
+    # whatever filters and sums stand above
+    counts = F.transform(
+        F.array(text.tokens(F.col(column))),
+        lambda words: F.struct(F.size(words).cast("long").alias("dl"), *[_occurrences(words, t).alias(f"tf{i}") for i, t in enumerate(terms)]),
+    )
+    counted = rows.select(F.col(id_column).alias("id"), F.explode_outer(counts).alias("c")).select("id", "c.*").where(F.col("dl") >= 0)
     totals = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"),
         *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()

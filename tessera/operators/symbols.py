@@ -30,18 +30,16 @@ def _matching(occurrences: DataFrame, query: str, kind: str | None) -> DataFrame
 def search_references(occurrences: DataFrame, query: str, k: int = 20, usage: str = "production_first", kind: str | None = None) -> DataFrame:
     """Occurrences of a name under a usage filter, production rows before test rows.
 
-    A row needs its place within its class and the two class totals. Places come from a ranking that is cut
-    at the limit per class, so no class is ever held as a whole; totals are two counts.
+    A row needs its place within its class and the two class totals. Places come from a ranking that Spark cuts
+    at the limit per class and task (window group limit), so no class is ever held as a whole, and the
+    occurrences are read once.
     """
     P.require_choice(usage, schemas.USAGE_FILTERS, "usage filter")
     k = P.clamp(k, 1, MAX_REFERENCES)
     hits = _matching(occurrences, query, kind)
     order = [F.col(c) for c in ("repo", "file_path", "line_number", "name", "start_byte")]
-    tests = hits.where(F.col("is_test_file")).orderBy(*order).limit(k)
-    production = hits.where(~F.col("is_test_file")).orderBy(*order).limit(k)
-    # the lists hold k rows at most, so their sizes tell min(total, k), which is all that the quota asks
-    listed = tests.unionByName(production)
-    placed = listed.withColumn("rn", F.row_number().over(Window.partitionBy("is_test_file").orderBy(*order)))
+    # each class keeps k rows at most, so its size tells min(total, k), which is all that the quota asks
+    placed = hits.withColumn("rn", F.row_number().over(Window.partitionBy("is_test_file").orderBy(*order))).where(F.col("rn") <= k)
     both = Window.partitionBy()
     counts = placed.withColumn("t", F.count_if(F.col("is_test_file")).over(both)).withColumn("p", F.count_if(~F.col("is_test_file")).over(both))
     limit, t, p = F.lit(k), F.col("t"), F.col("p")
