@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -296,6 +297,19 @@ def test_pages_frame(spark):
     assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_query_on_whole_pages_equals_a_cut_of_the_article(spark):
+    """The test pages hold one article of plain paragraphs, so a cut by patterns says what must come out."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r["page_id"]: r for r in queries.op7_html_main_text(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(pages)
+    for page in pages:
+        inner = re.search(r"<article>(.*)</article>", page["html"], re.S)[1]
+        pieces = re.split(r"</?(?:p|h1)>", inner.replace("<br>", " "))
+        lines_ = [" ".join(unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in pieces]
+        expected = "\n".join(x for x in lines_ if x)
+        assert (got[page["page_id"]]["text"], got[page["page_id"]]["n_chars"]) == (expected, len(expected))
+
+
 # --- 9
 
 
