@@ -10,10 +10,10 @@ has given.
 
 Law: ``bytes``. A shard is off by at most ``TOLERANCE`` of a mean shard at each end, or by one document.
 
-Scale: a round returns at most ``CELLS`` + 15 * ``FANOUT`` counts, at any size of input; texts are read once,
-the rounds run over (id, size, checksum, key). The window that ranks rows has one group per cell, of which
-there are at least ``CELLS``; a cell with more than ``CELL_ROWS`` rows is divided like one that holds a
-boundary, so no group of copies ends in one task.
+Scale: texts are read once, the rounds run over (id, size, checksum, key). The window that ranks rows has one
+group per cell. A cell with more than a 1024th of all rows (though not below ``CELL_ROWS``) is divided like one
+that holds a boundary, so no group of copies ends in one task. There are fewer than 1024 such cells at a time,
+so a round returns at most ``CELLS`` + (15 + 1024) * ``FANOUT`` counts, at any size of input.
 
 Cases: a null text has no bytes, size 1 and the checksum of the empty text; an empty table has no shards;
 rows that are equal in id and text share one key and one side of every splitter; null ids sort by the key of
@@ -36,7 +36,8 @@ CELLS = 1 << GRID_BITS
 FAN_BITS = 8
 FANOUT = 1 << FAN_BITS
 TOLERANCE = 0.0005
-CELL_ROWS = 2_000_000
+CELL_ROWS = 256
+ROW_SHARE = 1024
 LOW = (1 << 23) - 1
 
 
@@ -73,6 +74,7 @@ def find_grid(
     """
     grid = _histogram(rows, [(0, KEY_BITS)], GRID_BITS)
     total = sum(x[1] for x in grid.values())
+    cell_rows = max(cell_rows, sum(x[2] for x in grid.values()) // ROW_SHARE)
     targets = [total * k / n_shards for k in range(1, n_shards)]
     slack = tolerance * total / n_shards
     while True:
@@ -113,7 +115,7 @@ def assign(rows: DataFrame, n_shards: int = SHARDS, **limits) -> DataFrame:
         if len(widths) > 1
         else F.struct(F.shiftleft(F.shiftright("key", widths[0] if widths else 0), widths[0] if widths else 0).alias("cell"), F.lit(widths[0] if widths else 0).alias("width")),
     )
-    # the grid has at most CELLS cells and FANOUT for each division: a size bound that no input changes
+    # the grid's cells are bounded whatever the input (see the module's text)
     placed = marked.join(
         F.broadcast(cells), (F.col("place.cell") == cells["cell"]) & (F.col("place.width") == cells["width"])
     )
