@@ -33,7 +33,7 @@ from tokenizers.pre_tokenizers import Split
 from tessera.llm.common import bound_batches
 
 SHORT = 192
-MEMO = 250_000
+MEMO = 200_000
 NONE = 1 << 40
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -1,4 +1,4 @@
-"""What several training-data operators share: durable cuts of lineage, byte-level word rules."""
+"""What several training-data operators share: durable cuts of lineage, bounded batches, word rules, samples."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.sampling import smallest
+
 #: The white space of the word contracts, [\x20\x09-\x0D], as Spark, DuckDB and Python patterns take it.
 SPACE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = "[^ \\t\\n\\x0B\\f\\r]+"
@@ -39,7 +41,7 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -54,20 +56,6 @@ def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
         spark.conf.set(_BATCH_SETTING, str(limit))
 
 
-def below(share: float) -> int:
-    """The bound under which a 64-bit hash falls with probability ``share``."""
-    return -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * share))
-
-
-def smallest(df: DataFrame, key: Column, limit: int, rows: int) -> DataFrame:
-    """Where ``df`` has many more than ``limit`` rows, some 4 * ``limit`` with the smallest hashes ``key``.
-
-    A top-k brings k rows of every task into one; this filter comes before it, so that the sum stays small at
-    any number of tasks. It keeps the ``limit`` smallest but for a chance beyond all practice.
-    """
-    return df.where(key < F.lit(below(4 * limit / rows))) if rows > 8 * limit and limit >= 32 else df
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -75,3 +63,6 @@ def text_or_empty(column: str = "text") -> Column:
 def parallelism(df: DataFrame) -> int:
     """Shuffle partitions of the session, as a number."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+__all__ = ["SPACE", "WORD_PATTERN", "bound_batches", "durable", "parallelism", "shared_folder", "smallest", "stored", "text_or_empty"]
