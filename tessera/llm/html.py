@@ -2,10 +2,11 @@
 
 Method. Events of the standard library's streaming parser cut a page into lines at block borders. A line's
 ratio is its text length over its tags; ratios are smoothed by a Gaussian over neighbouring lines, and lines
-above a threshold taken from the page's own spread cluster as content. The regions that hold the content
-lines (an article element, else main, else the deepest container with most of the content) are returned
-whole, so that a short paragraph between long ones is kept, less the parts that are boilerplate by element,
-role or class: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
+above a threshold taken from the page's own spread cluster as content. The deepest container that holds all
+content lines, and every article and main element, are returned whole, so that a short paragraph between long
+ones is kept, less the parts that are boilerplate by element, role or class: menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles, comments. What lies between content and bears no such
+mark is kept too.
 
 Each page is handled alone: no exchange, and memory is one Arrow batch. Line breaks count as white space.
 
@@ -33,7 +34,6 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 SIGMA = 1.5
 REACH = 4
 THRESHOLD = 0.5
-SHARE = 0.6
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -209,15 +209,8 @@ def _regions(content: list, kinds: list[str], parents: list[int]) -> list[bool]:
         held[container] += len(text)
     for c in range(len(kinds) - 1, 0, -1):
         held[parents[c]] += held[c]
-    total, chosen = held[0], set()
-    for kind in ("article", "main"):
-        of_kind = {c: held[c] for c in range(len(kinds)) if kinds[c] == kind}
-        most = max(of_kind.values(), default=0)
-        if most and most * 4 >= total:
-            chosen = {c for c, n in of_kind.items() if n * 4 >= most}
-            break
-    else:
-        chosen = {max(c for c in range(len(kinds)) if held[c] >= SHARE * total)} if total else {0}
+    chosen = {c for c in range(len(kinds)) if kinds[c] in ("article", "main")}
+    chosen.add(max(c for c in range(len(kinds)) if held[c] == held[0]) if held[0] else 0)
     inside = [False] * len(kinds)
     for c in range(len(kinds)):
         inside[c] = c in chosen or (c > 0 and inside[parents[c]])

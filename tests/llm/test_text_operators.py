@@ -284,6 +284,24 @@ def test_main_text_leaves_out_what_is_not_article():
     assert html.extract("<div class='content-with-sidebar'><p>Kept text of the page.</p></div>") == "Kept text of the page."
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div id=content><h1>T</h1><p>intro</p><section>{65}</section><section>{25}</section></div>",
+        "<body><div><p>{30}</p></div><div><div><p>{30}</p></div><blockquote>{65}</blockquote></div></body>",
+        "<body><article><p>{25}</p></article><div><div><p>{40}</p></div><div><p>{35}</p></div></div></body>",
+        "<body><article><p>{90}</p></article><div><article><p>{9}</p></article></div><article>tail</article></body>",
+        "<body><main><p>{70}</p></main><div><p>{30}</p></div></body>",
+        "<table><tr><td>{65}</td><td>{35}</td></tr></table>",
+    ],
+)
+def test_every_part_with_content_comes_back_whole(page):
+    whole = re.sub(r"\{(\d+)\}", lambda m: " ".join(f"word{k}" for k in range(int(m[1]))), page)
+    expected = [x for x in re.split(r"<[^>]*>", whole) if x]
+    nav = "<nav><a href=/>Home</a></nav><footer>me</footer>"
+    assert html.extract(nav + whole).split("\n") == expected
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<![bad[ x ]]>", "<" * 50_000, "<a <b " * 20_000, "<div>" * 20_000 + "</p>" * 20_000, "<!-- open", "<script>x"])
 def test_odd_pages_have_little_text(page):
     assert isinstance(html.extract(page), str)
