@@ -6,7 +6,8 @@ above a threshold taken from the page's own spread cluster as content. The deepe
 content lines, and every article and main element, are returned whole, so that a short paragraph between long
 ones is kept, less the parts that are boilerplate by element, role or class: menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments. What lies between content and bears no such
-mark is kept too.
+mark is kept too. A class or id counts if all its words are known ones, ids of headings and paragraphs do not,
+and neither does a mark on an element that holds most of the page's content (see ``_marked``).
 
 Each page is handled alone: no exchange, and memory is one Arrow batch. Line breaks count as white space.
 
@@ -45,13 +46,20 @@ BOILERPLATE = frozenset(
     "embed svg canvas menu dialog datalist audio video map".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
+#: A class or id marks boilerplate if all its words are among these two sets, one of CLASS_WORDS first or last.
 CLASS_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav nav "
     "navbar navigation menu breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "comment comments commentlist reply replies respond disqus widget toolbar pagination pager search form skip".split()
+    "alert popup modal overlay newsletter subscribe subscription signup login share sharing social recommended "
+    "comment comments commentlist reply replies respond disqus toolbar pagination pager skip".split()
 )
-NEGATED = frozenset("with has no without".split())
+LAYOUT_WORDS = frozenset(
+    "area bar bottom box button buttons block column container footer global group holder inner item items left line link links list "
+    "main outer overlay page panel primary right secondary section site slot top unit wrap wrapper".split()
+)
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+BODIES = frozenset("html body main article".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "p": {"p"},
@@ -62,32 +70,40 @@ _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element is boilerplate by its tag or role, whatever it holds."""
     if tag in BOILERPLATE:
         return True
-    if tag in ("html", "body", "main", "article"):
-        return False
+    return tag not in BODIES and any(name == "role" and value and value.strip().lower() in ROLES for name, value in attrs)
+
+
+def mark_of(tag: str, attrs: list[tuple[str, str | None]]) -> str | None:
+    """Kind of a class or id that marks an element as boilerplate: "comments", "other" or None."""
+    if tag in BODIES:
+        return None
     for name, value in attrs:
-        if not value:
-            continue
-        if name == "role" and value.strip().lower() in ROLES:
-            return True
-        if name in ("class", "id"):
+        if value and (name == "class" or name == "id" and tag not in TEXT_TAGS):
             for one in value.split():
                 words = [w.lower() for w in _TOKENS.findall(one)]
-                if words and not NEGATED & set(words) and (words[0] in CLASS_WORDS or words[-1] in CLASS_WORDS):
-                    return True
-    return False
+                if not words or not (words[0] in CLASS_WORDS or words[-1] in CLASS_WORDS):
+                    continue
+                if words[:2] == ["skip", "to"] or all(w in CLASS_WORDS or w in LAYOUT_WORDS or w.isdigit() for w in words):
+                    return "comments" if COMMENT_WORDS & set(words) else "other"
+    return None
 
 
 class Lines(HTMLParser):
-    """Page to lines: (text, tags, innermost container, boilerplate). Containers are numbered, parents first."""
+    """Page to lines: (text, tags, innermost container, boilerplate, innermost mark).
+
+    Containers and marks (elements with the class or id of boilerplate) are numbered, parents first.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, int]] = []
         self.kinds: list[str] = [""]
         self.parents: list[int] = [0]  # container 0 is the page
-        self.stack: list[tuple[str, bool, int]] = [("", False, 0)]
+        self.marks: list[tuple[str, int]] = [("", 0)]  # kind and parent; mark 0 is none
+        self.stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
         self.open: Counter[str] = Counter()
         self.buffer: list[str] = []
         self.tags = 0
@@ -97,13 +113,13 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.buffer).split())
             self.buffer = []
             if text:
-                _, skip, inside = self.stack[-1]
-                self.lines.append((text, self.tags, inside, skip))
+                _, skip, inside, mark = self.stack[-1]
+                self.lines.append((text, self.tags, inside, skip, mark))
                 self.tags = 0
 
     def _cut(self, k: int) -> None:
         """Close the elements from place k of the stack on."""
-        for name, _, _ in self.stack[k:]:
+        for name, *_ in self.stack[k:]:
             self.open[name] -= 1
         del self.stack[k:]
 
@@ -133,15 +149,19 @@ class Lines(HTMLParser):
                 self._push(tag, attrs)
 
     def _push(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        _, skip, inside = self.stack[-1]
+        _, skip, inside, mark = self.stack[-1]
         now = skip or is_boilerplate(tag, attrs)
-        if now != skip:
+        kind = None if now else mark_of(tag, attrs)
+        if now != skip or kind:
             self._flush()
+        if kind:
+            self.marks.append((kind, mark))
+            mark = len(self.marks) - 1
         if tag in CONTAINERS:
             self.parents.append(inside)
             inside = len(self.kinds)
             self.kinds.append("main" if ("role", "main") in attrs else tag)
-        self.stack.append((tag, now, inside))
+        self.stack.append((tag, now, inside, mark))
         self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
@@ -152,9 +172,9 @@ class Lines(HTMLParser):
             self._close(tag)
         elif self.open[tag] > 0:
             for k in range(len(self.stack) - 1, 0, -1):
-                name, skip, _ = self.stack[k]
+                name, skip, _, mark = self.stack[k]
                 if name == tag:
-                    if skip != self.stack[k - 1][1]:
+                    if (skip, mark) != (self.stack[k - 1][1], self.stack[k - 1][3]):
                         self._flush()
                     self._cut(k)
                     return
@@ -194,18 +214,46 @@ def extract(html: str | None) -> str:
         parser.handle_data(unescape(html[cut:].partition("<!--")[0]))
     parser._flush()
     lines = parser.lines
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
+    ratios = smoothed([len(text) / max(1, tags) for text, tags, *_ in lines])
     mean = sum(ratios) / max(1, len(ratios))
     limit = THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in ratios) / max(1, len(ratios)))
     content = [line for line, ratio in zip(lines, ratios, strict=True) if not line[3] and ratio >= limit]
-    inside = _regions(content, parser.kinds, parser.parents)
-    return "\n".join(text for text, _, container, skip in lines if not skip and inside[container])
+    out = _marked(content, parser.marks, parser.kinds, parser.parents)
+    inside = _regions([line for line in content if not out[line[4]]], parser.kinds, parser.parents)
+    return "\n".join(text for text, _, container, skip, mark in lines if not skip and not out[mark] and inside[container])
+
+
+def _marked(content: list, marks: list[tuple[str, int]], kinds: list[str], parents: list[int]) -> list[bool]:
+    """For each mark, whether its lines are boilerplate.
+
+    A mark does not count on an element that holds most of the page's content, unless an article or main element
+    outside holds half as much; marks of comments do not count where there is no other content.
+    """
+    body = [False] * len(kinds)
+    for c in range(1, len(kinds)):
+        body[c] = kinds[c] in ("article", "main") or body[parents[c]]
+    held, bodies = [0] * len(marks), [0] * len(marks)
+    for text, _, container, _, mark in content:
+        held[mark] += len(text)
+        bodies[mark] += len(text) * body[container]
+    for m in range(len(marks) - 1, 0, -1):
+        held[marks[m][1]] += held[m]
+        bodies[marks[m][1]] += bodies[m]
+    out, commented = [False] * len(marks), [False] * len(marks)
+    for m in range(1, len(marks)):
+        kind, parent = marks[m]
+        most = held[m] * 2 > held[0] and (bodies[0] - bodies[m]) * 2 < held[m]
+        out[m] = out[parent] or (kind == "other" and not most)
+        commented[m] = commented[parent] or kind == "comments"
+    if content and all(out[line[4]] or commented[line[4]] for line in content):
+        return out
+    return [a or b for a, b in zip(out, commented, strict=True)]
 
 
 def _regions(content: list, kinds: list[str], parents: list[int]) -> list[bool]:
     """For each container, whether it lies in a region that is returned whole."""
     held = [0] * len(kinds)
-    for text, _, container, _ in content:
+    for text, _, container, *_ in content:
         held[container] += len(text)
     for c in range(len(kinds) - 1, 0, -1):
         held[parents[c]] += held[c]

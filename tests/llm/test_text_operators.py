@@ -302,6 +302,31 @@ def test_every_part_with_content_comes_back_whole(page):
     assert html.extract(nav + whole).split("\n") == expected
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div><h1>T</h1><p>{30}</p><h2 id='search-algorithms'>A</h2><p>{30}</p><h3 id='related-work'>B</h3><p id=notice>{9}</p></div>",
+        "<div><p>{40}</p><section id='comments-on-x'><p>{20}</p></section><div class='related'>{9}</div></div>",
+        "<div class='elementor-widget'><div class='elementor-widget-container'><p>{40}</p></div></div><div class='elementor-widget'>{20}</div>",
+        "<div id='form1'><div class='search-form-results'><h1>T</h1><p>{40}</p></div></div>",
+        "<div class='overlay'><h1>T</h1><p>{40}</p></div>",
+        "<div class='ad-header'>{90}</div><article><p>{20}</p></article>",
+        "<div id='comments'><p>{40}</p><p>{20}</p></div>",
+    ],
+)
+def test_text_is_not_lost_by_a_word_of_its_class(page):
+    whole = re.sub(r"\{(\d+)\}", lambda m: " ".join(f"word{k}" for k in range(int(m[1]))), page)
+    expected = [x for x in re.split(r"<[^>]*>", whole) if x]
+    other = "<div class='site-footer'>me</div><div class='adBox-2'>Buy</div><ul id='main-nav'><li>Home</ul><a class='skip-to-content'>Skip</a>"
+    assert html.extract(other + whole + other).split("\n") == expected
+
+
+def test_long_comments_are_not_the_article():
+    text = " ".join(["word"] * 80)
+    assert html.extract(f"<div><h1>T</h1><p>{text}</p></div><div class='comment-list'><p>{text} {text}</p><p>{text}</p></div>") == f"T\n{text}"
+    assert html.extract(f"<article><p>{text}</p></article><div class='sidebar'><p>{text} {text[:40]}</p></div>") == text
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<![bad[ x ]]>", "<" * 50_000, "<a <b " * 20_000, "<div>" * 20_000 + "</p>" * 20_000, "<!-- open", "<script>x"])
 def test_odd_pages_have_little_text(page):
     assert isinstance(html.extract(page), str)
