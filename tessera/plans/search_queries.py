@@ -70,6 +70,15 @@ def hybrid_degraded_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hybrid_topk(_both(spark, sf_dir), _query_vector(spark, sf_dir), QUERY, LIMIT, fts_ready=False)
 
 
+def hybrid_rrf_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all documents and all vectors; hybrid_rrf_topk and its SQL search the ids that have both."""
+    return search.hybrid_topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), QUERY, LIMIT, texts=_documents(spark, sf_dir))
+
+
+def hybrid_degraded_vector_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hybrid_topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), QUERY, LIMIT, fts_ready=False)
+
+
 def postings_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(_documents(spark, sf_dir))
 
@@ -123,6 +132,10 @@ SELECT id, d AS score, 'vector' AS match_type, row_number() OVER (ORDER BY d, id
     "postings_build": f"WITH {_bm25('')} SELECT term, id, tf FROM post",
     "doc_lengths": f"WITH {_bm25('')} SELECT id, dl FROM len",
 }
+WHOLE = f"""WITH {QV}, {_bm25('')},
+near AS (SELECT vec_id AS id, {L2} AS d FROM embeddings, q)"""
+for _name in ("hybrid_rrf_topk", "hybrid_degraded_vector"):
+    ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(HALF, WHOLE)
 for _name, _test in (("text_search_ci", f"contains(lower(line), lower('{NEEDLE}'))"), ("text_search_cs", f"contains(line, '{NEEDLE}')")):
     ORACLES[_name] = f"""WITH {views.CORPUS_SQL}, l AS (
   SELECT repo, file_path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_number FROM corpus)
@@ -131,6 +144,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk_l2, vector_topk_cosine, vector_topk_builtin, vector_topk_ivf, fts_bm25_topk, fts_bm25_indexed, hybrid_rrf_topk,
-        hybrid_degraded_vector, postings_build, doc_lengths, text_search_ci, text_search_cs,
+        hybrid_degraded_vector, hybrid_rrf_topk_whole, hybrid_degraded_vector_whole, postings_build, doc_lengths, text_search_ci, text_search_cs,
     )
 }

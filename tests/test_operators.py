@@ -246,3 +246,11 @@ def test_probed_buckets_reach_most_neighbours(spark):
     assert hits / total >= 0.9
     odd = spark.createDataFrame([(1, None), (2, [1.0])], "id long, vector array<float>")
     assert ann.build(odd, centres).where("bucket IS NOT NULL").count() == 0
+
+
+def test_hybrid_search_of_two_tables_leaves_no_id_out(spark):
+    near = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0])], "id long, vector array<float>")
+    texts = spark.createDataFrame([(2, "apple pie"), (3, "apple apple"), (4, "pear")], "id long, content string")
+    found = search.hybrid_topk(near, [0.0, 0.0], "apple", texts=texts).collect()
+    assert {r["id"] for r in found} == {1, 2, 3}
+    assert [r["id"] for r in search.hybrid_topk(near, [0.0, 0.0], "apple", fts_ready=False, texts=texts).collect()] == [1, 2]
