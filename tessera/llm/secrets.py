@@ -14,7 +14,7 @@ parameters alone) and sent to the workers; documents are scanned where they lie,
 The secret itself never leaves the worker: a finding holds its place, length and SHA-256.
 
 Cases: null and empty texts have no findings; a text is scanned whole, at any length; a null path counts as
-empty; overlapping candidates count once, the longest first; repeated rows give repeated findings; empty
+empty; of overlapping candidates that the forest keeps the longest counts; repeated rows give repeated findings; empty
 tables give empty results; columns other than the three named are not read.
 """
 
@@ -26,6 +26,7 @@ import math
 import random
 import re
 import uuid
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,12 +57,15 @@ DICTIONARY = (
     "tion ing ment able ness less ful ous ive ant ent ung keit heit schaft lich isch cion mente ado ada eux eau ement ence"
 ).split()
 CANDIDATES = (
-    ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,20000}-----END [A-Z ]{0,30}PRIVATE KEY-----")),
+    # the body, with header lines or without, runs to the next five dashes
+    ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----")),
     ("web_token", re.compile(r"(?<![\w-])eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}")),
-    ("address", re.compile(r"://[^\s/:@]{1,64}:([^\s/:@]{6,128})@")),
+    ("address", re.compile(r"://[^\s/:@]*+:([^\s/@]++)@")),
     ("assigned", re.compile(r"(?i)(?:token|secret|passwd|password|pwd|passphrase|credential|api[_-]?key|[\w-]{0,20}_key|auth)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"',;<>]{8,})")),
-    ("token", re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]{0,200}[0-9])[A-Za-z0-9+/=_-]{16,}")),
+    ("token", re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}")),
 )
+_DIGIT = re.compile("[0-9]")
+_KEY_RUN = re.compile(r"(?:[A-Za-z0-9+/=]\s*+){16}")
 _WORD = re.compile(r"[a-z][a-z0-9_]*")
 _CLASSES = np.zeros(128, np.int8)
 _CLASSES[48:58], _CLASSES[65:91], _CLASSES[97:123] = 1, 2, 3
@@ -77,20 +81,36 @@ class Finding:
     path: str
 
 
+def _worth(kind: str, value: str) -> bool:
+    if kind == "token":
+        return bool(_DIGIT.search(value)) or (value != value.lower() and value != value.upper())
+    return kind != "private_key" or bool(_KEY_RUN.search(value[value.index("KEY-----") + 8 : value.rindex("-----END")]))
+
+
 def candidates(text: str, path: str | None = None) -> list[Finding]:
-    """Candidate findings of a text, by place; the longest of overlapping ones."""
+    """All candidate findings of a text, by place, overlapping ones too."""
     spans = []
     for kind, pattern in CANDIDATES:
         for m in pattern.finditer(text):
             g = 1 if pattern.groups else 0
-            spans.append((m.start(g), m.end(g), kind))
-    out, end = [], -1
-    for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
-        if a < end:
-            continue
-        end = b
-        out.append(Finding(kind, a, text[a:b], text[max(0, a - ASIDE) : a], text[b : b + ASIDE], path or ""))
-    return out
+            if _worth(kind, m[g]):
+                spans.append((m.start(g), m.end(g), kind))
+    spans.sort(key=lambda s: (s[0], -s[1]))
+    return [Finding(kind, a, text[a:b], text[max(0, a - ASIDE) : a], text[b : b + ASIDE], path or "") for a, b, kind in spans]
+
+
+def longest(findings: list[Finding], scores: list[float]) -> list[int]:
+    """Places of the findings that stay of overlapping ones: the longest first, then the higher score, then the first."""
+    starts: list[int] = []
+    kept: list[tuple[int, int]] = []  # end and place, by start
+    for k in sorted(range(len(findings)), key=lambda k: (-len(findings[k].value), -scores[k], k)):
+        a = findings[k].start
+        b = a + len(findings[k].value)
+        at = bisect_left(starts, b)
+        if at == 0 or kept[at - 1][0] <= a:
+            starts.insert(at, a)
+            kept.insert(at, (b, k))
+    return [k for _, k in kept]
 
 
 def _entropy(value: str) -> float:
@@ -229,6 +249,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding
     def prose(k: int) -> str:
         return " ".join("".join(pick(syllables) for _ in range(rng.randint(1, 4))) for _ in range(k))
 
+    def names(k: int) -> list[str]:
+        return [pick([pick(DICTIONARY), "".join(pick(syllables) for _ in range(3))]) for _ in range(k)]
+
     def secret() -> tuple[str, str]:
         shape = rng.random()
         if shape < 0.06:
@@ -236,8 +259,12 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding
             return "", f"-----BEGIN {what}PRIVATE KEY-----\n{base64.b64encode(rng.randbytes(rng.randint(40, 900))).decode()}\n-----END {what}PRIVATE KEY-----"
         if shape < 0.12:
             return pick(["bearer ", "jwt = ", "token: "]), "eyJ" + ".".join(some(mixed + "_-", rng.randint(16, 60)) for _ in range(3))
-        if shape < 0.16:
-            return f"{pick(['https', 'postgres', 'redis'])}://{pick(syllables)}{pick(syllables)}:", some(mixed, rng.randint(8, 20)) + "@"
+        if shape < 0.2:
+            user = pick(["", pick(syllables) + pick(syllables)])
+            word = "".join(pick(syllables) for _ in range(rng.randint(1, 4))) + some("0123456789", rng.randint(0, 3)) + pick(["", "pass"])
+            return f"{pick(['https', 'postgres', 'redis'])}://{user}:", pick([some(mixed, rng.randint(3, 24)), word]) + "@"
+        if shape < 0.26:
+            return "", some(mixed[:52], rng.randint(16, 40))
         name = pick(["token", "secret", "password", "api_key", "access_key", "client_secret", "auth_token", "passwd", "signing_key", "credential"])
         value = pick([
             lambda: some(hexes, pick([32, 40, 48, 64])), lambda: some(mixed, rng.randint(20, 48)),
@@ -260,6 +287,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding
             lambda: (pick(["token = \"", "password: ", "api_key = '", "secret="]), pick(["your_api_key_here", "changeme123", "xxxxxxxxxxxxxxxx", "<password>", "example_token_value", "REPLACE_ME_PLEASE", "placeholder-token", "os.environ['KEY']", "getenv(TOKEN)", "None_placeholder"])),
             lambda: (pick(["token = ", "auth: ", "the secret: ", "password = "]), "".join(pick(syllables) for _ in range(rng.randint(4, 7)))),
             lambda: ("", "".join(pick(syllables) for _ in range(rng.randint(5, 9))) + pick(digits)),
+            lambda: (pick(["", "call ", "class ", "import "]), "".join(w if k == 0 and rng.random() < 0.5 else w.capitalize() for k, w in enumerate(names(rng.randint(3, 6))))),
+            lambda: ("", "".join(pick(syllables) for _ in range(rng.randint(7, 12))).capitalize()),
+            lambda: (pick(["", "the ", "see "]), pick(["-", "/", "_"]).join(w.capitalize() for w in names(rng.randint(3, 5)))),
             lambda: ("data:image/png;base64,", base64.b64encode(rng.randbytes(60)).decode()),
             lambda: ("built ", f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}-{rng.randint(10, 59)}-00"),
         ])()
@@ -291,13 +321,19 @@ def scan(docs: DataFrame, forest: Forest | None = None, limit: float = LIMIT, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = sent.value
         for batch in batches:
-            ids, found = [], []
+            ids, found, spans = [], [], []
             for doc_id, text, path in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 hits = candidates(text.as_py() or "", path)
                 ids += [doc_id] * len(hits)
+                spans.append((len(found), len(found) + len(hits)))
                 found += hits
             scores = forest.score(found)
-            rows = [(d, f.start, len(f.value), f.kind, hashlib.sha256(f.value.encode("utf-8")).hexdigest(), float(s)) for d, f, s in zip(ids, found, scores, strict=True) if s >= limit]
+            rows = []
+            for a, b in spans:
+                held = [k for k in range(a, b) if scores[k] >= limit]
+                for k in (held[j] for j in longest([found[k] for k in held], [scores[k] for k in held])):
+                    f = found[k]
+                    rows.append((ids[k], f.start, len(f.value), f.kind, hashlib.sha256(f.value.encode("utf-8")).hexdigest(), float(scores[k])))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "start", "length", "kind", "secret_sha256", "score"])

@@ -367,6 +367,35 @@ def test_forest_tells_secrets_from_look_alikes(forest):
     assert right.mean() > 0.97
 
 
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ("some words qWzRtYpLmKjHgFdSxCvB and more words", "qWzRtYpLmKjHgFdSxCvB"),
+        ("a key " + "aZqXwLpR" * 30 + "9Qz words", "aZqXwLpR" * 30 + "9Qz"),
+        ("cache redis://:hunter2pass@host now", "hunter2pass"),
+        ("use postgres://admin:pw1@db now", "pw1"),
+        ("use https://" + "u" * 80 + ":" + "aB3x" * 50 + "@db now", "aB3x" * 50),
+        ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n" + "QmFzZTY0" * 12 + "\n-----END RSA PRIVATE KEY-----", None),
+        ("-----BEGIN PRIVATE KEY-----\n" + ("QUJDx1Zz" * 8 + "\n") * 500 + "-----END PRIVATE KEY-----", None),
+    ],
+)
+def test_scan_finds_every_shape_whole(spark, forest, text, secret):
+    got = secrets.scan(spark.createDataFrame([(1, text, "src")], "doc_id long, text string, source string"), forest).collect()
+    assert [r["secret_sha256"] for r in got] == [sha(secret or text)]
+
+
+def test_names_and_long_words_are_no_secrets(forest):
+    for text in ("call getElementsByClassName on it", "the Austro-Hungarian-Compromise of", "a Donaudampfschifffahrtsgesellschaft on it", "-----BEGIN PRIVATE KEY-----\n...\n-----END PRIVATE KEY-----"):
+        assert (forest.score(secrets.candidates(text)) < 0.5).all()
+
+
+def test_overlaps_are_resolved_after_scoring_the_longest_first():
+    found = [secrets.Finding("token", a, "x" * n, "", "", "") for a, n in ((0, 10), (5, 30), (8, 4), (34, 9), (40, 9))]
+    assert secrets.longest(found, [0.9] * 5) == [1, 4]
+    whole = secrets.candidates("password=" + "a1" * 10)
+    assert [(f.kind, f.start) for f in whole] == [("token", 0), ("assigned", 9)]
+
+
 def test_scan_finds_planted_secrets_and_no_others(spark, docs, none, forest):
     rng = random.Random(4)
     token = "".join(rng.choice("0123456789abcdef") for _ in range(40))
