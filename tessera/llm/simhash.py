@@ -23,6 +23,7 @@ empty tables give empty results; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, durable, smallest
+from tessera.llm.common import bound_batches, bounded, durable, row_hash, smallest
 from tessera.llm.graph import star_components
 
 RADIUS = 3
@@ -45,18 +46,32 @@ SAMPLE = 1 << 14
 LEAF_TARGET = 6_000
 LEAF_CAP = 40_000
 BRUTE = 1_500
+PIECE = 1 << 20
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def _word_runs(text: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
+    """The words of the text, about ``size`` bytes at a time, so that a very long text is never a list of words."""
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + size)
+        end = gap.start() if gap else len(text)
+        yield text[at:end].split()
+        at = end
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    words = (text or b"").lower().split()  # bytes: A-Z and the ASCII white space only
-    if not words:
-        return 0
-    grams = [b" ".join(x) for x in zip(*(words[k:] for k in range(shingle)), strict=False)] if len(words) >= shingle else [b" ".join(words)]
-    total, step = np.zeros(64, np.int64), 1 << 16
-    for i in range(0, len(grams), step):
-        h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams[i : i + step]), "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(grams), bitorder="little").view("<u8")[0])
+    total, n, last = np.zeros(64, np.int64), 0, []
+    for words in _word_runs((text or b"").lower()):  # bytes: A-Z and the ASCII white space only
+        words = last + words
+        if len(words) >= shingle:
+            h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in zip(*(words[k:] for k in range(shingle)), strict=False)), "<u8")
+            total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            n += len(h)
+        last = words[1 - shingle :] if shingle > 1 else []
+    if n == 0:
+        return xxhash.xxh64_intdigest(b" ".join(last), SEED) if last else 0
+    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -245,14 +260,28 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **sizes) -> DataFrame:
-    """One row of each component of ``docs``, that of the smallest id (null last), columns unchanged."""
-    names = docs.columns
-    order = F.coalesce(F.col("id"), F.lit((1 << 63) - 1))
-    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("whole"))
-    marked = durable(fingerprints(rows.select("id", "text")))
-    best = marked.groupBy(F.col("fingerprint_bits").alias("fp")).agg(F.min(F.struct(order.alias("o"), F.col("fingerprint_bits").alias("fp"))).alias("best"))
-    winners = components(marked, **sizes).join(best, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    winners = durable(winners.select(F.col("best.o").alias("o"), F.col("best.fp").alias("fingerprint_bits")))
-    found = fingerprints(rows).withColumn("o", order).join(winners, ["o", "fingerprint_bits"])
-    first = Window.partitionBy("o", "fingerprint_bits").orderBy(F.xxhash64(F.col(f"whole.`{text_column}`")))
-    return found.withColumn("copy", F.row_number().over(first)).where("copy = 1").select("whole.*")
+    """One row of each component of ``docs``, that of the smallest id (null last), columns unchanged.
+
+    Of rows with that id the one with the least hash of its text stays, then the one with the least hash of all
+    its columns; rows equal in all of these are the same, and one of them stays. Winners are chosen among slim
+    rows (id, hashes, fingerprint), so that only these pass through Python and are sorted. Whole rows are then
+    filtered by the slim rows that go; where these are more than ``common.BROADCAST_ROWS``, that is one
+    exchange. Rows that have equals are brought together by a grouping with map-side partial results.
+    """
+    order = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit((1 << 63) - 1))
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), order.alias("o"), F.xxhash64(text).alias("print"), row_hash(docs).alias("tie")
+    )
+    key = ["o", "print", "tie"]
+    marked = durable(fingerprints(keyed.select(*key, F.col(f"whole.`{text_column}`").alias("text"))))
+    rows = durable(marked.groupBy("fingerprint_bits", *key).agg(F.count(F.lit(1)).alias("n")))
+    best = rows.groupBy(F.col("fingerprint_bits").alias("fp")).agg(F.min(F.struct(*key, "n")).alias("best"))
+    winners = components(rows, **sizes).join(best, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    winners = durable(winners.select("best.*"))
+    gone = durable(rows.select(*key).join(winners.where("n = 1").select(*key), key, "left_anti"))
+    kept = keyed.join(bounded(gone), key, "left_anti").select("whole")
+    several = winners.where("n > 1").select(*key)
+    if not several.isEmpty():
+        kept = kept.unionByName(keyed.join(bounded(several), key, "left_semi").groupBy(*key).agg(F.first("whole").alias("whole")).select("whole"))
+    return kept.select("whole.*")
