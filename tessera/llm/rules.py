@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, durable, text_or_empty
+from tessera.llm.common import SPACE, bounded, durable, stored, text_or_empty
 
 MIN_WORDS = 10
 WINDOW = 5
@@ -133,11 +133,6 @@ def host_verdicts(counted: DataFrame, host: str = "source", failed: str = "base_
     return shrunk.select("host", "n", "n_failed", "rate", (F.col("rate") > HOST_LIMIT).alias("rejected"))
 
 
-def _bounded(hosts: DataFrame) -> DataFrame:
-    """Broadcast hint behind a count."""
-    return F.broadcast(hosts) if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else hosts
-
-
 def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document."""
     counted = base_counts(
@@ -150,7 +145,7 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     counted = durable(counted.drop("text"))
     rejected = host_verdicts(counted).where("rejected").select("host", "rejected")
     return (
-        counted.join(_bounded(rejected), F.col("source").eqNullSafe(F.col("host")), "left")
+        counted.join(bounded(rejected, BROADCAST_HOSTS), F.col("source").eqNullSafe(F.col("host")), "left")
         .withColumn("kept", ~F.col("base_failed") & F.col("rejected").isNull())
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -161,18 +156,16 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 def keep_documents(docs: DataFrame, text_column: str = "text", host_column: str = "source") -> DataFrame:
     """The rows of ``docs`` that neither the base rules nor their host's verdict reject, columns unchanged.
 
-    Texts are not shuffled: counts are taken again in the second pass over the rows.
+    The counts are taken once: rows are written with the base rules' verdict, hosts are summed from that column
+    alone, and what is kept is read back with the verdict pushed down to the scan. Texts are not shuffled.
     """
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    counted = base_counts(rows.select("row", F.col(f"row.`{text_column}`").alias("text"))).withColumn(
-        "source", F.col(f"row.`{host_column}`")
-    )
-    rejected = host_verdicts(counted).where("rejected").select("host")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    counted = base_counts(rows.select("row", F.col(f"row.`{text_column}`").alias("text")))
+    judged = stored(counted.select("row", F.col(f"row.`{host_column}`").alias("source"), "base_failed"))
+    rejected = host_verdicts(judged).where("rejected").select("host")
     return (
-        counted.where(~F.col("base_failed"))
-        .select("row", "source")
-        .join(_bounded(rejected), F.col("source").eqNullSafe(F.col("host")), "left_anti")
+        judged.where(~F.col("base_failed"))
+        .join(bounded(rejected, BROADCAST_HOSTS), F.col("source").eqNullSafe(F.col("host")), "left_anti")
         .select("row.*")
     )
 
