@@ -3,12 +3,18 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before has kept. All but the last
 return the columns of ``documents``; ``n_chars`` follows the text.
 
-* ``quality_rules`` drops documents that the base rules or their host's verdict reject.
-* ``line_dedup`` drops repeated lines from the texts; a text may become empty, its row stays.
-* ``simhash_dedup`` keeps one document of each group of near copies, that of the smallest id.
-* ``mix_sources`` returns the mix: a row per document and pass, with the words that the pass takes.
+* ``quality_rules`` drops documents that the base rules or their host's verdict reject; a null or empty text fails,
+  null sources are one host, repeated rows fare alike.
+* ``line_dedup`` drops repeated lines from the texts; a text may become empty, its row stays; a null id is smaller
+  than any other, a null text becomes empty.
+* ``simhash_dedup`` keeps one document of each group of near copies, that of the smallest id (null last; ties by
+  hashes of the row); texts without words are one group.
+* ``mix_sources`` returns the mix: a row per document and pass, with the words that the pass takes; texts without
+  words are in no pass, null sources are one source.
 * ``bpe_encode`` returns doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row.
 
+An empty table passes through every stage; columns that documents do not have pass through all but the last.
+
 Mixing draws pseudorandom permutations and SimHash needs a seeded XXH64, which SQL does not offer, so there is
 no ORACLE_SQL; tests/llm compares every stage with a plain Python version.
 """
@@ -56,9 +62,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = common.stored(docs)  # a stage reads its documents more than once
+            if before is not None:
+                common.discard(before)
+            before = docs
     return docs
