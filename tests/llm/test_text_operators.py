@@ -115,7 +115,48 @@ def test_shards_cut_a_hot_group(spark):
     got = shards.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), cell_rows=50)
     sizes = [r["b"] for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(sizes) == 16 and max(sizes) - min(sizes) <= 40
-    assert shards.shard_documents(spark.createDataFrame([(1, "x")] * 40, "doc_id long, text string")).count() == 40
+
+
+@pytest.mark.parametrize("rows", [[(1, "x" * 9)] * 1_600, [(None, "one text of null ids")] * 700 + [(i, f"text {i:05}") for i in range(900)], [(i, "" if i % 3 else None) for i in range(800)]])
+def test_shards_cut_repeated_rows(spark, rows):
+    """Every shard's bytes lie within two documents of the mean, though rows are equal in id and text."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = shards.shard_documents(df, cell_rows=50).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t or "") + 1) for i, t in rows)
+    bytes_, slots = Counter(), {}
+    for r in got:
+        bytes_[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    mean, largest = sum(bytes_.values()) / 16, max(r["size"] for r in got)
+    assert len(bytes_) == 16 and all(abs(b - mean) <= 2 * largest for b in bytes_.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def naive_shards(keys, n_shards):
+    """Brute force: rows in order of their keys; each boundary is the place nearest to its share of the bytes."""
+    ordered, total = sorted(keys), sum(k[-1] for k in keys)
+    edges = [0]
+    for k in keys and ordered:
+        edges.append(edges[-1] + k[-1])
+    cuts = [min(range(len(edges)), key=lambda i, t=total * s / n_shards: (abs(edges[i] - t), i)) for s in range(1, n_shards)]
+    out, filled = [], Counter()
+    for i, k in enumerate(ordered):
+        shard = sum(c <= i for c in cuts)
+        out.append((k, shard, filled[shard]))
+        filled[shard] += 1
+    return out
+
+
+@pytest.mark.parametrize("cell_rows", [1, 4, 256])
+def test_shards_equal_a_cut_of_the_sorted_rows(spark, cell_rows):
+    """With no tolerance, shards and slots are those of sorting all rows in one list."""
+    rng = random.Random(9)
+    rows = [(i, "w" * rng.randint(0, 60) if i % 4 else "a copy") for i in range(500)] + [(7, "twice")] * 300
+    df = shards.numbered(spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", shards.sort_key(F.col("text"), F.col("doc_id")).alias("key"), (F.length("text") + 1).cast("long").alias("size")))
+    df = shards.durable(df)
+    got = shards.assign(df, tolerance=0.0, cell_rows=cell_rows).collect()
+    expected = naive_shards([(r["key"], r["sub"], r["size"]) for r in df.collect()], 16)
+    assert sorted(((r["key"], r["sub"], r["size"]), r["shard"], r["slot"]) for r in got) == sorted(expected)
 
 
 def test_shards_are_written_whole(spark, docs, tmp_path):
