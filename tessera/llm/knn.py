@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, smallest
+from tessera.llm.common import durable, parallelism, smallest
 
 K = 5
 SCALE = 256.0
@@ -49,6 +49,7 @@ PIVOTS = 48
 MOST_PIVOTS = 4_096
 GROUP = 4_096
 SLICE = 8_192
+LEAST_SLICE = 256
 RINGS = 64
 BROADCAST_BOUNDS = 500_000
 SLACK = 1e-9
@@ -203,7 +204,7 @@ def join_sides(vectors: DataFrame, every: int, k: int, group: int, slice_rows: i
     total, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     width = max(1, width)
     n_pivots = n_pivots or min(MOST_PIVOTS, max(PIVOTS, math.isqrt(total)))
-    slice_rows = max(1, min(slice_rows, (STEP * 8) // width))
+    slice_rows = max(1, min(slice_rows, STEP * 8 // width, max(LEAST_SLICE, total // parallelism(rows))))  # a slice for each core
     hashed = rows.select("v", F.xxhash64("vec_id").alias("h"))
     few = smallest(hashed, F.col("h"), 4 * n_pivots, total)
     drawn = few.groupBy("v").agg(F.min("h").alias("h")).orderBy("h", "v").limit(n_pivots).collect()
