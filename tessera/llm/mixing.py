@@ -1,18 +1,21 @@
 """Mixing sources to target weights (operator 10).
 
-Method. A source's documents, in a fixed order, form one stream of words, packed into blocks of
-``BLOCK_WORDS``; blocks run over document borders and only a source's last block is shorter. Targets come
-from the weights. A target is met by whole passes over the source and one partial pass of some blocks. The
-slots of all passes are dealt to the output shards by multinomial draws (each shard draws from what is left,
-so that the sums are exact); slot t of a source is block ``perm(t)`` of its pass, a pseudorandom permutation
-of the source's block numbers by a keyed Feistel network with cycle walking, so nothing is shuffled to be
-permuted; slots and blocks are then joined by (source, block).
-
-Scale. Places in a stream are prefix sums: by (source, bucket) over ``BUCKETS`` buckets of ids, then inside
-the bucket, so a source with a third of all rows is spread over as many groups. Slots are generated in
-chunks where they are used. Source totals, at most ``MAX_SOURCES`` rows, are the one thing the driver reads:
-a mix has a weight for each source, given by hand, so their number is bounded; beyond, it stops with an
-error.
+Method. A source's documents, in a fixed order, form one stream of words, packed into blocks of one length;
+blocks run over document borders and only a source's last block is shorter. Targets come from the weights. A
+target is met by whole passes over the source and one partial pass of some blocks. The slots of all passes are
+dealt to the output shards by multinomial draws (each shard draws from what is left, so that the sums are
+exact); slot t of a source is block ``perm(t)`` of its pass, a pseudorandom permutation of the source's block
+numbers by a keyed Feistel network with cycle walking, so nothing is shuffled to be permuted; slots and blocks
+are then joined by (source, block). A block has a ``BLOCKS``-th of the source's target or size, whichever is
+less, at least one word and at most ``BLOCK_WORDS``, so that a small source or a small target is met as well.
+
+Scale. Equal rows are counted, not numbered: they are one entry of the stream with a number of copies. Places
+in a stream are prefix sums: by (source, bucket) over buckets of ids, then inside the bucket, so a source with a
+third of all rows is spread over as many groups. Sources are numbered by range partitions, targets found by
+rounds of two sums over them, and the multinomial draws made for ``DRAWN`` sources at a time, each such group's
+share of a shard being drawn first; so the driver reads two numbers a round and a row per ``DRAWN`` sources,
+and sources may be as many as documents. Slots are generated in chunks where they are used. Whole texts are
+exchanged once, to meet the spans that the mix takes of them.
 
 Cases: a null or empty text has size 0 and nothing taken; null sources form one source, the last; repeated
 rows and equal ids are rows of their own, each with its place in the stream; an empty table gives an empty
@@ -24,37 +27,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_PATTERN, durable, parallelism, text_or_empty
+from tessera.llm.common import WORD_PATTERN, bounded, durable, parallelism, row_hash, text_or_empty
 
-BLOCK_WORDS = 64
+BLOCK_WORDS = 1_024
+BLOCKS = 4_096
 OUTPUT_SHARDS = 16
 MAX_PASSES = 3
-BUCKETS = 1024
-CHUNK = 4096
-MAX_SOURCES = 1_000_000
+BUCKETS = 1_024
+BUCKET_ROWS = 50_000
+CHUNK = 4_096
+DRAWN = 1 << 16
+COPIES = 1_024
 SEED = 20_26
-
-
-def targets(sizes: list[int], weights: list[float], cap: float = MAX_PASSES) -> list[float]:
-    """The whole of all sizes shared by weight; what exceeds ``cap`` times a size is shared again until none does."""
-    total, fixed = float(sum(sizes)), [False] * len(sizes)
-    out = [0.0] * len(sizes)
-    while True:
-        left = total - sum(o for o, f in zip(out, fixed, strict=True) if f)
-        weight = sum(w for w, f in zip(weights, fixed, strict=True) if not f)
-        over = False
-        for i, (n, w) in enumerate(zip(sizes, weights, strict=True)):
-            if not fixed[i]:
-                out[i] = left * w / weight
-        for i, n in enumerate(sizes):
-            if not fixed[i] and out[i] > cap * n:
-                out[i], fixed[i], over = float(cap * n), True, True
-        if not over:
-            return out
+KEY = ["print", "tie"]
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -79,28 +69,23 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int =
     return out.astype(np.int64)
 
 
-def draw_slots(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Slots of each (shard, source): every shard draws its equal share from the slots still left."""
+def draw_slots(quotas: list[int] | np.ndarray, shares: list[int] | np.ndarray, seed: int | list[int] = SEED) -> np.ndarray:
+    """Slots of each (shard, source): a shard draws its share from the slots still left, the last one takes them all."""
     rng = np.random.default_rng(seed)
     left = np.array(quotas, np.int64)
-    out = np.zeros((shards, len(quotas)), np.int64)
-    for s in range(shards):
+    out = np.zeros((len(shares), len(left)), np.int64)
+    for s, share in enumerate(shares):
         rest = int(left.sum())
-        share = rest // (shards - s)
-        if s == shards - 1:
+        if s == len(shares) - 1:
             out[s] = left
         elif rest and share:
-            drawn = rng.multinomial(share, left / rest)
-            out[s] = np.minimum(drawn, left)  # a source that has run out gives what it has
+            out[s] = np.minimum(rng.multinomial(min(int(share), rest), left / rest), left)  # a source that has run out gives what it has
         left = left - out[s]
     return out
 
 
-NAME = ["doc_id", "source_key", "print", "copy"]
-
-
-def copies() -> Window:
-    return Window.partitionBy(*NAME[:3]).orderBy(F.lit(0))
+def even_shares(total: int, shards: int) -> list[int]:
+    return [total * (s + 1) // shards - total * s // shards for s in range(shards)]
 
 
 def source_key(source: Column) -> Column:
@@ -109,62 +94,96 @@ def source_key(source: Column) -> Column:
     return F.struct(name.isNull().alias("none"), F.coalesce(name, F.lit("")).alias("name"))
 
 
+def row_key(docs: DataFrame, text_column: str) -> list[Column]:
+    """``print`` and ``tie``, 128 bits that name a row by its values."""
+    return [F.xxhash64(text_or_empty(f"`{text_column}`")).alias("print"), row_hash(docs).alias("tie")]
+
+
 def placed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """doc_id, source_key, print, copy, size and start (the words of its source before it) of every row.
+    """doc_id, source_key, print, tie, size, n and start of every distinct row.
 
-    ``print`` hashes the text and ``copy`` numbers rows that are equal in all this, so that the first four name a
-    row. Ids alone deal nothing out: rows without an id are spread by their texts.
+    ``n`` rows are equal; they lie side by side in the source's stream, ``start`` words before the first of them.
     """
-    text = text_or_empty(text_column)
     slim = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"),
-        source_key(F.col(source_column)).alias("source_key"),
-        F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
-        F.xxhash64(text).alias("print"),
+        F.col(f"`{id_column}`").cast("long").alias("doc_id"),
+        source_key(F.col(f"`{source_column}`")).alias("source_key"),
+        *row_key(docs, text_column),
+        F.regexp_count(text_or_empty(f"`{text_column}`"), F.lit(WORD_PATTERN)).cast("long").alias("size"),
     )
-    slim = durable(slim.withColumn("copy", F.row_number().over(copies())).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "print"), F.lit(BUCKETS))))
-    buckets = slim.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
+    rows = durable(slim.groupBy("doc_id", "source_key", *KEY).agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    n_buckets = max(BUCKETS, rows.count() // BUCKET_ROWS)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(n_buckets)))
+    words = F.col("size") * F.col("n")
+    buckets = rows.groupBy("source_key", "bucket").agg(F.sum(words).alias("words"))
     over = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("source_key", "bucket", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source_key", "bucket").orderBy("doc_id", "print", "copy").rowsBetween(Window.unboundedPreceding, -1)
-    own = slim.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("source_key", "bucket").orderBy("doc_id", *KEY).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("own", F.coalesce(F.sum(words).over(inside), F.lit(0)))
     return own.join(buckets.hint("merge"), ["source_key", "bucket"]).select(
-        "doc_id", "source_key", "print", "copy", "size", (F.col("before") + F.col("own")).alias("start")
+        "doc_id", "source_key", *KEY, "size", "n", (F.col("before") + F.col("own")).alias("start")
     )
 
 
-def source_plan(rows: DataFrame, weights: list[float], block_words: int = BLOCK_WORDS, cap: int = MAX_PASSES) -> list[tuple]:
-    """(source_key, number, size, target, blocks, whole passes, blocks of the partial pass), null source last."""
-    totals = rows.groupBy("source_key").agg(F.sum("size").alias("size"))
-    found = totals.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"a mix takes at most {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source_key"]["none"], r["source_key"]["name"].encode("utf-8")))
-    sizes = [int(r["size"]) for r in found]
-    wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], cap) if found else []
-    plan = []
-    for i, (r, n, t) in enumerate(zip(found, sizes, wanted, strict=True)):
-        blocks = -(-n // block_words)
-        whole = min(cap, int(t // n)) if n else 0
-        part = 0 if not n or whole == cap else min(blocks, round((t - whole * n) / (n / blocks)))
-        plan.append((tuple(r["source_key"]), i, n, t, blocks, whole, part))
-    return plan
-
-
-def taken_blocks(spark, plan: list[tuple], shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
+def numbered_sources(rows: DataFrame) -> DataFrame:
+    """source_key, source_size and source, the number by code points, null last."""
+    totals = rows.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    ranged = durable(totals.repartitionByRange(parallelism(rows), "source_key").withColumn("part", F.spark_partition_id()))
+    first: list[tuple[int, int]] = []
+    before = 0
+    for part, n in sorted(map(tuple, ranged.groupBy("part").count().collect())):  # a row per partition
+        first.append((part, before))
+        before += n
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("source_key"))
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(first, "part int, before long"))
+    return durable(ranged.withColumn("rank", rank).join(offsets, "part").select("source_key", "source_size", (F.col("before") + F.col("rank") - 1).alias("source")))
+
+
+def source_plan(rows: DataFrame, weights: list[float], block_words: int = BLOCK_WORDS, blocks: int = BLOCKS, cap: int = MAX_PASSES) -> DataFrame:
+    """Per source: source_key, source, source_size, target, block_words, blocks, whole passes, blocks of the partial pass.
+
+    All sizes are shared by weight. What exceeds ``cap`` times a source's size is shared again, round by round:
+    ``level`` is the share of weight 1 among sources below their cap, and only grows.
+    """
+    sources = numbered_sources(rows)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source") % len(weights) + 1).cast("int"))
+    most = F.col("source_size") * cap
+    level, n_full = 0.0, -1
+    while True:
+        full = weight * level > most
+        left, share, now = sources.agg(
+            F.coalesce(F.sum("source_size") - F.coalesce(F.sum(F.when(full, most)), F.lit(0)), F.lit(0)).cast("double"), F.coalesce(F.sum(F.when(~full, weight)), F.lit(0.0)), F.count_if(full)
+        ).first()
+        if now == n_full or share == 0:
+            break
+        level, n_full = left / share, now
+    size, target = F.col("source_size"), F.col("target")
+    plan = sources.withColumn("target", F.when(weight * level > most, most.cast("double")).otherwise(weight * level))
+    plan = plan.withColumn("block_words", F.least(F.lit(block_words), F.greatest(F.lit(1), F.floor(F.least(size, target) / blocks))).cast("long"))
+    plan = plan.withColumn("blocks", F.ceil(size / F.col("block_words")).cast("long"))
+    plan = plan.withColumn("whole", F.when(size > 0, F.least(F.lit(cap), F.floor(target / size))).otherwise(0).cast("long"))
+    part = F.least(F.col("blocks"), F.round((target - F.col("whole") * size) / (size / F.col("blocks"))))
+    return durable(plan.withColumn("part", F.when((size > 0) & (F.col("whole") < cap), part).otherwise(0).cast("long")))
+
+
+def taken_blocks(plan: DataFrame, shards: int = OUTPUT_SHARDS, seed: int = SEED, drawn: int = DRAWN) -> DataFrame:
     """The mix: shard, source (number), slot, pass, block - one row per block that an output shard holds."""
-    quotas = [b * w + p for _, _, _, _, b, w, p in plan]
-    counts = draw_slots(quotas, shards, seed) if plan else np.zeros((0, 0), np.int64)
-    first = np.zeros(len(plan), np.int64)
-    rows = []
-    for s in range(len(counts)):
-        for i in np.flatnonzero(counts[s]):
-            rows.append((s, int(i), int(first[i]), int(counts[s][i]), int(plan[i][4])))
-            first[i] += counts[s][i]
-    drawn = spark.createDataFrame(rows, "shard int, source int, first long, n long, blocks long")
-    chunks = drawn.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+    quotas = plan.select("source", "blocks", (F.col("blocks") * F.col("whole") + F.col("part")).alias("quota"), F.floor(F.col("source") / drawn).alias("grp")).where("quota > 0")
+    groups = sorted(map(tuple, quotas.groupBy("grp").agg(F.sum("quota")).collect()))  # a row per ``drawn`` sources
+    shares = draw_slots([n for _, n in groups], even_shares(sum(n for _, n in groups), shards), seed)
+    share_of = {g: [int(x) for x in shares[:, i]] for i, (g, _) in enumerate(groups)}
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("source")
+        group = int(pdf["grp"].iloc[0])
+        counts = draw_slots(pdf["quota"].to_numpy(), share_of[group], [seed, group])
+        first = np.cumsum(counts, axis=0) - counts
+        shard, at = np.nonzero(counts)
+        return pd.DataFrame({"shard": shard.astype("int32"), "source": pdf["source"].to_numpy()[at], "first": first[shard, at], "n": counts[shard, at], "blocks": pdf["blocks"].to_numpy()[at]})
+
+    spread = quotas.groupBy("grp").applyInPandas(draw, "shard int, source long, first long, n long, blocks long")
+    chunks = spread.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
     # by a number of its own: the chunks are few bytes, and AQE would bring them into one task
-    chunks = chunks.repartition(parallelism(drawn), F.col("source"), F.col("shard"), F.col("at"))
+    chunks = chunks.repartition(parallelism(plan), F.col("source"), F.col("shard"), F.col("at"))
     slots = chunks.select(
         "shard", "source", "blocks",
         F.explode(F.sequence(F.col("first") + F.col("at") * CHUNK, F.col("first") + F.least((F.col("at") + 1) * CHUNK, F.col("n")) - 1)).alias("slot"))
@@ -173,50 +192,47 @@ def taken_blocks(spark, plan: list[tuple], shards: int = OUTPUT_SHARDS, seed: in
         for batch in batches:
             source, blocks, slot = (batch.column(k).to_numpy() for k in (1, 2, 3))
             turn = slot // np.maximum(blocks, 1)
-            key = _mix64((source.astype(np.uint64) << np.uint64(20)) + turn.astype(np.uint64) + np.uint64(seed << 40))
+            key = _mix64((source.astype(np.uint64) << np.uint64(2)) + turn.astype(np.uint64) + np.uint64(seed << 40))
             block = permute(slot % np.maximum(blocks, 1), blocks, key)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(turn, pa.int64()), pa.array(block, pa.int64())], names=["shard", "source", "slot", "pass", "block"])
 
-    return slots.mapInArrow(run, "shard int, source int, slot long, pass long, block long")
+    return slots.mapInArrow(run, "shard int, source long, slot long, pass long, block long")
 
 
-def _numbered(rows: DataFrame, plan: list[tuple], block_words: int) -> DataFrame:
-    """Rows with their source's number, size and target, and first and last block. The plan is small (see above)."""
-    spark = rows.sparkSession
-    sources = spark.createDataFrame(
-        [(k, i, n, float(t)) for k, i, n, t, *_ in plan],
-        "source_key struct<none: boolean, name: string>, source int, source_size long, target double",
-    )
-    sources = F.broadcast(sources) if len(plan) <= 10_000 else sources
-    last = F.greatest(F.col("start"), F.col("start") + F.col("size") - 1)
-    return rows.join(sources, "source_key").withColumn("first_block", F.floor(F.col("start") / block_words)).withColumn(
-        "last_block", F.floor(last / block_words)
-    )
+def _each_copy(rows: DataFrame) -> DataFrame:
+    """A row for each of the ``n`` equal ones, with its number ``copy``; many copies are dealt out in chunks."""
+    n, some = F.col("n"), rows.where(f"n <= {COPIES}").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    many = rows.where(f"n > {COPIES}").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / COPIES))))
+    many = many.repartition(parallelism(rows), *KEY, "at").withColumn("copy", F.explode(F.sequence(F.col("at") * COPIES, F.least((F.col("at") + 1) * COPIES, n) - 1)))
+    return some.unionByName(many.drop("at"))
 
 
-def _overlap(block, start, size, block_words: int):
-    """Words of the document inside the block."""
-    return F.least((block + 1) * block_words, start + size) - F.greatest(block * block_words, start)
+def _numbered(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Every row with its source's number, size, target and block length, and its own start."""
+    sources = plan.select("source_key", "source", "source_size", "target", "block_words")
+    return _each_copy(rows.join(bounded(sources, 10_000), "source_key")).withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
 
 
 def _held(numbered: DataFrame) -> DataFrame:
-    """One row per document and block that it lies in; documents of size 0 lie in none."""
-    return numbered.where("size > 0").withColumn("block", F.explode(F.sequence("first_block", "last_block")))
+    """One row per document and block that it lies in, with its words inside; documents of size 0 lie in none."""
+    length, end = F.col("block_words"), F.col("start") + F.col("size")
+    found = numbered.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))))
+    return found.withColumn("lo", F.greatest(F.col("block") * length, F.col("start")) - F.col("start")).withColumn("hi", F.least((F.col("block") + 1) * length, end) - F.col("start"))
 
 
 def mix_counts(
-    docs: DataFrame, weights: list[float] = (1, 2, 3), block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED, **columns
-) -> DataFrame:
+    docs: DataFrame, weights: list[float] = (1, 2, 3), block_words: int = BLOCK_WORDS, blocks: int = BLOCKS, shards: int = OUTPUT_SHARDS, seed: int = SEED,
+    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
-    rows = durable(placed(docs, **columns))
-    plan = source_plan(rows, list(weights), block_words)
-    numbered = _numbered(rows, plan, block_words)
-    times = taken_blocks(docs.sparkSession, plan, shards, seed).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
+    rows = durable(placed(docs, id_column, text_column, source_column))
+    plan = source_plan(rows, list(weights), block_words, blocks)
+    numbered = _numbered(rows, plan)
+    times = taken_blocks(plan, shards, seed).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
     used = _held(numbered).join(times.hint("merge"), ["source", "block"], "left")
-    words = F.coalesce("times", F.lit(0)) * _overlap(F.col("block"), F.col("start"), F.col("size"), block_words)
     # (source, start) names a document with words
     big = used.groupBy("source", "start").agg(
-        *[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum(words).alias("taken")
+        *[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum(F.coalesce("times", F.lit(0)) * (F.col("hi") - F.col("lo"))).alias("taken")
     )
     names = ["doc_id", "size", "source_size", "target", "taken"]
     empty = numbered.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*names)
@@ -224,29 +240,32 @@ def mix_counts(
 
 
 def mix_documents(
-    docs: DataFrame, weights: list[float] = (1, 2, 3), block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED,
+    docs: DataFrame, weights: list[float] = (1, 2, 3), block_words: int = BLOCK_WORDS, blocks: int = BLOCKS, shards: int = OUTPUT_SHARDS, seed: int = SEED,
     id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
 ) -> DataFrame:
     """The mix as rows of ``docs``: one row per document and pass that takes words of it, with those words.
 
-    A whole pass returns the text unchanged; a partial pass joins the runs of words that its blocks cover.
+    A whole pass returns the text unchanged; a partial pass joins the runs of words that its blocks cover. Rows
+    equal in all columns are interchangeable: one of them, found by a grouping with map-side partial results,
+    stands for all, and is dealt out for each ``COPIES`` of them.
     """
-    names = {"id_column": id_column, "text_column": text_column, "source_column": source_column}
-    rows = durable(placed(docs, **names))
-    plan = source_plan(rows, list(weights), block_words)
-    numbered = _numbered(rows, plan, block_words)
-    slots = taken_blocks(docs.sparkSession, plan, shards, seed).select("source", "block", F.col("pass").alias("turn"))
-    lo = F.greatest(F.col("block") * block_words, F.col("start")) - F.col("start")
-    used = _held(numbered).join(slots.hint("merge"), ["source", "block"])
-    used = used.select(*NAME, "size", "turn", F.struct(lo.cast("long").alias("lo"), (lo + _overlap(F.col("block"), F.col("start"), F.col("size"), block_words)).cast("long").alias("hi")).alias("span"))
-    turns = used.groupBy(*NAME, "turn").agg(F.sum(F.col("span.hi") - F.col("span.lo")).alias("words"), F.first("size").alias("size"), F.array_sort(F.collect_list("span")).alias("spans"))
-    turns = turns.select(*NAME, F.when(F.col("words") == F.col("size"), F.lit(None)).otherwise(F.col("spans")).alias("spans"))
-    columns = docs.columns
-    whole = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), source_key(F.col(f"`{source_column}`")).alias("source_key"), F.xxhash64(text_or_empty(f"`{text_column}`")).alias("print"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    whole = whole.withColumn("copy", F.row_number().over(copies()))
-    same = [whole[c].eqNullSafe(turns[c]) if c == "doc_id" else whole[c] == turns[c] for c in NAME]
-    joined = whole.join(turns, same)
+    rows = durable(placed(docs, id_column, text_column, source_column))
+    plan = source_plan(rows, list(weights), block_words, blocks)
+    slots = taken_blocks(plan, shards, seed).select("source", "block", F.col("pass").alias("turn"))
+    used = _held(_numbered(rows, plan)).join(slots.hint("merge"), ["source", "block"])
+    used = used.select(*KEY, "copy", "size", "turn", F.struct("lo", "hi").alias("span"))
+    turns = used.groupBy(*KEY, "copy", "turn").agg(F.sum(F.col("span.hi") - F.col("span.lo")).alias("words"), F.first("size").alias("size"), F.array_sort(F.collect_list("span")).alias("spans"))
+    turns = turns.select(*KEY, F.floor(F.col("copy") / COPIES).alias("salt"), F.when(F.col("words") < F.col("size"), F.col("spans")).alias("spans"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(docs, text_column))
+    several = rows.where("n > 1").select(*KEY, "n")
+    single = whole.withColumn("salt", F.lit(0).cast("long"))
+    if not several.isEmpty():
+        named = bounded(several.select(*KEY))
+        shared = whole.join(named, KEY, "left_semi").groupBy(*KEY).agg(F.first("row").alias("row")).join(bounded(several), KEY)
+        shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+        single = single.join(named, KEY, "left_anti").unionByName(shared.select(*single.columns))
+    joined = single.join(turns, [*KEY, "salt"])
     words = F.regexp_extract_all(F.col(f"row.`{text_column}`"), F.lit(WORD_PATTERN), F.lit(0))
     part = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.transform(F.col("spans"), lambda s: F.array_join(F.slice(w, s["lo"].cast("int") + 1, (s["hi"] - s["lo"]).cast("int")), " ")), " ")), 1)
     text = F.when(F.col("spans").isNull(), F.col(f"row.`{text_column}`")).otherwise(part)
-    return joined.select(*[text.alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in columns])
+    return joined.select(*[text.alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

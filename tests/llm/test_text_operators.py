@@ -453,50 +453,128 @@ def test_scan_finds_planted_secrets_and_no_others(spark, docs, none, forest):
 # --- 10
 
 
+def naive_place(index, size, key, rounds=4):
+    """The permutation in Python integers, one index at a time."""
+    cut = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & cut
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & cut
+        return x ^ (x >> 31)
+
+    half = max(1, ((max(size, 2) - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        left, right = index >> half, index & mask
+        for r in range(rounds):
+            left, right = right, left ^ (mix(right + mix(key + (r + 1) * 0x9E3779B97F4A7C15 & cut) & cut) & mask)
+        index = left << half | right
+        if index < size:
+            return index
+
+
+def naive_targets(sizes, weights, cap=3):
+    """All sizes by weight; a source above its cap gets the cap and leaves the rest to the others, until none is."""
+    full = set()
+    while True:
+        left = sum(sizes) - sum(cap * sizes[i] for i in full)
+        weight = sum(w for i, w in enumerate(weights) if i not in full)
+        out = [cap * n if i in full else left * w / weight for i, (n, w) in enumerate(zip(sizes, weights, strict=True))]
+        over = {i for i, n in enumerate(sizes) if i not in full and out[i] > cap * n}
+        if not over or len(full | over) == len(sizes):
+            return out
+        full |= over
+
+
 def test_permutations_and_draws():
     for n in (1, 2, 3, 17, 64, 1000):
-        assert sorted(mixing.permute(np.arange(n), np.full(n, n), np.full(n, 9))) == list(range(n))
-    drawn = mixing.draw_slots([1000, 10, 0, 333], 7)
-    assert list(drawn.sum(axis=0)) == [1000, 10, 0, 333] and (drawn >= 0).all()
+        got = mixing.permute(np.arange(n), np.full(n, n), np.full(n, 9)).tolist()
+        assert sorted(got) == list(range(n)) and got == [naive_place(i, n, 9) for i in range(n)]
+    shares = mixing.even_shares(1343, 7)
+    drawn = mixing.draw_slots([1000, 10, 0, 333], shares)
+    assert list(drawn.sum(axis=0)) == [1000, 10, 0, 333] and (drawn >= 0).all() and sum(shares) == 1343
     assert drawn.sum(axis=1).max() - drawn.sum(axis=1).min() <= 7 * 2
 
 
-def test_targets_share_the_excess():
-    out = mixing.targets([10, 100, 100, 100], [100, 1, 1, 1])
-    assert out[0] == 30 and abs(sum(out) - 310) < 1e-9 and max(out[1:]) - min(out[1:]) < 1e-9
-    assert mixing.targets([0, 0], [1, 2]) == [0, 0]
+def plan_of(spark, sizes, weights, **limits):
+    rows = spark.createDataFrame([((name is None, name or ""), n, 1) for name, n in sizes], "source_key struct<none: boolean, name: string>, size long, n long")
+    return sorted(mixing.source_plan(rows, weights, **limits).collect(), key=lambda r: r["source"])
+
+
+def test_targets_share_the_excess(spark):
+    sizes = [("b", 100), ("a", 10), (None, 100), ("\U0001f600", 100), ("\uff5e", 4)]
+    plan = plan_of(spark, sizes, [100, 1, 1])
+    assert [r["source_key"]["name"] for r in plan] == ["a", "b", "\uff5e", "\U0001f600", ""] and plan[-1]["source_key"]["none"]
+    for weights in ([100, 1, 1], [1, 2, 3], [1]):
+        plan = plan_of(spark, sizes, weights)
+        expected = naive_targets([r["source_size"] for r in plan], [weights[i % len(weights)] for i in range(5)])
+        assert [r["target"] for r in plan] == pytest.approx(expected) and sum(expected) == pytest.approx(314)
+    assert [r["target"] for r in plan_of(spark, [("a", 0), ("b", 0)], [1, 2])] == [0, 0]
 
 
-@pytest.mark.parametrize("block", [1, 7, 64])
-def test_mix_equals_a_walk_over_its_slots(docs, none, block):
-    rows = mixing.mix_counts(docs, block_words=block).collect()
-    again = mixing.mix_counts(docs.repartition(7), block_words=block).collect()
+def test_thousands_of_sources_are_drawn_in_groups(spark):
+    sizes = [(f"s{i:05}", i % 7 * 50) for i in range(3_000)]
+    plan = mixing.source_plan(spark.createDataFrame([((False, name), n, 1) for name, n in sizes], "source_key struct<none: boolean, name: string>, size long, n long"), [1, 2, 3])
+    quotas = {r["source"]: r["blocks"] * r["whole"] + r["part"] for r in plan.collect()}
+    slots = mixing.taken_blocks(plan, drawn=64).collect()
+    assert Counter(r["source"] for r in slots) == Counter({s: n for s, n in quotas.items() if n})
+    assert len({(r["source"], r["pass"], r["block"]) for r in slots}) == len(slots)
+    per_shard = Counter(r["shard"] for r in slots)
+    assert len(per_shard) == 16 and max(per_shard.values()) < 1.02 * min(per_shard.values())
+
+
+@pytest.mark.parametrize(("block", "blocks"), [(1, 4096), (7, 1), (1024, 16)])
+def test_mix_equals_a_walk_over_its_slots(docs, none, block, blocks, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 2)  # three equal rows are then many
+    limits = {"block_words": block, "blocks": blocks}
+    rows = mixing.mix_counts(docs, **limits).collect()
+    again = mixing.mix_counts(docs.repartition(7), **limits).collect()
     assert Counter(map(tuple, rows)) == Counter(map(tuple, again)) and len(rows) == len(sample())
-    placed = mixing.placed(docs).cache()
-    plan = mixing.source_plan(placed, [1, 2, 3], block)
-    assert [p[0] for p in plan] == [(False, f"host{i}") for i in range(4)] + [(True, "")]
-    times = Counter((r["source"], r["block"]) for r in mixing.taken_blocks(docs.sparkSession, plan).collect())
-    number = {p[0]: p[1] for p in plan}
-    expected = Counter()
-    for r in placed.collect():
+    entries = mixing.durable(mixing.placed(docs))
+    table = mixing.source_plan(entries, [1, 2, 3], **limits)
+    plan = {r["source"]: r for r in table.collect()}
+    assert [plan[i]["source_key"]["name"] for i in range(5)] == [*(f"host{i}" for i in range(4)), ""]
+    sizes, sums = Counter(), Counter()
+    for r in sample():
+        sizes[r[0], len(WORD.findall(r[1] or ""))] += 1
+        sums[r[3]] += len(WORD.findall(r[1] or ""))
+    assert [plan[i]["source_size"] for i in range(5)] == [*(sums[f"host{i}"] for i in range(4)), sums[None]]
+    assert [plan[i]["target"] for i in range(5)] == pytest.approx(naive_targets([plan[i]["source_size"] for i in range(5)], [1, 2, 3, 1, 2]))
+    # every slot's block is the permutation's, passes are whole but the last
+    times = Counter()
+    for r in mixing.taken_blocks(table).collect():
+        p = plan[r["source"]]
+        turn, at = divmod(r["slot"], p["blocks"])
+        key = ((r["source"] << 2) + turn + (mixing.SEED << 40)) & ((1 << 64) - 1)
+        x = (key ^ (key >> 30)) * 0xBF58476D1CE4E5B9 & ((1 << 64) - 1)
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & ((1 << 64) - 1)
+        assert (r["pass"], r["block"]) == (turn, naive_place(at, p["blocks"], x ^ (x >> 31)))
+        times[r["source"], r["block"]] += 1
+    number = {tuple(p["source_key"]): s for s, p in plan.items()}
+    covered, expected = {s: [] for s in plan}, Counter()
+    for r in entries.collect():
         s = number[tuple(r["source_key"])]
-        taken = sum(times[s, (r["start"] + k) // block] for k in range(r["size"]))
-        expected[(r["doc_id"], r["size"], plan[s][2], plan[s][3], taken)] += 1
+        for copy in range(r["n"]):
+            words = [r["start"] + copy * r["size"] + k for k in range(r["size"])]
+            covered[s] += words
+            expected[(r["doc_id"], r["size"], plan[s]["source_size"], plan[s]["target"], sum(times[s, w // plan[s]["block_words"]] for w in words))] += 1
+    assert all(sorted(covered[s]) == list(range(plan[s]["source_size"])) for s in plan)  # each word has one place
     assert Counter(map(tuple, rows)) == expected
     assert all(r["taken"] <= 3 * r["size"] for r in rows)
-    sizes = Counter(len(WORD.findall(r[1] or "")) for r in sample())
-    assert Counter(r["size"] for r in rows) == sizes
-    for _, s, size, target, *_ in plan:
-        assert abs(sum(r["taken"] for r in rows if r["target"] == target and r["source_size"] == size) - target) <= 2 * block + 1
-    assert mixing.mix_counts(none, block_words=block).count() == 0
+    assert Counter((r["doc_id"], r["size"]) for r in rows) == sizes
+    for p in plan.values():
+        taken = sum(r["taken"] for r in rows if r["target"] == p["target"] and r["source_size"] == p["source_size"])
+        assert abs(taken - p["target"]) <= 2 * p["block_words"] + 1
+    assert mixing.mix_counts(none, **limits).count() == 0
 
 
-def test_mixed_documents_hold_the_words_taken(docs, none):
+def test_mixed_documents_hold_the_words_taken(docs, none, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 2)
     got = Counter()
-    for r in mixing.mix_documents(docs, block_words=7).collect():
+    for r in mixing.mix_documents(docs, block_words=7, blocks=1).collect():
         got[r["doc_id"]] += len(WORD.findall(r["text"]))
     expected = Counter()
-    for r in mixing.mix_counts(docs, block_words=7).collect():
+    for r in mixing.mix_counts(docs, block_words=7, blocks=1).collect():
         if r["doc_id"] is not None:
             expected[r["doc_id"]] += r["taken"]
         else:
