@@ -2,11 +2,13 @@
 
 Method. Events of the standard library's streaming parser cut a page into lines at block borders. A line's
 ratio is its text length over its tags; ratios are smoothed by a Gaussian over neighbouring lines, and lines
-above a threshold taken from the page's own spread cluster as content. The deepest container that holds all
-content lines, and every article and main element, are returned whole, so that a short paragraph between long
-ones is kept, less the parts that are boilerplate by element, role or class: menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments. What lies between content and bears no such
-mark is kept too. A class or id counts if all its words are known ones, ids of headings and paragraphs do not,
+above a threshold taken from the page's own spread, smoothed and by themselves (or a headline), cluster as
+content. These clusters select the regions: the
+deepest container that holds all content lines, and every article and main element that holds some, are
+returned whole, so that a short paragraph between long ones is kept, less the parts that are boilerplate by
+element, role or class: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
+Unmarked link lists, bars and teaser cards beside the clusters are thus left out by their ratio alone; what
+lies between content and bears no mark is kept. A class or id counts if all its words are known ones, ids of headings and paragraphs do not,
 and neither does a mark on an element that holds most of the page's content (see ``_marked``).
 
 Each page is handled alone: no exchange, and memory is one Arrow batch. Line breaks count as white space.
@@ -35,6 +37,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 SIGMA = 1.5
 REACH = 4
 THRESHOLD = 0.5
+BODY = 400
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -92,14 +95,14 @@ def mark_of(tag: str, attrs: list[tuple[str, str | None]]) -> str | None:
 
 
 class Lines(HTMLParser):
-    """Page to lines: (text, tags, innermost container, boilerplate, innermost mark).
+    """Page to lines: (text, tags, innermost container, boilerplate, innermost mark, headline).
 
     Containers and marks (elements with the class or id of boilerplate) are numbered, parents first.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, bool, int, bool]] = []
         self.kinds: list[str] = [""]
         self.parents: list[int] = [0]  # container 0 is the page
         self.marks: list[tuple[str, int]] = [("", 0)]  # kind and parent; mark 0 is none
@@ -114,7 +117,7 @@ class Lines(HTMLParser):
             self.buffer = []
             if text:
                 _, skip, inside, mark = self.stack[-1]
-                self.lines.append((text, self.tags, inside, skip, mark))
+                self.lines.append((text, self.tags, inside, skip, mark, self.open["h1"] > 0))
                 self.tags = 0
 
     def _cut(self, k: int) -> None:
@@ -214,35 +217,40 @@ def extract(html: str | None) -> str:
         parser.handle_data(unescape(html[cut:].partition("<!--")[0]))
     parser._flush()
     lines = parser.lines
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, *_ in lines])
+    own = [len(text) / max(1, tags) for text, tags, *_ in lines]
+    ratios = smoothed(own)
     mean = sum(ratios) / max(1, len(ratios))
     limit = THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in ratios) / max(1, len(ratios)))
-    content = [line for line, ratio in zip(lines, ratios, strict=True) if not line[3] and ratio >= limit]
-    out = _marked(content, parser.marks, parser.kinds, parser.parents)
+    # smoothing lifts a menu beside a long paragraph over the threshold, but its own ratio stays below
+    content = [line for line, ratio, plain in zip(lines, ratios, own, strict=True) if not line[3] and ratio >= limit and (plain >= limit or line[5])]
+    out = _marked(lines, content, parser.marks, parser.kinds, parser.parents)
     inside = _regions([line for line in content if not out[line[4]]], parser.kinds, parser.parents)
-    return "\n".join(text for text, _, container, skip, mark in lines if not skip and not out[mark] and inside[container])
+    return "\n".join(text for text, _, container, skip, mark, _ in lines if not skip and not out[mark] and inside[container])
 
 
-def _marked(content: list, marks: list[tuple[str, int]], kinds: list[str], parents: list[int]) -> list[bool]:
+def _marked(lines: list, content: list, marks: list[tuple[str, int]], kinds: list[str], parents: list[int]) -> list[bool]:
     """For each mark, whether its lines are boilerplate.
 
     A mark does not count on an element that holds most of the page's content, unless an article or main element
-    outside holds half as much; marks of comments do not count where there is no other content.
+    outside has text: then the element must have ``BODY`` characters of content and twice those of the article.
+    Marks of comments do not count where there is no other content.
     """
     body = [False] * len(kinds)
     for c in range(1, len(kinds)):
         body[c] = kinds[c] in ("article", "main") or body[parents[c]]
     held, bodies = [0] * len(marks), [0] * len(marks)
-    for text, _, container, _, mark in content:
+    for text, _, _, _, mark, _ in content:
         held[mark] += len(text)
-        bodies[mark] += len(text) * body[container]
+    for text, _, container, skip, mark, _ in lines:
+        bodies[mark] += len(text) * (body[container] and not skip)
     for m in range(len(marks) - 1, 0, -1):
         held[marks[m][1]] += held[m]
         bodies[marks[m][1]] += bodies[m]
     out, commented = [False] * len(marks), [False] * len(marks)
     for m in range(1, len(marks)):
         kind, parent = marks[m]
-        most = held[m] * 2 > held[0] and (bodies[0] - bodies[m]) * 2 < held[m]
+        outside = bodies[0] - bodies[m]
+        most = held[m] * 2 > held[0] and (outside == 0 or (held[m] >= BODY and outside * 2 < held[m]))
         out[m] = out[parent] or (kind == "other" and not most)
         commented[m] = commented[parent] or kind == "comments"
     if content and all(out[line[4]] or commented[line[4]] for line in content):
@@ -257,7 +265,7 @@ def _regions(content: list, kinds: list[str], parents: list[int]) -> list[bool]:
         held[container] += len(text)
     for c in range(len(kinds) - 1, 0, -1):
         held[parents[c]] += held[c]
-    chosen = {c for c in range(len(kinds)) if kinds[c] in ("article", "main")}
+    chosen = {c for c in range(len(kinds)) if kinds[c] in ("article", "main") and (held[c] or not held[0])}
     chosen.add(max(c for c in range(len(kinds)) if held[c] == held[0]) if held[0] else 0)
     inside = [False] * len(kinds)
     for c in range(len(kinds)):

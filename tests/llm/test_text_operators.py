@@ -362,6 +362,36 @@ def test_text_is_not_lost_by_a_word_of_its_class(page):
     assert html.extract(other + whole + other).split("\n") == expected
 
 
+#: Pages whose boilerplate bears no mark, with the text that must come out: only the ratios tell it from content.
+UNMARKED = [
+    ("<body><div><a href=/>Home</a> <a href=/a>News</a> <a href=/b>About</a></div><div><h1>T</h1><p>{40}</p><p>Short.</p><p>{30}</p></div><div><a href=/c>Terms</a> <a href=/d>Jobs</a></div></body>", 1),
+    ("<body><div><div><ul><li><a href=/1>One</a><li><a href=/2>Two</a><li><a href=/3>Three</a></ul></div><section><p>{50}</p><p>{45}</p></section></div></body>", 1),
+    ("<body><table><tr><td><a href=/1>A</a><br><a href=/2>B</a></td><td><p>{60}</p><p>{20}</p></td><td><a href=/3>C</a></td></tr></table></body>", 1),
+    ("<body><div><div><h2>Title of it</h2><p>{35}</p><blockquote>{25}</blockquote><p>{35}</p></div><div><i>12</i><b>34</b><span>likes</span><span><i>5</i></span></div></div></body>", 1),
+    ("<body><main><p>{60}</p><p>{50}</p></main>" + "<div><article><h3><a href=/x><b>See</b></a></h3><span><i>by</i></span></article></div>" * 3 + "</body>", 1),
+]
+
+
+def words_in(page):
+    return re.sub(r"\{(\d+)\}", lambda m: " ".join(f"word{k}" for k in range(int(m[1]))), page)
+
+
+def test_ratios_choose_the_regions(monkeypatch):
+    """Pages without a mark need the method: with all ratios alike, every one of them keeps its menus."""
+    pages = [words_in(p) for p, _ in UNMARKED]
+    got = [html.extract(p) for p in pages]
+    assert got[0] == "T\n" + words_in("{40}\nShort.\n{30}")
+    assert got[1] == words_in("{50}\n{45}") and got[2] == words_in("{60}\n{20}")
+    assert got[3] == words_in("Title of it\n{35}\n{25}\n{35}") and got[4] == words_in("{60}\n{50}")
+    monkeypatch.setattr(html, "smoothed", lambda values: [1.0] * len(values))
+    assert all(html.extract(p) != one for p, one in zip(pages, got, strict=True))
+
+
+def test_an_advert_longer_than_a_short_article_goes():
+    advert = " ".join(["buy"] * 25)
+    assert html.extract(f"<body><div class='ad'>{advert}.</div><article><h1>A title of it.</h1><p><b>One line.<br></article></body>") == "A title of it.\nOne line."
+
+
 def test_long_comments_are_not_the_article():
     text = " ".join(["word"] * 80)
     assert html.extract(f"<div><h1>T</h1><p>{text}</p></div><div class='comment-list'><p>{text} {text}</p><p>{text}</p></div>") == f"T\n{text}"
@@ -383,8 +413,8 @@ def test_pages_frame(spark):
 
 def test_query_on_whole_pages_equals_a_cut_of_the_article(spark):
     """The test pages hold one article of plain paragraphs, so a cut by patterns says what must come out."""
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
-    got = {r["page_id"]: r for r in queries.op7_html_main_text(spark, "/root/testdata/sf0.01").collect()}
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()
+    got = {r["page_id"]: r for r in queries.op7_html_main_text(spark, "/root/testdata/sf0.1").collect()}
     assert len(got) == len(pages)
     for page in pages:
         inner = re.search(r"<article>(.*)</article>", page["html"], re.S)[1]
