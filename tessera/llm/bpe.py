@@ -21,6 +21,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,8 @@ def _byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, source: str | bytes):
+        spec = json.loads(source if isinstance(source, bytes) else Path(source).read_bytes())
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         end = model["end_of_word_suffix"] or ""
@@ -166,15 +166,22 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> WordBpe:
-    return WordBpe(path)
+def load(source: str | bytes) -> WordBpe:
+    """The encoder of a file's path or content, built once a worker."""
+    return WordBpe(source)
+
+
+def _sent(docs: DataFrame, path: str):
+    """The file's content (some MB, whatever the input) as a broadcast: only the driver needs to reach the path."""
+    return docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
 
 def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids and the decoded text of every document."""
+    sent = _sent(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(sent.value)
         for batch in batches:
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -187,9 +194,10 @@ def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text
 
 def encode_digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """As :func:`encode_documents`, but ids and decoded text leave the worker as digests only."""
+    sent = _sent(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(sent.value)
         for batch in batches:
             counts, first, second = [], [], []
             for value in batch.column(1):
