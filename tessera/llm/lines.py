@@ -8,9 +8,12 @@ documents probes the arrays; no line is joined or shuffled with a document. A li
 hits a slot of another line, and the fingerprint tells them apart (128 bits in all must agree).
 Lines below ``MIN_DOCS`` can never be dropped, so the arrays leave them out and stay small.
 
-Size. The arrays' bytes are summed before anything is sent. Shards go out in parts of at most
-``part_bytes``. With one part, the probing pass writes the result. With more, each part makes its own probing
-pass, which returns (document, line hash) verdicts, and these are joined to the documents at the end.
+Size. The arrays' bytes are summed before anything is sent. Up to ``SENT_BYTES`` they are broadcast and the
+probing pass writes the result. Beyond, the arrays stay in the shuffle: hashes of lines (some tens of bytes,
+no text) are dealt to their shard, in ``SALTS`` deals so that a hot line is spread, and sorted behind its
+arrays; each task streams past one shard's arrays at a time and returns verdicts by row, that is by id and
+text hash, which the documents then meet in one join. That takes one pass for the probes and one to cut the
+texts, however many shards there are.
 
 Cases: null or empty text is one empty line, which is never dropped (shorter than 20 code points); a line
 repeated inside a document counts once, and all its copies go or stay together; repeated rows count as
@@ -30,12 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, durable
+from tessera.llm.common import bound_batches, bounded, durable, parallelism
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 SHARD_LINES = 1 << 16
-PART_BYTES = 96 << 20
+SENT_BYTES = 96 << 20
+SALTS = 16
 NO_ID = -(1 << 63)
 STRIP = b" \t\n\x0b\x0c\r"
 SHARDS = "shard long, n long, levels binary, fingerprints binary, counts binary, owners binary, others binary"
@@ -185,23 +189,9 @@ def line_index(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[int, DataFram
     return n_shards, durable(dealt.groupBy("shard").applyInPandas(_build_shard, SHARDS))
 
 
-def _parts(shards: DataFrame, part_bytes: int) -> list[list[int]]:
-    """Shard numbers in parts of at most ``part_bytes`` (a single shard is about 1.5 MB)."""
-    size = sum((F.length(c) for c in ("levels", "fingerprints", "counts", "owners", "others")), F.lit(0))
-    parts, full = [[]], 0
-    for shard, bytes_ in sorted(map(tuple, shards.select("shard", size.cast("long")).collect())):
-        if parts[-1] and full + bytes_ > part_bytes:
-            parts.append([])
-            full = 0
-        parts[-1].append(shard)
-        full += bytes_
-    return parts
-
-
-def _sent(shards: DataFrame, n_shards: int, numbers: list[int]):
-    """A broadcast of the arrays of these shards: at most ``part_bytes``, as :func:`_parts` has summed."""
-    rows = [tuple(r) for r in shards.where(F.col("shard").isin(numbers)).collect()] if numbers else []
-    return shards.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, n_shards, rows))
+def _sent(shards: DataFrame, n_shards: int):
+    """A broadcast of all arrays, whose size has been checked."""
+    return shards.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, n_shards, [tuple(r) for r in shards.collect()]))
 
 
 _OPEN: dict[str, LineIndex] = {}
@@ -232,12 +222,58 @@ def _verdicts(texts: list[bytes], ids: list[int], index: LineIndex):
     return lines, place, digests, known & (owner != mine)
 
 
+def _probed(keyed: DataFrame, n_shards: int, shards: DataFrame) -> DataFrame:
+    """doc_id, print, tie and line (digest) of every line that is owned elsewhere; ``keyed`` has these and text."""
+    arrays = ["levels", "fingerprints", "counts", "owners", "others"]
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, at = [], []
+            for d, text in enumerate(_texts(batch.column(1))):
+                keys = {k for line in text.split(b"\n") if (k := line_key(line)) is not None}
+                digests += map(xxhash.xxh3_128_digest, keys)
+                at += [d] * len(keys)
+            rows = batch.take(pa.array(at, pa.int64()))
+            shard = (_hashes(digests)[:, 0] >> np.uint64(1)).astype(np.int64) % n_shards
+            salt = np.arange(len(at), dtype=np.int32) % SALTS
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard), pa.array(salt), rows.column(0), rows.column(2), rows.column(3), pa.array(digests, pa.binary())],
+                names=["shard", "salt", "doc_id", "print", "tie", "line"])
+
+    asked = keyed.mapInArrow(probes, "shard long, salt int, doc_id long, print long, tie long, line binary")
+    spread = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "n", *arrays)
+    both = spread.unionByName(asked, allowMissingColumns=True)
+    # the arrays of a shard come before the lines that probe them
+    sorted_ = both.repartition(parallelism(keyed), "shard", "salt").sortWithinPartitions("shard", "salt", F.col("line").isNotNull())
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, of = None, None
+        for batch in batches:
+            names = batch.schema.names
+            column = {name: batch.column(k) for k, name in enumerate(names)}
+            heads = np.flatnonzero(~column["line"].is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for begin, end in zip([0, *(k + 1 for k in heads)], [*heads, len(batch)], strict=True):
+                if begin and begin - 1 in heads:
+                    of = column["shard"][begin - 1].as_py()
+                    index = LineIndex(n_shards, [tuple(column[c][begin - 1].as_py() for c in ("shard", "n", *arrays))])
+                part = batch.slice(begin, end - begin)
+                if len(part) and of is not None:
+                    # a shard that holds no common line has no arrays: its probes follow those of another
+                    own = part.column(names.index("shard")).to_numpy() == of
+                    known, owner = index.owners(_hashes(part.column(names.index("line")).to_pylist()))
+                    hit = own & known & (owner != part.column(names.index("doc_id")).to_numpy())
+                    found = part.take(pa.array(np.flatnonzero(hit)))
+                    yield pa.RecordBatch.from_arrays([found.column(names.index(c)) for c in ("doc_id", "print", "tie", "line")], names=["doc_id", "print", "tie", "line"])
+
+    return sorted_.mapInArrow(probe, "doc_id long, print long, tie long, line binary")
+
+
 def dedup_lines(
     docs: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
     min_docs: int = MIN_DOCS,
-    part_bytes: int = PART_BYTES,
+    sent_bytes: int = SENT_BYTES,
     report: str | None = "line_dedup",
 ) -> DataFrame:
     """``docs`` with repeated lines gone from the text, and n_lines and n_dropped in a struct column ``report``."""
@@ -250,7 +286,8 @@ def dedup_lines(
         F.struct(*[F.col(f"`{c}`") for c in other]).alias("row"),
     )
     n_shards, shards = line_index(packed, min_docs)
-    parts = _parts(shards, part_bytes)
+    size = sum((F.length(c) for c in ("levels", "fingerprints", "counts", "owners", "others")), F.lit(0)).cast("long")
+    total = shards.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     row_type = packed.schema["row"].dataType.simpleString()
     schema = f"text string, row {row_type}, n_lines long, n_dropped long"
 
@@ -260,8 +297,8 @@ def dedup_lines(
             [pa.array(kept, pa.binary()).view(pa.string()), batch.column(2), pa.array([len(x) for x in lines], pa.int64()), pa.array([len(x) for x in gone], pa.int64())],
             names=["text", "row", "n_lines", "n_dropped"])
 
-    if len(parts) == 1:
-        sent = _sent(shards, n_shards, parts[0])
+    if total <= sent_bytes:
+        sent = _sent(shards, n_shards)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _opened(sent)
@@ -275,22 +312,9 @@ def dedup_lines(
 
         out = packed.mapInArrow(run, schema)
     else:
-        hits = None
-        for numbers in parts:
-            sent = _sent(shards, n_shards, numbers)
-
-            def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                index = _opened(sent)
-                for batch in batches:
-                    ids = batch.column(0).to_pylist()
-                    _, place, digests, drop = _verdicts(_texts(batch.column(1)), ids, index)
-                    found = {(ids[place[i][0]], digests[i]) for i in np.flatnonzero(drop)}
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["doc_id", "line"])
-
-            found = durable(packed.select("doc_id", "text").mapInArrow(probe, "doc_id long, line binary"))
-            hits = found if hits is None else hits.unionByName(found)
-        gathered = hits.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+        keyed = packed.withColumn("print", F.xxhash64(F.col("text"))).withColumn("tie", F.xxhash64(F.lit(1), F.col("text")))
+        hits = _probed(keyed.select("doc_id", "text", "print", "tie"), n_shards, shards)
+        gathered = hits.groupBy("doc_id", "print", "tie").agg(F.collect_set("line").alias("gone"))
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -301,7 +325,8 @@ def dedup_lines(
                     gone.append({k for k, x in enumerate(lines[-1]) if drop and (key := line_key(x)) is not None and xxhash.xxh3_128_digest(key) in drop})
                 yield finished(batch, lines, gone)
 
-        out = packed.join(gathered, "doc_id", "left").select("doc_id", "text", "row", "gone").mapInArrow(apply, schema)
+        joined = keyed.join(bounded(durable(gathered)), ["doc_id", "print", "tie"], "left")
+        out = joined.select("doc_id", "text", "row", "gone").mapInArrow(apply, schema)
     back = [F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in names]
     return out.select(*back, *([F.struct("n_lines", "n_dropped").alias(report)] if report else []))
 
