@@ -44,7 +44,7 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(table(spark, sf_dir, "documents"), vocabulary=vocabulary_path())
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

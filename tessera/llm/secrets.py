@@ -3,7 +3,8 @@
 Method. Patterns find candidates in the whole text: private-key blocks, web tokens, values assigned to a
 telling name, credentials in addresses, and long tokens with digits or mixed case. Each candidate becomes
 numbers: its length, its character transitions (class changes, and a log ratio of character pairs learnt from
-the labelled findings), its coverage by dictionary words, its path (``source``) and the words beside it. A
+the labelled findings), its coverage by dictionary words (the whole words of a public vocabulary file, whose
+path is a parameter), its path (``source``) and the words beside it. A
 random forest trained on labelled findings drops what is no secret.
 
 The tables hold no labelled findings, so :func:`labelled_findings` writes ``FINDINGS`` of them from a seed:
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import math
 import random
 import re
@@ -30,6 +32,8 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +53,10 @@ ASIDE = 48
 SECRET_WORDS = "token secret password passwd pwd apikey api_key access_key private_key credential auth bearer client_secret passphrase session_key encryption_key signing_key".split()
 OTHER_WORDS = "commit sha sha1 sha256 md5 checksum digest hash uuid guid id revision version build etag integrity order card phone isbn invoice image png data commit_id changeset".split()
 PATH_WORDS = "test tests example examples sample fixture fixtures mock docs doc demo tutorial".split()
-DICTIONARY = (
-    "the and for with from that this have will your user name file path test data code page time date text list item key value "
-    "type class function return import public static void string number index example sample default config server client "
-    "request response error message system service manager handler builder factory module package version license author copyright "
-    "password secret token change here insert replace placeholder dummy none null true false http https www com org net "
-    "tion ing ment able ness less ful ous ive ant ent ung keit heit schaft lich isch cion mente ado ada eux eau ement ence"
-).split()
+MIN_WORD = 4
+MAX_WORD = 14
+#: Values that stand in a secret's place and are none.
+PLACEHOLDERS = "your_api_key_here changeme123 xxxxxxxxxxxxxxxx <password> example_token_value REPLACE_ME_PLEASE placeholder-token os.environ['KEY'] getenv(TOKEN) None_placeholder insert-token-here dummy_secret_value ****************".split()
 CANDIDATES = (
     # the body, with header lines or without, runs to the next five dashes
     ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----")),
@@ -67,6 +68,7 @@ CANDIDATES = (
 _DIGIT = re.compile("[0-9]")
 _KEY_RUN = re.compile(r"(?:[A-Za-z0-9+/=]\s*+){16}")
 _WORD = re.compile(r"[a-z][a-z0-9_]*")
+_LETTERS = re.compile(r"[a-z]{4,}")
 _CLASSES = np.zeros(128, np.int8)
 _CLASSES[48:58], _CLASSES[65:91], _CLASSES[97:123] = 1, 2, 3
 
@@ -118,15 +120,27 @@ def _entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
-def _coverage(value: str) -> float:
+@lru_cache(maxsize=2)
+def dictionary(path: str) -> frozenset[str]:
+    """The whole words of letters, ``MIN_WORD`` to ``MAX_WORD`` long, in a public tokenizer's vocabulary file."""
+    model = json.loads(Path(path).read_bytes())["model"]
+    end = model["end_of_word_suffix"]
+    words = {token.removesuffix(end).lower() for token in model["vocab"] if token.endswith(end)}
+    return frozenset(w for w in words if w.isascii() and w.isalpha() and MIN_WORD <= len(w) <= MAX_WORD)
+
+
+def _coverage(value: str, words: frozenset[str]) -> float:
     """Share of the characters that lie in dictionary words."""
-    low, held = value.lower(), bytearray(len(value))
-    for word in DICTIONARY:
-        at = low.find(word)
-        while at >= 0:
-            held[at : at + len(word)] = b"\1" * len(word)
-            at = low.find(word, at + 1)
-    return sum(held) / len(value)
+    held = 0
+    for run in _LETTERS.finditer(value.lower()):
+        text, end = run[0], 0  # end: up to where the run is covered
+        for at in range(len(text) - MIN_WORD + 1):
+            for n in range(min(MAX_WORD, len(text) - at), max(MIN_WORD, end - at + 1) - 1, -1):
+                if text[at : at + n] in words:
+                    held += at + n - max(end, at)
+                    end = at + n
+                    break
+    return held / len(value)
 
 
 def _near(words: list[str], known: list[str]) -> float:
@@ -137,7 +151,7 @@ def _near(words: list[str], known: list[str]) -> float:
     return 0.0
 
 
-def describe(f: Finding, pairs: dict[str, float]) -> list[float]:
+def describe(f: Finding, pairs: dict[str, float], words: frozenset[str]) -> list[float]:
     value = f.value
     n = len(value)
     codes = np.frombuffer(value.encode("ascii", "replace"), np.uint8)
@@ -153,7 +167,7 @@ def describe(f: Finding, pairs: dict[str, float]) -> list[float]:
         float((kinds[1:] != kinds[:-1]).mean()) if n > 1 else 0.0,
         sum(pairs.get(value[i : i + 2], 0.0) for i in range(n - 1)) / max(1, n - 1),
         _entropy(value),
-        _coverage(value),
+        _coverage(value, words),
         *shape,
         float(all(c in "0123456789abcdef" for c in low)),
         sum(c in "aeiou" for c in low) / n,
@@ -202,16 +216,16 @@ def _tree(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) ->
 
 
 class Forest:
-    """A random forest over the features of :func:`describe`, with the table of character pairs."""
+    """A random forest over the features of :func:`describe`, with the table of character pairs and the dictionary."""
 
-    def __init__(self, pairs: dict[str, float], trees: list[list[tuple]]):
-        self.pairs = pairs
+    def __init__(self, pairs: dict[str, float], words: frozenset[str], trees: list[list[tuple]]):
+        self.pairs, self.words = pairs, words
         self.trees = [[np.array(c) for c in zip(*t, strict=True)] for t in trees]
 
     def score(self, findings: list[Finding]) -> np.ndarray:
         if not findings:
             return np.zeros(0)
-        x = np.array([describe(f, self.pairs) for f in findings])
+        x = np.array([describe(f, self.pairs, self.words) for f in findings])
         total = np.zeros(len(x))
         for feature, cut, left, right, share in self.trees:
             at = np.zeros(len(x), np.int64)
@@ -222,35 +236,36 @@ class Forest:
         return total / len(self.trees)
 
 
-def train_forest(labelled: list[tuple[Finding, int]], trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Forest:
+def train_forest(labelled: list[tuple[Finding, int]], words: frozenset[str], trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Forest:
     counts: list[Counter] = [Counter(), Counter()]
     for f, y in labelled:
         counts[y].update(f.value[i : i + 2] for i in range(len(f.value) - 1))
     sums = [sum(c.values()) + 4096 for c in counts]
     pairs = {p: math.log((counts[1][p] + 1) / sums[1]) - math.log((counts[0][p] + 1) / sums[0]) for p in counts[0] | counts[1]}
-    x = np.array([describe(f, pairs) for f, _ in labelled])
+    x = np.array([describe(f, pairs, words) for f, _ in labelled])
     y = np.array([v for _, v in labelled], float)
     rng = np.random.default_rng(seed)
     grown = []
     for _ in range(trees):
         drawn = rng.integers(0, len(y), len(y))
         grown.append(_tree(x[drawn], y[drawn], rng, depth))
-    return Forest(pairs, grown)
+    return Forest(pairs, words, grown)
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding, int]]:
-    """Findings with labels (1: a secret), half and half, from written templates and a seed."""
+def labelled_findings(words: frozenset[str], n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding, int]]:
+    """Findings with labels (1: a secret), half and half, from written templates, dictionary words and a seed."""
     rng = random.Random(seed)
     pick, some = rng.choice, lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
     hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     syllables = "ta re on en the ing er an ti es ou ed in or nd st th le eau ment que ung lich keit cion dad mo ra li ko".split()
-    paths = ["src0", "src1", "app/config.py", "src/settings.ini", "deploy/env.sh", "web", "crawl", "notes.md", "tests/test_auth.py", "docs/guide.md", ""]
+    known = sorted(words) or syllables
+    paths = ["app/config.py", "src/settings.ini", "deploy/env.sh", "notes.md", "tests/test_auth.py", "docs/guide.md", "data/part-0", ""]
 
     def prose(k: int) -> str:
         return " ".join("".join(pick(syllables) for _ in range(rng.randint(1, 4))) for _ in range(k))
 
     def names(k: int) -> list[str]:
-        return [pick([pick(DICTIONARY), "".join(pick(syllables) for _ in range(3))]) for _ in range(k)]
+        return [pick([pick(known), "".join(pick(syllables) for _ in range(3))]) for _ in range(k)]
 
     def secret() -> tuple[str, str]:
         shape = rng.random()
@@ -284,7 +299,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding
             lambda: ("", "-".join(some(digits, rng.randint(3, 5)) for _ in range(4))),
             lambda: (pick(["", "see ", "class ", "import "]), "_".join("".join(pick(syllables) for _ in range(2)) for _ in range(3)) + some(digits, rng.randint(1, 3))),
             lambda: ("", "/".join("".join(pick(syllables) for _ in range(2)) for _ in range(4)) + "/" + some(digits, 3)),
-            lambda: (pick(["token = \"", "password: ", "api_key = '", "secret="]), pick(["your_api_key_here", "changeme123", "xxxxxxxxxxxxxxxx", "<password>", "example_token_value", "REPLACE_ME_PLEASE", "placeholder-token", "os.environ['KEY']", "getenv(TOKEN)", "None_placeholder"])),
+            lambda: (pick(["token = \"", "password: ", "api_key = '", "secret="]), pick(PLACEHOLDERS)),
             lambda: (pick(["token = ", "auth: ", "the secret: ", "password = "]), "".join(pick(syllables) for _ in range(rng.randint(4, 7)))),
             lambda: ("", "".join(pick(syllables) for _ in range(rng.randint(5, 9))) + pick(digits)),
             lambda: (pick(["", "call ", "class ", "import "]), "".join(w if k == 0 and rng.random() < 0.5 else w.capitalize() for k, w in enumerate(names(rng.randint(3, 6))))),
@@ -312,11 +327,17 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding
     return out
 
 
-def scan(docs: DataFrame, forest: Forest | None = None, limit: float = LIMIT, id_column: str = "doc_id", text_column: str = "text", path_column: str = "source") -> DataFrame:
+@lru_cache(maxsize=2)
+def default_forest(vocabulary: str | None) -> Forest:
+    words = dictionary(vocabulary) if vocabulary else frozenset()
+    return train_forest(labelled_findings(words), words)
+
+
+def scan(docs: DataFrame, forest: Forest | None = None, vocabulary: str | None = None, limit: float = LIMIT, id_column: str = "doc_id", text_column: str = "text", path_column: str = "source") -> DataFrame:
     """doc_id, start and length (code points), kind, secret_sha256 and score of every finding that is kept."""
     bound_batches(docs.sparkSession)
-    model = forest or train_forest(labelled_findings())
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # TREES trees of 2 ** (DEPTH + 1) rows at most
+    # TREES trees of 2 ** (DEPTH + 1) rows at most, a pair table and the dictionary: of one size at any input
+    sent = docs.sparkSession.sparkContext.broadcast(forest or default_forest(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = sent.value
@@ -338,5 +359,5 @@ def scan(docs: DataFrame, forest: Forest | None = None, limit: float = LIMIT, id
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "start", "length", "kind", "secret_sha256", "score"])
 
-    rows = docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string"), F.col(path_column).cast("string"))
+    rows = docs.select(*[F.col(f"`{c}`").cast(kind) for c, kind in ((id_column, "long"), (text_column, "string"), (path_column, "string"))])
     return rows.mapInArrow(run, SCHEMA)
