@@ -134,6 +134,61 @@ def test_classifier_ranks_held_out_labels(spark):
     assert sum(r["predicted"] == r["quality"] for r in held) / len(held) > 0.95
 
 
+def test_classifier_equals_a_plain_version(spark):
+    """Everything anew in plain Python: folds, blocks, dictionaries, sizes from fresh compressors, the curve by small steps."""
+    import math
+
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    known = [(r["doc_id"], r["quality"]) for r in labels.collect() if r["quality"] in (0, 1) and r["doc_id"] in texts]
+
+    def remainder(doc_id):
+        return zlib.crc32(str(doc_id).encode()) % 3
+
+    trained = []
+    for q in (1, 0):
+        pieces = sorted((zlib.crc32(b, d), b) for d, y in known if y == q and remainder(d) == 0 for i in range(0, len(texts[d]), 2048) if (b := texts[d][i : i + 2048]))
+        samples = [b for _, b in pieces]
+        size = min(112_640, max(1_024, sum(map(len, samples)) // 4))
+        try:
+            trained.append(zstandard.train_dictionary(size, samples).as_bytes())
+        except zstandard.ZstdError:
+            trained.append(b"".join(samples)[-size:])
+
+    def inputs(text):
+        sizes = [0, 0]
+        for i in range(0, len(text), 2048):
+            for k, d in enumerate(trained):
+                fresh = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+                sizes[k] += len(fresh.compress(text[i : i + 2048]))
+        ratio = math.log(sum(sizes) / (2 * len(text)))
+        return (sizes[0] - sizes[1]) / sum(sizes), ratio, ratio**2
+
+    fit = [(inputs(texts[d]), y) for d, y in known if remainder(d) == 2 and texts[d]]
+    columns = list(zip(*(x for x, _ in fit), strict=True))
+    means = [sum(c) / len(c) for c in columns]
+    scales = [math.sqrt(sum((v - m) ** 2 for v in c) / len(c)) + 1e-9 for c, m in zip(columns, means, strict=True)]
+
+    def scaled(x):
+        return [1.0, *((v - m) / s for v, m, s in zip(x, means, scales, strict=True))]
+
+    x, y = np.array([scaled(v) for v, _ in fit]), np.array([q for _, q in fit], float)
+    w, pull = np.zeros(4), np.array([0.0, *[1e-2 * len(y) / 100] * 3])
+    for _ in range(400_000):  # plain descent to the one minimum
+        slope = x.T @ (1 / (1 + np.exp(-x @ w)) - y) + pull * w
+        if np.abs(slope).max() < 1e-7:
+            break
+        w -= slope * 4 / (len(y) * np.abs(x).sum(axis=1).max())
+    got = {r["doc_id"]: r for r in queries.op8_quality_classifier(spark, SF).collect()}
+    assert len(got) == len(texts)
+    for doc_id, text in texts.items():
+        expected = 1 / (1 + math.exp(-min(35, max(-35, float(np.array(scaled(inputs(text))) @ w))))) if text else sum(y) / len(y)
+        assert got[doc_id]["score"] == pytest.approx(expected, abs=2e-3)
+        assert got[doc_id]["held_out"] == (remainder(doc_id) == 1) and got[doc_id]["predicted"] == int(got[doc_id]["score"] >= 0.5)
+
+
 def test_classifier_learns_nothing_from_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     turned = labels.withColumn("quality", F.when(quality.fold(F.col("doc_id")) == quality.HELD_OUT, 1 - F.col("quality")).otherwise(F.col("quality")))
