@@ -1,7 +1,7 @@
 """Symbol and occurrence extraction (H5-H9): one parse a file, as one distributed pass over files.
 
-Python goes through the standard library's parser; Go, JavaScript and TypeScript through small lexers. The
-other languages of the registry have no parser here and yield no rows.
+Python goes through the standard library's parser, all other languages of the registry through small lexers:
+Go, JavaScript and TypeScript, the brace languages (one lexer with a table for each), and Ruby.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import languages
 from tessera.operators import predicates
-from tessera.operators.extract import go_source, python_source, script_source
+from tessera.operators.extract import brace_source, go_source, python_source, ruby_source, script_source
 from tessera.operators.extract.rows import Extracted, identify
 
 ROW = (
@@ -39,8 +39,10 @@ def extract_source(path: str, source: bytes | None, compat: bool = False) -> Ext
         found = go_source.extract(source)
     elif language in ("javascript", "typescript", "tsx"):
         found = script_source.extract(source, typed=language != "javascript")
+    elif language == "ruby":
+        found = ruby_source.extract(source)
     else:
-        return Extracted()
+        found = brace_source.extract(source, language)
     return identify(found, path)
 
 

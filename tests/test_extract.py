@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import extract
@@ -71,7 +72,7 @@ def test_scripts():
 
 
 def test_broken_and_unknown_sources_yield_nothing():
-    for path, source in (("a.py", b"def (:"), ("a.py", b"\xff\xfe"), ("a.rs", b"fn x() {}"), ("a", b"x"), ("a.go", b"func ("), ("a.ts", b"class {{{"), ("a.py", None), ("a.go", b"type (")):
+    for path, source in (("a.py", b"def (:"), ("a.py", b"\xff\xfe"), ("a.zig", b"fn x() {}"), ("a", b"x"), ("a.go", b"func ("), ("a.ts", b"class {{{"), ("a.py", None), ("a.go", b"type (")):
         found = extract.extract_source(path, source)
         assert not found.symbols or path.endswith(".go")
 
@@ -92,3 +93,79 @@ def test_table_functions(spark):
     got = spark.sql("SELECT name FROM extract_symbols('a.py', 'def f(): pass')").collect()
     assert [r["name"] for r in got] == ["f"]
     assert spark.sql("SELECT * FROM chunk_text('a.md', 'one two\nthree', 3)").count() == 2
+
+
+# --- the other languages of the registry: (name, kind, parent, first and last characters of the span)
+
+OTHERS = {
+    "a.rs": (
+        'use std::fmt;\n/// doc\n#[derive(Debug)]\npub struct Point<T> { x: T }\nstruct Unit;\nenum Shape { A(i32), B { fn_: u8 } }\n'
+        "impl<'a> Point<i32> {\n    pub(crate) fn norm(&self) -> f64 { let s = r#\"fn no() {}\"#; 1.0 }\n}\n"
+        "impl fmt::Display for Unit {\n    fn fmt(&self, f: &mut fmt::Formatter<'_>) -> fmt::Result { let c = '{'; Ok(()) }\n}\n"
+        "trait Draw { fn draw(&self); fn twice(&self) { self.draw() } }\nmod inner { pub async fn helper<T: Clone>(t: T) -> T where T: Copy { fn deep() {} t } }\n// fn no() {}\nfn main() { println!(\"fn x() {}\"); }\n",
+        [("Point", "class", None), ("Unit", "class", None), ("Shape", "class", None), ("Point", "class", None), ("norm", "method", None), ("Display", "class", None), ("fmt", "method", None), ("Draw", "interface", None), ("twice", "method", None), ("helper", "function", None), ("deep", "function", None), ("main", "function", None)],
+    ),
+    "A.java": (
+        'package a.b;\nimport java.util.List;\n@Deprecated\npublic class Box<T extends Comparable<T>> implements Runnable {\n    private int n = size(3);\n    static { setup(); }\n    public Box(int n) { this.n = n; }\n'
+        '    @Override\n    public List<T> get(int i) throws IOException { if (i > 0) { call(i); } return null; }\n    public abstract void none();\n    class Inner { void in() {} }\n    String s = "class X { void y() {} }";\n}\n'
+        "interface Shape { double area(); }\nenum Color { RED(1), BLUE(2); int code() { return 1; } }\nrecord Pair(int a, int b) { int sum() { return a + b; } }\n",
+        [("Box", "class", None), ("Box", "function", None), ("get", "method", "Box"), ("none", "method", "Box"), ("Inner", "class", None), ("in", "method", "Inner"), ("Shape", "interface", None), ("area", "function", None), ("Color", "class", None), ("code", "function", None), ("Pair", "class", None), ("sum", "method", None)],
+    ),
+    "a.c": (
+        "#include <stdio.h>\n#define MAX(a, b) \\\n  ((a) > (b))\nstruct point { int x; };\nunion u { int a; };\nenum e { A, B };\nstatic int add(int a, int b)\n{\n    if (a) { return b; }\n    return a + b;\n}\n"
+        "int declared(int);\nstruct point *make(void) { return 0; }\nunsigned long *names[] = { 0 };\nint main(int argc, char **argv) { printf(\"int f() {\"); return add(1, 2); }\n",
+        [("point", "class", None), ("u", "class", None), ("e", "class", None), ("add", "function", None), ("make", "function", None), ("main", "function", None)],
+    ),
+    "a.cpp": (
+        "#include <vector>\nnamespace geo {\nclass Shape : public Base {\npublic:\n    Shape(int n) : n_(n), v_{1} { }\n    virtual ~Shape() {}\n    virtual double area() const = 0;\n    int twice() const override { return n_ * 2; }\nprivate:\n    int n_;\n};\n"
+        "template <typename T>\nT largest(const std::vector<T>& v) { return v[0]; }\nstruct Point { int x; };\n}\nint geo::Shape::other(int a) { return a; }\nauto f(int x) -> int { auto g = [x](int y) { return x + y; }; return g(1); }\nconst char* s = R\"(int no() {})\";\n",
+        [("Shape", "class", None), ("Shape", "function", None), ("Shape", "function", None), ("twice", "function", None), ("largest", "function", None), ("Point", "class", None), ("other", "function", None), ("f", "function", None)],
+    ),
+    "A.cs": (
+        'using System;\nnamespace App.Core {\n    [Serializable]\n    public class Service : IService {\n        public int Count { get; set; }\n        public Service(int n) : base(n) { }\n        public async Task<int> Run(string a) { await Go(); return 1; }\n        public int Twice(int x) => x * 2;\n        string q = @"class ""X"" { }";\n    }\n'
+        "    public interface IService { Task<int> Run(string a); }\n    public struct P { public int X() { return 1; } }\n    public record Pair(int A, int B);\n}\n",
+        [("Service", "class", None), ("Service", "function", None), ("Run", "method", "Service"), ("Twice", "method", "Service"), ("IService", "interface", None), ("Run", "method", None), ("P", "class", None), ("X", "method", None), ("Pair", "class", None)],
+    ),
+    "a.rb": (
+        "require 'x'\nmodule Geo\n  class Shape < Base\n    attr_reader :n\n    def initialize(n)\n      @n = n if n\n      [1, 2].each do |x|\n        puts \"def no #{x} end\"\n      end\n    end\n    def self.make(a) = new(a)\n    def big?\n      while true do\n        break unless @n\n      end\n      if @n > 3 then true else false end\n    end\n    private def hidden; 1; end\n    class << self\n      def meta; end\n    end\n  end\nend\n=begin\ndef comment\nend\n=end\ndef top(class: nil)\n  x = <<~EOS\n    def no\n  EOS\n  x.class\nend\n",
+        [("Geo", "interface", None), ("Shape", "class", None), ("initialize", "function", None), ("make", "function", None), ("big?", "function", None), ("hidden", "function", None), ("meta", "function", None), ("top", "function", None)],
+    ),
+    "a.php": (
+        "<html><?php\nnamespace App;\n// function no() {}\n# function no2() {}\ninterface Shape { public function area(): float; }\nabstract class Base implements Shape {\n    public static function make(int $a = 1): static { return new static(); }\n    abstract protected function todo();\n    public function run() { $f = function ($x) { return $x; }; return 'function z() {}'; }\n}\n"
+        "trait T { function t() {} }\nfunction helper(array &$a) { return match(true) { default => 1 }; }\n?><b>function html() {}</b>\n<?php function last() {}\n",
+        [("Shape", "interface", None), ("area", "method", None), ("Base", "class", None), ("make", "method", "Base"), ("todo", "method", "Base"), ("run", "method", "Base"), ("t", "method", None), ("helper", "function", None), ("last", "function", None)],
+    ),
+    "a.swift": (
+        'import UIKit\nprotocol Shape {\n    func area() -> Double\n}\npublic final class Box<T>: Base, Shape where T: Equatable {\n    let n: Int\n    init(n: Int) { self.n = n }\n    override func area() -> Double { return 1.0 }\n    static func make<U>(_ u: U) -> Box where U: Shape {\n        func deep() {}\n        return Box(n: 1)\n    }\n}\n'
+        'struct Point { var x: Int { get { return 1 } }\n    mutating func move() { print("func no() {}") } }\nextension Point { func far() -> Bool { true } }\nenum E { case a, b }\nfunc top(a: Int) throws -> Int { return a }\n',
+        [("Shape", "interface", None), ("Box", "class", None), ("area", "method", "Box"), ("make", "method", "Box"), ("deep", "function", None), ("Point", "class", None), ("move", "method", "Point"), ("Point", "class", None), ("far", "method", "Point"), ("E", "class", None), ("top", "function", None)],
+    ),
+    "a.kt": (
+        'package a.b\nimport x.y\n\ninterface Shape { fun area(): Double }\ndata class Point(val x: Int, val y: Int)\nopen class Box<T>(val n: Int) : Base(n), Shape {\n    override fun area(): Double = 1.0 *\n        2\n    suspend fun <R> run(f: (T) -> R): R {\n        fun deep() {}\n        return f(null)\n    }\n    companion object { fun make() = Box<Int>(1) }\n}\n'
+        'object Single { fun one() {} }\nfun String.twice(): String {\n    return "fun no() {}" + """ fun x() {} """\n}\nfun main() = println("x")\nval z = 1\n',
+        [("Shape", "class", None), ("area", "method", "Shape"), ("Point", "class", None), ("Box", "class", None), ("area", "method", "Box"), ("run", "method", "Box"), ("deep", "function", None), ("object", "class", None), ("make", "method", None), ("Single", "class", None), ("one", "method", None), ("twice", "function", None), ("main", "function", None)],
+    ),
+}
+
+
+@pytest.mark.parametrize("path", sorted(OTHERS))
+def test_symbols_of_other_languages(path):
+    source, expected = OTHERS[path]
+    found = extract.extract_source(path, source.encode()).symbols
+    assert [(s.name, s.kind, s.parent) for s in found] == expected
+    assert len({s.id for s in found}) == len(found) and not extract.extract_source(path, source.encode()).occurrences
+    for s in found:
+        span = source.encode()[s.start : s.end].decode()
+        assert s.name in span and span == span.strip()
+        assert span[-1] in "});" or span.endswith(("end", "2", "(a)", "(1)", '("x")', "Double"))
+
+
+@pytest.mark.parametrize("path", sorted(OTHERS))
+def test_broken_sources_of_other_languages_raise_nothing(path):
+    source = OTHERS[path][0].encode()
+    for k in range(0, len(source), 7):
+        extract.extract_source(path, source[:k])
+        extract.extract_source(path, source[k:])
+    assert extract.extract_source(path, b"\xff\xfe{}(") is not None
+    many = extract.extract_source(path, source * 300).symbols  # in linear time
+    assert len(many) >= 290 * len(OTHERS[path][1])
