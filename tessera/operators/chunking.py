@@ -1,8 +1,9 @@
-"""Chunking: greedy line packing and Python's top-level spans."""
+"""Chunking: greedy line packing and spans of definitions."""
 
 from __future__ import annotations
 
 import ast
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, text
+from tessera.operators import extract
 
 CHUNK_SIZE = 500
 MIN_TOKENS = 10
+#: What stands right above a definition and belongs to it.
+ABOVE = (b"//", b"/*", b"*", b"#", b"@", b"[")
 BATCH_TEXTS = 128
 BATCH_TOKENS = 100_000
 
@@ -44,16 +48,32 @@ def pack_lines(content: str, size: int = CHUNK_SIZE) -> list[tuple[int, int, int
     return out
 
 
-def python_spans(content: str, size: int = CHUNK_SIZE) -> list[tuple[int, int, int, str, int]]:
-    """Chunks along top-level statements of Python, neighbours joined up to ``size``; packing if it does not parse."""
+def _python_starts(content: str) -> list[int]:
+    """Lines where top-level statements of Python begin, with their decorators; none if it does not parse."""
     try:
         body = ast.parse(content).body
     except (SyntaxError, ValueError, RecursionError):
-        return pack_lines(content, size)
-    if not body:
-        return pack_lines(content, size)
-    lines = content.splitlines()
-    starts = [1] + [min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]) for n in body[1:]]
+        return []
+    return [min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]) for n in body]
+
+
+def _symbol_starts(content: str, path: str) -> list[int]:
+    """Lines where the outermost symbols of a source begin, with the comments and attributes right above them."""
+    data = content.encode("utf-8", "replace")
+    breaks = [k for k, byte in enumerate(data) if byte == 10]
+    lines, out, covered = data.split(b"\n"), [], 0  # covered: the last line of the symbol before
+    for s in extract.extract_source(path, data).symbols:
+        first = bisect_left(breaks, s.start) + 1
+        if first > covered:
+            while first - 1 > covered and lines[first - 2].strip().startswith(ABOVE):
+                first -= 1
+            out.append(first)
+            covered = bisect_left(breaks, s.end - 1) + 1
+    return out
+
+
+def _cut_at(lines: list[str], starts: list[int], size: int) -> list[tuple[int, int, int, str, int]]:
+    """Chunks between the lines of ``starts``: neighbours joined up to ``size``, a part above it packed by lines."""
     ends = [s - 1 for s in starts[1:]] + [len(lines)]
     groups: list[list[int]] = []
     for a, b in zip(starts, ends, strict=True):
@@ -64,18 +84,24 @@ def python_spans(content: str, size: int = CHUNK_SIZE) -> list[tuple[int, int, i
             groups.append([a, b, cost])
     out = []
     for a, b, cost in groups:
-        piece = "\n".join(lines[a - 1 : b]).strip("\n")
-        if piece.strip() and cost >= MIN_TOKENS:
-            out.append((len(out), a, b, piece, cost))
+        pieces = [(a, b, "\n".join(lines[a - 1 : b]), cost)]
+        if cost > size:
+            pieces = [(a - 1 + first, a - 1 + last, body, n) for _, first, last, body, n in pack_lines(pieces[0][2], size)]
+        for first, last, body, n in pieces:
+            if body.strip() and n >= MIN_TOKENS:
+                out.append((len(out), first, last, body.strip("\n"), n))
     return out
 
 
 def chunk_text(content: str | None, path: str | None, size: int = CHUNK_SIZE, by_syntax: bool = True) -> list[tuple]:
+    """Chunks along the definitions of a source that can be parsed, by greedy packing of any other text."""
     if content is None or not content.strip():
         return []
-    if by_syntax and path and path.lower().endswith((".py", ".pyi")):
-        return python_spans(content, size)
-    return pack_lines(content, size)
+    language = extract.language_of(path) if by_syntax and path else None
+    starts = [] if language is None else _python_starts(content) if language == "python" else _symbol_starts(content, path)
+    if not starts:
+        return pack_lines(content, size)
+    return _cut_at(content.splitlines() if language == "python" else content.split("\n"), [1, *starts[1:]], size)
 
 
 def chunk_files(files: DataFrame, size: int = CHUNK_SIZE, by_syntax: bool = True) -> DataFrame:
@@ -117,24 +143,26 @@ def embedding_batches(chunks: DataFrame, max_texts: int = BATCH_TEXTS, max_token
 
     A batch closes when it is full or the next text would exceed the token budget; one text above the budget
     is a batch of its own. Batches are kept inside a file, so files stay independent; the running sum with a
-    reset is a fold over the file's own chunks.
+    reset is one walk over the file's own chunks, as numbers without their texts.
     """
     listed = chunks.groupBy("repo", "file_path").agg(
-        F.array_sort(F.collect_list(F.struct("chunk_index", text.token_estimate(F.col("content")).alias("tokens")))).alias("items")
+        F.array_sort(F.collect_list(F.struct("chunk_index", text.token_estimate(F.col("content")).cast("int").alias("tokens")))).alias("items")
     )
-    start = F.struct(
-        F.lit(0).alias("n"), F.lit(0).alias("sum"), F.lit(0).alias("batch"),
-        F.array().cast("array<struct<chunk_index:int,tokens:int,batch:int>>").alias("out"))
-
-    def step(acc, x):
-        full = (acc["n"] > 0) & ((acc["n"] >= max_texts) | (acc["sum"] + x["tokens"] > max_tokens))
-        batch = acc["batch"] + F.when(full, 1).otherwise(0)
-        return F.struct(
-            F.when(full, F.lit(1)).otherwise(acc["n"] + 1).alias("n"),
-            F.when(full, x["tokens"]).otherwise(acc["sum"] + x["tokens"]).alias("sum"),
-            batch.alias("batch"),
-            F.concat(acc["out"], F.array(F.struct(x["chunk_index"].alias("chunk_index"), x["tokens"].alias("tokens"), batch.alias("batch")))).alias("out"),
-        )
-
-    folded = listed.select("repo", "file_path", F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("x"))
-    return folded.select("repo", "file_path", "x.chunk_index", "x.tokens", "x.batch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in batches:
+            numbers = []
+            for items in group.column(2).to_pylist():
+                n = total = batch = 0
+                mine = []
+                for x in items:
+                    if n and (n >= max_texts or total + x["tokens"] > max_tokens):
+                        batch, n, total = batch + 1, 0, 0
+                    n, total = n + 1, total + x["tokens"]
+                    mine.append(batch)
+                numbers.append(mine)
+            yield pa.RecordBatch.from_arrays([*group.columns, pa.array(numbers, pa.list_(pa.int32()))], names=["repo", "file_path", "items", "batches"])
+
+    placed = listed.mapInArrow(run, "repo string, file_path string, items array<struct<chunk_index:int,tokens:int>>, batches array<int>")
+    each = placed.select("repo", "file_path", F.explode(F.arrays_zip("items", "batches")).alias("x"))
+    return each.select("repo", "file_path", "x.items.chunk_index", "x.items.tokens", F.col("x.batches").alias("batch"))

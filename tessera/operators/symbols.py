@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,11 +91,32 @@ def get_symbols(symbols: DataFrame, wanted: list[str], files: DataFrame | None =
 
 
 def enclosing_symbols(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Occurrence id and the innermost symbol whose bytes hold it; files are joined, spans filtered."""
+    """Occurrence id and the innermost symbol whose bytes hold it, for occurrences that lie in one.
+
+    The spans and places of a file meet sorted by place and are merged in one walk; spans of symbols nest.
+    """
     spans = symbols.select("repo", "file_path", F.col("id").alias("symbol_id"), F.col("start_byte").alias("s"), F.col("end_byte").alias("e"))
-    joined = occurrences.select("repo", "file_path", "id", "start_byte").join(spans, ["repo", "file_path"])
-    inside = joined.where((F.col("s") <= F.col("start_byte")) & (F.col("start_byte") < F.col("e")))
-    return inside.groupBy("repo", "id").agg(F.max_by("symbol_id", F.struct("s", -F.col("e"))).alias("enclosing_symbol_id"))
+    places = occurrences.select("repo", "file_path", "id", "start_byte")
+
+    def merge(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = sorted(zip(right["s"].to_pylist(), right["e"].to_pylist(), right["symbol_id"].to_pylist(), strict=True), key=lambda x: (x[0], -x[1]))
+        asked = sorted(zip(left["start_byte"].to_pylist(), left["id"].to_pylist(), left["repo"].to_pylist(), strict=True), key=lambda x: x[0])
+        found, open_, at = [], [], 0
+        for place, name, repo in asked:
+            while at < len(held) and held[at][0] <= place:
+                while open_ and open_[-1][1] <= held[at][0]:
+                    open_.pop()
+                open_.append(held[at])
+                at += 1
+            while open_ and open_[-1][1] <= place:
+                open_.pop()
+            if open_:
+                found.append((repo, name, open_[-1][2]))
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        return pa.table({n: pa.array(c, pa.string()) for n, c in zip(("repo", "id", "enclosing_symbol_id"), columns, strict=True)})
+
+    together = places.groupBy("repo", "file_path").cogroup(spans.groupBy("repo", "file_path"))
+    return together.applyInArrow(merge, "repo string, id string, enclosing_symbol_id string")
 
 
 def file_outline(symbols: DataFrame) -> DataFrame:

@@ -104,6 +104,17 @@ def test_python_chunks_follow_statements_and_fall_back():
     assert chunking.chunk_text("def broken(:\n" * 3, "m.py", 4) == chunking.pack_lines("def broken(:\n" * 3, 4)
 
 
+def test_chunks_follow_definitions_of_every_language():
+    body = "package p\n\n" + "".join(f"// doc of f{i}\nfunc f{i}(a int) int {{\n\treturn a + {i}\n}}\n\n" for i in range(12))
+    chunks = chunking.chunk_text(body, "m.go", 40)
+    assert len(chunks) > 2 and all(c[3].startswith(("package", "// doc of")) and c[3].endswith("}") for c in chunks)
+    assert "\n".join(body.split("\n")[chunks[1][1] - 1 : chunks[1][2]]).strip("\n") == chunks[1][3]
+    ruby = "class A\n" + "".join(f"  def m{i}(x)\n    x + {i} + 1 + 2 + 3\n  end\n" for i in range(30)) + "end\n"
+    assert max(c[4] for c in chunking.chunk_text(ruby, "a.rb", 60)) <= 60  # a class above the size is cut
+    for path in ("a.rs", "a.java", "a.kt", "a.unknown"):
+        assert chunking.chunk_text("plain words only\n" * 30, path, 20) == chunking.pack_lines("plain words only\n" * 30, 20)
+
+
 def test_vectors_agree_and_tolerate(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [1.0]), (5, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "id long, vector array<float>")
