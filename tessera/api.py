@@ -6,6 +6,7 @@ returned by :meth:`Engine.call` as ``{"error": ...}``; the methods themselves ra
 
 from __future__ import annotations
 
+import logging
 import os
 import threading
 import time
@@ -14,18 +15,31 @@ from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
-from tessera.operators import chunking, diff, discovery, embedding, extract, ignore, maintenance, search, symbols
+from tessera.functions import ids
+from tessera.operators import ann, chunking, diff, discovery, embedding, extract, ignore, maintenance, search, symbols
 from tessera.operators import predicates as P
-from tessera.sources import corpus, store
+from tessera.sources import corpus, remote, store
+from tessera.streaming import changes
 
 MAX_PROJECTS = 20
+WARN_SHARE = 0.8
+SWEEP_DELAY_S = 300.0
 JOB_HISTORY = 100
 
 
+log = logging.getLogger("tessera")
+
+
+def common_rows(report: DataFrame) -> DataFrame:
+    """A report as rows of its own, so that it stays what it was when the tables it came from change."""
+    return report.sparkSession.createDataFrame(report.collect(), report.schema)  # names and numbers of what is to go
+
+
 @dataclass
 class Settings:
     """What the environment configures elsewhere is a parameter here."""
@@ -35,6 +49,9 @@ class Settings:
     metric: str = "l2"
     max_files: int = 500
     max_files_per_window: int = 10_000
+    max_wall_s: float = 60.0
+    debounce_ms: int = 500
+    vector_index_rows: int = ann.THRESHOLD
     staleness_deadline_s: float = 4.0
     query_timeout_s: float = 45.0
     grace_s: int = maintenance.GRACE_S
@@ -60,82 +77,169 @@ class Engine:
         self.spark, self.settings, self.clock = spark, settings, clock
         self.embedder = embedder or embedding.HashEmbedder()
         self.store = store.Store(spark, settings.warehouse_dir)
-        self.ledger = maintenance.Ledger()
+        self.ledger = maintenance.Ledger(lambda: (self.store.read_json("ledger") or {}).get("total"), lambda total: self.store.write_json("ledger", {"total": total}))
         self._projects: OrderedDict[str, set[str]] = OrderedDict()
         self._watchers: dict[str, object] = {}
         self._refreshing: set[str] = set()
         self._last_error: str | None = None
         self._jobs: list[Job] = []
         self._lock = threading.Lock()
+        self._sweep: threading.Timer | None = None
+        self._remotes: dict[str, Callable[[str], bytes | None]] = {}
 
     # --- corpus ---------------------------------------------------------------------------------------------
 
+    def listing(self, path: str) -> DataFrame:
+        """Files of a project that no rule on names or sizes rejects; none is opened."""
+        return discovery.named(corpus.listing(self.spark, path, self._register(path)), path, corpus.root_rules(self.spark, path))
+
     def files(self, path: str) -> DataFrame:
-        """Discovered files of a project: names and sizes are judged before any byte is looked at."""
-        rules = corpus.root_rules(self.spark, path)
-        return discovery.discover(corpus.directory(self.spark, path, self._register(path)), path, rules)
+        """Discovered files of a project with their contents, which are read once names and sizes are judged."""
+        return corpus.contents(self.listing(path), path).where(~P.is_binary(F.col("content")))
 
     def _register(self, path: str) -> str:
         """The canonical key of a project, remembered with the path as its alias."""
         key = self.settings.repo_key(path)
-        if key not in self._projects and len(self._projects) >= MAX_PROJECTS:
-            raise ValueError(f"at most {MAX_PROJECTS} projects can be loaded")
+        if key not in self._projects:
+            if len(self._projects) >= MAX_PROJECTS:
+                raise ValueError(f"at most {MAX_PROJECTS} projects can be loaded")
+            if len(self._projects) + 1 >= WARN_SHARE * MAX_PROJECTS:
+                log.warning("%d of %d projects are loaded", len(self._projects) + 1, MAX_PROJECTS)
         self._projects.setdefault(key, set()).add(path)
         return key
 
+    def _note(self, repo: str) -> None:
+        """The project's meta, with the aliases under which it is loaded."""
+        self.store.merge_project_meta(repo, sorted(self._projects.get(repo, {repo}) - {repo}), self.clock())
+
+    def project_meta(self, path: str) -> DataFrame:
+        """A10: no row where nothing is known of the project."""
+        key = ids.cache_key(F.lit(self.settings.repo_key(path)))
+        return self.store.read("project_meta").where(F.col("cache_key") == key)
+
     # --- semantic tools -------------------------------------------------------------------------------------
 
+    def pending(self, path: str, files: DataFrame | None = None) -> DataFrame:
+        """Files to index, in order."""
+        now, (indexed, zero) = self.files(path) if files is None else files, self._known(self._register(path))
+        return diff.in_order(diff.pending_files(now.select("repo", "file_path", "file_hash"), indexed, zero))
+
+    def zero_chunk_files(self, path: str) -> DataFrame:
+        """S5."""
+        return diff.in_order(self.store.read("zero_chunk_files", repo=self._register(path)))
+
+    def _known(self, repo: str) -> tuple[DataFrame, DataFrame]:
+        return store.file_hashes(self.store.read("chunks", repo=repo)), self.store.read("zero_chunk_files", repo=repo)
+
     def index_semantic(self, path: str, files: DataFrame | None = None) -> DataFrame:
-        """Bring the chunk table up to date; one row of counts."""
-        repo = self._register(path)
-        now = (self.files(path) if files is None else files).cache()
+        """Bring the chunk table up to date; one row of counts, with the files that remain.
+
+        Files are taken in bounded windows in order of path (I7). A run does at least one window and begins no
+        other after ``max_wall_s``; what it has not reached lies in the table of pending files, where the next
+        run goes on without looking at the tree again (I8).
+        """
+        repo, began = self._register(path), self.clock()
+        waiting = self.store.read("pending_files", repo=repo) if files is None else None
+        if waiting is None or waiting.isEmpty():
+            waiting = self._begin_index(repo, path, files)
+        numbers = sorted(r[0] for r in waiting.select("window").distinct().collect())  # a row per window
+        done = 0
+        for number in numbers:
+            if done and self.clock() - began > self.settings.max_wall_s:
+                break
+            self._index_window(repo, path, waiting.where(F.col("window") == number), files)
+            done += 1
+        rest = waiting.where(F.col("window") > numbers[done - 1]) if done else waiting
+        held = self.store.read("pending_files", repo=repo)
+        if done < len(numbers) or not held.isEmpty():
+            self.store.replace("pending_files", rest, held.select(*store.FILE_KEY).unionByName(rest.select(*store.FILE_KEY)))
+        left = self.store.read("pending_files", repo=repo).count()
+        if not left:
+            self._update_vector_index(repo)
+            self._note(repo)
+        return self.status(path).withColumn("remaining", F.lit(left))
+
+    def _begin_index(self, repo: str, path: str, files: DataFrame | None) -> DataFrame:
+        """The windows of pending files; files that are gone leave the tables at once."""
+        now = (self.files(path) if files is None else files).select("repo", "file_path", "file_hash").cache()
         try:
-            base, held = self.store.version("chunks"), self.store.read("chunks")
-            mine = held.where(F.col("repo") == repo)
-            indexed, zero = store.file_hashes(mine), self.store.read("zero_chunk_files")
-            todo = diff.pending_files(now.select("repo", "file_path", "file_hash"), indexed, zero)
-            gone = indexed.select("repo", "file_path").limit(0) if self.settings.keep_missing else diff.stale_indexed(indexed, now)
-            texts = corpus.with_text(now.join(todo.select("repo", "file_path"), ["repo", "file_path"], "left_semi"))
-            cut = chunking.chunk_files(texts, self.settings.chunk_size)
-            rows = embedding.embed_chunks(cut, self.embedder).withColumn("indexed_at", F.lit(self.clock()))
-            touched = todo.select("repo", "file_path").unionByName(gone)
-            self.store.replace("chunks", rows, touched, expected=base)
-            fresh = self.store.read("chunks").join(todo.select("repo", "file_path"), ["repo", "file_path"], "left_semi")
-            without = todo.join(fresh.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_anti")
-            self.store.replace("zero_chunk_files", without, touched)
-            old = held.join(touched, ["repo", "file_path"], "left_semi").select("id")
-            self._update_text_index(fresh.select("id", "content"), old.unionByName(fresh.select("id")))
-            return self.status(path)
+            indexed, zero = self._known(repo)
+            if not self.settings.keep_missing:
+                gone = diff.stale_indexed(indexed, now)
+                lost = self.store.read("chunks", repo=repo).join(gone, ["repo", "file_path"], "left_semi").select("repo", "id")
+                self._update_text_index(lost.select("repo", "id").limit(0).withColumn("content", F.lit("")), lost)
+                self.store.replace("chunks", self.store.read("chunks").limit(0), gone)
+                self.store.replace("zero_chunk_files", zero.limit(0), diff.stale_indexed(zero, now))
+            todo = changes.windows(diff.pending_files(now, indexed, zero), self.settings.max_files_per_window)
+            self.store.replace("pending_files", todo, todo.select(*store.FILE_KEY))
+            return self.store.read("pending_files", repo=repo)
         finally:
             now.unpersist()
 
+    def _index_window(self, repo: str, path: str, todo: DataFrame, files: DataFrame | None) -> None:
+        """The files of one window: cut, embedded, stored; only they are opened."""
+        keys = todo.select(*store.FILE_KEY)
+        found = corpus.contents(keys, path) if files is None else files.join(keys, list(store.FILE_KEY), "left_semi")
+        cut = chunking.chunk_files(corpus.with_text(found), self.settings.chunk_size)
+        rows = embedding.embed_chunks(cut, self.embedder).withColumn("indexed_at", F.lit(self.clock()))
+        base = self.store.version("chunks")
+        old = self.store.read("chunks", repo=repo, version=base).join(keys, list(store.FILE_KEY), "left_semi").select("repo", "id")
+        self.store.replace("chunks", rows, keys, expected=base)
+        fresh = self.store.read("chunks", repo=repo).join(keys, list(store.FILE_KEY), "left_semi")
+        without = found.select("repo", "file_path", "file_hash").join(fresh.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_anti")
+        self.store.replace("zero_chunk_files", without, keys)
+        self._update_text_index(fresh.select("repo", "id", "content"), old.unionByName(fresh.select("repo", "id")))
+
     def _update_text_index(self, texts: DataFrame, touched: DataFrame) -> None:
         """Postings and lengths of the chunks that came or went; those of other buckets stay as they are."""
-        self.store.replace("postings", search.postings(texts), touched, ("id",))
-        self.store.replace("doc_lengths", search.document_lengths(texts), touched, ("id",))
-
-    def search_semantic(self, query: str, path: str, limit: int = 10, hybrid: bool = True, q: str | None = None, m: int | None = None) -> DataFrame:
-        """The best chunks of a project; ``q`` and ``m`` are other names of query and limit, and ``m`` wins."""
+        named = texts.select("repo", "id")
+        for name, rows in (("postings", search.postings(texts)), ("doc_lengths", search.document_lengths(texts))):
+            self.store.replace(name, rows.join(named, "id"), touched, ("repo", "id"))
+
+    def _update_vector_index(self, repo: str) -> None:
+        """Centroids and buckets of a project with many vectors; every vector is in a bucket."""
+        vectors = self.store.read("chunks", repo=repo).select("repo", "id", "vector").where("vector IS NOT NULL")
+        n = vectors.count()
+        if not ann.wanted(n, self.settings.vector_index_rows):
+            return
+        centres = ann.fit(vectors, ann.n_buckets(n))
+        rows = self.spark.createDataFrame([(repo, k, [float(x) for x in c]) for k, c in enumerate(centres)], store.TABLES["vector_centres"])
+        self.store.replace("vector_centres", rows, rows.select("repo").distinct(), ("repo",))
+        old = self.store.read("vector_buckets", repo=repo)
+        built = ann.build(vectors, centres).where("bucket IS NOT NULL")
+        everywhere = built.select("repo", "bucket").distinct().unionByName(old.select("repo", "bucket").distinct())
+        self.store.replace("vector_buckets", built, everywhere, ("repo", "bucket"))
+
+    def search_semantic(self, query: str, path: str, limit: int = 10, hybrid: bool = True, q: str | None = None, m: int | None = None, approximate: bool = False) -> DataFrame:
+        """The best chunks of a project; ``q`` and ``m`` are other names of query and limit, and ``m`` wins.
+
+        Words are looked up in the stored postings of the project. ``approximate`` looks for vectors in the
+        nearest buckets alone, where the project has a vector index; else the vector search is exact.
+        """
         query, limit = P.require_query(query or q), max(1, int(limit if m is None else m))
-        chunks = self.store.read("chunks").where(F.col("repo") == self._register(path))
+        repo = self._register(path)
+        chunks = self.store.read("chunks", repo=repo)
         vector = embedding.embed_query(self.embedder, query)
+        vectors = chunks.select("id", "vector")
+        if approximate and (centres := self.store.read("vector_centres", repo=repo).orderBy("bucket").collect()):
+            near = ann.probes(vector, np.array([r["centre"] for r in centres], float), ann.PROBES)
+            vectors = self.store.read("vector_buckets", repo=repo).where(F.col("bucket").isin(near)).select("id", "vector")
         ready = hybrid and self.store.exists("postings")
-        found = search.hybrid_topk(chunks, vector, query, limit, self.settings.metric, fts_ready=ready)
+        scored = search.fts_index(self.store.read("postings", repo=repo), self.store.read("doc_lengths", repo=repo), query) if ready else None
+        found = search.hybrid_topk(vectors, vector, query, limit, self.settings.metric, fts_ready=ready, scored=scored)
         rows = chunks.select("id", "file_path", F.col("start_line").alias("line_number"), "end_line", "content")
         return F.broadcast(found).join(rows, "id").orderBy("rank")
 
     def status(self, path: str = "") -> DataFrame:
         """Chunks and files by repository."""
-        chunks = self.store.read("chunks")
-        return store.counts(chunks.where(F.col("repo") == self._register(path)) if path else chunks)
+        return store.counts(self.store.read("chunks", repo=self._register(path)) if path else self.store.read("chunks"))
 
     def staleness(self, path: str) -> DataFrame:
         """Reasons to refresh, counted."""
         repo = self._register(path)
-        mine = self.store.read("chunks").where(F.col("repo") == repo)
-        last = mine.agg(F.coalesce(F.max("indexed_at"), F.lit(0.0))).first()[0]
-        zero = self.store.read("zero_chunk_files").where(F.col("repo") == repo)
-        return diff.staleness(self.files(path), store.file_hashes(mine), zero, last)
+        indexed, zero = self._known(repo)
+        last = store.latest_indexed_at(self.store.read("chunks", repo=repo)).first()[0]
+        return diff.staleness(self.files(path), indexed, zero, last)
 
     def ensure_fresh(self, path: str, background: bool = True) -> str:
         """I9-I11: 'fresh', 'refreshing' or 'busy'. The check has a deadline, after which the index counts as fresh;
@@ -161,7 +265,8 @@ class Engine:
 
         def refresh() -> None:
             try:
-                self.index_semantic(path)
+                while (row := self.index_semantic(path).first()) is not None and row["remaining"]:
+                    pass
             finally:
                 with self._lock:
                     self._refreshing.discard(repo)
@@ -182,11 +287,13 @@ class Engine:
         return True
 
     def warm(self, paths: list[str] | None = None) -> list[str]:
-        """Load projects ahead: those named, else the latest indexed; only folders with an index, up to the limit."""
-        known = {r["repo"]: r["latest_indexed_at"] for r in store.counts(self.store.read("chunks")).collect()}  # a row per project
-        wanted = [p.strip() for p in paths if p.strip()] if paths is not None else sorted(known, key=lambda r: (-known[r], r))
+        """Load projects ahead: those named, else the latest indexed; only folders with an index, up to the limit."""
+        known = {r["repo"] for r in store.counts(self.store.read("chunks")).select("repo").toLocalIterator()}
+        if paths is None:
+            alive = self.spark.createDataFrame([(p,) for p in known if os.path.isdir(p)], "project_path string")
+            paths = [r["project_path"] for r in store.recent_projects(self.store.read("project_meta"), alive, MAX_PROJECTS).collect()]
         loaded = []
-        for path in dict.fromkeys(os.path.abspath(p) for p in wanted):
+        for path in dict.fromkeys(os.path.abspath(p.strip()) for p in paths if p.strip()):
             if len(self._projects) >= MAX_PROJECTS:
                 break
             if os.path.isdir(path) and self.settings.repo_key(path) in known:
@@ -194,19 +301,22 @@ class Engine:
         return loaded
 
     def watch_start(self, path: str, state: str, trigger: dict | None = None):
-        """T4: a streaming query of the project's file changes; started once."""
+        """T4: a streaming query of the project's file changes; started once. A file counts once it has been quiet."""
         from tessera.sources.snapshots import SnapshotSource
-        from tessera.streaming import changes
 
         repo = self._register(path)
         if repo in self._watchers:
             return self._watchers[repo]
         self.spark.dataSource.register(SnapshotSource)
-        events = self.spark.readStream.format("file_changes").option("path", path).option("state", state).load()
+        source = self.spark.readStream.format("file_changes").option("path", path).option("state", state)
+        events = source.option("debounceMs", str(self.settings.debounce_ms)).load()
+        rules = corpus.root_rules(self.spark, path)
 
         def apply(batch: DataFrame, epoch: int) -> None:
-            now = self.files(path).select("file_path", "content")
             rows = changes.relevant(batch).withColumn("repo", F.lit(repo)).withColumn("ts", F.timestamp_seconds("mtime"))
+            # only the files of the batch are judged and opened
+            wanted = discovery.named(rows.where("event_type <> 'deleted'").select("file_path", "size").distinct(), path, rules)
+            now = corpus.contents(wanted, path).where(~P.is_binary(F.col("content"))).select("file_path", "content")
             texts = rows.join(corpus.with_text(now), "file_path", "left")
             make = lambda files: embedding.embed_chunks(chunking.chunk_files(files, self.settings.chunk_size), self.embedder)
             changes.apply_to_store(self.store, make, self.clock, self._update_text_index)(texts, epoch)
@@ -232,8 +342,7 @@ class Engine:
         now = discovery.supported(found, max_files or self.settings.max_files).cache()
         try:
             base = self.store.version("files")
-            held = self.store.read("files")
-            mine = held.where((F.col("repo") == repo) & (F.col("version") == schemas.INDEX_VERSION) & F.lit(incremental))
+            mine = self.store.read("files", repo=repo).where((F.col("version") == schemas.INDEX_VERSION) & F.lit(incremental))
             status = diff.detect_changes(now.select("repo", "file_path", "file_hash"), mine.select("repo", "file_path", "file_hash"))
             complete = now.count() < (max_files or self.settings.max_files)
             touched = status.where(F.col("status").isin("new", "changed", *(["deleted"] if complete else [])))
@@ -243,23 +352,28 @@ class Engine:
             self.store.replace("symbols", extract.symbols_of(rows), touched)
             self.store.replace("occurrences", extract.occurrences_of(rows), touched)
             self.store.replace("files", corpus.files_of(todo, version), touched, expected=base)
-            self.store.write_index_meta(self.clock())
+            self.store.write_index_meta(self.clock(), repo)
             rows.unpersist()
-            return self.store.read("index_meta").where(F.col("repo") == repo)
+            return self.store.read("index_meta", repo=repo)
         finally:
             now.unpersist()
 
-    def index_symbols_repo(self, repo: str, listing: list[str], fetch: Callable[[str], bytes | None], max_files: int = 500) -> DataFrame:
-        """Symbols of a remote tree, without occurrences; the caller lists and fetches."""
+    def index_symbols_repo(self, repo: str, listing: list[str] | None = None, fetch: Callable[[str], bytes | None] | None = None, max_files: int = 500, ref: str = "HEAD", token: str | None = None) -> DataFrame:
+        """Symbols of a remote tree, without occurrences. ``repo`` is owner/name, listed and fetched from its public
+        host; a caller that brings ``listing`` and ``fetch`` names any key."""
+        if listing is None or fetch is None:
+            tree = remote.RemoteTree(repo, ref, token)
+            repo, listing, fetch = tree.key, tree.listing(), tree.fetch
+        self._remotes[repo] = fetch
         files = discovery.supported(corpus.fetched(self.spark, repo, listing, fetch, max_files), max_files).cache()
         try:
             touched = files.select("repo", "file_path")
-            old = self.store.read("files").where(F.col("repo") == repo).select("repo", "file_path")
+            old = self.store.read("files", repo=repo).select("repo", "file_path")
             rows = extract.symbols_of(extract.extract_files(files))
             self.store.replace("symbols", rows, touched.unionByName(old))
             self.store.replace("files", corpus.files_of(files, schemas.UNVERSIONED), touched.unionByName(old))
-            self.store.write_index_meta(self.clock())
-            return self.store.read("index_meta").where(F.col("repo") == repo)
+            self.store.write_index_meta(self.clock(), repo)
+            return self.store.read("index_meta", repo=repo)
         finally:
             files.unpersist()
 
@@ -268,21 +382,28 @@ class Engine:
         return store.list_repos(self.store.read("files"))
 
     def file_tree(self, path: str, max_files: int = 500) -> DataFrame:
-        """T9."""
-        return discovery.file_tree(self.files(path), max_files)
+        """Names alone; of the files that the rules leave, the first bytes are looked at for the binary ones."""
+        named = self.listing(path)
+        return discovery.file_tree(corpus.contents(named, path, head=P.SNIFF_BYTES).where(~P.is_binary(F.col("content"))), max_files)
 
     def file_outline(self, path: str, file_path: str) -> DataFrame:
-        """Outline of one file; no index is needed."""
-        one = self.files(path).where(F.col("file_path") == file_path)
+        """Outline of one file, the only one that is opened; no index is needed."""
+        one = corpus.contents(self.listing(path).where(F.col("file_path") == file_path), path).where(~P.is_binary(F.col("content")))
         return symbols.file_outline(extract.symbols_of(extract.extract_files(one)))
 
     def repo_outline(self, path: str, max_files: int = 500) -> DataFrame:
-        """T11."""
-        files = discovery.supported(self.files(path), max_files)
-        return symbols.file_outline(extract.symbols_of(extract.extract_files(files)))
+        """The outlines of the files with symbols, each with the totals of the project."""
+        files = discovery.supported(self.files(path), max_files).cache()
+        found = extract.symbols_of(extract.extract_files(files))
+        totals = symbols.repo_outline(files, found).select("repo", "total_files", "total_symbols")
+        return symbols.file_outline(found).join(totals, "repo").orderBy("file_path")
 
     def _of(self, name: str, path: str) -> DataFrame:
-        return self.store.read(name).where(F.col("repo") == self.settings.repo_key(path))
+        return self.store.read(name, repo=self._key(path))
+
+    def _key(self, path: str) -> str:
+        """The key of a local project, or a remote one's as it is."""
+        return path if path.startswith(remote.PREFIX) else self.settings.repo_key(path)
 
     def search_symbols(self, query: str, path: str, limit: int = 20, kind: str | None = None) -> DataFrame:
         """T12."""
@@ -296,8 +417,7 @@ class Engine:
     def search_references(self, query: str, path: str, limit: int = 20, usage_filter: str = "production_first", kind: str | None = None) -> DataFrame:
         """With is_stale by the files' present hashes, which are taken of the returned files alone."""
         hits = symbols.search_references(self._of("occurrences", path), query, limit, usage_filter, kind).cache()
-        wanted = hits.select("file_path").distinct()
-        now = corpus.directory(self.spark, path, self.settings.repo_key(path)).join(F.broadcast(wanted), "file_path", "left_semi")
+        now = corpus.contents(hits.select("repo", "file_path").distinct(), path)
         flagged = diff.flag_stale(hits, self._of("files", path), now.select("repo", "file_path", "file_hash"))
         return flagged.orderBy("is_test_file", "repo", "file_path", "line_number", "name", "start_byte")
 
@@ -306,8 +426,16 @@ class Engine:
         return self.get_symbols([symbol_id], path)
 
     def get_symbols(self, symbol_ids: list[str], path: str) -> DataFrame:
-        """In the order asked for, with the source text."""
-        return symbols.get_symbols(self._of("symbols", path), symbol_ids, corpus.directory(self.spark, path, self.settings.repo_key(path)))
+        """In the order asked for, with the source text; only the files of these symbols are opened, those of a
+        remote project fetched (A14)."""
+        held, key = self._of("symbols", path), self._key(path)
+        wanted = held.where(F.col("id").isin(list(symbol_ids))).select("repo", "file_path").distinct()
+        if key.startswith(remote.PREFIX):
+            tree = remote.RemoteTree.of_key(key)
+            fetch = self._remotes.get(key) or (tree.fetch if tree else lambda path: None)
+            names = [r["file_path"] for r in wanted.collect()]  # at most one for each id of the request
+            return symbols.get_symbols(held, symbol_ids, corpus.fetched(self.spark, key, names, fetch, len(names)))
+        return symbols.get_symbols(held, symbol_ids, corpus.contents(wanted, path))
 
     # --- maintenance ----------------------------------------------------------------------------------------
 
@@ -320,43 +448,120 @@ class Engine:
         self._require_grant()
         return self.store.delete_repo(self.settings.repo_key(path))
 
-    def prune_orphans(self, inventory: DataFrame, delete: Callable[[str], None] | None = None) -> DataFrame:
-        """The report; names are handed to ``delete`` only with a grant (no ``delete``: a dry run)."""
-        active = self.spark.createDataFrame([(k,) for k in self._projects], "path string").select(F.substring(F.sha2("path", 256), 1, 12).alias("name"))
-        return self._pruned(maintenance.orphan_caches(inventory, active, self.clock(), self.settings.grace_s), delete)
-
-    def prune_symbols(self, inventory: DataFrame, delete: Callable[[str], None] | None = None) -> DataFrame:
-        """T19."""
+    def _exists(self, path: str) -> bool | None:
+        """Whether a project's folder is there; None where that cannot be seen."""
+        try:
+            os.stat(path)
+            return os.path.isdir(path)
+        except (FileNotFoundError, NotADirectoryError):
+            return False
+        except OSError:
+            return None
+
+    def prune_orphans(self, dry_run: bool = True, inventory: DataFrame | None = None, delete: Callable[[str], None] | None = None) -> DataFrame:
+        """Name, reason, bytes, project_path of what the chunk tables hold of nobody's project.
+
+        Without a dry run, and with a grant, the rows of each go, if the project is still gone and not loaded by
+        then. A caller may bring another store's ``inventory`` and its own ``delete``.
+        """
+        active = self.spark.createDataFrame([(k,) for k in self._projects], "path string").select(ids.cache_key(F.col("path")).alias("name"))
+        held = self.store.semantic_inventory(self._exists) if inventory is None else inventory
+        report = maintenance.orphan_caches(held, active, self.clock(), self.settings.grace_s)
+        if inventory is None:
+            repos = {r["name"]: r["repo"] for r in held.select("name", "repo").join(report.select("name"), "name", "left_semi").toLocalIterator()}
+            delete = lambda name: self._drop_semantic(name, repos.get(name))
+        return self._pruned(report, None if dry_run else delete)
+
+    def _drop_semantic(self, name: str, repo: str | None) -> None:
+        if repo is not None:
+            if repo in self._projects or (self._exists(repo) is not False and self.project_meta(repo).count()):
+                return
+            for table in ("chunks", "zero_chunk_files", "postings", "doc_lengths", "pending_files", "vector_buckets", "vector_centres"):
+                self.store.delete_rows(table, [repo])
+        doomed = self.store.read("project_meta").where(F.col("cache_key") == name)
+        self.store.replace("project_meta", doomed.limit(0), doomed.select("cache_key"), ("cache_key",))
+
+    def prune_symbols(self, dry_run: bool = True, inventory: DataFrame | None = None, delete: Callable[[str], None] | None = None) -> DataFrame:
+        """Name, reason, bytes, repo_path of symbol indexes whose project is gone, and of what belongs to none."""
         active = self.spark.createDataFrame([(k,) for k in self._projects], "repo_path string")
-        return self._pruned(maintenance.stale_indexes(inventory, active, self.clock(), self.settings.grace_s), delete)
+        held = self.store.symbol_inventory(self._exists) if inventory is None else inventory
+        report = maintenance.stale_indexes(held, active, self.clock(), self.settings.grace_s)
+        if inventory is None:
+            repos = {r["name"]: r["repo"] for r in held.select("name", "repo").join(report.select("name"), "name", "left_semi").toLocalIterator()}
+            delete = lambda name: self._drop_symbols(repos[name])
+        return self._pruned(report, None if dry_run else delete)
+
+    def _drop_symbols(self, repo: str) -> None:
+        if repo not in self._projects and self._exists(repo) is False:
+            self.store.delete_repo(repo)
+            self.store.delete_rows("index_meta", [repo])
 
     def _pruned(self, report: DataFrame, delete: Callable[[str], None] | None) -> DataFrame:
-        if delete is not None:
-            self._require_grant()
-            for row in report.select("name").toLocalIterator():  # names of one store's inventory, as a stream
+        """The report; what fails to go is logged and does not stop the rest."""
+        if delete is None:
+            return report
+        self._require_grant()
+        report = common_rows(report)
+        for row in report.toLocalIterator():
+            try:
                 delete(row["name"])
+            except (OSError, store.Conflict) as e:
+                self._last_error = str(e)
+                log.warning("%s could not be deleted: %s", row["name"], e)
         return report
 
-    def gc(self, delete: bool = False) -> DataFrame:
-        """Indexed local projects whose folder is gone and that nobody has loaded, with their rows; ``delete``
-        drops them, with a grant. Remote keys have no folder to look for."""
-        held = self.store.read("files").select("repo", F.lit("files").alias("t")).unionByName(self.store.read("chunks").select("repo", F.lit("chunks").alias("t")))
-        report = held.groupBy("repo").agg(F.count_if(F.col("t") == "files").alias("files"), F.count_if(F.col("t") == "chunks").alias("chunks"))
-        gone = [r["repo"] for r in report.select("repo").collect() if not r["repo"].startswith("github:") and r["repo"] not in self._projects and not os.path.isdir(r["repo"])]
-        found = report.where(F.col("repo").isin(gone)) if gone else report.where(F.lit(False))
-        if delete and gone:
+    def gc_aliases(self, dry_run: bool = True) -> DataFrame:
+        """cache_key and path of aliases whose folder is gone; without a dry run they leave the meta."""
+        meta = self.store.read("project_meta")
+        paths = [r[0] for r in meta.select(F.explode("alias_paths").alias("p")).distinct().toLocalIterator()]
+        alive = self.spark.createDataFrame([(p,) for p in paths if self._exists(p) is not False], "path string")
+        kept = maintenance.collect_aliases(meta, alive)
+        both = meta.join(kept.withColumnRenamed("alias_paths", "kept"), "cache_key")
+        gone = common_rows(both.select("cache_key", F.explode(F.array_except("alias_paths", "kept")).alias("path")))
+        if not dry_run:
             self._require_grant()
-            found = self.spark.createDataFrame([tuple(r) for r in found.collect()], "repo string, files long, chunks long")  # before they go
-            for repo in gone:
-                self.store.delete_repo(repo)
-            doomed = self.store.read("chunks").where(F.col("repo").isin(gone))
-            self.store.replace("chunks", doomed.limit(0), doomed.select(*store.FILE_KEY))
-        return found
-
-    def invalidate_worktrees(self, paths: DataFrame, sizes: DataFrame, existing: DataFrame) -> DataFrame:
-        """T20."""
+            touched = gone.select("cache_key").distinct()
+            rows = both.join(touched, "cache_key", "left_semi").withColumn("alias_paths", F.col("kept"))
+            self.store.replace("project_meta", rows, touched, ("cache_key",))
+        return gone
+
+    def gc(self, delete: bool = False) -> DataFrame:
+        """Orphans, dead aliases and stale indexes in one report: step, name, reason, bytes, project."""
+        nothing = F.lit(0).cast("long").alias("bytes")
+        parts = [
+            self.prune_orphans(not delete).select(F.lit("orphans").alias("step"), "name", "reason", "bytes", F.col("project_path").alias("project")),
+            self.gc_aliases(not delete).select(F.lit("aliases").alias("step"), F.col("cache_key").alias("name"), F.lit("alias_path_enoent").alias("reason"), nothing, F.col("path").alias("project")),
+            self.prune_symbols(not delete).select(F.lit("indexes").alias("step"), "name", "reason", "bytes", F.col("repo_path").alias("project")),
+        ]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    def start_sweep(self, delay_s: float = SWEEP_DELAY_S) -> threading.Timer:
+        """One look for orphans some time after the start; it deletes only with a grant."""
+        if self._sweep is None:
+            self._sweep = threading.Timer(delay_s, lambda: self.call("prune_orphans", dry_run=not self.settings.allow_destructive))
+            self._sweep.daemon = True
+            self._sweep.start()
+        return self._sweep
+
+    def invalidate_worktrees(self, paths: list[str]) -> DataFrame:
+        """What became of each path: its alias is dropped, and the project's rows if nothing is left of it."""
         self._require_grant()
-        return maintenance.invalidate_worktrees(paths, self.store.read("project_meta"), sizes, existing)
+        asked = self.spark.createDataFrame([(p, os.path.islink(p)) for p in paths], "path string, is_symlink boolean")
+        keys = asked.select(ids.cache_key(F.col("path")).alias("cache_key"))
+        meta = self.store.read("project_meta").join(keys, "cache_key", "left_semi")
+        sizes = self.store.semantic_inventory(self._exists).select(F.col("name").alias("cache_key"), "repo", "bytes", "has_meta").join(keys, "cache_key", "left_semi")
+        named = [r[0] for r in meta.select("project_path").where("project_path IS NOT NULL").collect()]  # of the request's paths
+        existing = self.spark.createDataFrame([(p,) for p in named if self._exists(p) is not False], "path string")
+        report = common_rows(maintenance.invalidate_worktrees(asked, meta, sizes.drop("repo"), existing))
+        repos = {r["cache_key"]: r["repo"] for r in sizes.select("cache_key", "repo").collect()}
+        for row in report.where("error IS NULL").collect():  # a row per path of the request
+            if row["cache_deleted"]:
+                self._drop_semantic(row["cache_key"], repos.get(row["cache_key"]))
+            elif row["alias_removed"]:
+                mine = self.store.read("project_meta").where(F.col("cache_key") == row["cache_key"])
+                less = mine.withColumn("alias_paths", F.array_remove("alias_paths", row["path"]))
+                self.store.replace("project_meta", less, mine.select("cache_key"), ("cache_key",))
+        return report
 
     def diagnostics(self) -> DataFrame:
         """The latest jobs with their ages."""
@@ -405,6 +610,8 @@ class Engine:
             job.status = "finished" if job.status == "running" else "cancelled"
             saved = maintenance.savings(len(rows)) if isinstance(rows, list) else 0
             self.ledger.record(saved)
+            if saved:
+                self.ledger.flush()
             return {"results": rows, "_meta": self._envelope(job, saved)}
         except (ValueError, AttributeError, TypeError) as e:
             job.status, job.error = "failed", str(e)

@@ -18,6 +18,7 @@ from tessera.operators import search
 SAMPLE = 20_000
 THRESHOLD = 1_000
 ROUNDS = 8
+PROBES = 8
 
 
 def wanted(rows: int, threshold: int = THRESHOLD) -> bool:
@@ -75,7 +76,7 @@ def probes(query: list[float], centres: np.ndarray, n: int) -> list[int]:
     return [int(k) for k in np.argsort(((centres - q) ** 2).sum(axis=1), kind="stable")[:n]]
 
 
-def topk(indexed: DataFrame, centres: np.ndarray, query: list[float], k: int = 10, n_probes: int = 8, metric: str = "l2", id_column: str = "id", vector: str = "vector") -> DataFrame:
+def topk(indexed: DataFrame, centres: np.ndarray, query: list[float], k: int = 10, n_probes: int = PROBES, metric: str = "l2", id_column: str = "id", vector: str = "vector") -> DataFrame:
     """The best rows of the probed buckets: a filter that prunes partitions, then the exact top-k."""
     chosen = indexed.where(F.col("bucket").isin(probes(query, centres, n_probes)))
     return search.vector_topk(chosen, query, k, metric, id_column, vector)

@@ -28,6 +28,11 @@ def pending_files(current: DataFrame, indexed: DataFrame, zero_chunk: DataFrame)
     return rest.join(known, KEY, "left").where(~F.col("file_hash").eqNullSafe(F.col("known_hash"))).select(*KEY, "file_hash")
 
 
+def in_order(files: DataFrame) -> DataFrame:
+    """Pending and zero-chunk files ascending."""
+    return files.orderBy(*KEY)
+
+
 def stale_indexed(indexed: DataFrame, current: DataFrame) -> DataFrame:
     """D3, U4: indexed files that are gone."""
     return indexed.select(*KEY).distinct().join(current.select(*KEY), KEY, "left_anti")

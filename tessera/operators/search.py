@@ -111,9 +111,11 @@ def fuse(lists: list[DataFrame], k: int, constant: int = RRF) -> DataFrame:
     return fused.orderBy(F.desc("score"), "id").limit(max(0, k))
 
 
-def hybrid_topk(rows: DataFrame, query_vector: list[float], query: str, k: int = 10, metric: str = "l2", fts_ready: bool = True, id_column: str = "id", column: str = "content", vector: str = "vector", texts: DataFrame | None = None) -> DataFrame:
+def hybrid_topk(rows: DataFrame, query_vector: list[float], query: str, k: int = 10, metric: str = "l2", fts_ready: bool = True, id_column: str = "id", column: str = "content", vector: str = "vector", texts: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
     """Id, score, match_type, rank. Without a text index (G3) the vector list alone, and match_type says so.
 
+    ``scored`` (id, score), such as :func:`fts_index` gives of stored postings, spares the pass over the texts.
+
     ``rows`` holds vectors and texts, or the vectors alone where ``texts`` gives the texts: each half then searches
     its whole table, and an id of one table alone can be returned.
     """
@@ -121,7 +123,9 @@ def hybrid_topk(rows: DataFrame, query_vector: list[float], query: str, k: int =
     near = ranked(near.select("id", "score"), [F.asc("score"), F.asc("id")])
     if not fts_ready:
         return near.select("id", "score", F.lit("vector").alias("match_type"), "rank")
-    words = ranked(fts_topk(rows if texts is None else texts, query, candidates_per_list(k), id_column, column), [F.desc("score"), F.asc("id")])
+    if scored is None:
+        scored = fts_scan(rows if texts is None else texts, query, id_column, column)
+    words = ranked(scored.orderBy(F.desc("score"), "id").limit(candidates_per_list(k)), [F.desc("score"), F.asc("id")])
     fused = ranked(fuse([near, words], k), [F.desc("score"), F.asc("id")])
     return fused.select("id", "score", F.lit("hybrid").alias("match_type"), "rank")
 

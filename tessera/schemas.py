@@ -39,8 +39,11 @@ PROJECT_META = struct(
     "cache_key string, project_path string, updated_at double, alias_paths array<string>"
 )
 ZERO_CHUNK_FILES = struct("repo string, file_path string, file_hash string")
-POSTINGS = struct("term string, id string, tf long")
-DOC_LENGTHS = struct("id string, dl long")
+POSTINGS = struct("repo string, term string, id string, tf long")
+DOC_LENGTHS = struct("repo string, id string, dl long")
+PENDING_FILES = struct("repo string, file_path string, file_hash string, window long")
+VECTOR_BUCKETS = struct("repo string, bucket int, id string, vector array<float>")
+VECTOR_CENTRES = struct("repo string, bucket int, centre array<float>")
 JOBS = struct(
     "job_id string, tool string, status string, created_at double, started_at double, finished_at double, error string"
 )

@@ -12,22 +12,30 @@ from tessera import schemas
 from tessera.functions import ids, paths, text
 from tessera.operators import ignore
 from tessera.operators import predicates as P
+from tessera.sources import tree
 from tessera.sources.tree import TreeSource
 
 #: Files of a remote tree that one task fetches.
 BLOBS_PER_TASK = 64
 
 
-def directory(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
-    """Every file below ``root``; files above the size limit are left out unread.
+def mounted(root: str) -> bool:
+    return "://" not in root or root.startswith("file://")
+
+
+def listing(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
+    """repo, file_path, ext, size and mtime of every file below ``root``; no file is opened.
 
     A mounted tree is walked by the ``source_tree`` source. Any other store is listed by Spark's binary reader,
-    which leaves out names that begin with "_" or ".".
+    which leaves out names that begin with "_" or "."; its content column is pruned.
     """
-    if "://" not in root or root.startswith("file://"):
+    if mounted(root):
         spark.dataSource.register(TreeSource)
-        found = spark.read.format("source_tree").option("path", root).option("repo", repo or root).load()
-        return found.where(F.col("size") <= P.MAX_FILE_BYTES)
+        return spark.read.format("source_tree").option("path", root).option("repo", repo or root).load()
+    return _binary(spark, root, repo).drop("content", "file_hash")
+
+
+def _binary(spark: SparkSession, root: str, repo: str | None) -> DataFrame:
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     found = listed.where(F.col("length") <= P.MAX_FILE_BYTES)
     path = paths.relative(F.col("path"), root)
@@ -37,6 +45,19 @@ def directory(spark: SparkSession, root: str, repo: str | None = None) -> DataFr
         F.sha2("content", 256).alias("file_hash"))
 
 
+def contents(files: DataFrame, root: str, head: int | None = None) -> DataFrame:
+    """``files`` (a listing of ``root``, or a part of one) with content and file_hash; only these files are opened."""
+    if mounted(root):
+        return tree.contents(files, root, head)
+    bodies = _binary(files.sparkSession, root, None).select("file_path", "content", "file_hash")
+    return files.drop("content", "file_hash").join(bodies, "file_path")
+
+
+def directory(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
+    """Every file below ``root`` with its content; files above the size limit are left out unread."""
+    return contents(listing(spark, root, repo).where(F.col("size") <= P.MAX_FILE_BYTES), root)
+
+
 def table(rows: DataFrame, repo: str, file_path: str, content: str, mtime: float | None = None) -> DataFrame:
     """A corpus that already is a table: names of its columns for repo, path and text or bytes."""
     body = F.col(content).cast("binary")

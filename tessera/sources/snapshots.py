@@ -3,12 +3,17 @@
 A plain file stream knows files by path and delivers each once: rewritten and deleted files never appear. This
 source lists the tree at each trigger and compares (path, time, size) with the listing of the offset before;
 the listings lie in a folder of their own, one file per offset, so a restart continues where it stopped.
+
+Changes are debounced at their trailing edge (I4): a file written, or a deletion first seen, less than
+``debounceMs`` ago keeps its former state in the listing until it has been quiet for so long. A trigger waits for
+that once, so that a single run also sees the last change.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import time
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -22,8 +27,9 @@ class _Changes(InputPartition):
 
 
 class SnapshotReader(DataSourceStreamReader):
-    def __init__(self, root: str, state: str):
-        self.root, self.state = root.rstrip("/"), state
+    def __init__(self, root: str, state: str, debounce_s: float = 0.0):
+        self.root, self.state, self.debounce_s = root.rstrip("/"), state, debounce_s
+        self._missing: dict[str, float] = {}
         os.makedirs(state, exist_ok=True)
 
     def _file(self, number: int) -> str:
@@ -49,14 +55,38 @@ class SnapshotReader(DataSourceStreamReader):
                 out[os.path.relpath(full, self.root)] = [info.st_mtime, info.st_size]
         return out
 
+    def _quiet(self, old: dict[str, list], new: dict[str, list], now: float) -> tuple[dict[str, list], float]:
+        """``new`` with the files that changed too lately as they were, and the seconds until the last is quiet."""
+        out, wait = {}, 0.0
+        for path, state in new.items():
+            left = state[0] + self.debounce_s - now if old.get(path) != state else 0.0
+            if 0 < left <= self.debounce_s:
+                wait = max(wait, left)
+                if path in old:
+                    out[path] = old[path]
+            else:
+                out[path] = state
+        gone = {p for p in old if p not in new}
+        self._missing = {p: self._missing.get(p, now) for p in gone}
+        for path in gone:
+            left = self._missing[path] + self.debounce_s - now
+            if left > 0:
+                wait = max(wait, left)
+                out[path] = old[path]
+        return out, wait
+
     def initialOffset(self) -> dict:
         return {"n": 0}
 
     def latestOffset(self) -> dict:
         numbers = [int(x[8:-5]) for x in os.listdir(self.state) if x.startswith("listing-") and x.endswith(".json")]
         last = max(numbers, default=0)
-        now = self._listing()
-        if now == self._held(last):
+        held = self._held(last)
+        now, wait = self._quiet(held, self._listing(), time.time())
+        if wait > 0:
+            time.sleep(wait)
+            now, _ = self._quiet(held, self._listing(), time.time())
+        if now == held:
             return {"n": last}
         staged = self._file(last + 1) + ".tmp"
         with open(staged, "w", encoding="utf-8") as f:
@@ -91,4 +121,4 @@ class SnapshotSource(DataSource):
         return SCHEMA
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return SnapshotReader(self.options["path"], self.options["state"])
+        return SnapshotReader(self.options["path"], self.options["state"], float(self.options.get("debounceMs", "0")) / 1000)

@@ -1,19 +1,25 @@
-"""Versioned, bucketed Parquet tables.
+"""Versioned, bucketed Parquet tables.
 
-A table is a set of folders, one for each write and bucket; a bucket holds the rows of some keys (files, chunks,
-repositories). A manifest names the folders of a version. So an append writes new rows alone, and a change of
-some files reads and rewrites only their buckets; the rest of the table is named again, not copied.
+A table is a set of folders, one for each write and bucket. A bucket is named by its project (a slot of the
+hash of ``repo``) and, inside it, by a hash of the file; so a read of one project lists that project's folders
+alone, and a change of some files rewrites only their buckets. A project begins with ``WIDTH`` buckets and gets
+more as its bytes grow. A manifest names the folders of a version: an append writes new rows alone, and the
+rest of the table is named again, not copied.
 
 Readers take the last whole manifest, so they see whole versions, and a job that dies leaves folders that no
 manifest names. There is one writer per table and version: a version number is claimed by a file that only one
-can create, and a writer that started from an older version fails with :class:`Conflict` instead of losing
-data. All paths go through Hadoop's file system interface, so a store may lie anywhere Spark writes.
+can create and that holds the writer's token. A claim without a manifest lapses after ``lease_s`` seconds, so
+that a dead writer blocks nobody for good; a writer whose claim was taken over fails before it publishes. A
+writer that started from an older version fails with :class:`Conflict` instead of losing data. All paths go
+through Hadoop's file system interface, so a store may lie anywhere Spark writes.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,19 +27,28 @@ from pyspark.sql import types as T
 
 from tessera import schemas
 from tessera.functions import ids
+from tessera.operators import merge
 
 TABLES = {
     "chunks": schemas.CHUNKS, "symbols": schemas.SYMBOLS, "occurrences": schemas.OCCURRENCES, "files": schemas.FILES,
     "index_meta": schemas.INDEX_META, "project_meta": schemas.PROJECT_META, "zero_chunk_files": schemas.ZERO_CHUNK_FILES,
-    "postings": schemas.POSTINGS, "doc_lengths": schemas.DOC_LENGTHS,
+    "postings": schemas.POSTINGS, "doc_lengths": schemas.DOC_LENGTHS, "pending_files": schemas.PENDING_FILES,
+    "vector_buckets": schemas.VECTOR_BUCKETS, "vector_centres": schemas.VECTOR_CENTRES,
+}
+#: The project column and what a project's buckets are made of; other tables are bucketed by repo and file.
+BUCKET_KEYS = {
+    "index_meta": ("repo",), "project_meta": ("cache_key",), "postings": ("repo", "id"), "doc_lengths": ("repo", "id"),
+    "vector_buckets": ("repo", "bucket"), "vector_centres": ("repo",),
 }
-#: What a table's buckets are made of; other tables are bucketed by file.
-BUCKET_KEYS = {"index_meta": ("repo",), "project_meta": ("cache_key",), "postings": ("id",), "doc_lengths": ("id",)}
 #: Order inside a file, so that a filter skips row groups: a query reads the postings of its own terms.
-SORTED_BY = {"postings": ("term", "id"), "occurrences": ("name",), "symbols": ("file_path", "start_byte")}
+SORTED_BY = {"postings": ("term", "id"), "occurrences": ("name",), "vector_buckets": ("bucket", "id"), "symbols": ("file_path", "start_byte")}
 FILE_KEY = ("repo", "file_path")
-BUCKETS = 64
+SLOTS = 1 << 14
+WIDTH = 4
+MOST_WIDTH = 1 << 12
+BUCKET_BYTES = 256 << 20
 KEEP_VERSIONS = 2
+LEASE_S = 3_600.0
 
 
 class Conflict(RuntimeError):
@@ -41,8 +56,8 @@ class Conflict(RuntimeError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES, lease_s: float = LEASE_S):
+        self.spark, self.root, self.width, self.bucket_bytes, self.lease_s = spark, root.rstrip("/"), width, bucket_bytes, lease_s
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -59,29 +74,73 @@ class Store:
         fs = self._fs(path)
         return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
 
-    def _manifest(self, name: str, version: int) -> dict:
-        """{"buckets": how many, "parts": {bucket: [folders]}}"""
-        if not version:
-            return {"buckets": self.buckets, "parts": {}}
-        path = self._path(name, f"manifest-{version}.json")
+    def _text(self, path) -> str:
         stream = self._fs(path).open(path)
         try:
-            return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8"))
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
         finally:
             stream.close()
 
-    def _commit(self, name: str, base: int, manifest: dict) -> int:
-        """Claim the version after ``base`` and publish its manifest in one rename."""
-        claim, target = self._path(name, f"claim-{base + 1}"), self._path(name, f"manifest-{base + 1}.json")
-        fs = self._fs(claim)
-        if self.version(name) != base or not fs.createNewFile(claim):
-            raise Conflict(f"{name}: version {base + 1} is another writer's (a writer that died leaves {claim})")
-        staged = self._path(name, f"manifest-{base + 1}.json.staged")
-        stream = fs.create(staged, True)
+    def _put(self, path, text: str, overwrite: bool = True) -> None:
+        stream = self._fs(path).create(path, overwrite)
         try:
-            stream.write(json.dumps(manifest).encode("utf-8"))
+            stream.write(text.encode("utf-8"))
         finally:
             stream.close()
+
+    def read_json(self, name: str) -> dict | None:
+        """A small document beside the tables; None where there is none or it does not parse."""
+        path = self._path(f"{name}.json")
+        try:
+            return json.loads(self._text(path)) if self._fs(path).exists(path) else None
+        except ValueError:
+            return None
+
+    def write_json(self, name: str, value: dict) -> None:
+        staged, target = self._path(f"{name}.json.{uuid.uuid4().hex[:8]}.tmp"), self._path(f"{name}.json")
+        self._put(staged, json.dumps(value))
+        fs = self._fs(target)
+        fs.delete(target, False)
+        fs.rename(staged, target)
+
+    def _manifest(self, name: str, version: int) -> dict:
+        """{"width": buckets of a project, "widths": {slot: of projects that have others}, "parts": {bucket: [folders]}}"""
+        if not version:
+            return {"width": self.width, "widths": {}, "parts": {}}
+        return json.loads(self._text(self._path(name, f"manifest-{version}.json")))
+
+    def _age_s(self, path) -> float:
+        return time.time() - self._fs(path).getFileStatus(path).getModificationTime() / 1000
+
+    def _claim(self, claim, token: str) -> bool:
+        """Create the claim, or take over one whose lease has run out."""
+        fs = self._fs(claim)
+        if not fs.createNewFile(claim):
+            if not fs.exists(claim) or self._age_s(claim) < self.lease_s:
+                return False
+            aside = claim.suffix(f".lapsed-{token}")
+            if not fs.rename(claim, aside):  # one of several may do this
+                return False
+            if self._age_s(aside) < self.lease_s:  # another has just renewed it
+                fs.rename(aside, claim)
+                return False
+            fs.delete(aside, False)
+            if not fs.createNewFile(claim):
+                return False
+        self._put(claim, token)
+        return True
+
+    def _commit(self, name: str, base: int, manifest: dict) -> int:
+        """Claim the version after ``base`` and publish its manifest in one rename."""
+        claim, target = self._path(name, f"claim-{base + 1}"), self._path(name, f"manifest-{base + 1}.json")
+        fs, token = self._fs(claim), uuid.uuid4().hex
+        if self.version(name) != base or not self._claim(claim, token):
+            raise Conflict(f"{name}: version {base + 1} is another writer's")
+        staged = self._path(name, f"manifest-{base + 1}.json.{token[:8]}.staged")
+        self._put(staged, json.dumps(manifest))
+        if not fs.exists(claim) or self._text(claim) != token or fs.exists(target):
+            fs.delete(staged, False)
+            raise Conflict(f"{name}: the claim of version {base + 1} lapsed and was taken over")
         fs.rename(staged, target)
         self._expire(name, base + 1)
         return base + 1
@@ -93,8 +152,8 @@ class Store:
         live = {p for v in kept if f"manifest-{v}.json" in names for parts in self._manifest(name, v)["parts"].values() for p in parts}
         fs = self._fs(self._path(name))
         for n in names:
-            if n.startswith(("manifest-", "claim-")) and n.endswith((".json", *"0123456789")):
-                if int(n.split("-")[1].removesuffix(".json")) < kept[0]:
+            if n.startswith(("manifest-", "claim-")):
+                if int(n.split("-")[1].split(".")[0]) < kept[0]:
                     fs.delete(self._path(name, n), False)
             elif n.startswith("v=") and int(n[2:].split("-")[0]) <= current:
                 folders = self._names(name, n)
@@ -102,7 +161,7 @@ class Store:
                     fs.delete(self._path(name, n), True)
                 else:
                     for f in folders:
-                        if f.startswith("bucket=") and f"{n}/{f}" not in live:
+                        if f.startswith("_bucket=") and f"{n}/{f}" not in live:
                             fs.delete(self._path(name, n, f), True)
 
     # --- versions -------------------------------------------------------------------------------------------
@@ -115,61 +174,96 @@ class Store:
         """The table has a version."""
         return self.version(name) > 0
 
-    def bucket(self, name: str, buckets: int | None = None) -> Column:
-        return F.pmod(F.xxhash64(*BUCKET_KEYS.get(name, FILE_KEY)), F.lit(buckets or self.buckets)).cast("int")
+    def slot(self, project: str) -> int:
+        """The slot of a project's key, as :meth:`bucket` counts it; worked out without a job."""
+        return self.spark.sql("SELECT pmod(xxhash64(:p), :n)", args={"p": project, "n": SLOTS}).first()[0]
 
-    def read(self, name: str, only: list[int] | None = None, version: int | None = None) -> DataFrame:
-        """The present version, or that of some buckets; an empty frame of the table's schema where there is none."""
+    def bucket(self, name: str, manifest: dict) -> Column:
+        keys = BUCKET_KEYS.get(name, FILE_KEY)
+        slot, width = F.pmod(F.xxhash64(keys[0]), F.lit(SLOTS)), F.lit(manifest["width"])
+        if manifest["widths"]:
+            own = F.create_map(*[F.lit(int(x)) for kv in manifest["widths"].items() for x in kv])
+            width = F.coalesce(F.element_at(own, slot.cast("int")), width)
+        return (slot * MOST_WIDTH + F.pmod(F.xxhash64(*keys), width)).cast("long")
+
+    def read(self, name: str, only: list[int] | None = None, version: int | None = None, repo: str | None = None) -> DataFrame:
+        """The present version, or that of some buckets or one project; an empty frame where there is none."""
         manifest = self._manifest(name, self.version(name) if version is None else version)
-        wanted = manifest["parts"] if only is None else {str(b): manifest["parts"].get(str(b), []) for b in only}
+        wanted = manifest["parts"]
+        if repo is not None:
+            slot = self.slot(repo)
+            wanted = {b: p for b, p in wanted.items() if int(b) // MOST_WIDTH == slot}
+        if only is not None:
+            wanted = {str(b): wanted.get(str(b), []) for b in only}
         folders = [f"{self.root}/{name}/{p}" for parts in wanted.values() for p in parts]
         if not folders:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*folders)
+        found = self.spark.read.schema(TABLES[name]).parquet(*folders)
+        return found if repo is None else found.where(F.col("repo") == repo)  # a slot may hold several projects
 
-    def _stage(self, name: str, rows: DataFrame, base: int, buckets: int) -> dict[str, list[str]]:
+    def _stage(self, name: str, rows: DataFrame, base: int, manifest: dict) -> dict[str, list[str]]:
         """Write ``rows`` below the next version's folder; the folders by bucket. Large buckets are split by AQE."""
         schema: T.StructType = TABLES[name]
-        shaped = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn("bucket", self.bucket(name, buckets))
+        shaped = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn("_bucket", self.bucket(name, manifest))
         target = f"v={base + 1}-{uuid.uuid4().hex[:8]}"  # of this writer alone
-        dealt = shaped.hint("rebalance", "bucket").sortWithinPartitions("bucket", *SORTED_BY.get(name, ()))
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/{target}")
-        found = [n for n in self._names(name, target) if n.startswith("bucket=")]
-        return {n.removeprefix("bucket="): [f"{target}/{n}"] for n in found}
+        dealt = shaped.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *SORTED_BY.get(name, ()))
+        dealt.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{name}/{target}")
+        found = [n for n in self._names(name, target) if n.startswith("_bucket=")]
+        return {n.removeprefix("_bucket="): [f"{target}/{n}"] for n in found}
 
     def write(self, name: str, rows: DataFrame, expected: int | None = None) -> int:
         """Replace the table; ``expected`` is the version that ``rows`` were made from."""
         base = self.version(name) if expected is None else expected
-        return self._commit(name, base, {"buckets": self.buckets, "parts": self._stage(name, rows, base, self.buckets)})
+        manifest = self._manifest(name, 0)
+        return self._commit(name, base, manifest | {"parts": self._stage(name, rows, base, manifest)})
 
     def append(self, name: str, rows: DataFrame) -> int:
         """B1: new folders beside the old; nothing is written for no rows."""
         base = self.version(name)
         manifest = self._manifest(name, base)
-        fresh = self._stage(name, rows, base, manifest["buckets"])
+        fresh = self._stage(name, rows, base, manifest)
         if not fresh:
             return base
         parts = {b: manifest["parts"].get(b, []) + fresh.get(b, []) for b in manifest["parts"].keys() | fresh.keys()}
         return self._commit(name, base, manifest | {"parts": parts})
 
+    def _widened(self, name: str, manifest: dict, slots: set[int]) -> dict:
+        """Widths with more buckets for those of the slots whose bytes have outgrown theirs."""
+        widths = dict(manifest["widths"])
+        for slot in slots:
+            folders = [p for b, parts in manifest["parts"].items() if int(b) // MOST_WIDTH == slot for p in parts]
+            size = sum(self._fs(p).getContentSummary(p).getLength() for p in (self._path(name, f) for f in folders))
+            now = widths.get(str(slot), manifest["width"])
+            wanted = now
+            while wanted * self.bucket_bytes < size and wanted < MOST_WIDTH:
+                wanted *= 2
+            if wanted > now:
+                widths[str(slot)] = wanted
+        return widths
+
     def replace(self, name: str, rows: DataFrame, touched: DataFrame, key: tuple[str, ...] = FILE_KEY, expected: int | None = None) -> int:
         """Rows of the ``touched`` keys give way to ``rows``, in the buckets of those keys alone.
 
-        ``touched`` has the key and the columns that make buckets; ``rows`` belong to touched keys.
+        ``touched`` has the key and the columns that make buckets; ``rows`` belong to touched keys. A project that
+        has outgrown its buckets is dealt anew as a whole.
         """
         base = self.version(name) if expected is None else expected
         manifest = self._manifest(name, base)
-        own = touched.select(self.bucket(name, manifest["buckets"]).alias("b")).distinct().collect()  # bucket numbers
-        hit = sorted(r["b"] for r in own)
+        own = touched.select(self.bucket(name, manifest).alias("b")).distinct().collect()  # bucket numbers
+        hit = {r["b"] for r in own}
         if not hit:
             return base
-        rest = self.read(name, hit, base).join(touched.select(*key).distinct(), list(key), "left_anti")
-        fresh = self._stage(name, rest.select(*TABLES[name].fieldNames()).unionByName(rows.select(*TABLES[name].fieldNames())), base, manifest["buckets"])
+        widths = self._widened(name, manifest, {b // MOST_WIDTH for b in hit})
+        grown = {int(s) for s, w in widths.items() if manifest["widths"].get(s) != w}
+        hit |= {int(b) for b in manifest["parts"] if int(b) // MOST_WIDTH in grown}
+        rest = self.read(name, sorted(hit), base).join(touched.select(*key).distinct(), list(key), "left_anti")
+        manifest |= {"widths": widths}
+        fresh = self._stage(name, rest.select(*TABLES[name].fieldNames()).unionByName(rows.select(*TABLES[name].fieldNames())), base, manifest)
         parts = {b: p for b, p in manifest["parts"].items() if int(b) not in hit} | fresh
         return self._commit(name, base, manifest | {"parts": parts})
 
     def upsert(self, name: str, rows: DataFrame, key: str = "id") -> int:
-        """B2. A row's key and its bucket go together: ids are made from paths."""
+        """B2. A row's key and its bucket go together: ids are made from projects and paths."""
         return self.replace(name, rows, rows, (key,))
 
     def delete_files(self, name: str, file_paths: list[str]) -> int:
@@ -185,27 +279,78 @@ class Store:
 
     def clear(self, name: str) -> int:
         """B4."""
-        return self._commit(name, self.version(name), {"buckets": self.buckets, "parts": {}})
+        return self._commit(name, self.version(name), self._manifest(name, 0))
+
+    def delete_rows(self, name: str, repos: list[str]) -> int:
+        """The projects' rows leave a table, by the folders of their buckets; the number of rows that are gone."""
+        base, gone = self.version(name), 0
+        for repo in repos:
+            mine = self.read(name, version=base, repo=repo)
+            n = mine.count()
+            if n:
+                keys = BUCKET_KEYS.get(name, FILE_KEY)
+                base, gone = self.replace(name, mine.limit(0), mine.select(*keys), keys, expected=base), gone + n
+        return gone
 
     def delete_repo(self, repo: str) -> str:
         """Drop a repository's rows from the index tables; 'deleted' or 'not_found'."""
-        if self.read("files").where(F.col("repo") == repo).isEmpty():
+        if self.read("files", repo=repo).isEmpty():
             return "not_found"
         for name in ("files", "symbols", "occurrences", "index_meta"):
-            if self.exists(name):
-                base = self.version(name)
-                mine = self.read(name, version=base).where(F.col("repo") == repo)
-                keys = BUCKET_KEYS.get(name, FILE_KEY)
-                self.replace(name, mine.limit(0), mine.select(*keys), keys, expected=base)
+            self.delete_rows(name, [repo])
         return "deleted"
 
-    def write_index_meta(self, now: float) -> int:
-        """Per repository counts from the index tables, never the other way round."""
-        files = self.read("files").groupBy("repo").agg(F.max("version").alias("version"), F.count(F.lit(1)).alias("files"))
-        symbols = self.read("symbols").groupBy("repo").agg(F.count(F.lit(1)).alias("symbols"))
-        uses = self.read("occurrences").groupBy("repo").agg(F.count(F.lit(1)).alias("occurrences"))
-        joined = files.join(symbols, "repo", "left").join(uses, "repo", "left").fillna(0, ["symbols", "occurrences"])
-        return self.write("index_meta", joined.withColumn("updated_at", F.lit(now)))
+    def write_index_meta(self, now: float, repo: str) -> int:
+        """A project's counts from its index tables, never the other way round."""
+        counted = self.read("files", repo=repo).groupBy("repo").agg(F.max("version").alias("version"), F.count(F.lit(1)).alias("files"))
+        for name in ("symbols", "occurrences"):
+            own = self.read(name, repo=repo).groupBy("repo").agg(F.count(F.lit(1)).alias(name))
+            counted = counted.join(own, "repo", "left").fillna(0, [name])
+        named = self.spark.createDataFrame([(repo,)], "repo string")
+        return self.replace("index_meta", counted.withColumn("updated_at", F.lit(now)), named, ("repo",))
+
+    def merge_project_meta(self, project_path: str, aliases: list[str], now: float) -> int:
+        """The project's path, time and aliases; aliases known before stay, in order of first sight."""
+        new = self.spark.createDataFrame([(project_path, now, aliases)], "project_path string, updated_at double, alias_paths array<string>")
+        new = new.withColumn("cache_key", ids.cache_key(F.col("project_path")))
+        base = self.version("project_meta")
+        held = self.read("project_meta", version=base).join(new.select("cache_key"), "cache_key", "left_semi")
+        merged = merge.merge_aliases(held.select("cache_key", "alias_paths"), new.select("cache_key", "alias_paths"))
+        rows = new.drop("alias_paths").join(merged, "cache_key")
+        return self.replace("project_meta", rows, new, ("cache_key",), expected=base)
+
+    # --- inventories ----------------------------------------------------------------------------------------
+
+    def semantic_inventory(self, exists: Callable[[str], bool | None]) -> DataFrame:
+        """A row per project of the chunk table or of the project meta, as ``maintenance.orphan_caches`` takes it.
+
+        ``exists`` is asked on the driver, once a project; None: could not be seen.
+        """
+        chunks = self.read("chunks").groupBy("repo").agg(F.sum(F.octet_length("content")).cast("long").alias("bytes"), F.max("indexed_at").alias("mtime"))
+        chunks = chunks.withColumn("name", ids.cache_key(F.col("repo")))
+        meta = self.read("project_meta").select(F.col("cache_key").alias("name"), "project_path", "updated_at", F.lit(True).alias("meta"))
+        both = chunks.join(meta, "name", "full_outer")
+        paths = [r[0] for r in both.select("project_path").where("project_path IS NOT NULL").distinct().toLocalIterator()]
+        seen = self.spark.createDataFrame([(p, exists(p)) for p in paths], "project_path string, project_exists boolean")
+        return both.join(seen, "project_path", "left").select(
+            "name", "repo", F.lit(True).alias("is_dir"), F.lit(False).alias("is_symlink"), F.col("meta").isNotNull().alias("has_meta"),
+            F.col("project_path").isNotNull().alias("meta_ok"), F.col("bytes").isNotNull().alias("has_chunks"), "project_path", "project_exists",
+            F.coalesce("mtime", "updated_at").alias("mtime"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+    def symbol_inventory(self, exists: Callable[[str], bool | None]) -> DataFrame:
+        """A row per symbol index, per row of index_meta (its sidecar) and per file that a dead writer left."""
+        key = ids.index_key(F.col("repo"))
+        files = self.read("files").groupBy("repo").agg(F.max("version").alias("version"), F.sum(F.octet_length("file_path")).cast("long").alias("bytes"))
+        meta = self.read("index_meta")
+        both = files.join(meta.select("repo", F.col("updated_at").alias("mtime")), "repo", "full_outer")
+        local = [r[0] for r in both.select("repo").where("repo IS NOT NULL AND NOT startswith(repo, 'github:')").distinct().toLocalIterator()]
+        seen = self.spark.createDataFrame([(p, exists(p)) for p in local], "repo string, repo_exists boolean")
+        indexes = files.join(meta.select("repo", F.col("updated_at").alias("mtime")), "repo", "left").select(
+            F.concat(F.lit("index_"), key, F.lit(".json")).alias("name"), "repo", F.col("version").isNotNull().alias("json_ok"), F.coalesce("mtime", F.lit(0.0)).alias("mtime"), "bytes"
+        )
+        sidecars = meta.select(F.concat(F.lit("index_"), key, F.lit(".meta.json")).alias("name"), "repo", F.lit(True).alias("json_ok"), F.col("updated_at").alias("mtime"), F.lit(0).cast("long").alias("bytes"))
+        rows = indexes.unionByName(sidecars).join(seen, "repo", "left")
+        return rows.select("name", "repo", F.lit(True).alias("is_file"), F.lit(False).alias("is_symlink"), "json_ok", F.col("repo").alias("repo_path"), "repo_exists", "mtime", "bytes")
 
 
 def list_repos(files: DataFrame) -> DataFrame:

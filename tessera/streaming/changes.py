@@ -51,7 +51,7 @@ def apply_to_store(
 
     ``make_chunks`` turns changed files (repo, file_path, content, file_hash) into chunk rows. Chunk ids follow
     from path and place, so a batch that is replayed after a failure ends in the same table. ``on_change`` gets
-    the new chunks (id, content) and the ids of all that came or went, for indexes that follow the table.
+    the new chunks (repo, id, content) and the keys of all that came or went, for indexes that follow the table.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
@@ -69,10 +69,10 @@ def apply_to_store(
                     fresh = fresh.withColumn(name, F.lit(None))
             fresh = fresh.withColumn("vector", F.col("vector").cast("array<float>"))
             fresh = fresh.cache()
-            old = store.read("chunks", version=base).join(touched, ["repo", "file_path"], "left_semi").select("id")
+            old = store.read("chunks", version=base).join(touched, ["repo", "file_path"], "left_semi").select("repo", "id")
             store.replace("chunks", fresh, touched, expected=base)
             if on_change is not None:
-                on_change(fresh.select("id", "content"), old.unionByName(fresh.select("id")))
+                on_change(fresh.select("repo", "id", "content"), old.unionByName(fresh.select("repo", "id")))
             fresh.unpersist()
         finally:
             last.unpersist()

@@ -1,6 +1,13 @@
+import http.server
+import json
+import os
+import shutil
+import threading
+
 import pytest
 
 from tessera.api import MAX_PROJECTS, Engine, Settings
+from tessera.sources import remote
 
 
 @pytest.fixture
@@ -77,11 +84,11 @@ def test_refresh_warm_and_gc(spark, project, tmp_path):
     assert other.warm([f" {project} ", project, "/nowhere"]) == [project] and other.gc().count() == 0
     assert not other.cancel("no such job")
     other.remove_project(project)
-    import shutil
+
 
     shutil.rmtree(project)
-    assert [r["repo"] for r in other.gc().collect()] == [project]
-    assert other.gc(delete=True).count() == 1 and other.gc().count() == 0
+    assert [(r["step"], r["reason"], r["project"]) for r in other.gc().collect()] == [("orphans", "project_path_enoent", project)]
+    assert other.gc(delete=True).count() == 1 and other.gc().count() == 0 and other.store.read("chunks").count() == 0
 
 
 def test_watched_changes_reach_the_text_index(spark, project, tmp_path):
@@ -95,3 +102,151 @@ def test_watched_changes_reach_the_text_index(spark, project, tmp_path):
     top = engine.call("search_semantic", query="zebraic", path=project)["results"][0]
     assert top["file_path"] == "src/fresh.md" and engine.watch_stop(project) == 1
     assert engine.store.read("postings").where("term = 'zebraic'").count() == 1
+
+
+def opened(root, since=0):
+    """Paths that were read since their access time was set back."""
+    return {os.path.relpath(os.path.join(d, n), root) for d, _, names in os.walk(root) for n in names if os.stat(os.path.join(d, n)).st_atime > since}
+
+
+def set_back(root):
+    for d, _, names in os.walk(root):
+        for n in names:
+            path = os.path.join(d, n)
+            os.utime(path, (0, os.stat(path).st_mtime))
+
+
+def test_only_wanted_files_are_opened(spark, project, tmp_path):
+    set_back(project)
+    open(f"{project}/run.log").read()
+    if opened(project) != {"run.log"}:
+        pytest.skip("this file system keeps no access times")
+    engine = Engine(spark, Settings(str(tmp_path / "store")))
+    set_back(project)
+    assert engine.listing(project).count() == 5
+    assert opened(project) <= {".gitignore"}  # the rules
+    assert len(engine.file_outline(project, "src/auth.py").collect()) == 1
+    assert opened(project) <= {".gitignore", "src/auth.py"} and "src/auth.py" in opened(project)
+    engine.call("index_symbols", path=project)
+    set_back(project)
+    assert engine.call("get_symbol", symbol_id="src/auth.py:function:helper", path=project)["results"][0]["source"].startswith("def helper")
+    assert opened(project) == {"src/auth.py"}
+    set_back(project)
+    assert engine.call("search_references", query="helper", path=project)["results"]
+    assert opened(project) == {"src/use.py", "tests/test_auth.py"}
+
+
+def test_windows_end_at_the_wall_and_go_on(spark, project, tmp_path):
+    engine = Engine(spark, Settings(str(tmp_path / "store"), max_files_per_window=2, max_wall_s=-1.0))
+    assert [r["file_path"] for r in engine.pending(project).collect()] == [".gitignore", "src/__init__.py", "src/auth.py", "src/use.py", "tests/test_auth.py"]
+    (one,) = engine.index_semantic(project).collect()
+    assert one["remaining"] == 3 and engine.store.read("chunks").select("file_path").distinct().count() == 1
+    with open(f"{project}/new.py", "w") as f:
+        f.write("x = 1\n" * 9)
+    (two,) = engine.index_semantic(project).collect()  # goes on where it stopped, without a look at the tree
+    assert two["remaining"] == 1
+    (three,) = engine.index_semantic(project).collect()
+    assert three["remaining"] == 0 and engine.store.read("chunks").where("file_path = 'new.py'").count() == 0
+    assert [r["file_path"] for r in engine.zero_chunk_files(project).collect()] == ["src/__init__.py"]
+    assert engine.ensure_fresh(project, background=False) in ("refreshing", "fresh")
+    engine.index_semantic(project)
+    assert engine.store.read("chunks").where("file_path = 'new.py'").count() == 1 and engine.pending(project).count() == 0
+    os.remove(f"{project}/new.py")
+    engine.index_semantic(project)
+    assert engine.store.read("chunks").where("file_path = 'new.py'").count() == 0
+
+
+def test_project_meta_aliases_and_worktrees(spark, project, tmp_path):
+    tree = str(tmp_path / "tree")
+    os.makedirs(tree)
+    engine = Engine(spark, Settings(str(tmp_path / "store"), allow_destructive=True, repo_key=lambda p: project if p == tree else os.path.abspath(p)))
+    engine._register(tree)
+    engine.index_semantic(project)
+    (meta,) = engine.project_meta(project).collect()
+    assert (meta["project_path"], meta["alias_paths"]) == (project, [tree]) and engine.project_meta("/none").count() == 0
+    assert engine.gc_aliases().count() == 0
+    os.rmdir(tree)
+    assert [r["path"] for r in engine.gc_aliases().collect()] == [tree]
+    assert [(r["step"], r["project"]) for r in engine.gc(delete=True).collect()] == [("aliases", tree)]
+    assert engine.project_meta(project).first()["alias_paths"] == []
+    (row,) = engine.invalidate_worktrees([project]).collect()
+    assert not row["cache_deleted"] and row["error"] is None
+    shutil.rmtree(project)
+    rows = {r["path"]: r for r in engine.invalidate_worktrees([project, "/nowhere"]).collect()}
+    assert rows["/nowhere"]["error"] == "no cache dir found for path" and rows[project]["bytes_reclaimed"] > 0
+
+
+def test_pruning_takes_its_inventory_from_the_tables(spark, project, tmp_path):
+    engine = Engine(spark, Settings(str(tmp_path / "store"), grace_s=0))
+    engine.index_symbols(project)
+    engine.index_semantic(project)
+    engine.remove_project(project)
+    assert engine.prune_orphans().count() == 0 and engine.prune_symbols().count() == 0
+    shutil.rmtree(project)
+    assert [r["reason"] for r in engine.prune_orphans().collect()] == ["project_path_enoent"]
+    assert {r["reason"] for r in engine.prune_symbols().collect()} == {"repo_path_enoent"}
+    with pytest.raises(ValueError):
+        engine.prune_orphans(dry_run=False)
+    engine.settings.allow_destructive = True
+    engine._register(project)
+    assert engine.prune_orphans(dry_run=False).count() == 0  # loaded projects stay
+    engine.remove_project(project)
+    assert engine.prune_orphans(dry_run=False).count() == 1 and engine.prune_symbols(dry_run=False).count() == 2
+    assert all(engine.store.read(t).count() == 0 for t in ("chunks", "postings", "project_meta", "files", "symbols", "index_meta"))
+    sweep = engine.start_sweep(0.0)
+    sweep.join(60)
+    assert engine.start_sweep() is sweep and engine.job_histogram() == {"finished": 1}
+
+
+def test_search_reads_the_project_s_postings(spark, project, tmp_path):
+    engine = Engine(spark, Settings(str(tmp_path / "store"), vector_index_rows=1))
+    engine.index_semantic(project)
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "a.md").write_text("login login login of another project, with words enough to be a chunk of its own\n")
+    engine.index_semantic(str(other))
+    exact = engine.search_semantic("login user", project).collect()
+    assert {r["file_path"] for r in exact} <= {"src/auth.py", "src/use.py", "tests/test_auth.py", ".gitignore"} and exact[0]["match_type"] == "hybrid"
+    near = engine.search_semantic("login user", project, approximate=True).collect()
+    assert [r["id"] for r in near][:1] == [r["id"] for r in exact][:1]
+    held = engine.store.read("postings", repo=engine._register(project))
+    lookup = held.where("term IN ('login', 'user')")
+    plan = spark._jvm.PythonSQLUtils.explainString(lookup._jdf.queryExecution(), "formatted")
+    assert "In(term, [login,user])" in plan and len(lookup.inputFiles()) <= 4
+    assert engine.store.read("vector_buckets").count() == engine.store.read("chunks").count()
+
+
+def test_outline_totals_and_ledger(spark, project, tmp_path):
+    engine = Engine(spark, Settings(str(tmp_path / "store")))
+    rows = engine.call("repo_outline", path=project)["results"]
+    assert [r["file_path"] for r in rows] == ["src/auth.py", "tests/test_auth.py"] and {(r["total_files"], r["total_symbols"]) for r in rows} == {(4, 4)}
+    assert Engine(spark, Settings(str(tmp_path / "store"))).ledger.total == engine.ledger.total > 0
+
+
+def test_remote_tree_over_its_web_interface(spark, tmp_path):
+    source = b"def f():\n    return 1\n"
+
+    class Host(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = {"/repos/o/n/git/trees/main?recursive=1": json.dumps({"tree": [{"path": "a.py", "type": "blob"}, {"path": "d", "type": "tree"}, {"path": "gone.py", "type": "blob"}]}).encode(), "/o/n/main/a.py": source}.get(self.path)
+            self.send_response(200 if body is not None else 404)
+            self.end_headers()
+            self.wfile.write(body or b"")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Host)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_address[1]}"
+        tree = remote.RemoteTree("o/n", "main", "token", url, url)
+        assert tree.listing() == ["a.py", "gone.py"] and tree.fetch("gone.py") is None
+        assert remote.RemoteTree.of_key(tree.key).repo == "o/n" and remote.RemoteTree.of_key("/local") is None
+        engine = Engine(spark, Settings(str(tmp_path / "store")))
+        (meta,) = engine.index_symbols_repo(tree.key, tree.listing(), tree.fetch).collect()
+        assert meta["files"] == 1
+        (found,) = engine.get_symbols(["a.py:function:f"], tree.key).collect()
+        assert found["source"] == source.decode().strip()
+    finally:
+        server.shutdown()

@@ -194,20 +194,50 @@ def test_store_versions_and_conflicts(spark, tmp_path):
     assert held.read("files").count() == 3 and held.delete_files("files", ["a"]) == 1
     with pytest.raises(tables.Conflict):
         held.write("files", row, expected=1)
-    held.write_index_meta(5.0)
+    for repo in ("r", "q"):
+        held.write_index_meta(5.0, repo)
     assert {(r["repo"], r["files"]) for r in held.read("index_meta").collect()} == {("r", 1), ("q", 1)}
     assert held.delete_repo("r") == "deleted" and held.delete_repo("r") == "not_found"
     held.append("files", spark.createDataFrame([("q", f"f{i}", "1", "2.3") for i in range(50)], schemas.FILES))
     before = {p for parts in held._manifest("files", held.version("files"))["parts"].values() for p in parts}
     held.upsert("files", spark.createDataFrame([("q", "f7", "2", "2.3")], schemas.FILES), "file_path")
     after = {p for parts in held._manifest("files", held.version("files"))["parts"].values() for p in parts}
-    assert len(before - after) == 1 and held.read("files").count() == 51  # only the bucket of the file is written anew
+    assert len({p.split("/")[1] for p in before - after}) == 1 and held.read("files").count() == 51  # only the bucket of the file is written anew
     assert held.read("files").where("file_path = 'f7'").first()["file_hash"] == "2"
     held.clear("files")
     assert held.read("files").count() == 0
     assert tables.latest_indexed_at(held.read("chunks")).first()[0] == 0.0
 
 
+def test_a_project_is_read_from_its_own_folders_and_gets_more_as_it_grows(spark, tmp_path):
+    held = tables.Store(spark, str(tmp_path), bucket_bytes=500)
+    for repo in ("p", "q"):
+        held.append("files", spark.createDataFrame([(repo, f"f{i}", "1", "2.3") for i in range(30)], schemas.FILES))
+    own = {f.rsplit("/", 2)[1] for f in held.read("files", repo="p").inputFiles()}
+    other = {f.rsplit("/", 2)[1] for f in held.read("files", repo="q").inputFiles()}
+    assert own and other and not own & other and {r["repo"] for r in held.read("files", repo="p").collect()} == {"p"}
+    held.replace("files", spark.createDataFrame([("p", "f3", "2", "2.3")], schemas.FILES), spark.createDataFrame([("p", "f3")], "repo string, file_path string"))
+    wider = {f.rsplit("/", 2)[1] for f in held.read("files", repo="p").inputFiles()}
+    assert len(wider) > 4 >= len(own) and held.read("files", repo="p").count() == 30 and held.read("files").count() == 60
+    assert {f.rsplit("/", 2)[1] for f in held.read("files", repo="q").inputFiles()} == other
+    held.delete_rows("files", ["p"])
+    assert held.read("files", repo="p").count() == 0 and held.read("files").count() == 30
+
+
+def test_the_claim_of_a_dead_writer_lapses(spark, tmp_path):
+    row = spark.createDataFrame([("r", "a", "1", "2.3")], schemas.FILES)
+    held = tables.Store(spark, str(tmp_path))
+    held.append("files", row)
+    (tmp_path / "files" / "claim-2").write_text("of a writer that died")
+    with pytest.raises(tables.Conflict):
+        held.append("files", row)
+    hasty = tables.Store(spark, str(tmp_path), lease_s=0.0)
+    assert hasty.append("files", row) == 2 and held.read("files").count() == 2
+    assert held.append("files", row) == 3 and held.read_json("none") is None
+    held.write_json("note", {"a": 1})
+    assert held.read_json("note") == {"a": 1}
+
+
 class Flaky:
     dimension = 1
 

@@ -1,4 +1,5 @@
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -30,6 +31,25 @@ def test_snapshots_see_new_changed_and_deleted_files(tmp_path):
     assert SnapshotReader(str(root), str(state)).latestOffset() == second
 
 
+def test_a_file_counts_once_it_is_quiet(tmp_path):
+    root = tmp_path / "root"
+    root.mkdir()
+    (root / "a.py").write_text("1")
+    os.utime(root / "a.py", (1, 1))
+    reader = SnapshotReader(str(root), str(tmp_path / "s"), 0.4)
+    first = reader.latestOffset()
+    now = 100.0
+    held, busy = {"a.py": [1.0, 1], "b.py": [2.0, 1]}, {"a.py": [99.9, 5], "c.py": [99.8, 1]}
+    assert reader._quiet(held, busy, now)[0] == held  # written and gone too lately: all as before
+    quiet, wait = reader._quiet(held, busy, now + 1)
+    assert quiet == busy and wait == 0
+    (root / "a.py").write_text("22")
+    began = time.time()
+    second = reader.latestOffset()  # waits for the trailing edge
+    assert second != first and time.time() - began > 0.2
+    assert [(p, k) for part in reader.partitions(first, second) for p, k, _, _ in reader.read(part)] == [("a.py", "modified")]
+
+
 def test_stream_keeps_the_chunk_table(spark, tmp_path):
     root = tmp_path / "root"
     root.mkdir()
