@@ -227,8 +227,7 @@ class Engine:
         ready = hybrid and self.store.exists("postings")
         scored = search.fts_index(self.store.read("postings", repo=repo), self.store.read("doc_lengths", repo=repo), query) if ready else None
         found = search.hybrid_topk(vectors, vector, query, limit, self.settings.metric, fts_ready=ready, scored=scored)
-        rows = chunks.select("id", "file_path", F.col("start_line").alias("line_number"), "end_line", "content")
-        return F.broadcast(found).join(rows, "id").orderBy("rank")
+        return search.response_rows(found, chunks).orderBy("rank")
 
     def status(self, path: str = "") -> DataFrame:
         """Chunks and files by repository."""

@@ -133,6 +133,12 @@ def cost_avoided(tokens: int) -> float:
     return round(tokens * DOLLARS_PER_MILLION / 1_000_000, 6)
 
 
+def savings_by(symbols: DataFrame, by: str = "file_path") -> DataFrame:
+    """Per group of returned symbols the tokens saved and the cost avoided."""
+    saved = symbols.groupBy(by).agg((F.count(F.lit(1)) * TOKENS_PER_SYMBOL).alias("tokens_saved"))
+    return saved.withColumn("cost_avoided_usd", F.round(F.col("tokens_saved") * DOLLARS_PER_MILLION / 1e6, 6))
+
+
 def token_cost(rows: DataFrame, column: str = "content", by: str = "repo") -> DataFrame:
     """Estimated tokens of the texts and what embedding them costs."""
     from tessera.functions.text import token_estimate

@@ -130,6 +130,12 @@ def hybrid_topk(rows: DataFrame, query_vector: list[float], query: str, k: int =
     return fused.select("id", "score", F.lit("hybrid").alias("match_type"), "rank")
 
 
+def response_rows(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked ids as the rows of an answer, which calls the first line line_number."""
+    rows = chunks.select("id", "file_path", F.col("start_line").alias("line_number"), "end_line", "content")
+    return F.broadcast(found).join(rows, "id")  # ``found`` is a top-k
+
+
 def line_search(files: DataFrame, query: str, k: int = 50, case_sensitive: bool = False) -> DataFrame:
     """file_path, line_number, line of the first k matching lines by path and place.
 

@@ -155,7 +155,7 @@ def append_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _chunk_rows(spark, sf_dir)
     fresh = rows.where("chunk_index BETWEEN 1 AND 3").withColumn("file_hash", F.lit("new"))
-    return merge.upsert(rows.where("chunk_index < 2"), fresh)
+    return merge.upsert(rows, fresh)
 
 
 def delete_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +269,7 @@ FROM w LEFT JOIN chunks c ON c.repo = w.repo AND c.file_path = w.file_path GROUP
 SELECT file_path, "offset", (length(substr(content, 1, "offset")) - length(replace(substr(content, 1, "offset"), chr(10), '')) + 1)::INTEGER AS line_number FROM o WHERE "offset" <= length(content)""",
     "append_chunks": f"{K} SELECT {FIVE} FROM chunks",
     "upsert_chunks": f"""{K}, s AS (SELECT id, repo, file_path, chunk_index, 'new' AS file_hash FROM chunks WHERE chunk_index BETWEEN 1 AND 3)
-SELECT {FIVE} FROM chunks WHERE chunk_index < 2 AND id NOT IN (SELECT id FROM s) UNION ALL SELECT * FROM s""",
+SELECT {FIVE} FROM chunks WHERE id NOT IN (SELECT id FROM s) UNION ALL SELECT * FROM s""",
     "delete_by_file": f"{K} SELECT {FIVE} FROM chunks WHERE file_path NOT IN (SELECT file_path FROM corpus WHERE doc_id IN (0, 1, 2, 3, 4))",
     "replace_files": f"""WITH {views.PRIOR_SQL}, {views.CHUNKS_SQL.split('corpus AS (')[1].split('FROM documents),', 1)[1]}, {PENDING},
 hit AS (SELECT repo, file_path FROM pend)

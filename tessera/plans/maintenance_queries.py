@@ -65,9 +65,9 @@ def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.corpus(spark, sf_dir)
     n = F.col("doc_id").cast("string")
     names = F.array(F.concat(F.lit("/w/a"), n), F.concat(F.lit("/w/b"), n), F.concat(F.lit("/w/a"), n))
-    return docs.where("doc_id % 2 = 0").select(
+    return docs.select(
         "doc_id", ids.cache_key(F.concat(F.lit("/w/a"), n)).alias("cache_key"), F.concat(F.lit("/p/"), n).alias("project_path"), F.col("mtime").alias("updated_at"),
-        F.array_distinct(F.slice(names, 1, (F.col("doc_id") % 4 / 2 + 1).cast("int"))).alias("alias_paths"))
+        F.array_distinct(F.slice(names, 1, F.when(F.col("doc_id") % 4 == 2, 2).otherwise(1))).alias("alias_paths"))
 
 
 def alias_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ UNION ALL SELECT stem || tail, 'orphan_sidecar_json', bytes, repo_path FROM fl W
 UNION ALL SELECT stem || tail, 'stale_index_tmp', bytes, NULL FROM fl WHERE ends_with(tail, '.tmp') AND NOT fresh"""
 META = f"""{C}, meta AS (
   SELECT doc_id, substr(sha256('/w/a' || doc_id::VARCHAR), 1, 12) AS cache_key, '/p/' || doc_id::VARCHAR AS project_path, mtime AS updated_at,
-    CASE WHEN doc_id % 4 = 2 THEN ['/w/a' || doc_id::VARCHAR, '/w/b' || doc_id::VARCHAR] ELSE ['/w/a' || doc_id::VARCHAR] END AS alias_paths FROM corpus WHERE doc_id % 2 = 0),
+    CASE WHEN doc_id % 4 = 2 THEN ['/w/a' || doc_id::VARCHAR, '/w/b' || doc_id::VARCHAR] ELSE ['/w/a' || doc_id::VARCHAR] END AS alias_paths FROM corpus),
 alive AS (SELECT '/w/b' || doc_id::VARCHAR AS path FROM corpus WHERE doc_id % 3 <> 1 UNION SELECT '/w/a' || doc_id::VARCHAR FROM corpus WHERE doc_id % 5 = 0
   UNION SELECT '/p/' || doc_id::VARCHAR FROM corpus WHERE doc_id % 4 = 0)"""
 ORACLES = {
@@ -185,7 +185,7 @@ SELECT cache_key, (row_number() OVER (PARTITION BY cache_key ORDER BY i) - 1)::I
     "worktree_invalidate": f"""{META}, w AS (
   SELECT c.doc_id, '/w/a' || c.doc_id::VARCHAR AS path, CASE WHEN c.doc_id % 13 = 0 THEN 'refused: path is a symlink' WHEN c.doc_id % 7 = 3 THEN 'no cache dir found for path'
     WHEN c.doc_id % 2 = 1 THEN 'no project meta found' END AS error, c.size FROM corpus c),
-v AS (SELECT *, error IS NULL AND doc_id % 4 = 0 AS only_alias, error IS NULL AND NOT ('/p/' || doc_id::VARCHAR) IN (SELECT path FROM alive) AND doc_id % 4 = 0 AS gone FROM w)
+v AS (SELECT *, error IS NULL AND NOT ('/p/' || doc_id::VARCHAR) IN (SELECT path FROM alive) AND doc_id % 4 = 0 AS gone FROM w)
 SELECT path, substr(sha256(path), 1, 12) AS cache_key, error IS NULL AS alias_removed, gone AS cache_deleted, CASE WHEN gone THEN size ELSE 0 END::BIGINT AS bytes_reclaimed, error FROM v""",
     "recent_projects": f"{META} SELECT project_path, updated_at FROM meta WHERE project_path IN (SELECT path FROM alive) ORDER BY updated_at DESC, project_path LIMIT 20",
     "verified_sidecars": f"{C} SELECT 'index_' || substr(sha256(file_path), 1, 16) || '.meta.json' AS file_name, file_path AS repo_path FROM corpus WHERE doc_id % 3 <> 0",

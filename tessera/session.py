@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,14 @@ def local_session(cpus: int | None = None, memory: str = "8g", **conf: str) -> S
     return spark
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Where a query may write: the shared folder of spark.checkpoint.dir, or a temporary one of a local session."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="tessera-")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; only Spark's readers touch the path, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -364,6 +364,12 @@ def recent_projects(meta: DataFrame, existing: DataFrame, k: int = 20) -> DataFr
     return alive.orderBy(F.desc("updated_at"), "project_path").limit(max(0, k))
 
 
+def parse_meta(rows: DataFrame, column: str = "body") -> DataFrame:
+    """A project's meta as a JSON document to columns; nulls where it is missing or does not parse."""
+    parsed = F.from_json(F.col(column), "project_path string, updated_at double, alias_paths array<string>", {"mode": "PERMISSIVE"})
+    return rows.withColumn("meta", parsed).select(*[c for c in rows.columns if c != column], "meta.*")
+
+
 def verified_sidecars(sidecars: DataFrame) -> DataFrame:
     """Sidecars (file_name, repo_path) whose name holds the key of the path that they state."""
     return sidecars.where(ids.index_key(F.col("repo_path")) == F.regexp_extract("file_name", r"^index_([0-9a-f]{16})\.", 1))

@@ -213,7 +213,7 @@ def test_search_reads_the_project_s_postings(spark, project, tmp_path):
     lookup = held.where("term IN ('login', 'user')")
     plan = spark._jvm.PythonSQLUtils.explainString(lookup._jdf.queryExecution(), "formatted")
     assert "In(term, [login,user])" in plan and len(lookup.inputFiles()) <= 4
-    assert engine.store.read("vector_buckets").count() == engine.store.read("chunks").count()
+    assert engine.store.read("vector_buckets", repo=project).count() == engine.store.read("chunks", repo=project).count()
 
 
 def test_outline_totals_and_ledger(spark, project, tmp_path):
