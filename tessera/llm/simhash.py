@@ -13,8 +13,10 @@ cross at each level, and visits grow twice as fast as the input.)
 
 The trees are fitted on the driver to a sample of at most ``SAMPLE`` fingerprints (those of smallest hash),
 which decides only where fingerprints meet, never which ones; ``mu`` minimises the work of both sides.
-Leaves with more than ``LEAF_CAP`` fingerprints are cut into blocks, and each pair of blocks is a task of its
-own, so a dense cluster of any size stays exact and bounded in memory.
+Leaves that hold more than ``LEAF_CAP`` fingerprints grow trees of their own, in the tasks and on their own
+samples, round by round, so that leaves stay small however many fingerprints there are. A leaf that no cut
+helps, such as a dense cluster, is cut into blocks, and each pair of blocks is a task of its own; so it stays
+exact and bounded in memory at any size.
 
 Cases: no words: fingerprint zero, linked like any other; null text counts as empty; rows with a null id take
 part and get the smallest non-null id reachable, or null if there is none; repeated rows have equal results;
@@ -23,9 +25,11 @@ empty tables give empty results; other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, bounded, durable, row_hash, smallest
+from tessera.llm.common import bound_batches, bounded, durable, parallelism, row_hash, smallest
 from tessera.llm.graph import star_components
 
 RADIUS = 3
@@ -199,45 +203,104 @@ def _visits(trees: list[VantageTree], points: np.ndarray) -> tuple[np.ndarray, n
     return np.concatenate([x for x, _ in ways]), np.concatenate(tree), np.concatenate([x for _, x in ways])
 
 
-def links(distinct: DataFrame, leaf_target: int = LEAF_TARGET, leaf_cap: int = LEAF_CAP) -> DataFrame:
-    """Spanning links (a, b) over the distinct fingerprints in column ``fp``."""
-    count = distinct.count()
-    few = smallest(distinct, F.xxhash64("fp"), SAMPLE, count)
-    sample = np.array([r[0] for r in few.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], "<i8").view("<u8")
-    scale, trees = max(1.0, count / max(1, len(sample))), []
-    for mask in HALVES:
-        trees.append(VantageTree(sample, mask, REACH, scale, leaf_target, trees[-1].leaves if trees else 0))
+VISIT = "tree int, leaf long, fp long"
+
+
+def _unsigned(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype("<i8").view("<u8")
+
+
+def _sizes(visits: DataFrame, above: int) -> DataFrame:
+    """tree, leaf and n of the leaves with more than ``above`` fingerprints."""
+    return visits.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > above)
+
+
+def _subtrees(visits: DataFrame, large: DataFrame, leaf_target: int, sample: int) -> DataFrame:
+    """A tree for each large leaf, grown in the tasks on the leaf's fingerprints of smallest hash, about ``sample``."""
+    share = F.col("n") / sample
+    few = visits.join(large, ["tree", "leaf"]).where(F.pmod(F.xxhash64("fp", F.lit(7)), F.ceil(share).cast("long")) == 0)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        points = pdf["fp"].to_numpy("<i8").view("<u8")
+        tree, n = int(pdf["tree"].iloc[0]), int(pdf["n"].iloc[0])
+        grown = VantageTree(points, HALVES[tree], REACH, max(1.0, n / max(1, len(points))), leaf_target)
+        return pd.DataFrame({"tree": pd.Series([tree], dtype="int32"), "leaf": [int(pdf["leaf"].iloc[0])], "grown": [pickle.dumps(grown)], "leaves": pd.Series([grown.leaves], dtype="int32")})
 
-    def unsigned(batch: pa.RecordBatch) -> np.ndarray:
-        return batch.column(0).to_numpy(zero_copy_only=False).astype("<i8").view("<u8")
+    return few.groupBy("tree", "leaf").applyInPandas(grow, "tree int, leaf long, grown binary, leaves int")
 
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _routed(visits: DataFrame, subtrees: DataFrame, n_parts: int, salts: int = 16) -> DataFrame:
+    """Visits of large leaves to the leaves of their subtrees. A subtree is sorted before its visits, in each of the
+    ``salts`` deals of a leaf, and a task holds one at a time."""
+    spread = subtrees.select("tree", "leaf", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("fp"), "grown")
+    asked = visits.join(subtrees.select("tree", "leaf"), ["tree", "leaf"], "left_semi")
+    asked = asked.select("tree", "leaf", F.pmod(F.xxhash64("fp", F.lit(8)), F.lit(salts)).cast("int").alias("salt"), "fp", F.lit(None).cast("binary").alias("grown"))
+    sorted_ = spread.unionByName(asked).repartition(n_parts, "tree", "leaf", "salt").sortWithinPartitions("tree", "leaf", "salt", F.col("fp").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grown, tree, leaf = None, 0, 0
         for batch in batches:
-            leaf, n = np.unique(_visits(trees, unsigned(batch))[2], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(n, pa.int64())], names=["leaf", "n"])
+            heads = np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for begin, end in zip([0, *(k + 1 for k in heads)], [*heads, len(batch)], strict=True):
+                if begin and begin - 1 in heads:
+                    grown, tree, leaf = pickle.loads(batch.column(4)[begin - 1].as_py()), batch.column(0)[begin - 1].as_py(), batch.column(1)[begin - 1].as_py()
+                part = batch.slice(begin, end - begin)
+                if len(part):
+                    points = _unsigned(part.column(3))
+                    at, below = grown.route(points)
+                    # a number of its own for each leaf below; two that met by chance would be solved together, no harm
+                    names = _mixed(np.uint64(leaf & 0xFFFFFFFFFFFFFFFF) * np.uint64(0x9E3779B97F4A7C15) + below.astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tree, np.int32)), pa.array(names.view("<i8")), pa.array(points[at].view("<i8"))], names=["tree", "leaf", "fp"])
+
+    return sorted_.mapInArrow(run, VISIT)
+
 
-    sizes = distinct.select("fp").mapInArrow(sized, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
-    blocks = {r["leaf"]: -(-2 * r["n"] // leaf_cap) for r in sizes.where(F.col("n") > leaf_cap).collect()}  # a row per leaf
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def links(distinct: DataFrame, leaf_target: int = LEAF_TARGET, leaf_cap: int = LEAF_CAP, sample: int = SAMPLE) -> DataFrame:
+    """Spanning links (a, b) over the distinct fingerprints in column ``fp``."""
+    count = distinct.count()
+    few = smallest(distinct, F.xxhash64("fp"), sample, count)
+    points = np.array([r[0] for r in few.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], "<i8").view("<u8")
+    scale, trees = max(1.0, count / max(1, len(points))), []
+    for mask in HALVES:
+        trees.append(VantageTree(points, mask, REACH, scale, leaf_target, trees[-1].leaves if trees else 0))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = unsigned(batch)
-            at, tree, leaf = _visits(trees, points)
-            part = np.zeros(len(at), np.int64)
-            for k, n in blocks.items():
-                # block x of leaf k meets every block y in the cell of (x, y)
-                own = leaf == k
-                x = ((points[at[own]] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % n
-                y = np.arange(n)
-                pair = np.minimum(x[:, None], y) * n + np.maximum(x[:, None], y)
-                part = np.concatenate((part[~own], pair.ravel()))
-                at, tree, leaf = (np.concatenate((v[~own], np.repeat(v[own], n))) for v in (at, tree, leaf))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tree, pa.int32()), pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), pa.array(points[at].view("<i8"))],
-                names=["tree", "leaf", "part", "fp"])
-
-    visits = distinct.select("fp").mapInArrow(dealt, "tree int, leaf long, part long, fp long")
-    return visits.groupBy("leaf", "part").applyInPandas(_leaf_links, "a long, b long")
+            own = _unsigned(batch.column(0))
+            at, tree, leaf = _visits(trees, own)
+            yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int64()), pa.array(own[at].view("<i8"))], names=["tree", "leaf", "fp"])
+
+    visits = distinct.select("fp").mapInArrow(dealt, VISIT)
+    large = durable(_sizes(visits, leaf_cap))
+    parts = []
+    while not large.isEmpty():
+        # leaves above the cap: cut by trees of their own, or, where no cut would help, into blocks of pairs
+        visits = durable(visits)
+        subtrees = durable(_subtrees(visits, large, leaf_target, sample))
+        whole = durable(large.join(subtrees.where("leaves = 1").select("tree", "leaf"), ["tree", "leaf"], "left_semi"))
+        parts.append(_in_blocks(visits.join(whole, ["tree", "leaf"]), leaf_cap))
+        small = visits.join(large.select("tree", "leaf"), ["tree", "leaf"], "left_anti")
+        parts.append(small.withColumn("part", F.lit(0).cast("long")))
+        visits = _routed(visits, subtrees.where("leaves > 1"), parallelism(distinct))
+        large = durable(_sizes(visits, leaf_cap))
+    parts.append(visits.withColumn("part", F.lit(0).cast("long")))
+    together = reduce(DataFrame.unionByName, parts)
+    return together.groupBy("tree", "leaf", "part").applyInPandas(_leaf_links, "a long, b long")
+
+
+def _in_blocks(visits: DataFrame, leaf_cap: int) -> DataFrame:
+    """``visits`` (with n, the leaf's size) dealt into blocks: block x of a leaf meets block y in the part of (x, y)."""
+    blocks = F.ceil(2 * F.col("n") / leaf_cap).cast("long")
+    x = F.pmod(F.xxhash64("fp", F.lit(9)), blocks)
+    each = visits.select("tree", "leaf", "fp", blocks.alias("blocks"), x.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("y"))
+    return each.select("tree", "leaf", "fp", (F.least("x", "y") * F.col("blocks") + F.greatest("x", "y")).alias("part"))
 
 
 def components(marked: DataFrame, fp: str = "fingerprint_bits", **sizes) -> DataFrame:

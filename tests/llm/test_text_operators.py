@@ -293,7 +293,7 @@ def naive_components(rows):
     return Counter((r[0], f"{p:016x}", least.get(root(i))) for i, (r, p) in enumerate(zip(rows, prints, strict=True)))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"leaf_target": 10, "leaf_cap": 12}])
+@pytest.mark.parametrize("sizes", [{}, {"leaf_target": 10, "leaf_cap": 12}, {"leaf_target": 8, "leaf_cap": 10, "sample": 16}])
 def test_simhash_equals_all_pairs(docs, none, sizes):
     assert Counter(tuple(r) for r in simhash.near_duplicates(docs, **sizes).collect()) == naive_components(sample())
     assert simhash.near_duplicates(none, **sizes).count() == 0
@@ -306,6 +306,30 @@ def test_one_row_of_each_group_stays(docs):
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(g for g in groups if g is not None)
 
 
+def test_large_leaves_grow_trees_of_their_own(spark, monkeypatch):
+    """From a sample too small for the first trees, leaves end below the cap (but for a dense cluster) and no link is lost."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**63, 1_500, dtype=np.uint64)
+    near = base[:300] ^ (np.uint64(1) << rng.integers(0, 62, 300).astype(np.uint64))
+    cluster = base[0] ^ np.array([1 << i ^ 1 << j for i in range(40) for j in range(i)], np.uint64)
+    points = np.unique(np.concatenate((base, near, cluster)))
+    df = simhash.durable(spark.createDataFrame([(int(x),) for x in points.view("<i8")], "fp long").repartition(3))
+    sizes = []
+    solve = simhash._in_blocks
+    monkeypatch.setattr(simhash, "_in_blocks", lambda visits, cap: (sizes.append(visits.select("tree", "leaf").distinct().count()), solve(visits, cap))[1])
+    got = simhash.links(df, leaf_target=60, leaf_cap=400, sample=40)
+    assert len(sizes) >= 1
+    labels = np.arange(len(points))
+    close = np.bitwise_count(points[:, None] ^ points[None, :]) <= 3
+    simhash._hook(labels, *np.nonzero(np.triu(close, 1)))
+    mine = np.arange(len(points))
+    rows = got.collect()
+    a, b = (np.searchsorted(points, np.array([r[c] for r in rows], "<i8").view("<u8")) for c in ("a", "b"))
+    assert all(close[i, j] or labels[i] == labels[j] for i, j in zip(a, b, strict=True))
+    simhash._hook(mine, a, b)
+    assert np.array_equal(mine, labels)
+
+
 def test_trees_lose_no_near_pair_in_dense_clusters():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
