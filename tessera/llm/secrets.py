@@ -63,7 +63,8 @@ CANDIDATES = (
     ("web_token", re.compile(r"(?<![\w-])eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}")),
     ("address", re.compile(r"://[^\s/:@]*+:([^\s/@]++)@")),
     ("assigned", re.compile(r"(?i)(?:token|secret|passwd|password|pwd|passphrase|credential|api[_-]?key|[\w-]{0,20}_key|auth)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"',;<>]{8,})")),
-    ("token", re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}")),
+    # "=" only pads the end: a name before it is no part of the value
+    ("token", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")),
 )
 _DIGIT = re.compile("[0-9]")
 _KEY_RUN = re.compile(r"(?:[A-Za-z0-9+/=]\s*+){16}")

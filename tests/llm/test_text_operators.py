@@ -504,15 +504,18 @@ def test_dictionary_coverage_equals_all_substrings(forest):
 def naive_candidates(text):
     """Spans (start, end, kind) found by walking the text a character at a time."""
     spans, space = [], re.compile(r"\s")
-    token = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-")
+    token = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
     i = 0
-    while i < len(text):  # runs of token characters
-        j = i
+    while i < len(text):  # runs of token characters, and up to two signs that fill up
+        j = end = i
         while j < len(text) and text[j] in token:
             j += 1
+        end = j
+        while end < min(j + 2, len(text)) and text[end] == "=":
+            end += 1
         run = text[i:j]
         if j - i >= 16 and (any(c in "0123456789" for c in run) or run not in (run.lower(), run.upper())):
-            spans.append((i, j, "token"))
+            spans.append((i, end, "token"))
         i = max(j, i + 1)
     i = text.find("://")  # user:password@
     while i >= 0:
@@ -581,7 +584,7 @@ def test_overlaps_are_resolved_after_scoring_the_longest_first():
     found = [secrets.Finding("token", a, "x" * n, "", "", "") for a, n in ((0, 10), (5, 30), (8, 4), (34, 9), (40, 9))]
     assert secrets.longest(found, [0.9] * 5) == [1, 4]
     whole = secrets.candidates("password=" + "a1" * 10)
-    assert [(f.kind, f.start) for f in whole] == [("token", 0), ("assigned", 9)]
+    assert [(f.kind, f.start) for f in whole] == [("assigned", 9), ("token", 9)]  # the name is no part of the secret
 
 
 def test_scan_finds_planted_secrets_and_no_others(spark, docs, none, forest):
