@@ -1,7 +1,7 @@
 """Secret scans with a random forest against false positives (operator 9).
 
 Method. Patterns find candidates in the whole text: private-key blocks, web tokens, values assigned to a
-telling name, credentials in addresses, and long tokens with digits or mixed case. Each candidate becomes
+telling name, credentials in addresses, ids of access keys, and long tokens with digits or mixed case. Each candidate becomes
 numbers: its length, its character transitions (class changes, and a log ratio of character pairs learnt from
 the labelled findings), its coverage by dictionary words (the whole words of a public vocabulary file, whose
 path is a parameter), its path (``source``) and the words beside it. A
@@ -63,6 +63,7 @@ CANDIDATES = (
     ("web_token", re.compile(r"(?<![\w-])eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}")),
     ("address", re.compile(r"://[^\s/:@]*+:([^\s/@]++)@")),
     ("assigned", re.compile(r"(?i)(?:token|secret|passwd|password|pwd|passphrase|credential|api[_-]?key|[\w-]{0,20}_key|auth)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"',;<>]{8,})")),
+    ("key_id", re.compile(r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])")),
     # "=" only pads the end: a name before it is no part of the value
     ("token", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")),
 )
@@ -180,7 +181,7 @@ def describe(f: Finding, pairs: dict[str, float], words: frozenset[str]) -> list
         _near(before, OTHER_WORDS),
         _near(after, SECRET_WORDS),
         float(bool(path & set(PATH_WORDS))),
-        float(f.kind in ("private_key", "web_token")),
+        float(f.kind in ("private_key", "web_token", "key_id")),
         float(f.kind == "address"),
     ]
 
@@ -263,7 +264,8 @@ def labelled_findings(words: frozenset[str], n: int = FINDINGS, seed: int = SEED
     paths = ["app/config.py", "src/settings.ini", "deploy/env.sh", "notes.md", "tests/test_auth.py", "docs/guide.md", "data/part-0", ""]
 
     def prose(k: int) -> str:
-        return " ".join("".join(pick(syllables) for _ in range(rng.randint(1, 4))) for _ in range(k))
+        # now and then a telling word stands somewhere before, of either kind and for either label
+        return " ".join(pick(SECRET_WORDS + OTHER_WORDS) if rng.random() < 0.03 else "".join(pick(syllables) for _ in range(rng.randint(1, 4))) for _ in range(k))
 
     def names(k: int) -> list[str]:
         return [pick([pick(known), "".join(pick(syllables) for _ in range(3))]) for _ in range(k)]
@@ -280,7 +282,7 @@ def labelled_findings(words: frozenset[str], n: int = FINDINGS, seed: int = SEED
             word = "".join(pick(syllables) for _ in range(rng.randint(1, 4))) + some("0123456789", rng.randint(0, 3)) + pick(["", "pass"])
             return f"{pick(['https', 'postgres', 'redis'])}://{user}:", pick([some(mixed, rng.randint(3, 24)), word]) + "@"
         if shape < 0.26:
-            return "", some(mixed[:52], rng.randint(16, 40))
+            return "", pick([some(mixed[:52], rng.randint(16, 40)), "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)])
         name = pick(["token", "secret", "password", "api_key", "access_key", "client_secret", "auth_token", "passwd", "signing_key", "credential"])
         value = pick([
             lambda: some(hexes, pick([32, 40, 48, 64])), lambda: some(mixed, rng.randint(20, 48)),
