@@ -80,13 +80,36 @@ def apply_to_store(
     return run
 
 
-def windows(files: DataFrame, per_window: int) -> DataFrame:
+HEADS = (12, 32, 96, 256, 1024)
+HEAD_ROWS = 50_000
+
+
+def _by_head(files: DataFrame, most: int) -> DataFrame:
+    """``files`` with ``head``, a beginning of the path that few others share.
+
+    A head is the shortest of ``HEADS`` that at most ``most`` files of the project begin with, or the longest. So
+    heads follow the order of paths, and no deep common folder puts a corpus into one group.
+    """
+    found = files.withColumn("head", F.lit(None).cast("string"))
+    for k, length in enumerate(HEADS):
+        cut = F.substring("file_path", 1, length)
+        if k + 1 == len(HEADS):
+            return found.withColumn("head", F.coalesce("head", cut))
+        small = found.where("head IS NULL").groupBy("repo", cut.alias("cut")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
+        met = found.withColumn("cut", cut).join(small.drop("n").withColumn("small", F.lit(True)), ["repo", "cut"], "left")
+        found = met.withColumn("head", F.coalesce("head", F.when(F.col("small"), F.col("cut")))).drop("cut", "small")
+        if found.where("head IS NULL").isEmpty():
+            return found
+    return found
+
+
+def windows(files: DataFrame, per_window: int, head_rows: int = HEAD_ROWS) -> DataFrame:
     """``files`` with the number of the bounded window that takes them, in order of path.
 
     Each window holds at least one file; what a run has not reached is what the later windows hold. Numbers
-    come from a prefix sum of counts by leading path, so that no task ranks the whole corpus.
+    come from a prefix sum of counts by the path's beginning, so that no task ranks the whole corpus.
     """
-    keyed = files.withColumn("head", F.substring("file_path", 1, 12))
+    keyed = _by_head(files, head_rows)
     counts = keyed.groupBy("repo", "head").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("repo").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))

@@ -6,6 +6,7 @@ import threading
 
 import pytest
 
+from tessera import cli
 from tessera.api import MAX_PROJECTS, Engine, Settings
 from tessera.sources import remote
 
@@ -250,3 +251,15 @@ def test_remote_tree_over_its_web_interface(spark, tmp_path):
         assert found["source"] == source.decode().strip()
     finally:
         server.shutdown()
+
+
+def test_commands_report_unless_told_and_granted(spark, project, tmp_path, capsys, monkeypatch):
+    warehouse = ["--warehouse", str(tmp_path / "store")]
+    assert cli.main([*warehouse, "index-symbols", project]) == 0 and json.loads(capsys.readouterr().out)["results"][0]["files"] == 4
+    assert cli.main([*warehouse, "get-symbol", "src/auth.py:function:helper", project]) == 0 and "def helper" in capsys.readouterr().out
+    shutil.rmtree(project)
+    assert cli.main([*warehouse, "prune-symbols"]) == 0 and len(json.loads(capsys.readouterr().out)["results"]) == 2
+    assert cli.main([*warehouse, "prune-symbols", "--execute"]) == 1 and "not allowed" in capsys.readouterr().out
+    monkeypatch.setenv(cli.GRANT, "yes")
+    assert cli.main([*warehouse, "prune-symbols", "--execute"]) == 0 and cli.main([*warehouse, "prune-symbols"]) == 0
+    assert json.loads(capsys.readouterr().out.split("}\n{")[-1].join(["{", ""]))["results"] == []

@@ -89,6 +89,10 @@ def test_windows_hold_every_file_once(spark):
     files = spark.createDataFrame([("r", f"dir{i % 3}/sub/file_{i:03}.py") for i in range(50)], "repo string, file_path string")
     got = changes.windows(files, 7).orderBy("file_path").collect()
     assert [r["window"] for r in got] == [i // 7 for i in range(50)]
+    deep = spark.createDataFrame([("r", p) for p in [*(f"a/very/long/common/folder/of/many/levels/f{i:03}.py" for i in range(40)), "a/v", "a/very/long", "b", "a/very/long/common.py"]], "repo string, file_path string")
+    for head_rows in (1, 3, 100):  # heads of different lengths keep the order of paths
+        rows = changes.windows(deep, 3, head_rows).collect()
+        assert [r["window"] for r in sorted(rows, key=lambda r: r["file_path"])] == [i // 3 for i in range(44)]
 
 
 def test_schemas_are_complete():
