@@ -30,7 +30,7 @@ import re
 import uuid
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
@@ -57,15 +57,39 @@ MIN_WORD = 4
 MAX_WORD = 14
 #: Values that stand in a secret's place and are none.
 PLACEHOLDERS = "your_api_key_here changeme123 xxxxxxxxxxxxxxxx <password> example_token_value REPLACE_ME_PLEASE placeholder-token os.environ['KEY'] getenv(TOKEN) None_placeholder insert-token-here dummy_secret_value ****************".split()
-CANDIDATES = (
+#: What is assigned: the end of a name, up to the sign, which ``NAME`` characters hold; and the sign with the value.
+NAME = 24
+_NAME = re.compile(r"(?i)(?:token|secret|passwd|password|pwd|passphrase|credential|api[_-]?key|_key|auth)[\"']?\s{0,3}\Z")
+_SIGN = re.compile("[:=]")
+_VALUE = re.compile(r"(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"',;<>]{8,})")
+
+
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of assigned values. Names are looked for before signs, which are few, and none inside a value."""
+    end = 0
+    for sign in _SIGN.finditer(text):
+        at = sign.start()
+        if at >= end and _NAME.search(text[max(end, at - NAME) : at]) and (value := _VALUE.match(text, at)):
+            end = value.end()
+            yield value.span(1)
+
+
+def _matched(pattern: str) -> Callable[[str], Iterator[tuple[int, int]]]:
+    """The spans of a pattern: of its group, if it has one."""
+    compiled = re.compile(pattern)
+    return lambda text: (m.span(compiled.groups) for m in compiled.finditer(text))
+
+
+#: Patterns begin with plain text, if they can, and look back from behind it, as such a beginning is searched for fast.
+CANDIDATES: tuple[tuple[str, Callable[[str], Iterator[tuple[int, int]]]], ...] = (
     # the body, with header lines or without, runs to the next five dashes
-    ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----")),
-    ("web_token", re.compile(r"(?<![\w-])eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}")),
-    ("address", re.compile(r"://[^\s/:@]*+:([^\s/@]++)@")),
-    ("assigned", re.compile(r"(?i)(?:token|secret|passwd|password|pwd|passphrase|credential|api[_-]?key|[\w-]{0,20}_key|auth)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"',;<>]{8,})")),
-    ("key_id", re.compile(r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])")),
+    ("private_key", _matched(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----")),
+    ("web_token", _matched(r"eyJ(?<![\w-]eyJ)[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}")),
+    ("address", _matched(r"://[^\s/:@]*+:([^\s/@]++)@")),
+    ("assigned", _assigned),
+    ("key_id", _matched(r"A[KS]IA(?<![A-Za-z0-9]A[KS]IA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
     # "=" only pads the end: a name before it is no part of the value
-    ("token", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")),
+    ("token", _matched(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")),
 )
 _DIGIT = re.compile("[0-9]")
 _KEY_RUN = re.compile(r"(?:[A-Za-z0-9+/=]\s*+){16}")
@@ -94,11 +118,8 @@ def _worth(kind: str, value: str) -> bool:
 def candidates(text: str, path: str | None = None) -> list[Finding]:
     """All candidate findings of a text, by place, overlapping ones too."""
     spans = []
-    for kind, pattern in CANDIDATES:
-        for m in pattern.finditer(text):
-            g = 1 if pattern.groups else 0
-            if _worth(kind, m[g]):
-                spans.append((m.start(g), m.end(g), kind))
+    for kind, spans_of in CANDIDATES:
+        spans += [(a, b, kind) for a, b in spans_of(text) if _worth(kind, text[a:b])]
     spans.sort(key=lambda s: (s[0], -s[1]))
     return [Finding(kind, a, text[a:b], text[max(0, a - ASIDE) : a], text[b : b + ASIDE], path or "") for a, b, kind in spans]
 
