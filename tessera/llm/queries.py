@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, html, knn, lines, mixing, quality, rules, secrets, shards, simhash
+from tessera.llm import bpe, html, knn, lines, mixing, quality, ranked, rules, secrets, shards, simhash, tries, urls
 from tessera.session import table
 
 #: Where the public tokenizer files lie; a parameter of the operator.
@@ -59,6 +59,18 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_histogram_shards": op2_histogram_shards,
@@ -70,9 +82,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_secret_scan": op9_secret_scan,
     "op10_mix_sources": op10_mix_sources,
+    "op11_threshold_search": op11_threshold_search,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_bloom_cascade": op13_bloom_cascade,
 }
 ORACLES: dict[str, str] = {
     "op3_voronoi_knn": knn.ORACLE,
     "op4_line_dedup": lines.ORACLE,
     "op5_quality_rules": rules.ORACLE,
+    "op11_threshold_search": ranked.ORACLE,
+    "op12_prefix_trie": tries.ORACLE,
+    "op13_bloom_cascade": urls.ORACLE,
 }
