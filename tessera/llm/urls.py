@@ -143,8 +143,11 @@ def cascades(urls: DataFrame, listed: DataFrame, most_words: int = MOST_WORDS) -
     shape = _shape(listed)
     keys = durable(universe(urls, listed, shape))
     parts = max(1, math.ceil(keys.where("listed").count() * BITS / 64 / most_words))
-    part = F.pmod(F.xxhash64(F.lit(-1), F.col("key")), F.lit(parts))
-    return shape, [cascade(keys.where(part == i) if parts > 1 else keys) for i in range(parts)]
+    return shape, [cascade(keys.where(_part(F.col("key"), parts) == i) if parts > 1 else keys) for i in range(parts)]
+
+
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts))
 
 
 def unwanted_hosts(urls: DataFrame, parts: Iterable[str] = UNWANTED) -> DataFrame:
@@ -200,12 +203,13 @@ def _judged_by(urls: DataFrame, keys: DataFrame, most_words: int):
     """For each part of a list: a url's candidates, the test of one, and what must happen to rows between parts."""
     shape, parts = cascades(urls, keys, most_words)
     asked = candidates(F.col("host"), F.col("path"), shape)
-    for levels in parts:
-        yield asked, _test(levels), (stored if len(parts) > 1 else lambda df: df)
+    for i, levels in enumerate(parts):
+        yield asked, _test(levels, i, len(parts)), (stored if len(parts) > 1 else lambda df: df)
 
 
-def _test(levels: list[Level]):
-    return lambda key: member(key, levels)
+def _test(levels: list[Level], part: int, parts: int):
+    """A cascade is exact for the keys of its own part alone."""
+    return lambda key: (_part(key, parts) == part) & member(key, levels) if parts > 1 else member(key, levels)
 
 
 def _keys(spark: SparkSession, keys: list[str]) -> DataFrame:
