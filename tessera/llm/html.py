@@ -7,9 +7,12 @@ content. These clusters select the regions: the
 deepest container that holds all content lines, and every article and main element that holds some, are
 returned whole, so that a short paragraph between long ones is kept, less the parts that are boilerplate by
 element, role or class: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
-Unmarked link lists, bars and teaser cards beside the clusters are thus left out by their ratio alone; what
-lies between content and bears no mark is kept. A class or id counts if all its words are known ones, ids of headings and paragraphs do not,
-and neither does a mark on an element that holds most of the page's content (see ``_marked``).
+Unmarked link lists, bars and teaser cards beside the clusters are thus left out by their ratio alone, and a
+block of less than ``STRAY`` characters beside articles by its place; what
+lies between content and bears no mark is kept. A class or id counts if all its words are known ones (a word of
+adverts or consent counts beside any others), ids of headings and paragraphs do not,
+and neither does a mark on an element that holds most of the page's content (see ``_marked``): so a form round
+the whole page, as generated sites have it, is a container like any other, and a form in the page is left out.
 
 Each page is handled alone: no exchange, and memory is one Arrow batch. Line breaks count as white space.
 
@@ -38,6 +41,7 @@ SIGMA = 1.5
 REACH = 4
 THRESHOLD = 0.5
 BODY = 400
+STRAY = 160
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -45,7 +49,7 @@ INLINE = frozenset(
     "small span strike strong sub sup time tt u var wbr".split()
 )
 BOILERPLATE = frozenset(
-    "head title script style noscript template nav header footer aside form button select textarea input iframe object "
+    "head title script style noscript template nav header footer aside button select textarea input iframe object "
     "embed svg canvas menu dialog datalist audio video map".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
@@ -60,6 +64,12 @@ LAYOUT_WORDS = frozenset(
     "area bar bottom box button buttons block column container footer global group holder inner item items left line link links list "
     "main outer overlay page panel primary right secondary section site slot top unit wrap wrapper".split()
 )
+#: One of these anywhere in a class or id marks an advert, a notice of consent or links elsewhere, unless the element holds much.
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr onetrust newsletter".split())
+#: So do these two together: "related" alone names a part of an article as often.
+ELSEWHERE = (frozenset(["related", "recommended"]), frozenset("posts articles stories news links items products videos".split()))
+ADVERT_STARTS = ("advert", "adsby", "adslot")
+MUCH = 0.2
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
 TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 BODIES = frozenset("html body main article".split())
@@ -80,13 +90,17 @@ def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 def mark_of(tag: str, attrs: list[tuple[str, str | None]]) -> str | None:
-    """Kind of a class or id that marks an element as boilerplate: "comments", "other" or None."""
+    """Kind of an element that is marked as boilerplate: "form", "advert", "comments", "other" or None."""
     if tag in BODIES:
         return None
+    if tag == "form":
+        return "form"
     for name, value in attrs:
         if value and (name == "class" or name == "id" and tag not in TEXT_TAGS):
             for one in value.split():
                 words = [w.lower() for w in _TOKENS.findall(one)]
+                if any(w in ADVERT_WORDS or w.startswith(ADVERT_STARTS) for w in words) or all(x & set(words) for x in ELSEWHERE):
+                    return "advert"
                 if not words or not (words[0] in CLASS_WORDS or words[-1] in CLASS_WORDS):
                     continue
                 if words[:2] == ["skip", "to"] or all(w in CLASS_WORDS or w in LAYOUT_WORDS or w.isdigit() for w in words):
@@ -233,6 +247,8 @@ def _marked(lines: list, content: list, marks: list[tuple[str, int]], kinds: lis
 
     A mark does not count on an element that holds most of the page's content, unless an article or main element
     outside has text: then the element must have ``BODY`` characters of content and twice those of the article.
+    A form must moreover hold an article's text or ``BODY`` characters. A mark of adverts does not count either
+    where the element holds all that the page's articles have, or, on a page without any, a share of ``MUCH``.
     Marks of comments do not count where there is no other content.
     """
     body = [False] * len(kinds)
@@ -251,7 +267,11 @@ def _marked(lines: list, content: list, marks: list[tuple[str, int]], kinds: lis
         kind, parent = marks[m]
         outside = bodies[0] - bodies[m]
         most = held[m] * 2 > held[0] and (outside == 0 or (held[m] >= BODY and outside * 2 < held[m]))
-        out[m] = out[parent] or (kind == "other" and not most)
+        if kind == "form":
+            most = most and (bodies[m] > 0 or held[m] >= BODY)
+        elif kind == "advert":
+            most = most or (bodies[m] == bodies[0] > 0) or (bodies[0] == 0 and held[m] > MUCH * held[0] and held[m] >= BODY)
+        out[m] = out[parent] or (kind != "comments" and not most)
         commented[m] = commented[parent] or kind == "comments"
     if content and all(out[line[4]] or commented[line[4]] for line in content):
         return out
@@ -266,6 +286,16 @@ def _regions(content: list, kinds: list[str], parents: list[int]) -> list[bool]:
     for c in range(len(kinds) - 1, 0, -1):
         held[parents[c]] += held[c]
     chosen = {c for c in range(len(kinds)) if kinds[c] in ("article", "main") and (held[c] or not held[0])}
+    within = [False] * len(kinds)
+    for c in range(1, len(kinds)):
+        within[c] = c in chosen or within[parents[c]]
+    own = [0] * len(kinds)
+    for text, _, container, *_ in content:
+        own[container] += len(text) * within[container]
+    for c in range(len(kinds) - 1, 0, -1):
+        own[parents[c]] += own[c]
+    if own[0] and held[0] - own[0] < STRAY:
+        held = own  # what lies beside the articles is too little to belong to them
     chosen.add(max(c for c in range(len(kinds)) if held[c] == held[0]) if held[0] else 0)
     inside = [False] * len(kinds)
     for c in range(len(kinds)):
