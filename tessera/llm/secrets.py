@@ -1,7 +1,8 @@
 """Secret scans with a random forest against false positives (operator 9).
 
 Method. Patterns find candidates in the whole text: private-key blocks, web tokens, values assigned to a
-telling name, credentials in addresses, ids of access keys, and long tokens with digits or mixed case. Each candidate becomes
+telling name, credentials in addresses, ids of access keys, tokens that begin as public services' do, and long
+tokens with digits or mixed case (words of lower-case letters alone are candidates only where they are assigned). Each candidate becomes
 numbers: its length, its character transitions (class changes, and a log ratio of character pairs learnt from
 the labelled findings), its coverage by dictionary words (the whole words of a public vocabulary file, whose
 path is a parameter), its path (``source``) and the words beside it. A
@@ -59,17 +60,24 @@ MAX_WORD = 14
 PLACEHOLDERS = "your_api_key_here changeme123 xxxxxxxxxxxxxxxx <password> example_token_value REPLACE_ME_PLEASE placeholder-token os.environ['KEY'] getenv(TOKEN) None_placeholder insert-token-here dummy_secret_value ****************".split()
 #: What is assigned: the end of a name, up to the sign, which ``NAME`` characters hold; and the sign with the value.
 NAME = 24
-_NAME = re.compile(r"(?i)(?:token|secret|passwd|password|pwd|passphrase|credential|api[_-]?key|_key|auth)[\"']?\s{0,3}\Z")
+_NAME = re.compile(r"(?i)(?:token|secret|passwd|password|pwd|passphrase|credential|api[_-]?key|_key|auth)[\"']?\Z")
 _SIGN = re.compile("[:=]")
-_VALUE = re.compile(r"(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"',;<>]{8,})")
+_VALUE = re.compile(r"(?>:=|=>|[:=])[^\S\n]*+[\"']?([^\s\"',;<>]{8,})")
+_BLANK = re.compile(r"[^\S\n]")
 
 
 def _assigned(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of assigned values. Names are looked for before signs, which are few, and none inside a value."""
-    end = 0
+    """Spans of assigned values. Names are looked for before signs, which are few, and none inside a value.
+
+    Any blanks of the line may stand on either side of the sign; they are passed over once a sign.
+    """
+    end = behind = 0
     for sign in _SIGN.finditer(text):
-        at = sign.start()
-        if at >= end and _NAME.search(text[max(end, at - NAME) : at]) and (value := _VALUE.match(text, at)):
+        at = name = sign.start()
+        while name > behind and _BLANK.match(text[name - 1]):
+            name -= 1
+        behind = at + 1
+        if at >= end and _NAME.search(text[max(end, name - NAME) : name]) and (value := _VALUE.match(text, at)):
             end = value.end()
             yield value.span(1)
 
@@ -80,14 +88,20 @@ def _matched(pattern: str) -> Callable[[str], Iterator[tuple[int, int]]]:
     return lambda text: (m.span(compiled.groups) for m in compiled.finditer(text))
 
 
+#: How the tokens of public services begin, and the least length of the rest.
+PREFIXES = (
+    ("ghp_", 36), ("gho_", 36), ("ghs_", 36), ("github_pat_", 40), ("glpat-", 20), ("xoxb-", 20), ("xoxp-", 20), ("sk_live_", 16),
+    ("rk_live_", 16), ("npm_", 36), ("hf_", 30), ("AIza", 35), ("pypi-", 50), ("dop_v1_", 60),
+)
 #: Patterns begin with plain text, if they can, and look back from behind it, as such a beginning is searched for fast.
 CANDIDATES: tuple[tuple[str, Callable[[str], Iterator[tuple[int, int]]]], ...] = (
     # the body, with header lines or without, runs to the next five dashes
-    ("private_key", _matched(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----")),
+    ("private_key", _matched(r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----")),
     ("web_token", _matched(r"eyJ(?<![\w-]eyJ)[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}")),
     ("address", _matched(r"://[^\s/:@]*+:([^\s/@]++)@")),
     ("assigned", _assigned),
     ("key_id", _matched(r"A[KS]IA(?<![A-Za-z0-9]A[KS]IA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
+    *[("prefixed", _matched(rf"{re.escape(start)}(?<![A-Za-z0-9_-]{re.escape(start)})[A-Za-z0-9_-]{{{least},}}")) for start, least in PREFIXES],
     # "=" only pads the end: a name before it is no part of the value
     ("token", _matched(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")),
 )
@@ -112,7 +126,9 @@ class Finding:
 def _worth(kind: str, value: str) -> bool:
     if kind == "token":
         return bool(_DIGIT.search(value)) or (value != value.lower() and value != value.upper())
-    return kind != "private_key" or bool(_KEY_RUN.search(value[value.index("KEY-----") + 8 : value.rindex("-----END")]))
+    if kind == "prefixed":
+        return bool(_DIGIT.search(value)) and len(set(value)) > 8
+    return kind != "private_key" or bool(_KEY_RUN.search(value[value.index("-----", 5) + 5 : value.rindex("-----END")]))
 
 
 def candidates(text: str, path: str | None = None) -> list[Finding]:
@@ -202,7 +218,7 @@ def describe(f: Finding, pairs: dict[str, float], words: frozenset[str]) -> list
         _near(before, OTHER_WORDS),
         _near(after, SECRET_WORDS),
         float(bool(path & set(PATH_WORDS))),
-        float(f.kind in ("private_key", "web_token", "key_id")),
+        float(f.kind in ("private_key", "web_token", "key_id", "prefixed")),
         float(f.kind == "address"),
     ]
 
@@ -294,8 +310,8 @@ def labelled_findings(words: frozenset[str], n: int = FINDINGS, seed: int = SEED
     def secret() -> tuple[str, str]:
         shape = rng.random()
         if shape < 0.06:
-            what = pick(["", "RSA ", "EC "])
-            return "", f"-----BEGIN {what}PRIVATE KEY-----\n{base64.b64encode(rng.randbytes(rng.randint(40, 900))).decode()}\n-----END {what}PRIVATE KEY-----"
+            what, block = pick([("", ""), ("RSA ", ""), ("EC ", ""), ("PGP ", " BLOCK")])
+            return "", f"-----BEGIN {what}PRIVATE KEY{block}-----\n{base64.b64encode(rng.randbytes(rng.randint(40, 900))).decode()}\n-----END {what}PRIVATE KEY{block}-----"
         if shape < 0.12:
             return pick(["bearer ", "jwt = ", "token: "]), "eyJ" + ".".join(some(mixed + "_-", rng.randint(16, 60)) for _ in range(3))
         if shape < 0.2:
@@ -303,12 +319,16 @@ def labelled_findings(words: frozenset[str], n: int = FINDINGS, seed: int = SEED
             word = "".join(pick(syllables) for _ in range(rng.randint(1, 4))) + some("0123456789", rng.randint(0, 3)) + pick(["", "pass"])
             return f"{pick(['https', 'postgres', 'redis'])}://{user}:", pick([some(mixed, rng.randint(3, 24)), word]) + "@"
         if shape < 0.26:
+            start, least = pick(PREFIXES)
+            return pick(["", "", "token ", "key: "]), start + some(mixed, least + rng.randint(0, 8))
+        if shape < 0.32:
             return "", pick([some(mixed[:52], rng.randint(16, 40)), "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)])
         name = pick(["token", "secret", "password", "api_key", "access_key", "client_secret", "auth_token", "passwd", "signing_key", "credential"])
         value = pick([
             lambda: some(hexes, pick([32, 40, 48, 64])), lambda: some(mixed, rng.randint(20, 48)),
-            lambda: base64.b64encode(rng.randbytes(rng.randint(18, 40))).decode().rstrip("="), lambda: pick(["ghp_", "sk_live_", "xoxb-", "pat-"]) + some(mixed, 36),
+            lambda: base64.b64encode(rng.randbytes(rng.randint(18, 40))).decode().rstrip("="), lambda: pick(["ghp_", "sk_live_", "xoxb-", "pat-"]) + some(mixed, 36), lambda: str(uuid.UUID(bytes=rng.randbytes(16), version=4)),
             lambda: "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: some(mixed + "!#%+-_*", rng.randint(10, 22)),
+            lambda: pick(["-", ".", "_", "+"]).join(names(rng.randint(2, 3))) + pick(["!", "?", "#", "$", "%"]) + some("0123456789", rng.randint(0, 2)),
         ])()
         q = pick(['"', "'", ""])
         return name + pick([" = ", "=", ": ", " := "]) + q, value
