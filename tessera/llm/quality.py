@@ -140,7 +140,9 @@ def labelled_sample(labels: DataFrame, per_class: int = LABELLED) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED, samples: int = SAMPLES) -> Model:
     """``docs``: doc_id and text; ``labels``: doc_id and quality."""
-    chosen = docs.join(F.broadcast(labelled_sample(labels, per_class)), "doc_id")
+    # equal rows of a document count once; the digest also orders the rows of an id that has several texts
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    chosen = docs.join(F.broadcast(labelled_sample(labels, per_class)), "doc_id").withColumn("digest", digest).dropDuplicates(["doc_id", "digest", "fold", "quality"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,12 +164,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = LABELLED, samples
         for batch in batches:
             rows = [features(t or b"", pair) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r and r[0] for r in rows], pa.float64()), pa.array([r and r[1] for r in rows], pa.float64()), batch.column(1)],
-                names=["difference", "ratio", "quality"])
+                [pa.array([r and r[0] for r in rows], pa.float64()), pa.array([r and r[1] for r in rows], pa.float64()), *batch.columns[1:]],
+                names=["difference", "ratio", "quality", "doc_id", "digest"])
 
-    # at most two classes of ``per_class`` labelled documents, as numbers
-    measured = chosen.where(F.col("fold") == FIT_CURVE).select("text", "quality").mapInArrow(measure, "difference double, ratio double, quality int")
-    rows = sorted(((r["difference"], r["ratio"]), r["quality"]) for r in measured.where("difference IS NOT NULL").collect())
+    measured = chosen.where(F.col("fold") == FIT_CURVE).select("text", "quality", "doc_id", "digest").mapInArrow(measure, "difference double, ratio double, quality int, doc_id long, digest long")
+    # two classes of at most ``per_class`` rows, as numbers, however many rows or texts the labelled ids have
+    known = measured.where("difference IS NOT NULL")
+    rows = sorted(((r["difference"], r["ratio"]), q) for q in (1, 0) for r in known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(per_class).collect())
     weights, means, scales = fit_curve(rows) if rows else ((), (), ())
     prior = sum(q for _, q in rows) / len(rows) if weights else 0.5
     return Model(model.good, model.bad, weights, means, scales, prior)
