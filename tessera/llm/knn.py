@@ -213,11 +213,12 @@ def join_sides(vectors: DataFrame, every: int, k: int, group: int, slice_rows: i
     pivots = np.zeros((len(drawn), width))
     for pivot, r in zip(pivots, drawn, strict=True):
         pivot[: len(r["v"])] = r["v"]
-    cells = durable(_assign(rows, pivots))
+    # a number of its own for each row of the written table: what deals rows parts those that are equal, too
+    cells = durable(_assign(rows, pivots).withColumn("row", F.monotonically_increasing_id()))
     is_query = F.col("vec_id") % every == 0
     # the k nearest of a cell: first by salt, with bounded windows, then of the salts
     first = Window.partitionBy("cell", "salt").orderBy("distance", "vec_id")
-    ranked = cells.select("cell", "vec_id", "distance", F.pmod(F.xxhash64("vec_id"), F.lit(256)).alias("salt")).withColumn("r", F.row_number().over(first))
+    ranked = cells.select("cell", "vec_id", "distance", F.pmod(F.xxhash64("row"), F.lit(256)).alias("salt")).withColumn("r", F.row_number().over(first))
     nearest = ranked.where(F.col("r") <= k).groupBy("cell").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "vec_id"))), 1, k).alias("nearest"))
     sums = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius"), F.count_if(is_query).alias("queries"))
     summary = sums.join(nearest, "cell").collect()  # a row per pivot
@@ -237,22 +238,23 @@ def join_sides(vectors: DataFrame, every: int, k: int, group: int, slice_rows: i
     place = {c: i for i, c in enumerate(chain)}
     pieces = {(r["cell"], r["ring"]): r["n"] for r in counted}
     slices, n_slices = _dealt(sorted(pieces, key=lambda p: (place[p[0]], p[1])), pieces, slice_rows)
-    reach = [(slices[r["cell"], r["ring"]], r["cell"], r["far"]) for r in counted]
+    # for every slice, in order, the pieces that lie in it: their cells, how far they reach, where a slice begins
+    pairs = sorted((begin + i, r["cell"], r["far"]) for r in counted for begin, n in [slices[r["cell"], r["ring"]]] for i in range(n))
+    piece_cell, piece_far = np.array([c for _, c, _ in pairs], np.int64), np.array([far for *_, far in pairs])
+    starts = np.searchsorted([s for s, *_ in pairs], np.arange(n_slices))
     cut = F.broadcast(spark.createDataFrame([(c, r, *slices[c, r]) for c, r in pieces], "cell int, ring int, first_slice long, slices long"))  # at most RINGS a cell
     data = ringed.join(cut, ["cell", "ring"]).select(
-        "vec_id", "v", "cell", "distance", (F.col("first_slice") + F.pmod(F.xxhash64("vec_id", F.lit(1), "v"), F.col("slices"))).alias("slice")
+        "vec_id", "v", "cell", "distance", (F.col("first_slice") + F.pmod(F.xxhash64(F.lit(1), "row"), F.col("slices"))).alias("slice")
     )
-    grouped = ringed.where(is_query).select((F.col("first_group") + F.pmod(F.xxhash64("vec_id", F.lit(2), "v"), F.col("groups"))).alias("grp"), "vec_id", "v")
+    grouped = ringed.where(is_query).select((F.col("first_group") + F.pmod(F.xxhash64(F.lit(2), "row"), F.col("groups"))).alias("grp"), "vec_id", "v")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a row per query and slice that its bound reaches
         for batch in batches:
-            for part in _steps(len(batch), max(width, n_slices, len(near))):
+            for part in _steps(len(batch), max(width, len(piece_cell), len(near))):
                 own = batch[part]
                 needed = bounds.needed(own.column(1).to_numpy(zero_copy_only=False), _matrix(own.column(2), width))
-                met = np.zeros((len(own), n_slices), bool)
-                for (begin, n), cell, far in reach:
-                    met[:, begin : begin + n] |= (needed[:, cell] <= far)[:, None]
+                met = np.logical_or.reduceat(needed[:, piece_cell] <= piece_far[None, :], starts, axis=1)
                 at, to = np.nonzero(met)
                 taken = own.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(to, pa.int64()), taken.column(1), taken.column(2)], names=["grp", "slice", "query_id", "q"])

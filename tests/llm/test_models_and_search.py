@@ -83,6 +83,16 @@ def test_top_k_of_few_and_none(spark):
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in large.collect()) == [(1, 1, 65536 * (10**14 + 2)), (2, 2, 65536 * 11)]
 
 
+def test_equal_rows_are_dealt_to_many_slices(spark):
+    """30,000 rows equal in id and vector: no slice holds more than a few above its limit."""
+    same = spark.range(30_000).select(F.lit(7).cast("long").alias("vec_id"), F.array(F.lit(0.5), F.lit(0.25)).cast("array<float>").alias("embedding"))
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 1.0]), (51, [0.1, 0.1])], "vec_id long, embedding array<float>")
+    asked, sent, _ = knn.join_sides(same.unionByName(few), 50, 5, knn.GROUP, 1_000, 2, knn.BROADCAST_BOUNDS)
+    assert max(r["count"] for r in sent.groupBy("grp", "slice").count().collect()) < 1_300
+    got = sorted(map(tuple, knn.top_k(same.unionByName(few), slice_rows=1_000, n_pivots=2).collect()))
+    assert got == [(q, rank, 7, 256 * (128 if q == 0 else 64)) for q in (0, 50) for rank in range(1, 6)]
+
+
 def test_large_components_stay_exact():
     q, x = np.array([[3e8, 1.0]]), np.array([[3e8, 2.0], [3e8, 1.0], [1.0, 1.0]])
     found = knn.best_of(q, np.array([0]), x, np.array([5, 6, 7]), 2)
@@ -134,6 +144,26 @@ def test_classifier_ranks_held_out_labels(spark):
     assert sum(r["predicted"] == r["quality"] for r in held) / len(held) > 0.95
 
 
+def test_classifier_of_repeated_rows(spark):
+    """Rows of a labelled id, equal or not, change neither the bound of what the driver reads nor, if equal, the model."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    plain = quality.train(docs, labels, per_class=20)
+    chosen = [r["doc_id"] for r in quality.labelled_sample(labels, 20).collect()]
+    again = docs.where(F.col("doc_id").isin(chosen)).crossJoin(spark.range(100)).drop("id")
+    assert quality.train(docs.unionByName(again), labels, per_class=20) == plain
+    one = next(r["doc_id"] for r in quality.labelled_sample(labels, 20).collect() if r["fold"] == quality.FIT_CURVE)
+    texts = spark.range(10_000).select(F.lit(one).alias("doc_id"), F.concat(F.lit("words of text number "), "id").alias("text"))
+    sizes = []
+    fit = quality.fit_curve
+    quality.fit_curve = lambda rows, *a: sizes.append(len(rows)) or fit(rows, *a)
+    try:
+        quality.train(docs.unionByName(texts), labels, per_class=20)
+    finally:
+        quality.fit_curve = fit
+    assert sizes and sizes[0] <= 40
+
+
 def test_classifier_equals_a_plain_version(spark):
     """Everything anew in plain Python: folds, blocks, dictionaries, sizes from fresh compressors, the curve by small steps."""
     import math
