@@ -16,12 +16,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions import ids
-from tessera.operators import ann, chunking, diff, discovery, embedding, extract, ignore, maintenance, search, symbols
+from tessera.operators import ann, chunking, diff, digests, discovery, embedding, extract, grams, ignore, maintenance, search, symbols
 from tessera.operators import predicates as P
 from tessera.sources import corpus, remote, store
 from tessera.streaming import changes
@@ -89,14 +90,35 @@ class Engine:
 
     # --- corpus ---------------------------------------------------------------------------------------------
 
-    def listing(self, path: str) -> DataFrame:
-        """Files of a project that no rule on names or sizes rejects; none is opened."""
-        return discovery.named(corpus.listing(self.spark, path, self._register(path)), path, corpus.root_rules(self.spark, path))
+    def listing(self, path: str, only: list[str] | None = None, beginning: str = "") -> DataFrame:
+        """Files of a project that no rule on names or sizes rejects; none is opened.
+
+        Of the paths in ``only``, or those with a ``beginning``, only the folders are walked.
+        """
+        found = corpus.listing(self.spark, path, self._register(path), only, beginning)
+        return discovery.named(found, path, corpus.root_rules(self.spark, path))
 
     def files(self, path: str) -> DataFrame:
         """Discovered files of a project with their contents, which are read once names and sizes are judged."""
         return corpus.contents(self.listing(path), path).where(~P.is_binary(F.col("content")))
 
+    def _unseen(self, listed: DataFrame, repo: str) -> DataFrame:
+        """Listed files that were not seen with this size and time when the project was indexed."""
+        seen = self.store.read("file_stats", repo=repo)
+        return digests.suspects(listed, seen, digests.changed_folders(digests.folder_digests(listed), digests.folder_digests(seen)))
+
+    def _opened(self, files: DataFrame, path: str) -> DataFrame:
+        """``files`` with their contents; binary ones have neither content nor hash."""
+        found, binary = corpus.contents(files, path), P.is_binary(F.col("content"))
+        return found.withColumns({"content": F.when(~binary, F.col("content")), "file_hash": F.when(~binary, F.col("file_hash"))})
+
+    def current(self, path: str, listed: DataFrame | None = None) -> DataFrame:
+        """repo, file_path, size, mtime, file_hash of a project's present files; only those unseen so far are opened."""
+        repo = self._register(path)
+        listed = self.listing(path) if listed is None else listed
+        opened = self._opened(self._unseen(listed, repo), path)
+        return digests.current(listed, self.store.read("file_stats", repo=repo), opened).where("file_hash IS NOT NULL")
+
     def _register(self, path: str) -> str:
         """The canonical key of a project, remembered with the path as its alias."""
         key = self.settings.repo_key(path)
@@ -121,7 +143,7 @@ class Engine:
 
     def pending(self, path: str, files: DataFrame | None = None) -> DataFrame:
         """Files to index, in order."""
-        now, (indexed, zero) = self.files(path) if files is None else files, self._known(self._register(path))
+        now, (indexed, zero) = self.current(path) if files is None else files, self._known(self._register(path))
         return diff.in_order(diff.pending_files(now.select("repo", "file_path", "file_hash"), indexed, zero))
 
     def zero_chunk_files(self, path: str) -> DataFrame:
@@ -160,85 +182,156 @@ class Engine:
         return self.status(path).withColumn("remaining", F.lit(left))
 
     def _begin_index(self, repo: str, path: str, files: DataFrame | None) -> DataFrame:
-        """The windows of pending files; files that are gone leave the tables at once."""
-        now = (self.files(path) if files is None else files).select("repo", "file_path", "file_hash").cache()
+        """The windows of pending files; files that are gone leave the tables at once.
+
+        Of a tree only files that were not seen before are opened; what was seen of them, and their trigrams, is kept.
+        """
+        now = (self._look(repo, path) if files is None else files).select("repo", "file_path", "file_hash").cache()
         try:
             indexed, zero = self._known(repo)
             if not self.settings.keep_missing:
                 gone = diff.stale_indexed(indexed, now)
                 lost = self.store.read("chunks", repo=repo).join(gone, ["repo", "file_path"], "left_semi").select("repo", "id")
-                self._update_text_index(lost.select("repo", "id").limit(0).withColumn("content", F.lit("")), lost)
+                self._update_text_index(lost.select("repo", "id").limit(0).withColumn("content", F.lit("")), lost, lost)
                 self.store.replace("chunks", self.store.read("chunks").limit(0), gone)
                 self.store.replace("zero_chunk_files", zero.limit(0), diff.stale_indexed(zero, now))
             todo = changes.windows(diff.pending_files(now, indexed, zero), self.settings.max_files_per_window)
+            before = indexed.select(*store.FILE_KEY).unionByName(zero.select(*store.FILE_KEY)).distinct().withColumn("known", F.lit(True))
+            todo = todo.join(before, list(store.FILE_KEY), "left").fillna(False, ["known"])
             self.store.replace("pending_files", todo, todo.select(*store.FILE_KEY))
             return self.store.read("pending_files", repo=repo)
         finally:
             now.unpersist()
 
+    def _look(self, repo: str, path: str) -> DataFrame:
+        """The project's files and hashes; the tables of what was seen, and of trigrams, follow the tree."""
+        listed = self.listing(path).persist(StorageLevel.DISK_ONLY)
+        opened = self._opened(self._unseen(listed, repo), path).persist(StorageLevel.DISK_ONLY)
+        try:
+            seen = self.store.read("file_stats", repo=repo)
+            key = list(store.FILE_KEY)
+            gone = seen.select(*key).join(listed.select(*key), key, "left_anti")
+            touched = common_rows(opened.select(*key).unionByName(gone))
+            stats = opened.select(*key, "size", "mtime", "file_hash")
+            posted = grams.trigrams(corpus.with_text(opened.where("content IS NOT NULL")))
+            self.store.replace("trigrams", posted, touched)  # first: what is seen is posted
+            self.store.replace("file_stats", stats, touched)
+            return self.store.read("file_stats", repo=repo).where("file_hash IS NOT NULL")
+        finally:
+            opened.unpersist()
+            listed.unpersist()
+
     def _index_window(self, repo: str, path: str, todo: DataFrame, files: DataFrame | None) -> None:
-        """The files of one window: cut, embedded, stored; only they are opened."""
-        keys = todo.select(*store.FILE_KEY)
+        """The files of one window: cut, embedded, stored; only they are opened, and new files write only their rows."""
+        keys, known = todo.select(*store.FILE_KEY), todo.where("known").select(*store.FILE_KEY)
         found = corpus.contents(keys, path) if files is None else files.join(keys, list(store.FILE_KEY), "left_semi")
         cut = chunking.chunk_files(corpus.with_text(found), self.settings.chunk_size)
         rows = embedding.embed_chunks(cut, self.embedder).withColumn("indexed_at", F.lit(self.clock()))
-        base = self.store.version("chunks")
-        old = self.store.read("chunks", repo=repo, version=base).join(keys, list(store.FILE_KEY), "left_semi").select("repo", "id")
-        self.store.replace("chunks", rows, keys, expected=base)
-        fresh = self.store.read("chunks", repo=repo).join(keys, list(store.FILE_KEY), "left_semi")
-        without = found.select("repo", "file_path", "file_hash").join(fresh.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_anti")
-        self.store.replace("zero_chunk_files", without, keys)
-        self._update_text_index(fresh.select("repo", "id", "content"), old.unionByName(fresh.select("repo", "id")))
-
-    def _update_text_index(self, texts: DataFrame, touched: DataFrame) -> None:
-        """Postings and lengths of the chunks that came or went; those of other buckets stay as they are."""
+        # embedded once: the rows are held until the tables and indexes have them
+        rows = rows.persist(StorageLevel.DISK_ONLY)
+        try:
+            base = self.store.version("chunks")
+            old = self.store.read("chunks", repo=repo, version=base).join(known, list(store.FILE_KEY), "left_semi").select("repo", "id")
+            gone = common_rows(old) if known.limit(1).count() else old.limit(0)
+            self.store.replace("chunks", rows, keys, expected=base, known=known)
+            without = found.select("repo", "file_path", "file_hash").join(rows.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_anti")
+            self.store.replace("zero_chunk_files", without, keys, known=known)
+            self._update_text_index(rows.select("repo", "id", "content"), gone.unionByName(rows.select("repo", "id")), gone)
+        finally:
+            rows.unpersist()
+
+    def _update_text_index(self, texts: DataFrame, touched: DataFrame, gone: DataFrame | None = None) -> None:
+        """Postings and lengths of the chunks that came or went (``gone``, where the caller knows them)."""
         named = texts.select("repo", "id")
-        for name, rows in (("postings", search.postings(texts)), ("doc_lengths", search.document_lengths(texts))):
-            self.store.replace(name, rows.join(named, "id"), touched, ("repo", "id"))
+        found = search.sharded_postings(texts).join(named, "id")
+        self.store.append("posting_blocks", search.posting_blocks(found, "repo"))  # bounds first: they may be ahead of their postings
+        for name, rows in (("postings", found), ("doc_lengths", search.document_lengths(texts).join(named, "id"))):
+            self.store.replace(name, rows, touched, ("repo", "id"), known=gone)
 
     def _update_vector_index(self, repo: str) -> None:
-        """Centroids and buckets of a project with many vectors; every vector is in a bucket."""
-        vectors = self.store.read("chunks", repo=repo).select("repo", "id", "vector").where("vector IS NOT NULL")
-        n = vectors.count()
+        """The vector index of a project with many vectors. Rows that came since the last time are assigned to
+        the stored centroids; the index is fitted and calibrated anew once its rows have doubled."""
+        n = self.store.projects("chunks").get(repo, [0])[0]
         if not ann.wanted(n, self.settings.vector_index_rows):
             return
-        centres = ann.fit(vectors, ann.n_buckets(n))
-        rows = self.spark.createDataFrame([(repo, k, [float(x) for x in c]) for k, c in enumerate(centres)], store.TABLES["vector_centres"])
-        self.store.replace("vector_centres", rows, rows.select("repo").distinct(), ("repo",))
-        old = self.store.read("vector_buckets", repo=repo)
-        built = ann.build(vectors, centres).where("bucket IS NOT NULL")
-        everywhere = built.select("repo", "bucket").distinct().unionByName(old.select("repo", "bucket").distinct())
-        self.store.replace("vector_buckets", built, everywhere, ("repo", "bucket"))
+        rows = self.store.read("chunks", repo=repo).select("repo", "id", "vector", "indexed_at").where("vector IS NOT NULL")
+        index = self._vector_index(repo)
+        if index is None or n > ann.GROWTH * index.rows:
+            index = ann.train(rows, ann.n_buckets(n))
+            built = ann.build(rows, index).where("bucket IS NOT NULL")
+            self.store.delete_rows("vector_buckets", [repo])
+            self.store.append("vector_buckets", built)
+            index = ann.calibrate(self.store.read("vector_buckets", repo=repo), index, metric=self.settings.metric)
+            centres = [(repo, k, [float(x) for x in c]) for k, c in enumerate(index.centres)]
+            books = [(repo, p, k, [float(x) for x in c]) for p, book in enumerate(index.books) for k, c in enumerate(book)]
+            settings = [(repo, index.probes, index.measured, index.recall, n, self.settings.metric)]
+            for name, found in (("vector_centres", centres), ("vector_books", books), ("vector_settings", settings)):
+                held = self.spark.createDataFrame(found, store.TABLES[name])
+                self.store.replace(name, held, held.select("repo").distinct(), ("repo",))
+            return
+        last = self.store.projects("vector_buckets").get(repo, [0, 0, 0, 0.0])[3]
+        held = self.store.read("vector_buckets", repo=repo).select("repo", "bucket", "id", "indexed_at")
+        gone = held.join(rows.select("id", "indexed_at"), ["id", "indexed_at"], "left_anti")
+        new = rows.where(F.col("indexed_at") >= last).join(held.select("id", "indexed_at"), ["id", "indexed_at"], "left_anti")
+        built = ann.build(new, index).where("bucket IS NOT NULL")
+        key = ("repo", "bucket", "id")
+        self.store.replace("vector_buckets", built, gone.select(*key), key, known=gone.select(*key))
+
+    def _vector_index(self, repo: str) -> ann.Index | None:
+        """What is stored of a project's index: as much as the number of buckets and codes allows, whatever the rows."""
+        found = self.store.read("vector_settings", repo=repo).first()
+        if found is None or found["metric"] != self.settings.metric:
+            return None
+        centres = self.store.read("vector_centres", repo=repo).orderBy("bucket").collect()
+        books: dict[int, list] = {}
+        for r in self.store.read("vector_books", repo=repo).orderBy("part", "code").collect():
+            books.setdefault(r["part"], []).append(r["centre"])
+        return ann.Index(np.array([r["centre"] for r in centres], float), [np.array(books[p], float) for p in sorted(books)], found["probes"], found["measured"], found["recall"], found["rows"])
 
     def search_semantic(self, query: str, path: str, limit: int = 10, hybrid: bool = True, q: str | None = None, m: int | None = None, approximate: bool = False) -> DataFrame:
         """The best chunks of a project; ``q`` and ``m`` are other names of query and limit, and ``m`` wins.
 
-        Words are looked up in the stored postings of the project. ``approximate`` looks for vectors in the
-        nearest buckets alone, where the project has a vector index; else the vector search is exact.
+        Words are looked up in the stored postings of the project. ``approximate`` looks for vectors in as many of
+        the nearest buckets, by their codes, and measures as many of the best exactly as the calibration says, where
+        the project has a vector index; else the vector search is exact.
         """
         query, limit = P.require_query(query or q), max(1, int(limit if m is None else m))
         repo = self._register(path)
         chunks = self.store.read("chunks", repo=repo)
         vector = embedding.embed_query(self.embedder, query)
         vectors = chunks.select("id", "vector")
-        if approximate and (centres := self.store.read("vector_centres", repo=repo).orderBy("bucket").collect()):
-            near = ann.probes(vector, np.array([r["centre"] for r in centres], float), ann.PROBES)
-            vectors = self.store.read("vector_buckets", repo=repo).where(F.col("bucket").isin(near)).select("id", "vector")
+        if approximate and (index := self._vector_index(repo)) is not None:
+            vectors = ann.estimated(self.store.read("vector_buckets", repo=repo), index, vector, self.settings.metric).select("id", "vector")
         ready = hybrid and self.store.exists("postings")
-        scored = search.fts_index(self.store.read("postings", repo=repo), self.store.read("doc_lengths", repo=repo), query) if ready else None
+        scored = None
+        if ready:  # the corpus's counts are the manifest's
+            n, tokens, *_ = self.store.projects("doc_lengths").get(repo, [0, 0])
+            scored = search.pruned_topk(self.store.read("postings", repo=repo), self.store.read("posting_blocks", repo=repo), n, tokens, query, search.candidates_per_list(limit)).rows
         found = search.hybrid_topk(vectors, vector, query, limit, self.settings.metric, fts_ready=ready, scored=scored)
         return search.response_rows(found, chunks).orderBy("rank")
 
     def status(self, path: str = "") -> DataFrame:
-        """Chunks and files by repository."""
-        return store.counts(self.store.read("chunks", repo=self._register(path)) if path else self.store.read("chunks"))
+        """Chunks, files and latest indexed_at by repository, from the manifest.
+
+        Only of a project with gone rows the times are read, as the latest may be among them.
+        """
+        wanted = self._register(path) if path else None
+        held = {p: x for p, x in self.store.projects("chunks").items() if wanted in (None, p)}
+        exact = self.spark.createDataFrame([(p, x[0], x[1], x[3]) for p, x in held.items() if not x[4]], "repo string, chunks long, files long, latest_indexed_at double")
+        for project in [p for p, x in held.items() if x[4]]:
+            exact = exact.unionByName(store.counts(self.store.read("chunks", repo=project)))
+        return exact
 
     def staleness(self, path: str) -> DataFrame:
-        """Reasons to refresh, counted."""
+        """Reasons to refresh, counted. Only files not seen before with their size and time are opened."""
         repo = self._register(path)
         indexed, zero = self._known(repo)
         last = store.latest_indexed_at(self.store.read("chunks", repo=repo)).first()[0]
-        return diff.staleness(self.files(path), indexed, zero, last)
+        listed = self.listing(path).persist(StorageLevel.DISK_ONLY)
+        try:
+            return common_rows(diff.staleness(self.current(path, listed), indexed, zero, last))  # three reasons
+        finally:
+            listed.unpersist()
 
     def ensure_fresh(self, path: str, background: bool = True) -> str:
         """I9-I11: 'fresh', 'refreshing' or 'busy'. The check has a deadline, after which the index counts as fresh;
@@ -287,7 +380,7 @@ class Engine:
 
     def warm(self, paths: list[str] | None = None) -> list[str]:
         """Load projects ahead: those named, else the latest indexed; only folders with an index, up to the limit."""
-        known = {r["repo"] for r in store.counts(self.store.read("chunks")).select("repo").toLocalIterator()}
+        known = set(self.store.projects("chunks"))
         if paths is None:
             alive = self.spark.createDataFrame([(p,) for p in known if os.path.isdir(p)], "project_path string")
             paths = [r["project_path"] for r in store.recent_projects(self.store.read("project_meta"), alive, MAX_PROJECTS).collect()]
@@ -318,7 +411,7 @@ class Engine:
             now = corpus.contents(wanted, path).where(~P.is_binary(F.col("content"))).select("file_path", "content")
             texts = rows.join(corpus.with_text(now), "file_path", "left")
             make = lambda files: embedding.embed_chunks(chunking.chunk_files(files, self.settings.chunk_size), self.embedder)
-            changes.apply_to_store(self.store, make, self.clock, self._update_text_index)(texts, epoch)
+            changes.apply_to_store(self.store, make, self.clock, self._update_text_index, repo)(texts, epoch)
 
         writer = events.writeStream.foreachBatch(apply).option("checkpointLocation", os.path.join(state, "checkpoint"))
         self._watchers[repo] = writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
@@ -387,7 +480,7 @@ class Engine:
 
     def file_outline(self, path: str, file_path: str) -> DataFrame:
         """Outline of one file, the only one that is opened; no index is needed."""
-        one = corpus.contents(self.listing(path).where(F.col("file_path") == file_path), path).where(~P.is_binary(F.col("content")))
+        one = corpus.contents(self.listing(path, [file_path]), path).where(~P.is_binary(F.col("content")))
         return symbols.file_outline(extract.symbols_of(extract.extract_files(one)))
 
     def repo_outline(self, path: str, max_files: int = 500) -> DataFrame:
@@ -409,9 +502,16 @@ class Engine:
         return symbols.search_symbols(self._of("symbols", path), query, limit, kind)
 
     def search_text(self, query: str, path: str, max_results: int = 50, case_sensitive: bool = False) -> DataFrame:
-        """T13."""
+        """T13. Of an indexed project only the files are opened that hold all trigrams of the query, and those unseen so far."""
         P.require_query(query)
-        return search.line_search(corpus.with_text(self.files(path)), query, max_results, case_sensitive)
+        repo = self._register(path)
+        posted = grams.candidates(self.store.read("trigrams", repo=repo), query) if repo in self.store.projects("file_stats") else None
+        if posted is None:
+            return search.line_search(corpus.with_text(self.files(path)), query, max_results, case_sensitive)
+        listed, key = self.listing(path), list(store.FILE_KEY)
+        wanted = listed.join(posted.unionByName(self._unseen(listed, repo).select(*key)).distinct(), key, "left_semi")
+        files = corpus.contents(wanted, path).where(~P.is_binary(F.col("content")))
+        return search.line_search(corpus.with_text(files), query, max_results, case_sensitive)
 
     def search_references(self, query: str, path: str, limit: int = 20, usage_filter: str = "production_first", kind: str | None = None) -> DataFrame:
         """With is_stale by the files' present hashes, which are taken of the returned files alone."""
@@ -475,7 +575,7 @@ class Engine:
         if repo is not None:
             if repo in self._projects or (self._exists(repo) is not False and self.project_meta(repo).count()):
                 return
-            for table in ("chunks", "zero_chunk_files", "postings", "doc_lengths", "pending_files", "vector_buckets", "vector_centres"):
+            for table in ("chunks", "zero_chunk_files", "postings", "posting_blocks", "doc_lengths", "pending_files", "vector_buckets", "vector_centres", "vector_books", "vector_settings", "file_stats", "trigrams"):
                 self.store.delete_rows(table, [repo])
         doomed = self.store.read("project_meta").where(F.col("cache_key") == name)
         self.store.replace("project_meta", doomed.limit(0), doomed.select("cache_key"), ("cache_key",))

@@ -25,6 +25,20 @@ def replace_files(target: DataFrame, rows: DataFrame, touched: DataFrame) -> Dat
     return target.join(touched.select("repo", "file_path"), ["repo", "file_path"], "left_anti").unionByName(rows.select(*target.columns))
 
 
+def merge_on_read(rows: DataFrame, gone: DataFrame, key: list[str], version: str = "_at") -> DataFrame:
+    """``rows`` without those of a gone key that were written before it went.
+
+    Both carry the ``version`` that wrote them; a key may go and come back any number of times. Keys are combined
+    before they are exchanged, and a small side of keys is broadcast by its size as the planner sees it.
+    """
+    latest = gone.groupBy(*key).agg(F.max(version).alias("_gone"))
+    same = [rows[k].eqNullSafe(latest[k]) for k in key]
+    met = (rows[version] < latest["_gone"])
+    for s in same:
+        met = s & met
+    return rows.join(latest, met, "left_anti")
+
+
 def merge_aliases(old: DataFrame, new: DataFrame) -> DataFrame:
     """Both have cache_key and alias_paths; the union in order of first sight."""
     more = new.withColumnRenamed("alias_paths", "more")

@@ -37,6 +37,27 @@ def store_project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.read("files", repo=PROJECT)
 
 
+def merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of files written one after another, some again, some deleted; every read merges what is there."""
+    held, rows = _store(spark), _index_files(spark, sf_dir)
+    window = F.xxhash64("file_path") % 3
+    for n in range(-2, 3):
+        new = rows.where(window == n)
+        held.replace("files", new, new.select("repo", "file_path"), known=new.select("repo", "file_path").limit(0))
+    changed = rows.where(F.col("file_path").contains("/tests/")).withColumn("file_hash", F.lit("new"))
+    held.replace("files", changed, changed.select("repo", "file_path"))
+    gone = rows.where(F.col("file_path").endswith(".md"))
+    held.replace("files", rows.limit(0), gone.select("repo", "file_path"))
+    back = gone.where(F.col("file_path").contains("/docs/")).withColumn("file_hash", F.lit("back"))
+    held.replace("files", back, back.select("repo", "file_path"))
+    return held.read("files")
+
+
+MERGED = f"""WITH {views.CORPUS_SQL} SELECT repo, file_path, '2.3' AS version,
+  CASE WHEN file_path LIKE '%.md' THEN 'back' WHEN file_path LIKE '%/tests/%' THEN 'new' ELSE file_hash END AS file_hash
+  FROM corpus WHERE file_path NOT LIKE '%.md' OR file_path LIKE '%/docs/%'"""
+
+
 def store_index_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sidecar's counts of one project."""
     held = _store(spark)
@@ -59,13 +80,26 @@ def store_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.select("before", F.lit(after.first()["after"]).alias("after"), F.lit(kept.first()["n"]).alias("old_version"), F.lit(missing).alias("existed"))
 
 
+def _text_index(spark: SparkSession, sf_dir: str, k: int) -> search.Pruned:
+    """The best ``k`` by stored postings, blocks and lengths of all documents."""
+    held, docs = _store(spark), search_queries._documents(spark, sf_dir)
+    repo, key = F.lit("documents").alias("repo"), F.lpad(F.col("id").cast("string"), 20, "0").alias("id")  # in order of numbers
+    held.write("postings", search.sharded_postings(docs).select(repo, "term", "shard", key, "tf", "dl"))
+    held.write("posting_blocks", search.posting_blocks(held.read("postings"), "repo"))
+    held.write("doc_lengths", search.document_lengths(docs).where("dl IS NOT NULL").select(repo, key, "dl"))
+    n, tokens, *_ = held.projects("doc_lengths").get("documents", [0, 0])
+    return search.pruned_topk(held.read("postings", repo="documents"), held.read("posting_blocks", repo="documents"), n, tokens, search_queries.QUERY, k)
+
+
+def fts_bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best rows, by block-max pruning; nothing but the blocks that can hold one of them is read."""
+    found = _text_index(spark, sf_dir, search_queries.LIMIT).rows
+    return found.select(F.col("id").cast("long").alias("id"), "score")
+
+
 def hybrid_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words from stored postings, read by term, instead of from the texts."""
-    held, docs = _store(spark), search_queries._documents(spark, sf_dir)
-    repo, key = F.lit("documents").alias("repo"), F.col("id").cast("string").alias("id")
-    held.write("postings", search.postings(docs).select(repo, "term", key, "tf"))
-    held.write("doc_lengths", search.document_lengths(docs).select(repo, key, "dl"))
-    scored = search.fts_index(held.read("postings", repo="documents"), held.read("doc_lengths", repo="documents"), search_queries.QUERY)
+    scored = _text_index(spark, sf_dir, search.candidates_per_list(search_queries.LIMIT)).rows
     scored = scored.select(F.col("id").cast("long").alias("id"), "score")
     return search.hybrid_topk(search_queries._vectors(spark, sf_dir), search_queries._query_vector(spark, sf_dir), search_queries.QUERY, search_queries.LIMIT, scored=scored)
 
@@ -187,7 +221,9 @@ ORACLES = {
     "store_project_files": f"{C} SELECT repo, file_path, CASE WHEN contains(file_path, '/tests/') THEN 'new' ELSE file_hash END AS file_hash, '2.3' AS version FROM corpus WHERE repo = '{PROJECT}'",
     "store_index_meta": f"WITH {views.OCCURRENCES_SQL} SELECT '{PROJECT}' AS repo, '2.3' AS version, (SELECT count(*) FROM corpus WHERE repo = '{PROJECT}') AS files, 0::BIGINT AS symbols, (SELECT count(*) FROM occurrences WHERE repo = '{PROJECT}') AS occurrences, 7.0::DOUBLE AS updated_at",
     "store_truncate": "SELECT count(*) AS before, 0::BIGINT AS after, count(*) AS old_version, false AS existed FROM documents",
+    "fts_bm25_pruned": search_queries.ORACLES["fts_bm25_topk"],
     "hybrid_indexed": search_queries.ORACLES["hybrid_rrf_topk_whole"],
+    "merge_on_read": MERGED,
     "text_read": f"{C} SELECT doc_id, (length(content) + (doc_id % 5 = 0)::INTEGER)::INTEGER AS n_chars, sha256(content || CASE WHEN doc_id % 5 = 0 THEN chr(65533) ELSE '' END) AS text_hash FROM corpus",
     "relevant_events": f"""{C} SELECT doc_id, file_path, event_type FROM (SELECT *, {corpus_queries.SUFFIX} AS suffix, ['created', 'modified', 'deleted'][(doc_id % 3 + 1)::INTEGER] AS event_type FROM corpus)
 WHERE event_type = 'deleted' OR lower(suffix) IN ({WATCHED})""",
@@ -207,7 +243,7 @@ SELECT file_path, c::INTEGER AS chunk_index, (2 * a - 1)::INTEGER AS start_line,
 QUERIES = {
     f.__name__: f
     for f in (
-        store_project_files, store_index_meta, store_truncate, hybrid_indexed, text_read, relevant_events, search_response, chunk_vectors,
+        store_project_files, store_index_meta, store_truncate, fts_bm25_pruned, hybrid_indexed, merge_on_read, text_read, relevant_events, search_response, chunk_vectors,
         chunk_python_syntax, pending_first, zero_chunk_first, go_import_occurrences, go_grouped_types, python_docstrings, savings, meta_parse,
     )
 }

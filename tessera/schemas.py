@@ -39,11 +39,16 @@ PROJECT_META = struct(
     "cache_key string, project_path string, updated_at double, alias_paths array<string>"
 )
 ZERO_CHUNK_FILES = struct("repo string, file_path string, file_hash string")
-POSTINGS = struct("repo string, term string, id string, tf long")
+POSTINGS = struct("repo string, term string, shard int, id string, tf long, dl long")
+POSTING_BLOCKS = struct("repo string, term string, shard int, entries long, max_tf long, min_dl long")
 DOC_LENGTHS = struct("repo string, id string, dl long")
-PENDING_FILES = struct("repo string, file_path string, file_hash string, window long")
-VECTOR_BUCKETS = struct("repo string, bucket int, id string, vector array<float>")
+FILE_STATS = struct("repo string, file_path string, size long, mtime double, file_hash string")
+TRIGRAMS = struct("repo string, file_path string, gram string")
+PENDING_FILES = struct("repo string, file_path string, file_hash string, window long, known boolean")
+VECTOR_BUCKETS = struct("repo string, bucket int, id string, vector array<float>, codes binary, indexed_at double")
 VECTOR_CENTRES = struct("repo string, bucket int, centre array<float>")
+VECTOR_BOOKS = struct("repo string, part int, code int, centre array<float>")
+VECTOR_SETTINGS = struct("repo string, probes int, measured int, recall double, rows long, metric string")
 JOBS = struct(
     "job_id string, tool string, status string, created_at double, started_at double, finished_at double, error string"
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -23,16 +24,19 @@ def mounted(root: str) -> bool:
     return "://" not in root or root.startswith("file://")
 
 
-def listing(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
+def listing(spark: SparkSession, root: str, repo: str | None = None, only: Iterable[str] | None = None, beginning: str = "") -> DataFrame:
     """repo, file_path, ext, size and mtime of every file below ``root``; no file is opened.
 
-    A mounted tree is walked by the ``source_tree`` source. Any other store is listed by Spark's binary reader,
+    ``only`` names the paths that are asked for, ``beginning`` what they begin with. A mounted tree is walked by the
+    ``source_tree`` source, which then looks into their folders alone. Any other store is listed by Spark's binary reader,
     which leaves out names that begin with "_" or "."; its content column is pruned.
     """
     if mounted(root):
         spark.dataSource.register(TreeSource)
-        return spark.read.format("source_tree").option("path", root).option("repo", repo or root).load()
-    return _binary(spark, root, repo).drop("content", "file_hash")
+        asked = {"beginning": beginning} | ({} if only is None else {"paths": json.dumps(sorted(only))})
+        return spark.read.format("source_tree").options(path=root, repo=repo or root, **asked).load()
+    found = _binary(spark, root, repo).drop("content", "file_hash").where(F.startswith("file_path", F.lit(beginning)))
+    return found if only is None else found.where(F.col("file_path").isin(sorted(only)))
 
 
 def _binary(spark: SparkSession, root: str, repo: str | None) -> DataFrame:

@@ -1,26 +1,33 @@
-"""Versioned, bucketed Parquet tables.
-
-A table is a set of folders, one for each write and bucket. A bucket is named by its project (a slot of the
-hash of ``repo``) and, inside it, by a hash of the file; so a read of one project lists that project's folders
-alone, and a change of some files rewrites only their buckets. A project begins with ``WIDTH`` buckets and gets
-more as its bytes grow. A manifest names the folders of a version: an append writes new rows alone, and the
-rest of the table is named again, not copied.
-
-Readers take the last whole manifest, so they see whole versions, and a job that dies leaves folders that no
-manifest names. There is one writer per table and version: a version number is claimed by a file that only one
-can create and that holds the writer's token. A claim without a manifest lapses after ``lease_s`` seconds, so
-that a dead writer blocks nobody for good; a writer whose claim was taken over fails before it publishes. A
-writer that started from an older version fails with :class:`Conflict` instead of losing data. All paths go
-through Hadoop's file system interface, so a store may lie anywhere Spark writes.
+"""Versioned, bucketed Parquet tables, merged on read.
+
+A table is a set of folders, one for each write and bucket. A bucket is named by its project (a slot of the hash
+of ``repo``) and, inside it, by a hash of the file; so a read of one project lists that project's folders alone.
+A project begins with ``WIDTH`` buckets and gets more as its bytes grow.
+
+Writes add and never rewrite: new rows are new folders, and keys that were in the table before are added to the
+bucket's folders of gone keys, each with the version from which it holds. A read drops the rows of older folders
+that have such a key (:func:`tessera.operators.merge.merge_on_read`); folders that no gone key can concern are read
+without a join. So what a write costs follows from its own rows. :meth:`Store.compact` merges folders by size
+tiers, ``FANOUT`` of about one size into one, and a whole bucket once a quarter of its rows are gone: a row is
+rewritten a logarithmic number of times.
+
+A version is a manifest that names, for each slot, a file with the slot's folders, and holds rows, files, bytes
+and times of each project; a commit writes the slots that it touched and the manifest, and listings of projects
+read the manifest alone. Publishing is one conditional create through Spark's CheckpointFileManager, the
+interface by which streaming queries commit on any store: of two writers of a version one fails with
+:class:`Conflict`, and a job that dies leaves folders that no manifest names, which :meth:`Store.vacuum` removes.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import os
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,34 +39,104 @@ from tessera.operators import merge
 TABLES = {
     "chunks": schemas.CHUNKS, "symbols": schemas.SYMBOLS, "occurrences": schemas.OCCURRENCES, "files": schemas.FILES,
     "index_meta": schemas.INDEX_META, "project_meta": schemas.PROJECT_META, "zero_chunk_files": schemas.ZERO_CHUNK_FILES,
-    "postings": schemas.POSTINGS, "doc_lengths": schemas.DOC_LENGTHS, "pending_files": schemas.PENDING_FILES,
-    "vector_buckets": schemas.VECTOR_BUCKETS, "vector_centres": schemas.VECTOR_CENTRES,
+    "postings": schemas.POSTINGS, "doc_lengths": schemas.DOC_LENGTHS, "posting_blocks": schemas.POSTING_BLOCKS, "pending_files": schemas.PENDING_FILES,
+    "vector_buckets": schemas.VECTOR_BUCKETS, "vector_centres": schemas.VECTOR_CENTRES, "vector_books": schemas.VECTOR_BOOKS,
+    "vector_settings": schemas.VECTOR_SETTINGS, "file_stats": schemas.FILE_STATS, "trigrams": schemas.TRIGRAMS,
 }
 #: The project column and what a project's buckets are made of; other tables are bucketed by repo and file.
 BUCKET_KEYS = {
-    "index_meta": ("repo",), "project_meta": ("cache_key",), "postings": ("repo", "id"), "doc_lengths": ("repo", "id"),
-    "vector_buckets": ("repo", "bucket"), "vector_centres": ("repo",),
+    "index_meta": ("repo",), "project_meta": ("cache_key",), "postings": ("repo", "id"), "doc_lengths": ("repo", "id"), "posting_blocks": ("repo", "term"),
+    "vector_buckets": ("repo", "bucket"), "vector_centres": ("repo",), "vector_books": ("repo",), "vector_settings": ("repo",),
 }
 #: Order inside a file, so that a filter skips row groups: a query reads the postings of its own terms.
-SORTED_BY = {"postings": ("term", "id"), "occurrences": ("name",), "vector_buckets": ("bucket", "id"), "symbols": ("file_path", "start_byte")}
+SORTED_BY = {"postings": ("term", "shard", "id"), "posting_blocks": ("term", "shard"), "trigrams": ("gram", "file_path"), "occurrences": ("name",), "vector_buckets": ("bucket", "id"), "symbols": ("file_path", "start_byte")}
+#: A column whose sum by project the manifest keeps instead of a number of files: a writer's deltas, published with its rows.
+MEASURES = {"doc_lengths": "dl"}
 FILE_KEY = ("repo", "file_path")
 SLOTS = 1 << 14
 WIDTH = 4
 MOST_WIDTH = 1 << 12
 BUCKET_BYTES = 256 << 20
-KEEP_VERSIONS = 2
-LEASE_S = 3_600.0
+FANOUT = 4
+LEAST_BYTES = 1 << 16  # of the first size tier
+GONE_SHARE = 4  # a bucket is rewritten once one row in so many is gone
+ORPHAN_S = 86_400.0
 
 
 class Conflict(RuntimeError):
-    """Another writer has made, or is making, the next version."""
+    """Another writer has made the next version."""
+
+
+class Manifest:
+    """A version: of each slot the file that holds its folders, and of each project its rows, files, bytes and time."""
+
+    def __init__(self, store: Store, name: str, version: int):
+        self.store, self.name, self.version = store, name, version
+        body = json.loads(store._text(store._path(name, f"manifest-{version}.json"))) if version else {}
+        self.width: int = body.get("width", store.width)
+        self.widths: dict[str, int] = body.get("widths", {})
+        self.files: dict[str, str] = body.get("slots", {})
+        self.projects: dict[str, dict] = body.get("projects", {})
+        self.dropped: list[str] = []  # what this version no longer names
+        self.before: list[str] = body.get("dropped", [])
+        self._held: dict[str, dict] = {}
+        self._changed: set[str] = set()
+
+    def slot(self, slot: int | str, change: bool = False) -> dict:
+        """{"parts": {bucket: [folders]}, "gone": {key: {bucket: [folders]}}, "stats": {folder: ...}, "removed": {bucket: {project: [rows, files]}}}"""
+        slot = str(slot)
+        if slot not in self._held:
+            file = self.files.get(slot)
+            self._held[slot] = json.loads(self.store._text(self.store._path(self.name, file))) if file else {"parts": {}, "gone": {}, "stats": {}, "removed": {}}
+        if change:
+            self._changed.add(slot)
+        return self._held[slot]
+
+    def slots(self) -> list[str]:
+        return sorted({*self.files, *self._held}, key=int)
+
+    def drop(self, slot: int | str) -> None:
+        held = self.slot(slot, True)
+        self.dropped += [f for parts in held["parts"].values() for f in parts]
+        self.dropped += [f for by in held["gone"].values() for parts in by.values() for f in parts]
+        self._held[str(slot)] = {"parts": {}, "gone": {}, "stats": {}, "removed": {}}
+
+    def text(self, version: int, token: str) -> str:
+        """Write the changed slots' files; the manifest's own text."""
+        for slot in self._changed:
+            held = self._held[slot]
+            if slot in self.files:
+                self.dropped.append(self.files.pop(slot))
+            self.projects.pop(slot, None)
+            if held["parts"]:
+                self.files[slot] = f"slot-{slot}-{version}-{token}.json"
+                self.store._put(self.store._path(self.name, self.files[slot]), json.dumps(held))
+                self.projects[slot] = self._counted(held)
+        return json.dumps({"width": self.width, "widths": self.widths, "slots": self.files, "projects": self.projects, "dropped": self.dropped})
+
+    @staticmethod
+    def _counted(held: dict) -> dict[str, list]:
+        """{project: [rows, files, bytes, latest time, whether rows are gone]}; a folder's bytes go by its rows."""
+        out: dict[str, list] = {}
+        for stat in held["stats"].values():
+            total = sum(n for n, *_ in stat["projects"].values())
+            for project, (rows, files, last) in stat["projects"].items():
+                own = out.setdefault(project, [0, 0, 0, 0.0, False])
+                own[:] = [own[0] + rows, own[1] + files, own[2] + stat["bytes"] * rows // max(1, total), max(own[3], last or 0.0), own[4]]
+        for removed in held["removed"].values():
+            for project, (rows, files) in removed.items():
+                if project in out:
+                    own = out[project]
+                    own[:] = [own[0] - rows, own[1] - files, own[2], own[3], own[4] or rows > 0]
+        return out
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES, lease_s: float = LEASE_S):
-        self.spark, self.root, self.width, self.bucket_bytes, self.lease_s = spark, root.rstrip("/"), width, bucket_bytes, lease_s
+    def __init__(self, spark: SparkSession, root: str, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES, fanout: int = FANOUT):
+        self.spark, self.root, self.width, self.bucket_bytes, self.fanout = spark, root.rstrip("/"), width, bucket_bytes, fanout
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._slots: dict[str, int] = {}
 
     # --- files ----------------------------------------------------------------------------------------------
 
@@ -81,13 +158,41 @@ class Store:
         finally:
             stream.close()
 
-    def _put(self, path, text: str, overwrite: bool = True) -> None:
-        stream = self._fs(path).create(path, overwrite)
+    def _put(self, path, text: str) -> None:
+        stream = self._fs(path).create(path, True)
         try:
             stream.write(text.encode("utf-8"))
         finally:
             stream.close()
 
+    def _publish(self, path, text: str, overwrite: bool = False) -> bool:
+        """Create a file whole or not at all; without ``overwrite``, only where there is none."""
+        fs = self._fs(path)
+        fs.mkdirs(path.getParent())
+        if fs.getScheme() == "file" and not overwrite:  # its rename is not atomic; a link is made by one writer alone
+            target = path.toUri().getPath()
+            staged = f"{os.path.dirname(target)}/.{uuid.uuid4().hex}.tmp"
+            with open(staged, "w", encoding="utf-8") as f:
+                f.write(text)
+            try:
+                os.link(staged, target)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(staged)
+        manager = getattr(getattr(self._jvm.org.apache.spark.sql.execution.streaming.checkpointing, "CheckpointFileManager$"), "MODULE$")
+        stream = manager.create(path.getParent(), self._conf).createAtomic(path, overwrite)
+        try:
+            stream.write(text.encode("utf-8"))
+            stream.close()
+        except Py4JJavaError as e:
+            stream.cancel()
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                return False
+            raise
+        return True
+
     def read_json(self, name: str) -> dict | None:
         """A small document beside the tables; None where there is none or it does not parse."""
         path = self._path(f"{name}.json")
@@ -97,72 +202,35 @@ class Store:
             return None
 
     def write_json(self, name: str, value: dict) -> None:
-        staged, target = self._path(f"{name}.json.{uuid.uuid4().hex[:8]}.tmp"), self._path(f"{name}.json")
-        self._put(staged, json.dumps(value))
-        fs = self._fs(target)
-        fs.delete(target, False)
-        fs.rename(staged, target)
-
-    def _manifest(self, name: str, version: int) -> dict:
-        """{"width": buckets of a project, "widths": {slot: of projects that have others}, "parts": {bucket: [folders]}}"""
-        if not version:
-            return {"width": self.width, "widths": {}, "parts": {}}
-        return json.loads(self._text(self._path(name, f"manifest-{version}.json")))
-
-    def _age_s(self, path) -> float:
-        return time.time() - self._fs(path).getFileStatus(path).getModificationTime() / 1000
-
-    def _claim(self, claim, token: str) -> bool:
-        """Create the claim, or take over one whose lease has run out."""
-        fs = self._fs(claim)
-        if not fs.createNewFile(claim):
-            if not fs.exists(claim) or self._age_s(claim) < self.lease_s:
-                return False
-            aside = claim.suffix(f".lapsed-{token}")
-            if not fs.rename(claim, aside):  # one of several may do this
-                return False
-            if self._age_s(aside) < self.lease_s:  # another has just renewed it
-                fs.rename(aside, claim)
-                return False
-            fs.delete(aside, False)
-            if not fs.createNewFile(claim):
-                return False
-        self._put(claim, token)
-        return True
+        self._publish(self._path(f"{name}.json"), json.dumps(value), overwrite=True)
 
-    def _commit(self, name: str, base: int, manifest: dict) -> int:
-        """Claim the version after ``base`` and publish its manifest in one rename."""
-        claim, target = self._path(name, f"claim-{base + 1}"), self._path(name, f"manifest-{base + 1}.json")
-        fs, token = self._fs(claim), uuid.uuid4().hex
-        if self.version(name) != base or not self._claim(claim, token):
-            raise Conflict(f"{name}: version {base + 1} is another writer's")
-        staged = self._path(name, f"manifest-{base + 1}.json.{token[:8]}.staged")
-        self._put(staged, json.dumps(manifest))
-        if not fs.exists(claim) or self._text(claim) != token or fs.exists(target):
-            fs.delete(staged, False)
-            raise Conflict(f"{name}: the claim of version {base + 1} lapsed and was taken over")
-        fs.rename(staged, target)
-        self._expire(name, base + 1)
-        return base + 1
-
-    def _expire(self, name: str, current: int) -> None:
-        """Drop manifests beyond the last ones, and folders that no kept manifest names."""
-        names = self._names(name)
-        kept = range(max(1, current - KEEP_VERSIONS + 1), current + 1)
-        live = {p for v in kept if f"manifest-{v}.json" in names for parts in self._manifest(name, v)["parts"].values() for p in parts}
+    def _commit(self, name: str, manifest: Manifest) -> int:
+        """Publish the version after the manifest's own, and delete what the version before it had dropped."""
+        version, token = manifest.version + 1, uuid.uuid4().hex[:8]
+        if self.version(name) != manifest.version or not self._publish(self._path(name, f"manifest-{version}.json"), manifest.text(version, token)):
+            raise Conflict(f"{name}: version {version} is another writer's")
         fs = self._fs(self._path(name))
-        for n in names:
-            if n.startswith(("manifest-", "claim-")):
-                if int(n.split("-")[1].split(".")[0]) < kept[0]:
-                    fs.delete(self._path(name, n), False)
-            elif n.startswith("v=") and int(n[2:].split("-")[0]) <= current:
-                folders = self._names(name, n)
-                if not any(f"{n}/{f}" in live for f in folders):
-                    fs.delete(self._path(name, n), True)
-                else:
-                    for f in folders:
-                        if f.startswith("_bucket=") and f"{n}/{f}" not in live:
-                            fs.delete(self._path(name, n, f), True)
+        for folder in manifest.before:
+            fs.delete(self._path(name, folder), True)
+        fs.delete(self._path(name, f"manifest-{version - 2}.json"), False)
+        return version
+
+    def vacuum(self, name: str, older_s: float = ORPHAN_S) -> int:
+        """Delete folders and slot files that no kept version names and that are older than ``older_s``: of dead writers."""
+        current = self.version(name)
+        kept = [Manifest(self, name, v) for v in (current - 1, current) if v > 0 and self._fs(self._path(name)).exists(self._path(name, f"manifest-{v}.json"))]
+        live = {f for m in kept for f in (*m.files.values(), *m.dropped, *m.before)}
+        for m in kept:
+            for slot in m.files:
+                held = m.slot(slot)
+                live |= {f for parts in held["parts"].values() for f in parts} | {f for by in held["gone"].values() for parts in by.values() for f in parts}
+        found = [n for n in self._names(name) if n.startswith("slot-")] + [f"{n}/{f}" for n in self._names(name) if n.startswith("v=") for f in self._names(name, n) if f.startswith("_bucket=")]
+        fs, gone = self._fs(self._path(name)), 0
+        for f in found:
+            path = self._path(name, f)
+            if f not in live and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 >= older_s:
+                gone += bool(fs.delete(path, True))
+        return gone
 
     # --- versions -------------------------------------------------------------------------------------------
 
@@ -170,131 +238,301 @@ class Store:
         found = [n for n in self._names(name) if n.startswith("manifest-") and n.endswith(".json")]
         return max((int(n[9:-5]) for n in found), default=0)
 
+    def manifest(self, name: str, version: int | None = None) -> Manifest:
+        return Manifest(self, name, self.version(name) if version is None else version)
+
+    def _begun(self, name: str, expected: int | None) -> Manifest:
+        """The present manifest, which must be the one that a writer began from."""
+        version = self.version(name)
+        if expected is not None and expected != version:
+            raise Conflict(f"{name}: version {version} has followed version {expected}")
+        return self.manifest(name, version)
+
     def exists(self, name: str) -> bool:
         """The table has a version."""
         return self.version(name) > 0
 
     def slot(self, project: str) -> int:
-        """The slot of a project's key, as :meth:`bucket` counts it; worked out without a job."""
-        return self.spark.sql("SELECT pmod(xxhash64(:p), :n)", args={"p": project, "n": SLOTS}).first()[0]
+        """The slot of a project's key, as :meth:`bucket` counts it."""
+        if project not in self._slots:
+            self._slots[project] = self.spark.sql("SELECT pmod(xxhash64(:p), :n)", args={"p": project, "n": SLOTS}).first()[0]
+        return self._slots[project]
 
-    def bucket(self, name: str, manifest: dict) -> Column:
+    def bucket(self, name: str, manifest: Manifest) -> Column:
         keys = BUCKET_KEYS.get(name, FILE_KEY)
-        slot, width = F.pmod(F.xxhash64(keys[0]), F.lit(SLOTS)), F.lit(manifest["width"])
-        if manifest["widths"]:
-            own = F.create_map(*[F.lit(int(x)) for kv in manifest["widths"].items() for x in kv])
+        slot, width = F.pmod(F.xxhash64(keys[0]), F.lit(SLOTS)), F.lit(manifest.width)
+        if manifest.widths:
+            own = F.create_map(*[F.lit(int(x)) for kv in manifest.widths.items() for x in kv])
             width = F.coalesce(F.element_at(own, slot.cast("int")), width)
         return (slot * MOST_WIDTH + F.pmod(F.xxhash64(*keys), width)).cast("long")
 
-    def read(self, name: str, only: list[int] | None = None, version: int | None = None, repo: str | None = None) -> DataFrame:
-        """The present version, or that of some buckets or one project; an empty frame where there is none."""
-        manifest = self._manifest(name, self.version(name) if version is None else version)
-        wanted = manifest["parts"]
-        if repo is not None:
-            slot = self.slot(repo)
-            wanted = {b: p for b, p in wanted.items() if int(b) // MOST_WIDTH == slot}
-        if only is not None:
-            wanted = {str(b): wanted.get(str(b), []) for b in only}
-        folders = [f"{self.root}/{name}/{p}" for parts in wanted.values() for p in parts]
-        if not folders:
-            return self.spark.createDataFrame([], TABLES[name])
-        found = self.spark.read.schema(TABLES[name]).parquet(*folders)
-        return found if repo is None else found.where(F.col("repo") == repo)  # a slot may hold several projects
-
-    def _stage(self, name: str, rows: DataFrame, base: int, manifest: dict) -> dict[str, list[str]]:
-        """Write ``rows`` below the next version's folder; the folders by bucket. Large buckets are split by AQE."""
-        schema: T.StructType = TABLES[name]
+    def projects(self, name: str) -> dict[str, list]:
+        """{project: [rows, files, bytes, latest time, whether rows are gone]} from the manifest, without a job.
+
+        For a table of ``MEASURES`` the sum stands in the place of the files. Files are exact where a file's rows come and go together; the time is the latest that was ever written.
+        """
+        out: dict[str, list] = {}
+        for own in self.manifest(name).projects.values():
+            out |= {p: x for p, x in own.items() if x[0] > 0}
+        return out
+
+    def _read_parts(self, name: str, folders: list[str], gone: dict[str, list[str]]) -> DataFrame:
+        """The rows of ``folders`` without those of gone keys; folders newer than all gone keys need no join."""
+        newest = max((_version(f) for parts in gone.values() for f in parts), default=0)
+        out = None
+        for part in ([f for f in folders if _version(f) >= newest], [f for f in folders if _version(f) < newest]):
+            if not part:
+                continue
+            rows = self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{name}/{f}" for f in part])
+            if _version(part[0]) < newest:
+                rows = rows.withColumn("_at", F.regexp_extract("_metadata.file_path", r"/v=(\d+)-[^/]*/_bucket=", 1).cast("long"))
+                for key, parts in gone.items():
+                    if parts:
+                        names = key.split(",")
+                        kinds = T.StructType([TABLES[name][n] for n in names] + [T.StructField("_at", T.LongType())])
+                        doomed = self.spark.read.schema(kinds).parquet(*[f"{self.root}/{name}/{f}" for f in parts])
+                        rows = merge.merge_on_read(rows, doomed, names, "_at")
+                rows = rows.drop("_at")
+            out = rows if out is None else out.unionByName(rows)
+        return self.spark.createDataFrame([], TABLES[name]) if out is None else out
+
+    def _read(self, name: str, manifest: Manifest, slots: Iterable[int | str], only: set[int] | None = None) -> DataFrame:
+        folders: list[str] = []
+        gone: dict[str, list[str]] = {}
+        for slot in slots:
+            held = manifest.slot(slot)
+            folders += [f for b, parts in held["parts"].items() if only is None or int(b) in only for f in parts]
+            for key, by in held["gone"].items():
+                gone.setdefault(key, []).extend(f for b, parts in by.items() if only is None or int(b) in only for f in parts)
+        return self._read_parts(name, folders, gone)
+
+    def read(self, name: str, version: int | None = None, repo: str | None = None) -> DataFrame:
+        """The present version, or that of one project; an empty frame where there is none."""
+        manifest = self.manifest(name, version)
+        if repo is None:
+            return self._read(name, manifest, manifest.slots())
+        # a slot may hold several projects
+        return self._read(name, manifest, [self.slot(repo)]).where(F.col(BUCKET_KEYS.get(name, FILE_KEY)[0]) == repo)
+
+    def _stage(self, name: str, rows: DataFrame, manifest: Manifest, kinds: T.StructType | None = None) -> dict[str, list[str]]:
+        """Write ``rows`` below the next version's folder; the folder of each bucket. Large buckets are split by AQE."""
+        schema: T.StructType = kinds or TABLES[name]
         shaped = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn("_bucket", self.bucket(name, manifest))
-        target = f"v={base + 1}-{uuid.uuid4().hex[:8]}"  # of this writer alone
-        dealt = shaped.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *SORTED_BY.get(name, ()))
+        target = f"v={manifest.version + 1}-{uuid.uuid4().hex[:8]}"  # of this writer alone
+        dealt = shaped.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *(() if kinds else SORTED_BY.get(name, ())))
         dealt.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{name}/{target}")
         found = [n for n in self._names(name, target) if n.startswith("_bucket=")]
-        return {n.removeprefix("_bucket="): [f"{target}/{n}"] for n in found}
+        return {n.removeprefix("_bucket="): f"{target}/{n}" for n in found}
+
+    def _add(self, name: str, manifest: Manifest, fresh: dict[str, str]) -> None:
+        """Name new folders, with what each holds of each project, as its footers and key columns say."""
+        if not fresh:
+            return
+        project = BUCKET_KEYS.get(name, FILE_KEY)[0]
+        fields = TABLES[name].fieldNames()
+        top = next(iter(fresh.values())).split("/")[0]
+        held = self.spark.read.schema(T.StructType([*TABLES[name].fields, T.StructField("_bucket", T.LongType())])).parquet(f"{self.root}/{name}/{top}")
+        time_ = next((c for c in ("indexed_at", "updated_at") if c in fields), None)
+        counted = held.groupBy("_bucket", F.col(project).alias("project")).agg(
+            F.count(F.lit(1)).alias("rows"), (F.sum(MEASURES[name]) if name in MEASURES else F.countDistinct("file_path") if "file_path" in fields else F.lit(0)).alias("files"),
+            (F.max(time_) if time_ else F.lit(None).cast("double")).alias("last"))
+        stats: dict[str, dict] = {b: {"bytes": self._bytes(name, f), "projects": {}} for b, f in fresh.items()}
+        for r in counted.collect():  # a row for each bucket and project of this write
+            stats[str(r["_bucket"])]["projects"][r["project"]] = [r["rows"], r["files"], r["last"]]
+        for bucket, folder in fresh.items():
+            slot = manifest.slot(int(bucket) // MOST_WIDTH, True)
+            slot["parts"].setdefault(bucket, []).append(folder)
+            slot["stats"][folder] = stats[bucket]
+
+    def _bytes(self, name: str, folder: str) -> int:
+        path = self._path(name, folder)
+        return self._fs(path).getContentSummary(path).getLength()
+
+    def _remove(self, name: str, manifest: Manifest, touched: DataFrame, key: tuple[str, ...]) -> int:
+        """Add the touched keys that the table holds to the gone ones; the number of rows that go."""
+        own = {r["b"] for r in touched.select(self.bucket(name, manifest).alias("b")).distinct().collect()}  # bucket numbers
+        slots = {b // MOST_WIDTH for b in own}
+        hit = {b for b in own if str(b) in manifest.slot(b // MOST_WIDTH)["parts"]}
+        if not hit:
+            return 0
+        names = list(dict.fromkeys([*key, *BUCKET_KEYS.get(name, FILE_KEY), *[c for c in TABLES[name].fieldNames() if c in ("file_path", MEASURES.get(name))]]))
+        rows = self._read(name, manifest, slots, hit).select(*names)
+        doomed = rows.join(touched.select(*key).distinct(), list(key), "left_semi").groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+        kinds = T.StructType([*[TABLES[name][n] for n in names], T.StructField("_at", T.LongType()), T.StructField("_n", T.LongType())])
+        staged = self._stage(name, doomed.withColumn("_at", F.lit(manifest.version + 1)), manifest, kinds)
+        if not staged:
+            return 0
+        top = next(iter(staged.values())).split("/")[0]
+        held = self.spark.read.schema(T.StructType([*kinds.fields, T.StructField("_bucket", T.LongType())])).parquet(f"{self.root}/{name}/{top}")
+        files = F.sum(F.col(MEASURES[name]) * F.col("_n")) if name in MEASURES else F.countDistinct("file_path") if "file_path" in names else F.lit(0)
+        total = 0
+        for r in held.groupBy("_bucket", F.col(BUCKET_KEYS.get(name, FILE_KEY)[0]).alias("project")).agg(F.sum("_n").alias("rows"), files.alias("files")).collect():
+            slot = manifest.slot(r["_bucket"] // MOST_WIDTH, True)
+            removed = slot["removed"].setdefault(str(r["_bucket"]), {}).setdefault(r["project"], [0, 0])
+            removed[:] = [removed[0] + r["rows"], removed[1] + r["files"]]
+            total += r["rows"]
+        for bucket, folder in staged.items():
+            manifest.slot(int(bucket) // MOST_WIDTH, True)["gone"].setdefault(",".join(key), {}).setdefault(bucket, []).append(folder)
+        return total
 
     def write(self, name: str, rows: DataFrame, expected: int | None = None) -> int:
         """Replace the table; ``expected`` is the version that ``rows`` were made from."""
-        base = self.version(name) if expected is None else expected
-        manifest = self._manifest(name, 0)
-        return self._commit(name, base, manifest | {"parts": self._stage(name, rows, base, manifest)})
+        manifest = self._begun(name, expected)
+        for slot in manifest.slots():
+            manifest.drop(slot)
+        manifest.width, manifest.widths = self.width, {}
+        self._add(name, manifest, self._stage(name, rows, manifest))
+        return self._commit(name, manifest)
 
     def append(self, name: str, rows: DataFrame) -> int:
         """B1: new folders beside the old; nothing is written for no rows."""
-        base = self.version(name)
-        manifest = self._manifest(name, base)
-        fresh = self._stage(name, rows, base, manifest)
+        manifest = self.manifest(name)
+        fresh = self._stage(name, rows, manifest)
         if not fresh:
-            return base
-        parts = {b: manifest["parts"].get(b, []) + fresh.get(b, []) for b in manifest["parts"].keys() | fresh.keys()}
-        return self._commit(name, base, manifest | {"parts": parts})
+            return manifest.version
+        self._add(name, manifest, fresh)
+        return self._committed(name, manifest)
 
-    def _widened(self, name: str, manifest: dict, slots: set[int]) -> dict:
-        """Widths with more buckets for those of the slots whose bytes have outgrown theirs."""
-        widths = dict(manifest["widths"])
-        for slot in slots:
-            folders = [p for b, parts in manifest["parts"].items() if int(b) // MOST_WIDTH == slot for p in parts]
-            size = sum(self._fs(p).getContentSummary(p).getLength() for p in (self._path(name, f) for f in folders))
-            now = widths.get(str(slot), manifest["width"])
-            wanted = now
+    def replace(self, name: str, rows: DataFrame, touched: DataFrame, key: tuple[str, ...] = FILE_KEY, expected: int | None = None, known: DataFrame | None = None) -> int:
+        """Rows of the ``touched`` keys give way to ``rows``; only these and the keys are written.
+
+        ``touched`` has the key and the columns that make buckets; ``rows`` belong to touched keys. ``known`` are
+        the touched keys that the table may hold, where the caller knows; without it the buckets' keys are read.
+        """
+        manifest = self._begun(name, expected)
+        had = touched if known is None else known
+        gone = self._remove(name, manifest, had, key) if manifest.files else 0
+        fresh = self._stage(name, rows, manifest)
+        if not fresh and not gone:
+            return manifest.version
+        self._add(name, manifest, fresh)
+        return self._committed(name, manifest)
+
+    def _committed(self, name: str, manifest: Manifest) -> int:
+        changed, version = set(manifest._changed), self._commit(name, manifest)
+        try:
+            self.compact(name, changed)
+        except Conflict:
+            pass  # another writer went first, and compacts in turn
+        return version
+
+    def compact(self, name: str, slots: Iterable[str] | None = None) -> int:
+        """Merge folders by size tiers, buckets of which a quarter is gone, and projects that have outgrown their buckets."""
+        manifest = self.manifest(name)
+        merged: list[tuple[str, str, list[str]]] = []  # slot, bucket, folders that become one
+        gone: dict[str, list[str]] = {}
+        small: list[tuple[str, str, str]] = []  # slot, key, bucket whose folders of gone keys become one
+        for slot in manifest.slots() if slots is None else sorted(slots):
+            held = manifest.slot(slot)
+            size = sum(s["bytes"] for s in held["stats"].values())
+            wanted = now = manifest.widths.get(slot, manifest.width)
             while wanted * self.bucket_bytes < size and wanted < MOST_WIDTH:
                 wanted *= 2
             if wanted > now:
-                widths[str(slot)] = wanted
-        return widths
-
-    def replace(self, name: str, rows: DataFrame, touched: DataFrame, key: tuple[str, ...] = FILE_KEY, expected: int | None = None) -> int:
-        """Rows of the ``touched`` keys give way to ``rows``, in the buckets of those keys alone.
-
-        ``touched`` has the key and the columns that make buckets; ``rows`` belong to touched keys. A project that
-        has outgrown its buckets is dealt anew as a whole.
-        """
-        base = self.version(name) if expected is None else expected
-        manifest = self._manifest(name, base)
-        own = touched.select(self.bucket(name, manifest).alias("b")).distinct().collect()  # bucket numbers
-        hit = {r["b"] for r in own}
-        if not hit:
-            return base
-        widths = self._widened(name, manifest, {b // MOST_WIDTH for b in hit})
-        grown = {int(s) for s, w in widths.items() if manifest["widths"].get(s) != w}
-        hit |= {int(b) for b in manifest["parts"] if int(b) // MOST_WIDTH in grown}
-        rest = self.read(name, sorted(hit), base).join(touched.select(*key).distinct(), list(key), "left_anti")
-        manifest |= {"widths": widths}
-        fresh = self._stage(name, rest.select(*TABLES[name].fieldNames()).unionByName(rows.select(*TABLES[name].fieldNames())), base, manifest)
-        parts = {b: p for b, p in manifest["parts"].items() if int(b) not in hit} | fresh
-        return self._commit(name, base, manifest | {"parts": parts})
+                manifest.widths[slot] = wanted
+            for bucket, folders in held["parts"].items():
+                tiers: dict[int, list[str]] = {}
+                for f in folders:
+                    tiers.setdefault(int(math.log(max(1.0, held["stats"][f]["bytes"] / LEAST_BYTES), self.fanout)), []).append(f)
+                rows = sum(n for f in folders for n, *_ in held["stats"][f]["projects"].values())
+                lost = sum(n for n, _ in held["removed"].get(bucket, {}).values())
+                whole = wanted > now or lost * GONE_SHARE > rows
+                chosen = folders if whole else [f for parts in tiers.values() if len(parts) >= self.fanout for f in parts]
+                if chosen:
+                    merged.append((slot, bucket, list(chosen)))
+                    for key, by in held["gone"].items():
+                        gone.setdefault(key, []).extend(by.get(bucket, []))
+                if not whole:
+                    small += [(slot, key, bucket) for key, by in held["gone"].items() if len(by.get(bucket, [])) >= self.fanout]
+        if not merged and not small:
+            return manifest.version
+        fresh = self._stage(name, self._read_parts(name, [f for *_, parts in merged for f in parts], gone), manifest) if merged else {}
+        before = {slot: Manifest._counted(manifest.slot(slot)) for slot, *_ in merged}
+        for slot, bucket, folders in merged:
+            held = manifest.slot(slot, True)
+            left = [f for f in held["parts"].pop(bucket) if f not in folders]
+            for f in folders:
+                held["stats"].pop(f)
+            manifest.dropped += folders
+            if left:
+                held["parts"][bucket] = left
+            else:  # nothing older is left for the gone keys to concern
+                for by in held["gone"].values():
+                    manifest.dropped += by.pop(bucket, [])
+                held["removed"].pop(bucket, None)
+        self._add(name, manifest, fresh)
+        for slot in before:
+            held = manifest.slot(slot, True)
+            counted = Manifest._counted(held)
+            for removed in held["removed"].values():
+                for project in [p for p in removed if p not in counted]:  # nothing is left to take them off from
+                    removed.pop(project)
+            for project, (rows, files, *_) in counted.items():
+                # rows that were gone have left some folder: what is still to be taken off is less by as many
+                over = [before[slot].get(project, [0, 0])[0] - rows, before[slot].get(project, [0, 0])[1] - files]
+                for removed in held["removed"].values():
+                    if project in removed:
+                        taken = [min(a, b) for a, b in zip(removed[project], over, strict=True)]
+                        removed[project] = [a - b for a, b in zip(removed[project], taken, strict=True)]
+                        over = [a - b for a, b in zip(over, taken, strict=True)]
+        for slot, key, bucket in small:
+            held = manifest.slot(slot, True)
+            parts = held["gone"].get(key, {}).get(bucket)
+            if parts and len(parts) >= self.fanout:
+                joined = self.spark.read.parquet(*[f"{self.root}/{name}/{f}" for f in parts])
+                kinds = T.StructType(joined.schema.fields)
+                held["gone"][key][bucket] = list(self._stage(name, joined, manifest, kinds).values())
+                manifest.dropped += parts
+        return self._commit(name, manifest)
 
     def upsert(self, name: str, rows: DataFrame, key: str = "id") -> int:
         """B2. A row's key and its bucket go together: ids are made from projects and paths."""
         return self.replace(name, rows, rows, (key,))
 
-    def delete_files(self, name: str, file_paths: list[str]) -> int:
-        """The number of rows that are gone."""
+    def delete_files(self, name: str, repo: str, file_paths: list[str]) -> int:
+        """Files of one project leave a table; the number of rows that are gone."""
         if not file_paths:
             return 0
-        base = self.version(name)
-        doomed = self.read(name, version=base).where(F.col("file_path").isin(file_paths))
-        gone = doomed.count()
+        manifest = self.manifest(name)
+        gone = self._remove(name, manifest, self.spark.createDataFrame([(repo, p) for p in file_paths], "repo string, file_path string"), FILE_KEY) if manifest.files else 0
         if gone:
-            self.replace(name, doomed.limit(0), doomed.select(*FILE_KEY), expected=base)
+            self._committed(name, manifest)
         return gone
 
     def clear(self, name: str) -> int:
         """B4."""
-        return self._commit(name, self.version(name), self._manifest(name, 0))
+        manifest = self.manifest(name)
+        for slot in manifest.slots():
+            manifest.drop(slot)
+        manifest.width, manifest.widths = self.width, {}
+        return self._commit(name, manifest)
 
     def delete_rows(self, name: str, repos: list[str]) -> int:
-        """The projects' rows leave a table, by the folders of their buckets; the number of rows that are gone."""
-        base, gone = self.version(name), 0
+        """The projects' rows leave a table; the number of rows that are gone.
+
+        A slot that holds no other project is dropped from the manifest without a look at its files.
+        """
+        total = 0
         for repo in repos:
-            mine = self.read(name, version=base, repo=repo)
-            n = mine.count()
-            if n:
+            manifest = self.manifest(name)
+            slot = str(self.slot(repo))
+            held = Manifest._counted(manifest.slot(slot)) if slot in manifest.files else {}
+            if not held.get(repo, [0])[0]:
+                continue
+            if held.keys() == {repo}:
+                total += held[repo][0]
+                manifest.drop(slot)
+                self._commit(name, manifest)
+            else:
                 keys = BUCKET_KEYS.get(name, FILE_KEY)
-                base, gone = self.replace(name, mine.limit(0), mine.select(*keys), keys, expected=base), gone + n
-        return gone
+                mine = self._read(name, manifest, [slot]).where(F.col(keys[0]) == repo).select(*keys)
+                total += self._remove(name, manifest, mine, keys)
+                self._committed(name, manifest)
+        return total
 
     def delete_repo(self, repo: str) -> str:
         """Drop a repository's rows from the index tables; 'deleted' or 'not_found'."""
-        if self.read("files", repo=repo).isEmpty():
+        if repo not in self.projects("files"):
             return "not_found"
         for name in ("files", "symbols", "occurrences", "index_meta"):
             self.delete_rows(name, [repo])
@@ -324,10 +562,12 @@ class Store:
     def semantic_inventory(self, exists: Callable[[str], bool | None]) -> DataFrame:
         """A row per project of the chunk table or of the project meta, as ``maintenance.orphan_caches`` takes it.
 
+        Sizes and times are the manifest's, so no chunk is read.
+
         ``exists`` is asked on the driver, once a project; None: could not be seen.
         """
-        chunks = self.read("chunks").groupBy("repo").agg(F.sum(F.octet_length("content")).cast("long").alias("bytes"), F.max("indexed_at").alias("mtime"))
-        chunks = chunks.withColumn("name", ids.cache_key(F.col("repo")))
+        held = [(p, x[2], x[3]) for p, x in self.projects("chunks").items()]
+        chunks = self.spark.createDataFrame(held, "repo string, bytes long, mtime double").withColumn("name", ids.cache_key(F.col("repo")))
         meta = self.read("project_meta").select(F.col("cache_key").alias("name"), "project_path", "updated_at", F.lit(True).alias("meta"))
         both = chunks.join(meta, "name", "full_outer")
         paths = [r[0] for r in both.select("project_path").where("project_path IS NOT NULL").distinct().toLocalIterator()]
@@ -393,3 +633,8 @@ def indexed_files(chunks: DataFrame) -> DataFrame:
 def file_hashes(chunks: DataFrame) -> DataFrame:
     """One hash a file; it is the same in all rows of the file."""
     return chunks.groupBy("repo", "file_path").agg(F.min("file_hash").alias("file_hash"))
+
+
+def _version(folder: str) -> int:
+    """The version that wrote a folder."""
+    return int(folder[2:].split("-", 1)[0])

@@ -2,7 +2,9 @@
 
 Spark's own file listing leaves out names that begin with "_" or ".", such as ``__init__.py``. This source walks
 the tree itself: the driver looks at the upper folders only, each of which a task then walks, pruning skipped
-folders before it descends. It lists and opens nothing; :func:`contents` reads the files that a plan still wants
+folders before it descends. The options ``paths`` (a JSON list) and ``beginning`` say which paths are
+asked for, and so which folders are looked at. They are options and no pushed filters, as Spark 4.1 keeps what a
+source has taken from one query for the next query of the same frame. It lists and opens nothing; :func:`contents` reads the files that a plan still wants
 once names and sizes have been judged. It is for file systems that are mounted where the tasks run; other stores
 take the built-in binary reader.
 """
@@ -10,6 +12,7 @@ take the built-in binary reader.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
@@ -40,10 +43,27 @@ class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"].removeprefix("file://").rstrip("/") or "/"
         self.repo = options.get("repo", self.root)
+        self.paths: set[str] | None = set(json.loads(options["paths"])) if "paths" in options else None
+        self.beginning = options.get("beginning", "")
+
+    def _reached(self, folder: str) -> bool:
+        """Whether a walk from the root would come to the folder: no part of it is skipped or a link."""
+        parts = [p for p in folder.split("/") if p]
+        if _kept(parts) != sorted(parts) or any(p in (".", "..") for p in parts):
+            return False
+        return not any(os.path.islink(os.path.join(self.root, *parts[: i + 1])) for i in range(len(parts)))
 
     def partitions(self) -> list[InputPartition]:
-        """Folders to walk: from the root on, the shallowest are opened until there is work for many tasks."""
-        closed, parts = [""], []
+        """Folders to walk: from the root on, the shallowest are opened until there is work for many tasks.
+
+        Of asked paths only their own folders; of a beginning of paths, only the folder that it lies in.
+        """
+        if self.paths is not None:
+            return [_Folder(f, False) for f in sorted({os.path.dirname(p) for p in self.paths if p and not p.startswith("/")}) if self._reached(f)]
+        top = self.beginning.rpartition("/")[0]
+        if not self._reached(top):
+            return []
+        closed, parts = [top], []
         for _ in range(OPENED):
             if not closed or len(closed) + len(parts) >= WANTED:
                 break
@@ -63,6 +83,9 @@ class TreeReader(DataSourceReader):
             dirs[:] = _kept(dirs) if deep else []
             for name in sorted(names):
                 full = os.path.join(top, name)
+                path = os.path.relpath(full, self.root)
+                if not path.startswith(self.beginning) or (self.paths is not None and path not in self.paths):
+                    continue
                 try:
                     info = os.stat(full)
                 except OSError:
@@ -70,7 +93,7 @@ class TreeReader(DataSourceReader):
                 if os.path.islink(full) and not os.path.realpath(full).startswith(real_root + os.sep):
                     continue
                 ext = "." + name.rsplit(".", 1)[-1].lower() if "." in name[1:] else ""
-                yield self.repo, os.path.relpath(full, self.root), ext, info.st_size, info.st_mtime
+                yield self.repo, path, ext, info.st_size, info.st_mtime
 
 
 class TreeSource(DataSource):

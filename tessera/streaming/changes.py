@@ -45,13 +45,15 @@ def apply_changes(target: DataFrame, events: DataFrame, key: str, order: list[st
 
 
 def apply_to_store(
-    store, make_chunks: Callable[[DataFrame], DataFrame], now: Callable[[], float], on_change: Callable[[DataFrame, DataFrame], None] | None = None
+    store, make_chunks: Callable[[DataFrame], DataFrame], now: Callable[[], float], on_change: Callable[[DataFrame, DataFrame], None] | None = None,
+    repo: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink: changed files are cut anew, deleted ones leave the chunk table.
 
     ``make_chunks`` turns changed files (repo, file_path, content, file_hash) into chunk rows. Chunk ids follow
     from path and place, so a batch that is replayed after a failure ends in the same table. ``on_change`` gets
     the new chunks (repo, id, content) and the keys of all that came or went, for indexes that follow the table.
+    ``repo`` is the project of all batches, if there is one: then only its folders are read.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
@@ -69,7 +71,7 @@ def apply_to_store(
                     fresh = fresh.withColumn(name, F.lit(None))
             fresh = fresh.withColumn("vector", F.col("vector").cast("array<float>"))
             fresh = fresh.cache()
-            old = store.read("chunks", version=base).join(touched, ["repo", "file_path"], "left_semi").select("repo", "id")
+            old = store.read("chunks", version=base, repo=repo).join(touched, ["repo", "file_path"], "left_semi").select("repo", "id")
             store.replace("chunks", fresh, touched, expected=base)
             if on_change is not None:
                 on_change(fresh.select("repo", "id", "content"), old.unionByName(fresh.select("repo", "id")))

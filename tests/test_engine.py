@@ -137,6 +137,74 @@ def test_only_wanted_files_are_opened(spark, project, tmp_path):
     assert opened(project) == {"src/use.py", "tests/test_auth.py"}
 
 
+def test_a_search_opens_the_files_of_its_trigrams(spark, project, tmp_path):
+    set_back(project)
+    open(f"{project}/run.log").read()
+    if opened(project) != {"run.log"}:
+        pytest.skip("this file system keeps no access times")
+    engine = Engine(spark, Settings(str(tmp_path / "store")))
+    asked = [("HELPER", False), ("helper", True), ("Helper", True), ("os.getenv(user)", False), ("no such text", False), ("er", False), ("x'", True)]
+    plain = [[tuple(r) for r in engine.search_text(q, project, 50, cs).collect()] for q, cs in asked]
+    engine.index_semantic(project)
+    assert [[tuple(r) for r in engine.search_text(q, project, 50, cs).collect()] for q, cs in asked] == plain
+    set_back(project)
+    assert [r["file_path"] for r in engine.search_text("os.getenv", project).collect()] == ["src/auth.py"]
+    assert opened(project) <= {".gitignore", "src/auth.py"}
+    set_back(project)
+    assert engine.search_text("no such text", project).collect() == [] and opened(project) <= {".gitignore"}
+    with open(f"{project}/src/new.md", "w") as f:
+        f.write("calls os.getenv, too\n")
+    assert [r["file_path"] for r in engine.search_text("os.getenv", project).collect()] == ["src/auth.py", "src/new.md"]
+
+
+def test_an_untouched_tree_opens_no_file(spark, project, tmp_path):
+    set_back(project)
+    open(f"{project}/run.log").read()
+    if opened(project) != {"run.log"}:
+        pytest.skip("this file system keeps no access times")
+    engine = Engine(spark, Settings(str(tmp_path / "store")))
+    engine.index_semantic(project)
+    set_back(project)
+    assert engine.staleness(project).collect() == [] and engine.pending(project).count() == 0
+    engine.index_semantic(project)
+    assert opened(project) <= {".gitignore"}  # the rules
+    with open(f"{project}/src/use.py", "a") as f:
+        f.write("# one edit\n")
+    set_back(project)
+    assert [(r["reason"], r["count"]) for r in engine.staleness(project).collect()] == [("modified", 1)]
+    assert opened(project) <= {".gitignore", "src/use.py"} and "src/use.py" in opened(project)
+    assert [r["file_path"] for r in engine.pending(project).collect()] == ["src/use.py"]
+    os.unlink(f"{project}/src/use.py")
+    assert [(r["reason"], r["count"]) for r in engine.staleness(project).collect()] == [("deleted", 1)]
+
+
+def test_asked_paths_choose_the_folders_that_are_walked(spark, project, tmp_path):
+    from tessera.sources import corpus
+    from tessera.sources.tree import TreeReader
+
+    os.symlink(f"{project}/src", f"{project}/linked")
+    os.makedirs(f"{project}/src/deep/er")
+    with open(f"{project}/src/deep/er/a.py", "w") as f:
+        f.write("x = 1\n")
+
+    def walked(paths=None, beginning=""):
+        reader = TreeReader({"path": project, "beginning": beginning} | ({} if paths is None else {"paths": json.dumps(paths)}))
+        parts = reader.partitions()
+        return [p.value[0] for p in parts], sorted(row[1] for p in parts for row in reader.read(p))
+
+    assert walked(["src/auth.py"]) == (["src"], ["src/auth.py"])
+    assert walked(["src/auth.py", "tests/none.py", ".gitignore"]) == (["", "src", "tests"], [".gitignore", "src/auth.py"])
+    for path in ("node_modules/x.js", "linked/auth.py", "../proj/src/auth.py", "/etc/passwd", ""):
+        assert walked([path])[1] == []
+    folders, found = walked(beginning="src/deep/e")
+    assert folders[0] == "src/deep" and found == ["src/deep/er/a.py"]
+    assert walked(beginning="node_modules/")[1] == [] == walked(["src/use.py"], "tests/")[1]
+    whole = sorted(r["file_path"] for r in corpus.listing(spark, project).collect())
+    for beginning in ("", "s", "src/", "src/d", "src/auth.py", "none/"):
+        assert sorted(r["file_path"] for r in corpus.listing(spark, project, beginning=beginning).collect()) == [p for p in whole if p.startswith(beginning)]
+    assert corpus.listing(spark, project, only=["src/auth.py"]).rdd.getNumPartitions() == 1
+
+
 def test_windows_end_at_the_wall_and_go_on(spark, project, tmp_path):
     engine = Engine(spark, Settings(str(tmp_path / "store"), max_files_per_window=2, max_wall_s=-1.0))
     assert [r["file_path"] for r in engine.pending(project).collect()] == [".gitignore", "src/__init__.py", "src/auth.py", "src/use.py", "tests/test_auth.py"]
@@ -215,6 +283,15 @@ def test_search_reads_the_project_s_postings(spark, project, tmp_path):
     plan = spark._jvm.PythonSQLUtils.explainString(lookup._jdf.queryExecution(), "formatted")
     assert "In(term, [login,user])" in plan and len(lookup.inputFiles()) <= 4
     assert engine.store.read("vector_buckets", repo=project).count() == engine.store.read("chunks", repo=project).count()
+    # what comes later is assigned to the stored centroids; what goes leaves the index
+    centres = engine.store.version("vector_centres")
+    with open(f"{project}/src/later.md", "w") as f:
+        f.write("a later file about login and logout, with words enough to make a chunk\n")
+    os.unlink(f"{project}/src/use.py")
+    engine.index_semantic(project)
+    held = {r["id"] for r in engine.store.read("chunks", repo=project).collect()}
+    assert {r["id"] for r in engine.store.read("vector_buckets", repo=project).collect()} == held
+    assert engine.store.version("vector_centres") == centres
 
 
 def test_outline_totals_and_ledger(spark, project, tmp_path):
