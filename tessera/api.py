@@ -190,11 +190,14 @@ class Engine:
         try:
             indexed, zero = self._known(repo)
             if not self.settings.keep_missing:
-                gone = diff.stale_indexed(indexed, now)
-                lost = self.store.read("chunks", repo=repo).join(gone, ["repo", "file_path"], "left_semi").select("repo", "id")
-                self._update_text_index(lost.select("repo", "id").limit(0).withColumn("content", F.lit("")), lost, lost)
-                self.store.replace("chunks", self.store.read("chunks").limit(0), gone)
-                self.store.replace("zero_chunk_files", zero.limit(0), diff.stale_indexed(zero, now))
+                gone, without = diff.stale_indexed(indexed, now), diff.stale_indexed(zero, now)
+                if not gone.isEmpty():
+                    lost = self.store.read("chunks", repo=repo).join(gone, ["repo", "file_path"], "left_semi").select("repo", "id")
+                    for name in ("postings", "doc_lengths"):
+                        self.store.replace(name, None, lost, ("repo", "id"))
+                    self.store.replace("chunks", None, gone)
+                if not without.isEmpty():
+                    self.store.replace("zero_chunk_files", None, without)
             todo = changes.windows(diff.pending_files(now, indexed, zero), self.settings.max_files_per_window)
             before = indexed.select(*store.FILE_KEY).unionByName(zero.select(*store.FILE_KEY)).distinct().withColumn("known", F.lit(True))
             todo = todo.join(before, list(store.FILE_KEY), "left").fillna(False, ["known"])
@@ -211,11 +214,12 @@ class Engine:
             seen = self.store.read("file_stats", repo=repo)
             key = list(store.FILE_KEY)
             gone = seen.select(*key).join(listed.select(*key), key, "left_anti")
-            touched = common_rows(opened.select(*key).unionByName(gone))
-            stats = opened.select(*key, "size", "mtime", "file_hash")
-            posted = grams.trigrams(corpus.with_text(opened.where("content IS NOT NULL")))
-            self.store.replace("trigrams", posted, touched)  # first: what is seen is posted
-            self.store.replace("file_stats", stats, touched)
+            touched = opened.select(*key).unionByName(gone)
+            if not touched.isEmpty():
+                stats = opened.select(*key, "size", "mtime", "file_hash")
+                posted = grams.trigrams(corpus.with_text(opened.where("content IS NOT NULL")))
+                self.store.replace("trigrams", posted, touched)  # first: what is seen is posted
+                self.store.replace("file_stats", stats, touched)
             return self.store.read("file_stats", repo=repo).where("file_hash IS NOT NULL")
         finally:
             opened.unpersist()
@@ -232,7 +236,7 @@ class Engine:
         try:
             base = self.store.version("chunks")
             old = self.store.read("chunks", repo=repo, version=base).join(known, list(store.FILE_KEY), "left_semi").select("repo", "id")
-            gone = common_rows(old) if known.limit(1).count() else old.limit(0)
+            gone = common_rows(old) if known.limit(1).count() else old.limit(0)  # ids of one window's chunks
             self.store.replace("chunks", rows, keys, expected=base, known=known)
             without = found.select("repo", "file_path", "file_hash").join(rows.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_anti")
             self.store.replace("zero_chunk_files", without, keys, known=known)
@@ -308,7 +312,8 @@ class Engine:
             n, tokens, *_ = self.store.projects("doc_lengths").get(repo, [0, 0])
             scored = search.pruned_topk(self.store.read("postings", repo=repo), self.store.read("posting_blocks", repo=repo), n, tokens, query, search.candidates_per_list(limit)).rows
         found = search.hybrid_topk(vectors, vector, query, limit, self.settings.metric, fts_ready=ready, scored=scored)
-        return search.response_rows(found, chunks).orderBy("rank")
+        found = common_rows(found)  # at most ``limit`` ids; tables are sorted by id, so that few row groups are read for them
+        return search.response_rows(found, chunks.where(F.col("id").isin([r["id"] for r in found.collect()]))).orderBy("rank")
 
     def status(self, path: str = "") -> DataFrame:
         """Chunks, files and latest indexed_at by repository, from the manifest.
@@ -436,8 +441,9 @@ class Engine:
             base = self.store.version("files")
             mine = self.store.read("files", repo=repo).where((F.col("version") == schemas.INDEX_VERSION) & F.lit(incremental))
             status = diff.detect_changes(now.select("repo", "file_path", "file_hash"), mine.select("repo", "file_path", "file_hash"))
-            complete = now.count() < (max_files or self.settings.max_files)
-            touched = status.where(F.col("status").isin("new", "changed", *(["deleted"] if complete else [])))
+            # the cap leaves out files that are there: what is gone shows in the whole list
+            gone = diff.stale_indexed(mine, discovery.supported(found)).withColumn("status", F.lit("deleted"))
+            touched = status.where(F.col("status").isin("new", "changed")).select("repo", "file_path", "status").unionByName(gone)
             todo = now.join(touched.where("status <> 'deleted'").select("repo", "file_path"), ["repo", "file_path"], "left_semi")
             rows = extract.extract_files(todo).cache()
             version = schemas.INDEX_VERSION
@@ -712,9 +718,9 @@ class Engine:
             if saved:
                 self.ledger.flush()
             return {"results": rows, "_meta": self._envelope(job, saved)}
-        except (ValueError, AttributeError, TypeError) as e:
-            job.status, job.error = "failed", str(e)
-            return {"error": str(e), "_meta": self._envelope(job, 0)}
+        except Exception as e:  # noqa: BLE001 - errors of input, of files and of Spark, time outs too, are values to a caller
+            job.status, job.error = "cancelled" if job.status == "cancel_requested" else "failed", str(e) or type(e).__name__
+            return {"error": job.error, "_meta": self._envelope(job, 0)}
         finally:
             timer.cancel()
             self.spark.removeTag(tag)

@@ -17,6 +17,8 @@ GRACE_S = 3600
 TOKENS_PER_SYMBOL = 150
 DOLLARS_PER_MILLION = 3.0
 EMBED_DOLLARS_PER_MILLION = 0.18
+# The reasons and errors that callers read. Reasons: missing_meta, unreadable_meta, missing_chunks,
+# project_path_enoent, unreadable_index_json, missing_repo_path_field, repo_path_enoent, orphan_sidecar_json, stale_index_tmp.
 CLEAR_REASONS = ("missing_meta", "project_path_enoent", "repo_path_enoent", "missing_repo_path_field")
 
 

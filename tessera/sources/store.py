@@ -2,7 +2,7 @@
 
 A table is a set of folders, one for each write and bucket. A bucket is named by its project (a slot of the hash
 of ``repo``) and, inside it, by a hash of the file; so a read of one project lists that project's folders alone.
-A project begins with ``WIDTH`` buckets and gets more as its bytes grow.
+A project begins with ``WIDTH`` bucket and gets more as its bytes grow.
 
 Writes add and never rewrite: new rows are new folders, and keys that were in the table before are added to the
 bucket's folders of gone keys, each with the version from which it holds. A read drops the rows of older folders
@@ -49,12 +49,12 @@ BUCKET_KEYS = {
     "vector_buckets": ("repo", "bucket"), "vector_centres": ("repo",), "vector_books": ("repo",), "vector_settings": ("repo",),
 }
 #: Order inside a file, so that a filter skips row groups: a query reads the postings of its own terms.
-SORTED_BY = {"postings": ("term", "shard", "id"), "posting_blocks": ("term", "shard"), "trigrams": ("gram", "file_path"), "occurrences": ("name",), "vector_buckets": ("bucket", "id"), "symbols": ("file_path", "start_byte")}
+SORTED_BY = {"chunks": ("id",), "postings": ("term", "shard", "id"), "posting_blocks": ("term", "shard"), "trigrams": ("gram", "file_path"), "occurrences": ("name",), "vector_buckets": ("bucket", "id"), "symbols": ("file_path", "start_byte")}
 #: A column whose sum by project the manifest keeps instead of a number of files: a writer's deltas, published with its rows.
 MEASURES = {"doc_lengths": "dl"}
 FILE_KEY = ("repo", "file_path")
 SLOTS = 1 << 14
-WIDTH = 4
+WIDTH = 1
 MOST_WIDTH = 1 << 12
 BUCKET_BYTES = 256 << 20
 FANOUT = 4
@@ -137,29 +137,29 @@ class Store:
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._slots: dict[str, int] = {}
+        # each step of a name is a call to the JVM
+        self._paths, self._bytes_of = self._jvm.org.apache.hadoop.fs.Path, self._jvm.org.apache.commons.io.IOUtils.toByteArray
+        self._files = self._paths(self.root).getFileSystem(self._conf)
 
     # --- files ----------------------------------------------------------------------------------------------
 
     def _path(self, *parts: str):
-        return self._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
-
-    def _fs(self, path):
-        return path.getFileSystem(self._conf)
+        return self._paths("/".join((self.root, *parts)))
 
     def _names(self, *parts: str) -> list[str]:
         path = self._path(*parts)
-        fs = self._fs(path)
+        fs = self._files
         return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
 
     def _text(self, path) -> str:
-        stream = self._fs(path).open(path)
+        stream = self._files.open(path)
         try:
-            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+            return bytes(self._bytes_of(stream)).decode("utf-8")
         finally:
             stream.close()
 
     def _put(self, path, text: str) -> None:
-        stream = self._fs(path).create(path, True)
+        stream = self._files.create(path, True)
         try:
             stream.write(text.encode("utf-8"))
         finally:
@@ -167,7 +167,7 @@ class Store:
 
     def _publish(self, path, text: str, overwrite: bool = False) -> bool:
         """Create a file whole or not at all; without ``overwrite``, only where there is none."""
-        fs = self._fs(path)
+        fs = self._files
         fs.mkdirs(path.getParent())
         if fs.getScheme() == "file" and not overwrite:  # its rename is not atomic; a link is made by one writer alone
             target = path.toUri().getPath()
@@ -197,7 +197,7 @@ class Store:
         """A small document beside the tables; None where there is none or it does not parse."""
         path = self._path(f"{name}.json")
         try:
-            return json.loads(self._text(path)) if self._fs(path).exists(path) else None
+            return json.loads(self._text(path)) if self._files.exists(path) else None
         except ValueError:
             return None
 
@@ -209,7 +209,7 @@ class Store:
         version, token = manifest.version + 1, uuid.uuid4().hex[:8]
         if self.version(name) != manifest.version or not self._publish(self._path(name, f"manifest-{version}.json"), manifest.text(version, token)):
             raise Conflict(f"{name}: version {version} is another writer's")
-        fs = self._fs(self._path(name))
+        fs = self._files
         for folder in manifest.before:
             fs.delete(self._path(name, folder), True)
         fs.delete(self._path(name, f"manifest-{version - 2}.json"), False)
@@ -218,14 +218,14 @@ class Store:
     def vacuum(self, name: str, older_s: float = ORPHAN_S) -> int:
         """Delete folders and slot files that no kept version names and that are older than ``older_s``: of dead writers."""
         current = self.version(name)
-        kept = [Manifest(self, name, v) for v in (current - 1, current) if v > 0 and self._fs(self._path(name)).exists(self._path(name, f"manifest-{v}.json"))]
+        kept = [Manifest(self, name, v) for v in (current - 1, current) if v > 0 and self._files.exists(self._path(name, f"manifest-{v}.json"))]
         live = {f for m in kept for f in (*m.files.values(), *m.dropped, *m.before)}
         for m in kept:
             for slot in m.files:
                 held = m.slot(slot)
                 live |= {f for parts in held["parts"].values() for f in parts} | {f for by in held["gone"].values() for parts in by.values() for f in parts}
         found = [n for n in self._names(name) if n.startswith("slot-")] + [f"{n}/{f}" for n in self._names(name) if n.startswith("v=") for f in self._names(name, n) if f.startswith("_bucket=")]
-        fs, gone = self._fs(self._path(name)), 0
+        fs, gone = self._files, 0
         for f in found:
             path = self._path(name, f)
             if f not in live and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 >= older_s:
@@ -346,7 +346,7 @@ class Store:
 
     def _bytes(self, name: str, folder: str) -> int:
         path = self._path(name, folder)
-        return self._fs(path).getContentSummary(path).getLength()
+        return self._files.getContentSummary(path).getLength()
 
     def _remove(self, name: str, manifest: Manifest, touched: DataFrame, key: tuple[str, ...]) -> int:
         """Add the touched keys that the table holds to the gone ones; the number of rows that go."""
@@ -393,8 +393,8 @@ class Store:
         self._add(name, manifest, fresh)
         return self._committed(name, manifest)
 
-    def replace(self, name: str, rows: DataFrame, touched: DataFrame, key: tuple[str, ...] = FILE_KEY, expected: int | None = None, known: DataFrame | None = None) -> int:
-        """Rows of the ``touched`` keys give way to ``rows``; only these and the keys are written.
+    def replace(self, name: str, rows: DataFrame | None, touched: DataFrame, key: tuple[str, ...] = FILE_KEY, expected: int | None = None, known: DataFrame | None = None) -> int:
+        """Rows of the ``touched`` keys give way to ``rows`` (or to none); only these and the keys are written.
 
         ``touched`` has the key and the columns that make buckets; ``rows`` belong to touched keys. ``known`` are
         the touched keys that the table may hold, where the caller knows; without it the buckets' keys are read.
@@ -402,7 +402,7 @@ class Store:
         manifest = self._begun(name, expected)
         had = touched if known is None else known
         gone = self._remove(name, manifest, had, key) if manifest.files else 0
-        fresh = self._stage(name, rows, manifest)
+        fresh = {} if rows is None else self._stage(name, rows, manifest)
         if not fresh and not gone:
             return manifest.version
         self._add(name, manifest, fresh)
